@@ -7,6 +7,10 @@ from importlib import import_module
 #: Query name: module that holds it.
 OPERATORS = {
     "op1_toxicity": "toxicity",
+    "op4_token_store": "token_store",
+    "op5_quality_rff": "quality_rff",
+    "op6_quality_votes": "quality_votes",
+    "op8_license_scan": "license_scan",
     "op9_simhash": "simhash",
 }
 
