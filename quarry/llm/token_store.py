@@ -17,13 +17,14 @@ ignored. What reaches the driver is one row for each file.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
 import zlib
+from array import array
 from itertools import accumulate
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -52,13 +53,15 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        # Tasks share the cores already, and threads for a few pieces cost more than the pieces.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         self.tokenizer.encode_special_tokens = True
 
     def _fresh(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -66,14 +69,15 @@ class Encoder:
         if _LOOSE.search(text):
             return self._fresh([text])[0]
         head, *rest = text.split(" ")
-        known = self.known
-        pieces = [head, *[" " + p for p in rest]]
-        if new := [p for p in dict.fromkeys(pieces) if p not in known]:
-            if len(known) + len(new) > _REMEMBERED:
-                known.clear()
-                new = list(dict.fromkeys(pieces))
-            known.update(zip(new, self._fresh(new), strict=True))
-        return b"".join(map(known.__getitem__, pieces))
+        found = list(map(self.known.get, rest))
+        if None in found:
+            new = list({p for p, ids in zip(rest, found, strict=True) if ids is None})
+            fresh = dict(zip(new, self._fresh([" " + p for p in new]), strict=True))
+            found = [fresh[p] if ids is None else ids for p, ids in zip(rest, found, strict=True)]
+            if len(self.known) > _REMEMBERED:
+                self.known.clear()
+            self.known.update((p, ids) for p, ids in fresh.items() if len(p) <= 40)
+        return b"".join([*(self._fresh([head]) if head else ()), *found])
 
 
 class Writer:
