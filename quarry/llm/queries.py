@@ -7,11 +7,15 @@ from importlib import import_module
 #: Query name: module that holds it.
 OPERATORS = {
     "op1_toxicity": "toxicity",
+    "op2_html_template": "html_template",
+    "op3_line_templates": "line_templates",
     "op4_token_store": "token_store",
     "op5_quality_rff": "quality_rff",
     "op6_quality_votes": "quality_votes",
+    "op7_best_fit_packing": "packing",
     "op8_license_scan": "license_scan",
     "op9_simhash": "simhash",
+    "op10_decontaminate": "decontaminate",
 }
 
 
