@@ -40,16 +40,21 @@ FRAME_BYTES = 1 << 20
 INDEX_MAGIC, SEEK_MAGIC, CLOSING_MAGIC, WITH_CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 _DOC, _SEEK, _INDEX = struct.Struct("<qBI"), struct.Struct("<III"), struct.Struct("<qqI")
 #: Pieces of text remembered with their ids by a Python worker before it starts anew.
-_REMEMBERED = 400_000
+_REMEMBERED = 1_000_000
 #: White space that touches a space: the pre-tokenizer then looks beyond a single piece.
-_LOOSE = re.compile(r" \s|\s ")
+_LOOSE, _ODD_SPACE = re.compile(r" \s|\s "), re.compile(r"[^\S\n ]")
+
+
+def _loose(text: str) -> bool:
+    return "  " in text or "\n " in text or " \n" in text or (_ODD_SPACE.search(text) is not None and _LOOSE.search(text) is not None)
 
 
 class Encoder:
     """Encodes whole texts to ids as bytes.
 
-    The pre-tokenizer splits before every single space between other characters, so the pieces that begin with such a
-    space are encoded once and remembered. Texts in which a space touches white space are encoded in one call.
+    The pre-tokenizer splits before every single space between other characters, so a text's pieces between such spaces
+    are encoded once and remembered. A piece of Latin letters is one pre-token, and a mark after it another: these go
+    straight to the tokenizer's model. Texts in which a space touches white space are encoded in one call.
     """
 
     def __init__(self, path: str):
@@ -59,25 +64,47 @@ class Encoder:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         self.tokenizer.encode_special_tokens = True
-
-    def _fresh(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.split = self.tokenizer.model.tokenize
+        self.marks = {m: self._whole(m) for m in ".,;:!?"}
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in shown]
+        self.shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}  # the public byte-level alphabet
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """A piece with the space before it."""
+        if piece and max(piece) < "\u0250":
+            if piece.isalpha():
+                spelled = "\u0120" + piece if piece.isascii() else f" {piece}".encode().decode("latin-1").translate(self.shown)
+                return array("I", [t.id for t in self.split(spelled)]).tobytes()
+            word, mark = piece[:-1], self.marks.get(piece[-1])
+            if mark and word.isalpha():
+                ids = self.known.get(word)
+                if ids is None:
+                    ids = self.known[word] = self._piece(word)
+                return ids + mark
+        return self._whole(f" {piece}")
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if _LOOSE.search(text):
-            return self._fresh([text])[0]
+        if _loose(text):
+            return self._whole(text)
         head, *rest = text.split(" ")
         found = list(map(self.known.get, rest))
         if None in found:
-            new = list({p for p, ids in zip(rest, found, strict=True) if ids is None})
-            fresh = dict(zip(new, self._fresh([" " + p for p in new]), strict=True))
-            found = [fresh[p] if ids is None else ids for p, ids in zip(rest, found, strict=True)]
             if len(self.known) > _REMEMBERED:
-                self.known.clear()
-            self.known.update((p, ids) for p, ids in fresh.items() if len(p) <= 40)
-        return b"".join([*(self._fresh([head]) if head else ()), *found])
+                self.known = {}
+            known, i = self.known, -1
+            for _ in range(found.count(None)):
+                i = found.index(None, i + 1)
+                piece = rest[i]
+                found[i] = ids = known.get(piece) or self._piece(piece)
+                if len(piece) <= 40:
+                    known[piece] = ids
+        return b"".join([self._whole(head) if head else b"", *found])
 
 
 class Writer:
