@@ -66,9 +66,7 @@ class Corpus:
         return objects.inspect(self.files, obj_num)
 
     def search(self, expression: str) -> DataFrame:
-        kinds = {k for k, _, _ in objects.parse_search(expression)}
-        held = self.tables("objects", "entries", *(["streams"] if kinds & {"stream", "regex"} else []))
-        return objects.search(held[0], held[1], held[2] if len(held) > 2 else None, expression)
+        return objects.search(self.parsed(*objects.search_parts(expression)), expression)
 
     def extract(self, obj_num: int) -> DataFrame:
         return objects.extract(self.table("streams"), obj_num)
@@ -104,7 +102,16 @@ class Corpus:
         return reader.table(self.files, "tree", options={"tree": {"max_depth": max_depth}}, **self.options)
 
     def page_labels(self) -> DataFrame:
-        return structure.page_labels(*self.tables("pages", "label_ranges"))
+        return structure.page_labels(self.parsed("pages", "label_ranges"))
+
+    def broken_references(self) -> DataFrame:
+        return graph.broken(self.parsed("refs", "objects"))
+
+    def unreachable(self) -> DataFrame:
+        return graph.unreachable(self.parsed("objects", "reached"))
+
+    def document_text(self) -> DataFrame:
+        return text.document_text(self.parsed("page_text"))
 
     def combined(self, *modes: str, pattern: str | None = None) -> dict[str, DataFrame]:
         """Several modes at once, in the fixed order of DOCUMENT_MODES whatever the order asked for."""

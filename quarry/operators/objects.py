@@ -117,37 +117,51 @@ def parse_search(expression: str) -> list[tuple[str, str, str]]:
     return out
 
 
-def search(objects: DataFrame, entries: DataFrame, streams: DataFrame | None, expression: str) -> DataFrame:
+def search_parts(expression: str) -> list[str]:
+    """The parts that search() needs for an expression: streams only for conditions on their content."""
+    kinds = {k for k, _, _ in parse_search(expression)}
+    return ["objects", "entries", *(["streams"] if kinds & {"stream", "regex"} else [])]
+
+
+def search(parsed: DataFrame, expression: str) -> DataFrame:
     """The dictionaries and streams that meet every condition, as listing() shows them.
 
-    Conditions on entries are one pass over them; a condition on stream content needs streams, and is met after the others.
+    Each condition gives the numbers of a document's objects that meet it, and those of all conditions are intersected in
+    the document's row: nothing is shuffled.
     """
-    found = listing(objects).filter(F.col("kind").isin("Dictionary", "Stream"))
-    key = ["doc_key", "obj_num", "gen"]
-    named = F.col("vkind").isin("Name", "String")
-    conditions = parse_search(expression)
-    for kind, name, value in conditions:
+
+    def named(e):
+        return e.vkind.isin("Name", "String")
+
+    def met(kind: str, name: str, value: str) -> Column:
         low = F.lit(value.translate(str.maketrans(_UPPER, _LOWER)))
         if kind == "equals":
-            met = entries.filter((F.col("key") == name) & named & (_folded(F.col("vtext")) == low))
+            rows = F.filter("entries", lambda e: (e.key == name) & named(e) & (_folded(e.vtext) == low))
         elif kind == "key":
-            met = entries.filter(F.col("key") == value)
+            rows = F.filter("entries", lambda e: e.key == value)
         elif kind == "value":
-            met = entries.filter(named & F.contains(_folded(F.col("vtext")), low))
+            rows = F.filter("entries", lambda e: named(e) & F.contains(_folded(e.vtext), low))
+        elif kind == "stream":
+            raw = F.lit(value.encode().decode("latin-1").translate(str.maketrans(_UPPER, _LOWER)))
+            rows = F.filter("streams", lambda s: F.contains(_folded(F.decode(s.data, "ISO-8859-1")), raw))
         else:
-            continue
-        found = found.join(met.select(key), key, "left_semi")
-    for kind, _, value in conditions:
-        if kind not in ("stream", "regex"):
-            continue
-        if streams is None:
-            raise SpecError("a condition on streams needs the table of streams")
-        text = F.decode(F.col("data"), "ISO-8859-1")
-        met = streams.filter(F.contains(_folded(text), F.lit(value.encode().decode("latin-1").translate(str.maketrans(_UPPER, _LOWER)))) if kind == "stream" else F.is_valid_utf8(F.col("data").cast("string")) & F.col("data").cast("string").rlike(value)).select(key)
-        if kind == "regex":
-            met = met.union(entries.filter(named & F.col("vtext").rlike(value)).select(key))
-        found = found.join(met, key, "left_semi")
-    return found
+            own = F.filter("entries", lambda e: named(e) & e.vtext.rlike(value))
+            held = F.filter("streams", lambda s: F.is_valid_utf8(s.data.cast("string")) & s.data.cast("string").rlike(value))
+            return F.array_union(_ids(own), _ids(held))
+        return F.array_distinct(_ids(rows))
+
+    conditions = parse_search(expression)
+    found = met(*conditions[0])
+    for c in conditions[1:]:
+        found = F.array_intersect(found, met(*c))
+    # Numbers first: rows of objects are made only for documents with some.
+    hits = parsed.select("doc_key", "objects", found.alias("hits")).filter(F.size("hits") > 0)
+    kept = F.filter("objects", lambda o: o.kind.isin("Dictionary", "Stream") & F.array_contains("hits", F.struct(o.obj_num.alias("num"), o.gen.alias("gen"))))
+    return listing(hits.select("doc_key", F.inline(kept)))
+
+
+def _ids(rows) -> Column:
+    return F.transform(rows, lambda o: F.struct(o.obj_num.alias("num"), o.gen.alias("gen")))
 
 
 def extract(streams: DataFrame, obj_num: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.crypt import PERMISSIONS
@@ -27,12 +27,12 @@ def alpha(n: Column, letters: int = 7) -> Column:
     return out
 
 
-def page_labels(pages: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Each page's label, from the last range that begins at or before it: an as-of join by a window over both tables."""
-    starts = ranges.filter("first_page >= 0").select("doc_key", (F.col("first_page") + 1).alias("at"), F.lit(0).alias("is_page"), F.struct("first_page", "style", "prefix", "start").alias("r"))
-    both = starts.unionByName(pages.select("doc_key", F.col("page_number").cast("bigint").alias("at"), F.lit(1).alias("is_page")), allowMissingColumns=True)
-    w = Window.partitionBy("doc_key").orderBy("at", "is_page").rowsBetween(Window.unboundedPreceding, 0)
-    held = both.withColumn("r", F.last("r", ignorenulls=True).over(w)).filter("is_page = 1").join(ranges.select("doc_key").distinct(), "doc_key", "left_semi")
+def page_labels(parsed: DataFrame) -> DataFrame:
+    """Each page's label, from the last range that begins at or before it: an as-of join within the document's row, from
+    parts pages and label_ranges (which are in order). Documents without ranges have no labels."""
+    pages = parsed.filter(F.size("label_ranges") > 0).select("doc_key", "label_ranges", F.explode("pages").alias("page"))
+    before = F.filter("label_ranges", lambda r: (r.first_page >= 0) & (r.first_page < F.col("page.page_number")))
+    held = pages.select("doc_key", F.col("page.page_number").cast("bigint").alias("at"), F.try_element_at(before, F.lit(-1)).alias("r"))
     style, prefix = F.coalesce("r.style", F.lit("D")), F.coalesce("r.prefix", F.lit(""))
     start = F.coalesce("r.start", F.lit(1)).cast("bigint")
     n = start + F.col("at") - 1 - F.coalesce("r.first_page", F.lit(0))

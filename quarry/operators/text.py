@@ -14,10 +14,9 @@ def page_text(pages: DataFrame, spec: str | None = None) -> DataFrame:
     return pages.filter(in_pages(spec)).select("doc_key", "page_number", "text", "warnings")
 
 
-def document_text(pages: DataFrame) -> DataFrame:
-    """A document's pages in order, joined by a new line."""
-    held = pages.groupBy("doc_key").agg(F.sort_array(F.collect_list(F.struct("page_number", "text"))).alias("p"))
-    return held.select("doc_key", F.array_join(F.transform("p", lambda x: x.text), "\n").alias("text"))
+def document_text(parsed: DataFrame) -> DataFrame:
+    """A document's pages in order, joined by a new line, from part page_text."""
+    return parsed.select("doc_key", F.array_join(F.transform("page_text", lambda x: x.text), "\n").alias("text"))
 
 
 def find_text(pages: DataFrame, pattern: str, spec: str | None = None) -> DataFrame:

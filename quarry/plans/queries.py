@@ -78,7 +78,7 @@ pages AS (SELECT doc_id, CAST((i - 1) // 8 + 1 AS INTEGER) AS page_number, strin
 @query("SELECT doc_id, text FROM documents")
 def document_text(spark, sf_dir):
     """All text of every file (F2, F16)."""
-    return text.document_text(reader.table(_plain(spark, sf_dir), "page_text")).select(F.expr(_ID), "text")
+    return text.document_text(reader.parse(_plain(spark, sf_dir), ["page_text"])).select(F.expr(_ID), "text")
 
 
 @query(_PAGES + "SELECT doc_id, page_number, text FROM pages")
@@ -96,27 +96,27 @@ def page_text_range(spark, sf_dir):
 @query("SELECT doc_id, text FROM documents")
 def filtered_text(spark, sf_dir):
     """Text through each stream filter."""
-    return text.document_text(reader.table(_filtered(spark, sf_dir), "page_text")).select(F.expr(_ID), "text")
+    return text.document_text(reader.parse(_filtered(spark, sf_dir), ["page_text"])).select(F.expr(_ID), "text")
 
 
 @query("SELECT doc_id, text FROM documents WHERE doc_id % 10 = 0")
 def chained_filters_text(spark, sf_dir):
     """Text through two filters, one over the other (B2)."""
     found = corpora.built(_documents(spark, sf_dir).filter("doc_id % 10 = 0"), lambda r: corpora.text_file(r, filters=("ASCIIHexDecode", "FlateDecode")), "doc_id")
-    return text.document_text(reader.table(found, "page_text")).select(F.expr(_ID), "text")
+    return text.document_text(reader.parse(found, ["page_text"])).select(F.expr(_ID), "text")
 
 
 @query("SELECT doc_id, text FROM documents")
 def packed_file_text(spark, sf_dir):
     """Text of files with object streams and cross-reference streams (A1)."""
-    return text.document_text(reader.table(_plain(spark, sf_dir, packed=True), "page_text")).select(F.expr(_ID), "text")
+    return text.document_text(reader.parse(_plain(spark, sf_dir, packed=True), ["page_text"])).select(F.expr(_ID), "text")
 
 
 @query("SELECT doc_id, text FROM documents WHERE doc_id % 20 = 0")
 def encrypted_text(spark, sf_dir):
     """Text of files opened with a password (A2)."""
     found = corpora.built(_documents(spark, sf_dir).filter("doc_id % 20 = 0"), lambda r: corpora.text_file(r, password=b"open sesame"), "doc_id")
-    return text.document_text(reader.table(found, "page_text", password="open sesame")).select(F.expr(_ID), "text")
+    return text.document_text(reader.parse(found, ["page_text"], password="open sesame")).select(F.expr(_ID), "text")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 3 WHEN doc_id % 3 = 1 THEN 0 ELSE 1 END AS status FROM documents WHERE doc_id % 20 = 0")
@@ -163,7 +163,7 @@ def reliability(spark, sf_dir):
 def mapped_font_text(spark, sf_dir):
     """Text of composite fonts through their maps to Unicode."""
     found = _fonts(spark, sf_dir).filter("cast(doc_key as bigint) % 4 = 2")
-    return text.document_text(reader.table(found, "page_text")).select(F.expr(_ID), "text")
+    return text.document_text(reader.parse(found, ["page_text"])).select(F.expr(_ID), "text")
 
 
 @query("SELECT doc_id, CAST(sum(length(replace(text, chr(10), ''))) AS BIGINT) AS total_codes, CAST(0 AS BIGINT) AS unmapped_codes FROM documents GROUP BY doc_id")
@@ -247,28 +247,28 @@ def metadata(spark, sf_dir):
 def search_key_value(spark, sf_dir):
     """Lang=DE finds catalogs by a key and its value, without regard to case."""
     found = reader.parse(_described(spark, sf_dir), ["objects", "entries"])
-    return objects.search(reader.part(found, "objects"), reader.part(found, "entries"), None, "Type=Catalog,Lang=DE").select(F.expr(_ID))
+    return objects.search(found, "Type=Catalog,Lang=DE").select(F.expr(_ID))
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(source), 'src1')")
 def search_value(spark, sf_dir):
     """key=Author,value=SRC1 finds information by part of a value."""
     found = reader.parse(_described(spark, sf_dir), ["objects", "entries"])
-    return objects.search(reader.part(found, "objects"), reader.part(found, "entries"), None, "key=Author,value=SRC1").select(F.expr(_ID))
+    return objects.search(found, "key=Author,value=SRC1").select(F.expr(_ID))
 
 
 @query("SELECT doc_id FROM documents WHERE regexp_matches(source, '^src1[0-9]$')")
 def search_regex(spark, sf_dir):
     """regex= over entries and streams (C17)."""
     found = reader.parse(_described(spark, sf_dir), ["objects", "entries", "streams"])
-    return objects.search(*(reader.part(found, p) for p in ("objects", "entries", "streams")), "key=Author,regex=^src1[0-9]$").select(F.expr(_ID))
+    return objects.search(found, "key=Author,regex=^src1[0-9]$").select(F.expr(_ID))
 
 
 @query(_PAGES + "SELECT doc_id, count(*) AS n_streams FROM pages WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'license') GROUP BY doc_id")
 def search_streams(spark, sf_dir):
     """stream=LICENSE finds content streams by their decoded bytes."""
     found = reader.parse(_filtered(spark, sf_dir), ["objects", "entries", "streams"])
-    return objects.search(*(reader.part(found, p) for p in ("objects", "entries", "streams")), "stream=LICENSE").groupBy("doc_key").agg(F.count("*").alias("n_streams")).select(F.expr(_ID), "n_streams")
+    return objects.search(found, "stream=LICENSE").groupBy("doc_key").agg(F.count("*").alias("n_streams")).select(F.expr(_ID), "n_streams")
 
 
 @query(f"SELECT doc_id, CAST(unnest([1, 3, 900000]) AS INTEGER) AS obj_num, unnest(['Dictionary', 'Dictionary', NULL]) AS kind, unnest([NULL, NULL, 'not found']) AS error FROM documents")
@@ -309,21 +309,21 @@ def reverse_references(spark, sf_dir):
 def broken_references(spark, sf_dir):
     """References to objects that aren't there (D3, H1)."""
     found = reader.parse(_faulty(spark, sf_dir), ["refs", "objects"])
-    return graph.broken(reader.part(found, "refs"), reader.part(found, "objects")).select(F.expr(_ID), "dst_num", "path")
+    return graph.broken(found).select(F.expr(_ID), "dst_num", "path")
 
 
 @query("SELECT doc_id, CAST((doc_id % 5 = 0)::INT + (doc_id % 13 = 0)::INT AS BIGINT) AS n FROM documents WHERE doc_id % 5 = 0 OR doc_id % 13 = 0")
 def unreachable_objects(spark, sf_dir):
     """Objects that the trailer doesn't lead to."""
     found = reader.parse(_faulty(spark, sf_dir), ["objects", "reached"])
-    return graph.unreachable(reader.part(found, "objects"), reader.part(found, "reached")).groupBy("doc_key").agg(F.count("*").alias("n")).select(F.expr(_ID), "n")
+    return graph.unreachable(found).groupBy("doc_key").agg(F.count("*").alias("n")).select(F.expr(_ID), "n")
 
 
 @query(_PAGES + "SELECT doc_id, page_number FROM pages")
 def font_pages(spark, sf_dir):
     """Pages that the font, object 1, is associated with."""
     found = reader.parse(_plain(spark, sf_dir), ["pages", "refs"])
-    return graph.on_pages(reader.part(found, "pages"), reader.part(found, "refs"), None).filter("obj_num = 1").select(F.expr(_ID), "page_number")
+    return graph.on_pages(found).filter("obj_num = 1").select(F.expr(_ID), "page_number")
 
 
 @query(f"SELECT doc_id, coalesce(status, '-') AS status, CAST(n AS BIGINT) AS n FROM (SELECT doc_id, unnest(['visited', NULL]) AS status, unnest([2 * p - 1, 2 * p + 4]) AS n FROM (SELECT doc_id, {_N_PAGES} AS p FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)))")
@@ -392,7 +392,7 @@ def recovered_streams(spark, sf_dir):
 def recovered_text(spark, sf_dir):
     """Text of files with repaired streams."""
     found = corpora.documents(_table(spark, sf_dir, "documents").filter("doc_id % 11 = 0"), faults=True)
-    return text.document_text(reader.table(found, "page_text")).select(F.expr(_ID), "text")
+    return text.document_text(reader.parse(found, ["page_text"])).select(F.expr(_ID), "text")
 
 
 @query(_PAGES + "SELECT doc_id, page_number, CASE WHEN page_number = 1 THEN '' ELSE text END AS text FROM pages WHERE doc_id % 11 = 0")
@@ -463,7 +463,7 @@ def page_labels(spark, sf_dir):
     """Labels of pages by an as-of join with label ranges."""
     found = corpora.built(_table(spark, sf_dir, "documents").select("doc_id").filter("doc_id % 4 = 0"), corpora.label_file, "doc_id")
     parsed = reader.parse(found, ["pages", "label_ranges"])
-    return structure.page_labels(reader.part(parsed, "pages"), reader.part(parsed, "label_ranges")).select(F.expr(_ID), "page_number", "label")
+    return structure.page_labels(parsed).select(F.expr(_ID), "page_number", "label")
 
 
 @query("SELECT doc_id, name, CASE WHEN v = 1 THEN 'ON' ELSE 'OFF' END AS state FROM (SELECT doc_id, unnest(['quality', 'toxic']) AS name, unnest([quality, toxic]) AS v FROM labels)")
