@@ -57,7 +57,7 @@ class Corpus:
         return objects.listing(self.table("objects"))
 
     def object(self, spec: str) -> DataFrame:
-        return objects.lookup(self.table("values"), spec)
+        return objects.lookup(self.parsed("values"), spec)
 
     def content(self, **options) -> DataFrame:
         return objects.content(self.table("streams"), **options)

@@ -53,30 +53,31 @@ def in_pages(spec: str | None, column: str = "page_number") -> Column:
     return F.col(column) >= first if last is None else F.col(column).between(first, last)
 
 
-def page_list(pages: DataFrame, spec: str) -> DataFrame:
+def page_list(parsed: DataFrame, spec: str) -> DataFrame:
     """doc_key, page_number, obj_num, and an error for each page of a closed spec that a document lacks, or for a document
-    with no page of an open one."""
+    with no page of an open one. From part pages."""
     first, last = parse_page_spec(spec)
-    docs = pages.select("doc_key").distinct()
-    found = pages.select("doc_key", "page_number", "obj_num")
     if last is None:
-        wanted = docs.join(found.filter(F.col("page_number") >= first), "doc_key", "left")
+        wanted = parsed.select("doc_key", F.explode_outer(F.filter("pages", lambda p: p.page_number >= first)).alias("p")).select("doc_key", "p.page_number", "p.obj_num")
         return wanted.withColumn("error", F.when(F.col("obj_num").isNull(), F.lit(f"no pages from {first} on")))
-    wanted = docs.select("doc_key", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("page_number"))
-    return wanted.join(found, ["doc_key", "page_number"], "left").withColumn("error", F.when(F.col("obj_num").isNull(), F.concat(F.lit("page not found: "), F.col("page_number").cast("string"))))
+    wanted = parsed.select("doc_key", "pages", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("page_number"))
+    found = F.get(F.filter("pages", lambda p: p.page_number == F.col("page_number")), F.lit(0))
+    out = wanted.select("doc_key", "page_number", found.obj_num.alias("obj_num"))
+    return out.withColumn("error", F.when(F.col("obj_num").isNull(), F.concat(F.lit("page not found: "), F.col("page_number").cast("string"))))
 
 
 def listing(objects: DataFrame) -> DataFrame:
     return objects.select("doc_key", "obj_num", "gen", "kind", F.coalesce("type_label", F.lit("-")).alias("type_label"), "detail")
 
 
-def lookup(values: DataFrame, spec: str) -> DataFrame:
-    """The objects of a spec (generation 0) as JSON; error where a document has none of that number."""
-    numbers = parse_object_spec(spec)
-    # Only the spec's numbers are multiplied with the documents: one row for each pair is the result.
-    wanted = values.select("doc_key").distinct().select("doc_key", F.explode(F.array(*[F.lit(n) for n in numbers])).alias("obj_num"))
-    held = values.filter((F.col("gen") == 0) & F.col("obj_num").isin(numbers)).select("doc_key", "obj_num", "kind", "value")
-    return wanted.join(held, ["doc_key", "obj_num"], "left").withColumn("error", F.when(F.col("value").isNull(), F.lit("not found")))
+def lookup(parsed: DataFrame, spec: str) -> DataFrame:
+    """The objects of a spec (generation 0) as JSON; error where a document has none of that number. From part values."""
+    numbers = F.array(*[F.lit(n) for n in parse_object_spec(spec)])
+    # One row for each document and number of the spec is the result.
+    wanted = parsed.select("doc_key", "values", F.explode(numbers).alias("obj_num"))
+    v = F.get(F.filter("values", lambda v: (v.obj_num == F.col("obj_num")) & (v.gen == 0)), F.lit(0))
+    out = wanted.select("doc_key", "obj_num", v.kind.alias("kind"), v.value.alias("value"))
+    return out.withColumn("error", F.when(F.col("value").isNull(), F.lit("not found")))
 
 
 def dereferenced(refs: DataFrame, objects: DataFrame) -> DataFrame:
@@ -173,7 +174,7 @@ def inspect(found: DataFrame, obj_num: int) -> DataFrame:
     """One object of each document: its role, value, references both ways, and pages it belongs to."""
     parsed = reader.parse(found, ["values", "roles", "refs", "pages"])
     held = parsed.select(
-        "doc_key", F.filter("values", lambda v: (v.obj_num == obj_num) & (v.gen == 0))[0].alias("v"), F.filter("roles", lambda v: (v.obj_num == obj_num) & (v.gen == 0))[0].alias("r"),
+        "doc_key", F.get(F.filter("values", lambda v: (v.obj_num == obj_num) & (v.gen == 0)), F.lit(0)).alias("v"), F.get(F.filter("roles", lambda v: (v.obj_num == obj_num) & (v.gen == 0)), F.lit(0)).alias("r"),
         F.filter("refs", lambda r: (r.src_num == obj_num) & (r.src_gen == 0)).alias("out"), F.filter("refs", lambda r: (r.dst_num == obj_num) & r.src_num.isNotNull()).alias("into"),
     )
     return held.select(

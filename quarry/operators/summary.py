@@ -45,7 +45,7 @@ def severities(issues: DataFrame) -> DataFrame:
 
 def overview(parsed: DataFrame) -> DataFrame:
     """One row a document, from parts documents, objects, issues, bookmarks, forms, layers and embedded: no shuffle."""
-    d = F.col("documents")[0]
+    d = F.get("documents", F.lit(0))
     kinds = F.map_from_entries(F.transform(F.array_distinct("objects.kind"), lambda k: F.struct(k, F.size(F.filter("objects", lambda o: o.kind == k)))))
     streams = F.filter("objects", lambda o: o.kind == "Stream")
 

@@ -126,7 +126,7 @@ def encryption_status(spark, sf_dir):
     made = corpora.built(rows, lambda r: corpora.text_file(r, password=None if r["doc_id"] % 3 == 1 else b"secret"), "doc_id")
     locked = reader.parse(made.filter("cast(doc_key as bigint) % 3 < 2"), ["documents"])
     wrong = reader.parse(made.filter("cast(doc_key as bigint) % 3 = 2"), ["documents"], password="guess")
-    d = F.col("documents")[0]
+    d = F.get("documents", F.lit(0))
     return locked.union(wrong).select(F.expr(_ID), F.when(F.col("load_error").isNotNull(), 1).when(d.encrypted & ~d.decrypted, 3).otherwise(0).alias("status"))
 
 
@@ -190,7 +190,7 @@ def garbled_pages(spark, sf_dir):
 @query(f"SELECT doc_id, {_N_PAGES} AS page_count, {_N_PAGES} * 2 + 4 AS object_count, '1.5' AS version FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
 def document_overview(spark, sf_dir):
     """Version, objects and pages."""
-    d = F.col("documents")[0]
+    d = F.get("documents", F.lit(0))
     return reader.parse(_plain(spark, sf_dir), ["documents"]).select(F.expr(_ID), d.page_count.alias("page_count"), d.object_count.alias("object_count"), d.version.alias("version"))
 
 
@@ -239,7 +239,7 @@ def filter_counts(spark, sf_dir):
 @query("SELECT doc_id, lang, source, 'Document ' || doc_id AS title FROM documents")
 def metadata(spark, sf_dir):
     """Information and settings."""
-    d = F.col("documents")[0]
+    d = F.get("documents", F.lit(0))
     return reader.parse(_described(spark, sf_dir), ["documents"]).select(F.expr(_ID), d.settings["Lang"].alias("lang"), d.info["Author"].alias("source"), d.info["Title"].alias("title"))
 
 
@@ -274,7 +274,7 @@ def search_streams(spark, sf_dir):
 @query(f"SELECT doc_id, CAST(unnest([1, 3, 900000]) AS INTEGER) AS obj_num, unnest(['Dictionary', 'Dictionary', NULL]) AS kind, unnest([NULL, NULL, 'not found']) AS error FROM documents")
 def object_lookup(spark, sf_dir):
     """Objects 1, 3 and 900000."""
-    return objects.lookup(reader.table(_plain(spark, sf_dir), "values"), "1,3,900000").select(F.expr(_ID), "obj_num", "kind", "error")
+    return objects.lookup(reader.parse(_plain(spark, sf_dir), ["values"]), "1,3,900000").select(F.expr(_ID), "obj_num", "kind", "error")
 
 
 @query(_PAGES + "SELECT doc_id, page_number, '[0 0 612 792]' AS media_box, 1 AS content_streams FROM pages")
@@ -286,7 +286,7 @@ def page_list(spark, sf_dir):
 @query(f"SELECT doc_id, page_number, CASE WHEN page_number > n THEN 'page not found: ' || page_number END AS error FROM (SELECT doc_id, CAST(unnest([1, 2, 3]) AS INTEGER) AS page_number, (len(string_split(coalesce(text, ''), chr(10))) + 7) // 8 AS n FROM documents)")
 def page_spec_errors(spark, sf_dir):
     """Pages 1 to 3, with errors for those a document lacks (C20)."""
-    return objects.page_list(reader.table(_plain(spark, sf_dir), "pages"), "1-3").select(F.expr(_ID), "page_number", "error")
+    return objects.page_list(reader.parse(_plain(spark, sf_dir), ["pages"]), "1-3").select(F.expr(_ID), "page_number", "error")
 
 
 # References.
@@ -518,7 +518,7 @@ def permissions(spark, sf_dir):
 def security(spark, sf_dir):
     """How files are encrypted."""
     found = corpora.built(_documents(spark, sf_dir).filter("doc_id % 20 = 0"), lambda r: corpora.text_file(r, password=b""), "doc_id")
-    s = F.col("documents")[0].security
+    s = F.get("documents", F.lit(0)).security
     return reader.parse(found, ["documents"]).select(F.expr(_ID), s.algorithm.alias("algorithm"), s.version.alias("v"), s.revision.alias("r"))
 
 
