@@ -23,6 +23,7 @@ import struct
 import uuid
 import zlib
 from array import array
+from functools import cache
 from itertools import accumulate
 
 import pyarrow as pa
@@ -39,8 +40,8 @@ FRAME_BYTES = 1 << 20
 # Fixed values of the public seekable format: its two skippable magics and the closing one.
 INDEX_MAGIC, SEEK_MAGIC, CLOSING_MAGIC, WITH_CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 _DOC, _SEEK, _INDEX = struct.Struct("<qBI"), struct.Struct("<III"), struct.Struct("<qqI")
-#: Pieces of text remembered with their ids by a Python worker before it starts anew.
-_REMEMBERED = 1_000_000
+#: Pieces of text remembered with their ids by a Python worker in each of two generations; the older one then goes.
+_REMEMBERED = 700_000
 #: White space that touches a space: the pre-tokenizer then looks beyond a single piece.
 _LOOSE, _ODD_SPACE = re.compile(r" \s|\s "), re.compile(r"[^\S\n ]")
 
@@ -62,9 +63,10 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
         self.tokenizer.encode_special_tokens = True
         self.split = self.tokenizer.model.tokenize
+        self.bytes_of = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.marks = {m: self._whole(m) for m in ".,;:!?"}
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in shown]
@@ -75,15 +77,16 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         """A piece with the space before it."""
-        if piece and max(piece) < "\u0250":
+        plain = piece.isascii()
+        if piece and (plain or max(piece) < "\u0250"):
             if piece.isalpha():
-                spelled = "\u0120" + piece if piece.isascii() else f" {piece}".encode().decode("latin-1").translate(self.shown)
-                return array("I", [t.id for t in self.split(spelled)]).tobytes()
+                spelled = "\u0120" + piece if plain else f" {piece}".encode().decode("latin-1").translate(self.shown)
+                return b"".join([self.bytes_of[t.id] for t in self.split(spelled)])
             word, mark = piece[:-1], self.marks.get(piece[-1])
             if mark and word.isalpha():
                 ids = self.known.get(word)
                 if ids is None:
-                    ids = self.known[word] = self._piece(word)
+                    ids = self.known[word] = self.older.get(word) or self._piece(word)
                 return ids + mark
         return self._whole(f" {piece}")
 
@@ -96,17 +99,23 @@ class Encoder:
         found = list(map(self.known.get, rest))
         if None in found:
             if len(self.known) > _REMEMBERED:
-                self.known = {}
-            known, i = self.known, -1
+                self.known, self.older = {}, self.known
+            known, older, i = self.known, self.older, -1
             for _ in range(found.count(None)):
                 i = found.index(None, i + 1)
                 piece = rest[i]
-                found[i] = ids = known.get(piece) or self._piece(piece)
+                found[i] = ids = known.get(piece) or older.get(piece) or self._piece(piece)
                 if len(piece) <= 40:
                     known[piece] = ids
         return b"".join([self._whole(head) if head else b"", *found])
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker, so that they share what is remembered."""
+    return Encoder(path)
+
+
 class Writer:
     """Writes one file, holding one frame at a time."""
 
@@ -198,7 +207,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> Data
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         part = TaskContext.get().partitionId()
-        path, out, coder = f"{root}/part-{part:06d}-{uuid.uuid4().hex}.zst", None, Encoder(tokenizer)
+        path, out, coder = f"{root}/part-{part:06d}-{uuid.uuid4().hex}.zst", None, encoder(tokenizer)
         for b in batches:
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if out is None:
