@@ -130,20 +130,100 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """Rows of docs without near duplicates: of each group the row with the smallest doc_id stays, in the same columns.
+# Groups by similarity of texts. Fingerprints of texts with a similarity of 0.8 lie ten bits apart and more, beyond what
+# blocks can find; fingerprints of small samples of their shingles are equal often enough.
 
-    Of rows that repeat that id the least (by all columns in order) stays. Rows with a null id go if their group has
+#: Sampled fingerprints a text has, and shingles in the sample of each. Texts with a similarity of s share one of them with
+#: a probability of 1 - (1 - s ** SAMPLED) ** SAMPLES: 0.999 at 0.8.
+SAMPLES, SAMPLED = 14, 4
+_ODD = np.random.default_rng(9).integers(0, 1 << 63, SAMPLES * SAMPLED, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACES = np.random.default_rng(10).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """A hash of each different shingle of a text; shorter texts are one shingle."""
+    words = text.encode("utf-8").translate(_LOWER).split() if text else []
+    if not words:
+        return np.zeros(0, np.uint64)
+    h = _mixed(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)))
+    n = max(1, len(h) - shingle + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(min(shingle, len(h))):
+        out += h[k : k + n] * _PLACES[k]
+    return np.unique(_mixed(out))
+
+
+def sampled_fingerprints(hashes: np.ndarray) -> list[int]:
+    """SAMPLES fingerprints, each of the SAMPLED shingles that are the least in an order of their own."""
+    if not len(hashes):
+        return []
+    least = np.array([_mixed(hashes * odd).min() for odd in _ODD]).reshape(SAMPLES, SAMPLED)
+    mixed = np.bitwise_xor.reduce(_mixed(least * _PLACES[:SAMPLED]), axis=1) + np.arange(SAMPLES, dtype=np.uint64)
+    return _mixed(mixed).view(np.int64).tolist()
+
+
+def similarity(a: str | None, b: str | None, shingle: int) -> float:
+    """Share of common shingles in those of either text."""
+    x, y = shingle_hashes(a, shingle), shingle_hashes(b, shingle)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def similar(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """Links (a, b), a < b, between doc_ids of different texts with at least this similarity.
+
+    Equal texts stand together under their least id. Those that share a sampled fingerprint are compared with the first and
+    the last id of its group, word for word: as many comparisons as members, however large a group is.
+    """
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        kind = pa.list_(pa.int64())
+        for b in batches:
+            rows = [sampled_fingerprints(shingle_hashes(t, shingle)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(rows, kind)], ["doc_id", "copy", "samples"])
+
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("copy"))
+    rows = written(texts.mapInArrow(run, "doc_id long, copy long, samples array<long>"), "samples")
+    one = written(rows.groupBy("copy").agg(F.min(F.struct("doc_id", "samples")).alias("r")).select("r.doc_id", F.explode("r.samples").alias("sample")), "sampled")
+    ends = written(one.groupBy("sample").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a < z"), "sample-ends")
+    pairs = one.join(ends, "sample").select("doc_id", F.explode(F.array("a", "z")).alias("other")).filter("doc_id <> other")
+    pairs = written(pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct(), "sample-pairs")
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "sample-ids")
+    held = texts.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    held = written(held, "sample-texts")
+    both = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
+
+    def compare(batches):
+        for b in batches:
+            keep = [similarity(x, y, shingle) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2, similar_shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """Rows of docs without near duplicates, in the same columns: of each group the row with the smallest doc_id stays.
+
+    Documents are linked by their fingerprints, as near_duplicates() does, and by a similarity of at least ``least``. Of rows
+    that repeat an id the least (by all columns in order) stays. Rows with a null id go if their fingerprint's group has
     another row; else the least of them stays.
     """
     found = written(near_duplicates(docs, shingle, max_bits), "near-duplicates")
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = written(kept.withColumnRenamed("doc_id", "kept_id"), "kept")
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    again = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("again_id"))
+    by_bits = found.filter("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+    gone = components(by_bits.union(similar(docs, similar_shingle, least))).select(F.col("node").alias("gone_id"))
+    if not found.filter("doc_id is null and component_id is not null").isEmpty():
+        gone = gone.union(docs.sparkSession.createDataFrame([(None,)], "gone_id long"))
+    gone = written(gone, "gone")
+    out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    again = written(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("again_id")), "again")
     if again.isEmpty():
         return out
-    again = written(again, "again")
     same = out["doc_id"].eqNullSafe(again["again_id"])
-    least = out.join(again, same, "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return out.join(again, same, "left_anti").unionByName(least)
+    first = out.join(again, same, "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return out.join(again, same, "left_anti").unionByName(first)

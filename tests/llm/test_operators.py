@@ -75,6 +75,36 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(1, 41)} | {101: 100}
 
 
+@pytest.mark.parametrize("share", [1.0, 0.95, 0.85, 0.7])
+def test_similar_texts(spark, share):
+    rng = np.random.default_rng(int(share * 100))
+    rows, truth = [], set()
+    for i in range(30):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        other = list(words)
+        for at in range(0, 300, max(1, int(5 / (1 - share)) if share < 1 else 10**6)):
+            other[at] = "changed"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        a, b = ({tuple(x[k : k + 5]) for k in range(296)} for x in (words, other))
+        if a != b and len(a & b) / len(a | b) >= 0.8:
+            truth.add((2 * i, 2 * i + 1))
+    got = {(r.a, r.b) for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= truth and len(got) >= 0.95 * len(truth)
+
+
+def test_a_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+    rows = []
+    for i in range(400):
+        w = list(words)
+        if i:
+            w[int(rng.integers(0, 200))] = f"x{i % 37}"
+        rows.append((i, " ".join(w), "s"))
+    docs = spark.createDataFrame([*rows, (900, "quite another text", "s")], "doc_id long, text string, source string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [0, 900]
+
+
 # Token files
 
 
