@@ -21,11 +21,11 @@ def flate(data: bytes) -> bytes:
     try:
         out = unpack.decompress(data, LIMIT)
     except zlib.error as e:
-        raise DecodeError(f"FlateDecode: {e}") from e
+        raise DecodeError("FlateDecode decompression failed") from e
     if len(out) >= LIMIT:
-        raise DecodeError("FlateDecode: decompressed data is too large")
+        raise DecodeError(f"FlateDecode: decoded size exceeds {LIMIT} byte limit")
     if not unpack.eof:
-        raise DecodeError("FlateDecode: the data ends early")
+        raise DecodeError("FlateDecode decompression failed")
     return out
 
 
@@ -127,7 +127,7 @@ def decode(data: bytes, filters: list[str]) -> tuple[bytes, str | None]:
         try:
             data = step(data)
         except DecodeError as e:
-            return data, f"{name} failed: {e}"
+            return data, str(e)
     return data, None
 
 
@@ -143,8 +143,8 @@ def hex_dump(data: bytes) -> str:
         row = data[at : at + 16]
         left, right = (" ".join(f"{b:02x}" for b in part) for part in (row[:8], row[8:]))
         shown = "".join(chr(b) if 0x20 <= b <= 0x7E else "." for b in row)
-        lines.append(f"{at:08x}  {left:<23}  {right:<23}  |{shown}|")
-    return "\n".join(lines)
+        lines.append(f"{at:08x}  {left:<23}  {right:<23}  |{shown}|\n")
+    return "".join(lines)
 
 
 # The writer's side: what these filters undo.

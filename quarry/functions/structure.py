@@ -6,6 +6,7 @@ from ..sources.document import Document
 from ..sources.objects import Name, Ref, Stream, Text, kind_of, lossy, references, shown
 from .text import name_at
 
+FONT_FILES = ("FontFile", "FontFile2", "FontFile3")
 FONT_SUBTYPES = ("Type1", "TrueType", "Type0", "CIDFontType0", "CIDFontType2", "MMType1", "Type3")
 
 
@@ -60,7 +61,7 @@ def fonts(doc: Document) -> list[dict]:
 def font_file(doc: Document, font: dict) -> Ref | None:
     held = font.get("FontDescriptor")
     descriptor = doc.dict_of(held) if isinstance(held, Ref) else None
-    found = (descriptor.get(k) for k in ("FontFile", "FontFile2", "FontFile3")) if descriptor else ()
+    found = (descriptor.get(k) for k in FONT_FILES) if descriptor else ()
     return next((r for r in found if isinstance(r, Ref)), None)
 
 
@@ -353,18 +354,53 @@ def resources(doc: Document) -> list[dict]:
 
 
 def node_label(value) -> str:
+    """What the object tree says of an object: its type if it has one, else its kind and size or value."""
+    kind, d = kind_of(value), as_dict(value)
+    if d is not None:
+        named = str(d["Type"]) if isinstance(d.get("Type"), Name) else kind
+        if isinstance(value, Stream):
+            return f"{named}, {len(value.raw)} bytes"
+        return named if named != kind else f"{kind}, {len(value)} keys"
+    if isinstance(value, list):
+        return f"{kind}, {len(value)} items"
+    if value is None:
+        return kind
+    return f"{kind}({value.num} {value.gen})" if isinstance(value, Ref) else f"{kind}({said(value, shown(value))})"
+
+
+def summary(value) -> str:
+    """One line on what a reference points at."""
     d = as_dict(value)
-    if d is not None and isinstance(d.get("Type"), Name):
-        return str(d["Type"])
+    if d is None:
+        return f"[{len(value)} items]" if isinstance(value, list) else shown(value)
+    parts = [f"/Type /{d['Type']}"] if isinstance(d.get("Type"), Name) else []
     if isinstance(value, Stream):
-        return f"{name_at(value.dict, 'Subtype', 'Stream')}, {len(value.raw)} bytes"
-    if isinstance(value, dict):
-        return f"Dictionary, {len(value)} keys"
+        parts += [f"stream, {len(value.raw)} bytes", *([str(d["Filter"])] if isinstance(d.get("Filter"), Name) else [])]
+        return f"<< {', '.join(parts)} >>"
+    parts += [f"/{k}={shown(d[k])}" for k in ("BaseFont", "Subtype", "Count", "MediaBox") if k in d]
+    return f"<< {', '.join([*parts, f'{len(d)} keys'])} >>"
+
+
+def dump(value, indent: int = 0) -> str:
+    """An object over several lines; hexadecimal strings stay hexadecimal."""
+    pad = "  " * (indent + 1)
+    if isinstance(value, Text) and value.hex:
+        return f"<{bytes(value).hex()}>"
     if isinstance(value, list):
-        return f"Array, {len(value)} items"
+        return "[\n" + "".join(f"{pad}{dump(v, indent + 1)}\n" for v in value) + "  " * indent + "]"
+    d = as_dict(value)
+    if d is not None:
+        body = "<<\n" + "".join(f"{pad}/{k} {dump(v, indent + 1)}\n" for k, v in d.items()) + "  " * indent + ">>"
+        return body + " stream" * isinstance(value, Stream)
     return shown(value)
 
 
+def object_dump(ref: Ref, value) -> str:
+    """An object with its heading."""
+    kind = name_at(as_dict(value) or {}, "Type")
+    return f"Object {ref.num} {ref.gen} ({kind_of(value)}{f', /{kind}' if kind else ''}):\n{dump(value, 1)}"
+
+
 def tree(doc: Document, max_depth: int | None = None) -> list[dict]:
     """Objects as they are first met from the trailer, and where they are met again."""
     out, seen = [], set()
@@ -396,29 +432,83 @@ def dot(doc: Document, max_depth: int | None = None) -> list[str]:
     return [*lines, "}"]
 
 
-def classify(doc: Document, ref: Ref, page_of: dict[Ref, int]) -> tuple[str, str]:
-    """An object's role and what there is to say of it."""
+# Role and description by /Type for types that have no details of their own.
+PLAIN_ROLES = {"XRef": ("XRef Stream", "is a cross-reference stream."), "ObjStm": ("Object Stream", "is an object stream.")}
+
+
+def classify(doc: Document, ref: Ref, page_of: dict[Ref, int]) -> tuple[str, str, list[tuple[str, str]]]:
+    """An object's role, a sentence on it, and details by name."""
     value = doc.objects.get(ref)
+    role, sentence, details = _role(doc, ref, value, page_of)
+    return role, f"Object {ref.num} {sentence}", [(k, str(v)) for k, v in details if v is not None]
+
+
+def _role(doc: Document, ref: Ref, value, page_of: dict[Ref, int]):
     d = as_dict(value)
     if d is None:
-        return kind_of(value), shown(value) if not isinstance(value, list) else f"Array, {len(value)} items"
+        n, text = len(value) if isinstance(value, list) else 0, shown(value)
+        said_of = {
+            "Integer": f"is an integer: {text}.", "Real": f"is a real number: {text}.", "Boolean": f"is a boolean: {text}.", "String": f"is a string: {text}.", "Name": f"is a name: {text}.",
+            "Array": f"is an array with {n} items.", "Null": "is null.", "Reference": f"is a reference to {text}.",
+        }
+        return kind_of(value), said_of[kind_of(value)], []
     kind, sub = name_at(d, "Type"), name_at(d, "Subtype")
+
+    def form(key: str) -> str | None:
+        return shown(d[key]) if key in d else None
+
+    if kind in PLAIN_ROLES:
+        return *PLAIN_ROLES[kind], []
+    if kind == "Catalog":
+        tree = doc.objects.get(d.get("Pages")) if isinstance(d.get("Pages"), Ref) else None
+        return "Catalog", "is the document catalog (root object).", [("Pages", whole(tree.get("Count")) if isinstance(tree, dict) else None)]
+    if kind == "Pages":
+        return "Page Tree", "is a page tree node.", [("Count", whole(d.get("Count")))]
     if kind == "Page":
-        return "Page", f"Page {page_of[ref]}" if ref in page_of else "Page"
-    if kind in ("Font",) or sub in FONT_SUBTYPES:
-        return "Font", f"{name_at(d, 'BaseFont', '-')} ({sub or '-'})"
+        n = page_of.get(ref)
+        return "Page", f"is page {n}." if n else "is a page.", [("Page Number", n), ("MediaBox", form("MediaBox"))]
     if kind == "Annot":
-        return "Annotation", sub or "-"
-    if sub == "Image" and isinstance(value, Stream):
-        return "Image", f"{whole(d.get('Width')) or 0}x{whole(d.get('Height')) or 0}"
-    if sub == "Form" and isinstance(value, Stream):
-        return "Form XObject", f"{len(value.raw)} bytes"
-    if kind == "Pages":
-        return "Page tree node", f"{whole(d.get('Count')) or 0} pages"
-    known = {"Catalog": "Document catalog", "Action": "Action", "FontDescriptor": "Font descriptor", "Encoding": "Encoding", "ExtGState": "Graphics state", "XRef": "Cross-reference stream", "ObjStm": "Object stream"}
-    if kind in known:
-        return known[kind], f"{len(d)} keys"
-    return ("Stream", f"{len(value.raw)} bytes") if isinstance(value, Stream) else ("Dictionary", f"{len(d)} keys")
+        return "Annotation", f"is a {sub or 'unknown'} annotation.", [("Subtype", sub or "unknown"), ("Rect", form("Rect"))]
+    if kind == "Action":
+        action = name_at(d, "S", "unknown")
+        return "Action", f"is a {action} action.", [("Action Type", action)]
+    if kind == "FontDescriptor":
+        font = name_at(d, "FontName", "-")
+        return "Font Descriptor", f"is a font descriptor for {font}.", [("FontName", font), *(("Embedded", f"{form(k)} ({k})") for k in FONT_FILES if k in d)]
+    if kind == "Encoding":
+        base = name_at(d, "BaseEncoding", "-")
+        return "Encoding", f"is a font encoding ({base}).", [("BaseEncoding", base), ("Differences", "yes" if "Differences" in d else None)]
+    if kind == "ExtGState":
+        return "Graphics State", "is an extended graphics state.", [("Keys", ", ".join(f"/{k}" for k in d))]
+    if kind == "Font" or sub in FONT_SUBTYPES:
+        return "Font", f"is a {sub or '-'} font ({name_at(d, 'BaseFont', '-')}).", _font_details(doc, d)
+    size = f"{len(value.raw)} bytes" if isinstance(value, Stream) else None
+    if sub == "Image":
+        width, height, space = whole(d.get("Width")), whole(d.get("Height")), color_space(doc, d["ColorSpace"]) if "ColorSpace" in d else None
+        dims = f" ({width}x{height})" if width is not None and height is not None else ""
+        return "Image", f"is an image{dims}{f', {space}' if space else ''}.", [
+            ("Width", width), ("Height", height), ("ColorSpace", space), ("BitsPerComponent", whole(d.get("BitsPerComponent"))), ("Filter", filter_text(d["Filter"]) if "Filter" in d else None), ("Stream Size", size),
+        ]
+    if sub == "Form":
+        return "Form XObject", "is a form XObject.", [("BBox", form("BBox"))]
+    return "Generic", f"is a {'stream' if size else 'dictionary'} with {len(d)} keys.", [("Type", kind or None), ("Subtype", sub or None), ("Keys", len(d)), ("Stream Size", size)]
+
+
+def _font_details(doc: Document, font: dict) -> list:
+    held = font.get("FontDescriptor")
+    if held is None:
+        descriptor = "no FontDescriptor"
+    elif isinstance(held, Ref):
+        there = as_dict(doc.objects.get(held))
+        file = next((k for k in FONT_FILES if there and k in there), None)
+        descriptor = f"embedded ({file})" if file else "not embedded" if there is not None else f"FontDescriptor at {shown(held)}" + " (unresolvable)" * (held not in doc.objects)
+    else:
+        descriptor = "has FontDescriptor" + " (inline)" * isinstance(held, dict)
+    encoding = font.get("Encoding")
+    return [
+        ("BaseFont", name_at(font, "BaseFont", "-")), ("Subtype", name_at(font, "Subtype", "-")), ("Encoding", "-" if encoding is None else str(encoding) if isinstance(encoding, Name) else shown(encoding)),
+        ("FontDescriptor", descriptor), ("ToUnicode", "yes" if "ToUnicode" in font else "no"), ("FirstChar", whole(font.get("FirstChar"))), ("LastChar", whole(font.get("LastChar"))),
+    ]
 
 
 def information(doc: Document) -> tuple[dict[str, str], dict[str, str]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from ..sources.document import Document
@@ -14,6 +15,7 @@ ORDER = {RELIABLE: 0, DEGRADED: 1, UNRELIABLE: 2}
 #: Share of codes without a character above which a document's text is degraded.
 UNMAPPED_SHARE = 0.20
 MAX_FORM_DEPTH = 15
+_UNPRINTABLE = re.compile(r"[^ -~]+")
 LOST = "�"
 
 
@@ -153,8 +155,8 @@ class Interpreter:
     def _run(self, data: bytes, resources: dict | None, out: PageText, active: list[Ref], depth: int) -> None:
         try:
             found = operations(data)
-        except SyntaxProblem as e:
-            out.warnings.append(f"content stream syntax: {e}")
+        except SyntaxProblem:
+            out.warnings.append("Content stream has syntax errors")
             return
         fonts, font = self._table(resources, out), None
         for operator, operands in found:
@@ -203,7 +205,7 @@ class Interpreter:
 
 
 def legacy_warnings(doc: Document, page: Ref) -> list[str]:
-    """Warnings on fonts in a page's own resources that show no characters."""
+    """Warnings on fonts in a page's own resources whose codes nothing explains."""
     node = doc.objects.get(page)
     resources = doc.dict_of(node.get("Resources")) if isinstance(node, dict) else None
     fonts = doc.dict_of(resources.get("Font")) if resources else None
@@ -212,11 +214,14 @@ def legacy_warnings(doc: Document, page: Ref) -> list[str]:
         font = doc.dict_of(value)
         if font is None or "ToUnicode" in font:
             continue
-        subtype = name_at(font, "Subtype")
+        encoding = doc.get(font.get("Encoding"))
+        if isinstance(encoding, dict) or isinstance(encoding, Name) and (isinstance(font["Encoding"], Ref) or encodings.table(encoding) is not None):
+            continue
+        subtype, base_font = name_at(font, "Subtype"), name_at(font, "BaseFont", resource)
         if subtype in ("Type0", "CIDFontType0", "CIDFontType2"):
-            out.append(f"Font /{resource}: CID font without ToUnicode map, text may be inaccurate")
-        elif "Encoding" not in font and name_at(font, "BaseFont") not in encodings.STANDARD_14_TEXT:
-            out.append(f"Font /{resource}: no ToUnicode map and no Encoding, text may be inaccurate")
+            out.append(f"Font /{resource} ({base_font}) uses CID encoding without ToUnicode map. Text may be inaccurate.")
+        elif subtype in ("Type1", "TrueType", "Type3") and base_font not in encodings.STANDARD_14_TEXT | {"Symbol", "ZapfDingbats"}:
+            out.append(f"Font /{resource} ({base_font}) has no explicit encoding or ToUnicode map. Text may be inaccurate.")
     return out
 
 
@@ -227,10 +232,11 @@ def verdict(fonts: list[FontReport], total: int, unmapped: int) -> str:
 
 
 def garbled(text: str, warnings: list[str]) -> bool:
-    shown = [c for c in text if not c.isspace()]
+    """Whether the text is to be doubted: fonts without a map were warned of, or most of it is outside printable ASCII."""
+    shown = "".join(text.split())
     if shown and any(w in s.lower() for s in warnings for w in ("cid", "encoding", "tounicode")):
         return True
-    return 2 * sum(not " " <= c <= "~" for c in shown) > len(shown) > 0
+    return 2 * sum(map(len, _UNPRINTABLE.findall(shown))) > len(shown)
 
 
 def snippets(text: str, pattern: str, reach: int = 40) -> list[str]:

@@ -29,16 +29,16 @@ def encryption(doc: Document):
 def broken_references(doc: Document):
     for ref, value in doc.objects.items():
         if not _xref(value):
-            for path, to in references(value):
+            for _, to in references(value):
                 if to not in doc.objects:
-                    yield "error", f"Object {ref.num} {ref.gen}: broken reference to {to.num} {to.gen} at {path}"
+                    yield "error", f"Object {ref.num} {ref.gen}: references non-existent object {to.num} {to.gen}"
 
 
 def unreachable(doc: Document):
     reached = doc.reachable()
     for ref, value in doc.objects.items():
         if ref not in reached and not _xref(value):
-            yield "warn", f"Object {ref.num} {ref.gen}: unreachable from trailer"
+            yield "warn", f"Object {ref.num} {ref.gen} is unreachable from trailer"
 
 
 def required_keys(doc: Document):

@@ -80,10 +80,15 @@ def lookup(parsed: DataFrame, spec: str) -> DataFrame:
     return out.withColumn("error", F.when(F.col("value").isNull(), F.lit("not found")))
 
 
-def dereferenced(refs: DataFrame, objects: DataFrame) -> DataFrame:
-    """Each reference with one line on what it points at."""
-    to = objects.select("doc_key", F.col("obj_num").alias("dst_num"), F.col("gen").alias("dst_gen"), "label")
-    return refs.join(to, ["doc_key", "dst_num", "dst_gen"], "left").select("doc_key", "src_num", "src_gen", "ord", "path", "dst_num", "dst_gen", F.coalesce("label", F.lit("(missing)")).alias("label"))
+def dereferenced(parsed: DataFrame) -> DataFrame:
+    """Each reference with one line on what it points at, from parts refs and objects: a look-up in the document's row."""
+    def key(num, gen):
+        return num.cast("bigint") * 65536 + gen
+
+    known = F.map_from_arrays(F.transform("objects", lambda o: key(o.obj_num, o.gen)), F.transform("objects", lambda o: o.summary))
+    flat = parsed.select("doc_key", known.alias("known"), F.explode("refs").alias("r"))
+    said = F.try_element_at("known", key(F.col("r.dst_num"), F.col("r.dst_gen")))
+    return flat.select("doc_key", "r.src_num", "r.src_gen", "r.ord", "r.path", "r.dst_num", "r.dst_gen", said.alias("summary"))
 
 
 def content(streams: DataFrame, raw: bool = False, as_hex: bool = False, truncate: int | None = None) -> DataFrame:
@@ -102,6 +107,12 @@ def content(streams: DataFrame, raw: bool = False, as_hex: bool = False, truncat
     return out
 
 
+def hex_dumps(streams: DataFrame) -> DataFrame:
+    """Each stream's decoded bytes, sixteen to a line."""
+    dump = F.udf(lambda b: codecs.hex_dump(bytes(b)), StringType(), useArrow=True)
+    return streams.select("doc_key", "obj_num", "gen", dump("data").alias("dump"))
+
+
 def _folded(c: Column) -> Column:
     return F.translate(c, _UPPER, _LOWER)
 
@@ -178,7 +189,7 @@ def inspect(found: DataFrame, obj_num: int) -> DataFrame:
         F.filter("refs", lambda r: (r.src_num == obj_num) & (r.src_gen == 0)).alias("out"), F.filter("refs", lambda r: (r.dst_num == obj_num) & r.src_num.isNotNull()).alias("into"),
     )
     return held.select(
-        "doc_key", F.lit(obj_num).alias("obj_num"), F.col("r.role").alias("role"), F.col("r.description").alias("description"), F.col("v.value").alias("value"),
+        "doc_key", F.lit(obj_num).alias("obj_num"), F.col("r.role").alias("role"), F.col("r.description").alias("description"), F.col("r.details").alias("details"), F.col("v.value").alias("value"),
         F.transform("out", lambda r: F.struct(r.path.alias("path"), r.dst_num.alias("dst_num"))).alias("references"),
         F.transform("into", lambda r: F.struct(r.src_num.alias("src_num"), r.path.alias("path"))).alias("referenced_by"), F.when(F.col("v.value").isNull(), F.lit("not found")).alias("error"),
     )

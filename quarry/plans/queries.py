@@ -289,6 +289,32 @@ def page_spec_errors(spark, sf_dir):
     return objects.page_list(reader.parse(_plain(spark, sf_dir), ["pages"]), "1-3").select(F.expr(_ID), "page_number", "error")
 
 
+@query("SELECT doc_id, 'Object 1 0 (Dictionary, /Font):' || chr(10) || '<<' || chr(10) || '    /Type /Font' || chr(10) || '    /Subtype /Type1' || chr(10) || '    /BaseFont /Helvetica' || chr(10) || '    /Encoding /WinAnsiEncoding' || chr(10) || '  >>' AS text FROM documents")
+def object_dump(spark, sf_dir):
+    """Object 1 as text."""
+    return reader.table(_plain(spark, sf_dir), "dumps").filter("obj_num = 1").select(F.expr(_ID), "text")
+
+
+@query("SELECT DISTINCT path, summary FROM (SELECT unnest(['/Root', '/Font/F1']) AS path, unnest(['<< /Type /Catalog, 2 keys >>', '<< /Type /Font, /BaseFont=/Helvetica, /Subtype=/Type1, 4 keys >>']) AS summary)")
+def dereferenced(spark, sf_dir):
+    """References with what they point at."""
+    found = objects.dereferenced(reader.parse(_plain(spark, sf_dir), ["refs", "objects"]))
+    return found.filter("path in ('/Root', '/Font/F1')").select("path", "summary").distinct()
+
+
+@query(_PAGES + "SELECT doc_id, count(*) AS n_streams, CAST(sum(CASE WHEN regexp_matches(text, '[^\\x00-\\x7F]') THEN 1 ELSE 0 END) AS BIGINT) AS n_binary FROM pages GROUP BY doc_id")
+def binary_streams(spark, sf_dir):
+    """Streams whose decoded bytes are more than ASCII text."""
+    return reader.table(_filtered(spark, sf_dir), "streams").groupBy("doc_key").agg(F.count("*").alias("n_streams"), F.sum(F.col("is_binary").cast("bigint")).alias("n_binary")).select(F.expr(_ID), "n_streams", "n_binary")
+
+
+@query("SELECT item_id, '00000000  ' || regexp_replace(regexp_replace(lower(hex(encode(text)))[1:16], '(..)', '\\1 ', 'g'), '^$', '') || ' ' AS head FROM benchmark")
+def hex_dumps(spark, sf_dir):
+    """The first eight bytes of attachments as a hex dump of binary content shows them."""
+    found = corpora.built(_table(spark, sf_dir, "benchmark"), corpora.attachment_file, "item_id")
+    return objects.hex_dumps(reader.table(found, "streams").filter("obj_num = 1")).select(F.col("doc_key").cast("bigint").alias("item_id"), F.substring("dump", 1, 35).alias("head"))
+
+
 # References.
 
 
@@ -333,13 +359,13 @@ def object_tree(spark, sf_dir):
     return t.groupBy("doc_key", F.coalesce("status", F.lit("-")).alias("status")).agg(F.count("*").alias("n")).select(F.expr(_ID), "status", "n")
 
 
-@query(f"SELECT doc_id, role, CAST(n AS BIGINT) AS n FROM (SELECT doc_id, unnest(['Font', 'Page tree node', 'Dictionary', 'Document catalog', 'Page', 'Stream']) AS role, unnest([1, 1, 1, 1, {_N_PAGES}, {_N_PAGES}]) AS n FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))")
+@query(f"SELECT doc_id, role, CAST(n AS BIGINT) AS n FROM (SELECT doc_id, unnest(['Font', 'Page Tree', 'Generic', 'Catalog', 'Page']) AS role, unnest([1, 1, 1 + {_N_PAGES}, 1, {_N_PAGES}]) AS n FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))")
 def object_roles(spark, sf_dir):
     """What each object is."""
     return reader.table(_plain(spark, sf_dir), "roles").groupBy("doc_key", "role").agg(F.count("*").alias("n")).select(F.expr(_ID), "role", "n")
 
 
-@query(f"SELECT doc_id, 'Font' AS role, 'Helvetica (Type1)' AS description, CAST(1 AS INTEGER) AS n_referenced_by FROM documents")
+@query(f"SELECT doc_id, 'Font' AS role, 'Object 1 is a Type1 font (Helvetica).' AS description, CAST(1 AS INTEGER) AS n_referenced_by FROM documents")
 def inspect_object(spark, sf_dir):
     """Object 1 of each document and what refers to it."""
     return objects.inspect(_plain(spark, sf_dir), 1).select(F.expr(_ID), "role", "description", F.size("referenced_by").alias("n_referenced_by"))

@@ -97,25 +97,29 @@ class Document:
         if contents is None:
             return b"", []
         parts = contents if isinstance(contents, list) else self.get(contents) if isinstance(self.get(contents), list) else [contents]
-        out, warnings = [], []
+        out, warnings, failed = [], [], False
         for part in parts:
             stream = self.get(part)
             where = f"{part.num} {part.gen}" if isinstance(part, Ref) else "inline"
             if not isinstance(stream, Stream):
-                warnings.append(f"content stream {where} is {'missing' if stream is None else 'not a stream'}")
+                warnings.append(f"Content stream {where} {'not found' if stream is None else 'is not a stream object'}")
+                failed |= stream is not None
                 continue
             data, warning = self.decode(stream)
             if warning:
-                warnings.append(f"content stream {where}: {warning}")
+                warnings.append(f"Content stream {where}: {warning}")
+                failed = True
             out.append(data)
+        if failed and not any(out):
+            warnings.append("Content stream could not be decoded")
         return b"".join(out), warnings
 
     def operations(self, page: Ref) -> tuple[list[tuple[str, list]], list[str]]:
         data, warnings = self.content(page)
         try:
             return operations(data), warnings
-        except SyntaxProblem as e:
-            return [], [*warnings, f"content stream syntax: {e}"]
+        except SyntaxProblem:
+            return [], [*warnings, "Content stream has syntax errors"]
 
     def inherited(self, page: Ref, key: str):
         """The nearest value of a key on a page or above it; a chain that returns to itself ends."""

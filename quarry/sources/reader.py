@@ -56,7 +56,7 @@ def _objects(doc: Document) -> list[dict]:
         d, stream = structure.as_dict(value), value if isinstance(value, Stream) else None
         out.append({
             "obj_num": ref.num, "gen": ref.gen, "kind": kind_of(value), "type_label": text.name_at(d or {}, "Type", "-"), "subtype": text.name_at(d or {}, "Subtype") or None, "n_keys": len(d) if d is not None else None,
-            "detail": _detail(value), "label": structure.node_label(value), "filters": Document.filters(stream) if stream else None, "raw_len": len(stream.raw) if stream else None,
+            "detail": _detail(value), "label": structure.node_label(value), "summary": structure.summary(value), "filters": Document.filters(stream) if stream else None, "raw_len": len(stream.raw) if stream else None,
             "declared_length": structure.whole(stream.dict.get("Length")) if stream else None,
         })
     return out
@@ -131,7 +131,10 @@ def _reliability(doc: Document) -> list[dict]:
 
 def _roles(doc: Document) -> list[dict]:
     page_of = structure.page_numbers(doc)
-    return [{"obj_num": r.num, "gen": r.gen, "role": role, "description": said} for r in doc.objects for role, said in (structure.classify(doc, r, page_of),)]
+    return [
+        {"obj_num": r.num, "gen": r.gen, "role": role, "description": said, "details": [{"name": k, "value": v} for k, v in details]}
+        for r in doc.objects for role, said, details in (structure.classify(doc, r, page_of),)
+    ]
 
 
 def _reached(doc: Document) -> list[dict]:
@@ -146,8 +149,9 @@ PARTS: dict[str, tuple[str, Callable[[Document], list[dict]]]] = {
         "version string, object_count int, page_count int, encrypted boolean, decrypted boolean, "
         "security struct<algorithm string, version int, revision int, key_length int, p bigint, permissions map<string, boolean>>, info map<string, string>, settings map<string, string>, "
         "recovery array<struct<object int, generation int, file_offset bigint, declared_length bigint, actual_length bigint>>, tagged boolean, has_page_labels boolean", _documents),
-    "objects": (f"{_ID}, kind string, type_label string, subtype string, n_keys int, detail string, label string, filters array<string>, raw_len bigint, declared_length bigint", _objects),
+    "objects": (f"{_ID}, kind string, type_label string, subtype string, n_keys int, detail string, label string, summary string, filters array<string>, raw_len bigint, declared_length bigint", _objects),
     "values": (f"{_ID}, kind string, value string", _values),
+    "dumps": (f"{_ID}, text string", lambda doc: [{"obj_num": r.num, "gen": r.gen, "text": structure.object_dump(r, v)} for r, v in doc.objects.items()]),
     "streams": (f"{_ID}, raw binary, data binary, warning string, is_binary boolean", _streams),
     "entries": (f"{_ID}, ord int, key string, vkind string, vtext string", _entries),
     "refs": ("src_num int, src_gen int, ord int, path string, dst_num int, dst_gen int, from_xref boolean", _refs),
@@ -155,7 +159,7 @@ PARTS: dict[str, tuple[str, Callable[[Document], list[dict]]]] = {
     "operations": ("page_number int, operations array<struct<operator string, operands array<string>>>, warnings array<string>", _operations),
     "page_text": (f"page_number int, text string, warnings array<string>, total_codes bigint, unmapped_codes bigint, fonts {_FONT}, garbled boolean", _page_text),
     "reliability": (f"verdict string, total_codes bigint, unmapped_codes bigint, unmapped_ratio double, fonts {_FONT}", _reliability),
-    "roles": (f"{_ID}, role string, description string", _roles),
+    "roles": (f"{_ID}, role string, description string, details array<struct<name string, value string>>", _roles),
     "reached": (_ID, _reached),
     "fonts": (f"{_ID}, base_font string, subtype string, encoding string, embedded int, to_unicode int, first_char bigint, last_char bigint, widths_count int, differences string, cid_system_info string", structure.fonts),
     "images": (f"{_ID}, width bigint, height bigint, color_space string, bits bigint, filter string, size bigint", structure.images),

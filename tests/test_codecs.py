@@ -65,4 +65,4 @@ def test_is_binary(data, out):
 def test_hex_dump():
     dump = codecs.hex_dump(bytes(range(65, 65 + 18)))
     assert dump.splitlines()[0] == "00000000  41 42 43 44 45 46 47 48  49 4a 4b 4c 4d 4e 4f 50  |ABCDEFGHIJKLMNOP|"
-    assert dump.splitlines()[1].startswith("00000010  51 52 ") and dump.endswith("|QR|")
+    assert dump.splitlines()[1].startswith("00000010  51 52 ") and dump.endswith("|QR|\n")
