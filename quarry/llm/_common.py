@@ -22,14 +22,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Folders made in this process.
+_MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return os.path.join(shared_dir(spark), f"quarry-{tag}-{uuid.uuid4().hex}")
+    _MADE.append(os.path.join(shared_dir(spark), f"quarry-{tag}-{uuid.uuid4().hex}"))
+    return _MADE[-1]
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Delete what operators have written to the shared folder in this process; their results can't be read after it."""
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage is cut, and no executor's loss can take it."""
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

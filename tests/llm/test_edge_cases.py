@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quarry.llm import decontaminate, html_template, license_scan, line_templates, packing, quality_rff, quality_votes, simhash, token_store, toxicity
-from quarry.llm._common import new_path
+from quarry.llm._common import drop_written, new_path, written
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, key string, n long, words string, bin long, host string"
 LONG = "one two three four five. " * 20_000
@@ -129,3 +129,11 @@ def test_pipeline_shape(spark, data):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontamination", "packing"]
     got = corpus_pipeline.run(spark, data)
     assert got.count() > 0
+
+
+def test_written_tables_can_be_dropped(spark):
+    held = written(spark.range(3), "test")
+    assert held.count() == 3
+    (path,) = {f.rpartition("/")[0] for f in held.inputFiles()}
+    drop_written(spark)
+    assert not spark._jvm.java.io.File(path.removeprefix("file:").replace("///", "/")).exists()
