@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, objects, structure, summary, text
+from ..operators import graph, objects, sinks, structure, summary, text
 from ..sources import corpora, reader
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -315,6 +315,29 @@ def hex_dumps(spark, sf_dir):
     return objects.hex_dumps(reader.table(found, "streams").filter("obj_num = 1")).select(F.col("doc_key").cast("bigint").alias("item_id"), F.substring("dump", 1, 35).alias("head"))
 
 
+_FONT_JSON = '{"entries": {"BaseFont": {"type": "name", "value": "Helvetica"}, "Encoding": {"type": "name", "value": "WinAnsiEncoding"}, "Subtype": {"type": "name", "value": "Type1"}, "Type": {"type": "name", "value": "Font"}}, "type": "dictionary"}'
+
+
+@query(f"SELECT doc_id, '{_FONT_JSON}' AS value FROM documents")
+def object_json(spark, sf_dir):
+    """Object 1 as JSON."""
+    return objects.lookup(reader.parse(_plain(spark, sf_dir), ["values"]), "1").select(F.expr(_ID), "value")
+
+
+@query(_PAGES + """SELECT doc_id, '{"crop_box":null,"page_number":' || page_number || '}' AS json FROM pages""")
+def page_json(spark, sf_dir):
+    """Rows as JSON, keys in order."""
+    rows = reader.table(_plain(spark, sf_dir), "pages").select("doc_key", "page_number", F.lit(None).cast("string").alias("crop_box"))
+    return sinks.as_json(rows).select(F.expr(_ID), F.col("json"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 3 OR doc_id % 7 = 0 OR doc_id % 3 = 0 THEN 3 ELSE 0 END AS status FROM documents")
+def exit_statuses(spark, sf_dir):
+    """The status that each document leads to: errors or unreliable text."""
+    made = corpora.built(_documents(spark, sf_dir), lambda r: corpora.text_file(r, kind="unmapped" if r["doc_id"] % 4 == 3 else "win", faults=True), "doc_id")
+    return sinks.statuses(reader.parse(made, ["documents", "issues", "reliability"])).select(F.expr(_ID), "status")
+
+
 # References.
 
 

@@ -3,7 +3,7 @@ import pytest
 
 import __spark_entry__
 from quarry.api import Corpus
-from quarry.operators import objects
+from quarry.operators import objects, sinks
 from quarry.plans import queries as plans
 from quarry.sources import corpora, reader
 from quarry.streaming import ingest
@@ -67,6 +67,16 @@ def test_every_part_has_its_schema(spark, folder):
     assert len(found) == 4 and sum(r.load_error is not None for r in found) == 1
 
 
+def test_sinks(spark, folder, tmp_path):
+    corpus = Corpus(spark, str(folder))
+    sinks.write_lines(corpus.table("dot"), str(tmp_path / "dot"))
+    sinks.write_json(corpus.overview(), str(tmp_path / "json"))
+    sinks.write_streams(corpus.table("streams"), str(tmp_path / "streams"))
+    assert spark.read.text(str(tmp_path / "dot")).filter("value like 'digraph%'").count() == 3 and spark.read.json(str(tmp_path / "json")).count() == 4
+    assert spark.read.parquet(str(tmp_path / "streams")).count() == 3
+    assert sinks.with_recovery(corpus.overview(), corpus.table("documents")).filter("recovery.count = 0").count() == 3
+
+
 def test_arriving_files(spark, folder, tmp_path):
     for n in (4, 4):  # a second run finds nothing new
         ingest.ingest(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "done")).awaitTermination()
