@@ -35,6 +35,7 @@ class CMap:
         self.spaces: list[tuple[bytes, bytes]] = []
         self.single: dict[int, str] = {}
         self.ranges: list[tuple[int, int, bytes | list[str]]] = []
+        self.met: dict[int, str | None] = {}
         tokens, at = _tokens(data), 0
         readers = {"begincodespacerange": self._space, "beginbfchar": self._char, "beginbfrange": self._range}
         while at < len(tokens):
@@ -89,6 +90,12 @@ class CMap:
         return sorted({len(low) for low, _ in self.spaces})
 
     def get(self, code: int) -> str | None:
+        """The text of a code; each code is looked up once."""
+        if code not in self.met:
+            self.met[code] = self._find(code)
+        return self.met[code]
+
+    def _find(self, code: int) -> str | None:
         if code in self.single:
             return self.single[code]
         for low, high, to in self.ranges:
