@@ -8,7 +8,8 @@ template, and what is left in the containers are the slots. The article's slot i
 else what is neither in the template nor in containers for menus, notices, adverts and the like, nor mere links.
 
 Defined results: null or empty html gives empty text; a null url has the host ''; repeated rows are read alike; an
-empty table gives an empty result; further columns are ignored; markup that isn't closed ends with the page.
+empty table gives an empty result; further columns are ignored; markup that isn't closed ends with the page; elements
+more than 400 deep count as part of the one above.
 """
 
 from __future__ import annotations
