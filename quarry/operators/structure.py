@@ -17,14 +17,15 @@ def roman(n: Column) -> Column:
     return out
 
 
-def alpha(n: Column, letters: int = 7) -> Column:
-    """Letters as spreadsheets count columns."""
-    out, rest = F.lit(""), n.cast("bigint")
-    for _ in range(letters):
-        letter = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), F.pmod(rest - 1, F.lit(26)).cast("int") + 1, F.lit(1))
-        out = F.when(rest > 0, F.concat(letter, out)).otherwise(out)
-        rest = F.when(rest > 0, F.floor((rest - 1) / 26)).otherwise(F.lit(0)).cast("bigint")
-    return out
+def alpha(n: Column, letters: int = 14) -> Column:
+    """Letters as spreadsheets count columns; 14 are enough for any long."""
+
+    def step(held, _):
+        letter = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), F.pmod(held.rest - 1, F.lit(26)).cast("int") + 1, F.lit(1))
+        more = held.rest > 0
+        return F.struct(F.when(more, F.concat(letter, held.out)).otherwise(held.out).alias("out"), F.when(more, F.floor((held.rest - 1) / 26)).otherwise(F.lit(0)).cast("bigint").alias("rest"))
+
+    return F.aggregate(F.array_repeat(F.lit(0), letters), F.struct(F.lit("").alias("out"), n.cast("bigint").alias("rest")), step, lambda held: held.out)
 
 
 def page_labels(parsed: DataFrame) -> DataFrame:

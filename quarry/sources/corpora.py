@@ -20,8 +20,8 @@ def built(rows: DataFrame, make: Callable[[dict], bytes], key: str) -> DataFrame
     names = rows.columns
     at = names.index(key)
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    # A small table may come in one piece; making and parsing its files is worth all cores.
-    rows = rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    # A small table may have all its rows in one of few splits; making and parsing its files is worth all cores.
+    rows = rows.repartition(4 * cores) if rows.rdd.getNumPartitions() < 4 * cores else rows
     rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
 
     def run(batches):
