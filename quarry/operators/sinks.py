@@ -32,9 +32,10 @@ def with_recovery(rows: DataFrame, documents: DataFrame) -> DataFrame:
     return rows.join(held, "doc_key", "left")
 
 
-def statuses(parsed: DataFrame) -> DataFrame:
+def statuses(parsed: DataFrame, strict: bool = False) -> DataFrame:
     """doc_key, status: 1 a file that can't be read, 3 one with problems (locked, repaired streams in strict reading, errors,
-    unreliable text), 0 otherwise. From parts documents, issues and reliability."""
+    unreliable text), 0 otherwise. From parts documents, issues and reliability; strict for files parsed with recovery="strict"."""
     d = F.get("documents", F.lit(0))
-    bad = (d.encrypted & ~d.decrypted) | F.exists("issues", lambda i: i.level == "error") | F.coalesce(F.get("reliability", F.lit(0)).verdict == "unreliable", F.lit(False))
+    damaged = F.coalesce(F.size(d.recovery) > 0, F.lit(False)) if strict else F.lit(False)
+    bad = damaged | (d.encrypted & ~d.decrypted) | F.exists("issues", lambda i: i.level == "error") | F.coalesce(F.get("reliability", F.lit(0)).verdict == "unreliable", F.lit(False))
     return parsed.select("doc_key", F.when(F.col("load_error").isNotNull(), 1).when(bad, 3).otherwise(0).alias("status"))

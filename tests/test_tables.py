@@ -77,6 +77,12 @@ def test_sinks(spark, folder, tmp_path):
     assert sinks.with_recovery(corpus.overview(), corpus.table("documents")).filter("recovery.count = 0").count() == 3
 
 
+def test_strict_statuses(spark):
+    made = spark.createDataFrame([(str(i), corpora.text_file({"doc_id": i, "text": "a"}, faults=True)) for i in (1, 11)], "doc_key string, content binary")
+    parsed = reader.parse(made, ["documents", "issues", "reliability"], recovery="strict")
+    assert {r.doc_key: r.status for r in sinks.statuses(parsed, strict=True).collect()} == {"1": 0, "11": 3}
+
+
 def test_arriving_files(spark, folder, tmp_path):
     for n in (4, 4):  # a second run finds nothing new
         ingest.ingest(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "done")).awaitTermination()
