@@ -136,6 +136,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Sampled fingerprints a text has, and shingles in the sample of each. Texts with a similarity of s share one of them with
 #: a probability of 1 - (1 - s ** SAMPLED) ** SAMPLES: 0.999 at 0.8.
 SAMPLES, SAMPLED = 14, 4
+#: Members in a block of those compared with one another, and shingles counted at once there.
+SIDE, _SHARED_AT_ONCE = 128, 8192
 _ODD = np.random.default_rng(9).integers(0, 1 << 63, SAMPLES * SAMPLED, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = np.random.default_rng(10).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -174,11 +176,87 @@ def similarity(a: str | None, b: str | None, shingle: int) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
+def _linked(sizes: np.ndarray, hashes: list[np.ndarray], left: np.ndarray, right: np.ndarray, least: float) -> np.ndarray:
+    """Which of the texts at left have at least this similarity to which of those at right."""
+    both = np.zeros((len(left), len(right)), np.float32)
+    x, y = (np.concatenate([hashes[i] for i in side]) for side in (left, right))
+    shared = np.intersect1d(x, y)
+    of_x, of_y = np.repeat(np.arange(len(left)), sizes[left]), np.repeat(np.arange(len(right)), sizes[right])
+    for at in range(0, len(shared), _SHARED_AT_ONCE):
+        part = shared[at : at + _SHARED_AT_ONCE]
+        ones = []
+        for h, of, n in ((x, of_x, len(left)), (y, of_y, len(right))):
+            place = np.minimum(np.searchsorted(part, h), len(part) - 1)
+            there = part[place] == h
+            m = np.zeros((n, len(part)), np.float32)
+            m[of[there], place[there]] = 1
+            ones.append(m)
+        both += ones[0] @ ones[1].T
+    common = both.astype(np.float64)
+    return common / np.maximum(1, sizes[left][:, None] + sizes[right][None, :] - common) >= least
+
+
+def _rest(one: DataFrame, texts: DataFrame, links: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Links within groups of a sampled fingerprint whose members links leave in several components.
+
+    In such a group every member outside its largest component is compared with every member of another component. Both
+    sides are dealt to blocks of about ``SIDE`` members by a hash; each two blocks are a unit of work of bounded size.
+    """
+    roots = written(components(links), "similar-roots")
+    rooted = one.join(roots, one.doc_id == roots.node, "left").select("sample", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    rooted = written(rooted, "rooted")
+    by_root = rooted.groupBy("sample", "root").agg(F.count("*").alias("n"))
+    open_ = by_root.groupBy("sample").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("n_roots"))
+    # Of three members the ends and the one between have met.
+    open_ = open_.filter("n_roots > 1 and n > 3").select("sample", F.col("top.root").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / SIDE).cast("int").alias("n_left"), F.ceil(F.col("n") / SIDE).cast("int").alias("n_right"))
+    members = written(rooted.join(written(open_, "open-samples"), "sample"), "open-members")
+
+    def hashed(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_hashes(t, shingle).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["id", "hashes"])
+
+    ids = members.select("doc_id").distinct()
+    held = texts.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    held = written(held.select("doc_id", "text").mapInArrow(hashed, "id long, hashes binary"), "open-hashes")
+    side = lambda n: F.pmod(F.xxhash64("doc_id", F.lit(n)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = members.filter("root <> top").select("sample", "doc_id", "root", side("n_left").alias("i"), each("n_right").alias("j"), F.lit(True).alias("is_left"))
+    right = members.select("sample", "doc_id", "root", each("n_left").alias("i"), side("n_right").alias("j"), F.lit(False).alias("is_left"))
+    dealt = left.unionByName(right).join(held, F.col("doc_id") == F.col("id")).drop("id")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        ids, roots, is_left = (rows.column(c).to_numpy() for c in ("doc_id", "root", "is_left"))
+        left, right = np.nonzero(is_left)[0], np.nonzero(~is_left)[0]
+        out = []
+        if len(left) and len(right) and len(np.unique(roots)) > 1:
+            hashes = [np.frombuffer(h, np.uint64) for h in rows.column("hashes").to_pylist()]
+            found = _linked(np.array([len(h) for h in hashes]), hashes, left, right, least) & (roots[left][:, None] != roots[right][None, :])
+            up = {}
+
+            def top(v):
+                while up.get(v, v) != v:
+                    up[v] = v = up.get(up[v], up[v])
+                return v
+
+            # Links that join components; more of them would join nothing.
+            for k, m in zip(*(x.tolist() for x in np.nonzero(found)), strict=True):
+                u, v = top(int(roots[left[k]])), top(int(roots[right[m]]))
+                if u != v:
+                    up[max(u, v)] = min(u, v)
+                    a, b = int(ids[left[k]]), int(ids[right[m]])
+                    out.append((min(a, b), max(a, b)))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return dealt.groupBy("sample", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def similar(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """Links (a, b), a < b, between doc_ids of different texts with at least this similarity.
 
-    Equal texts stand together under their least id. Those that share a sampled fingerprint are compared with the first and
-    the last id of its group, word for word: as many comparisons as members, however large a group is.
+    They join the same components as all such pairs that share a sampled fingerprint do. Equal texts stand together under
+    their least id. Those that share a sampled fingerprint are first compared with the first and the last id of its group,
+    word for word, which is all there is to do for most; where that leaves a group in several components, all its members
+    that aren't in one component yet are compared.
     """
     small_batches(docs.sparkSession)
 
@@ -204,7 +282,9 @@ def similar(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
             keep = [similarity(x, y, shingle) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
+    found = written(both.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long"), "similar-to-ends")
+    in_groups = one.join(ends, "sample").select("sample", "doc_id")
+    return found.unionByName(_rest(in_groups, texts, found, shingle, least))
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2, similar_shingle: int = 5, least: float = 0.8) -> DataFrame:

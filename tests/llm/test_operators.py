@@ -105,6 +105,34 @@ def test_a_large_group_of_near_copies(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [0, 900]
 
 
+@pytest.mark.parametrize("edits", [(2, 5), (3, 6)])
+def test_a_large_family_of_edited_copies(spark, edits):
+    rng = np.random.default_rng(31)
+    words, rows = [f"w{x}" for x in rng.integers(0, 5000, 200)], []
+    for i in range(400):
+        w = list(words)
+        for at in rng.choice(200, int(rng.integers(*edits)), replace=False):
+            w[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(w)))
+    hashes = [simhash.shingle_hashes(t, 5) for _, t in rows]
+    codes = {h: k for k, h in enumerate(np.unique(np.concatenate(hashes)).tolist())}
+    ones = np.zeros((400, len(codes)), np.float32)
+    for i, h in enumerate(hashes):
+        ones[i, [codes[x] for x in h.tolist()]] = 1
+    common, n = ones @ ones.T, ones.sum(axis=1)
+    near = common / (n[:, None] + n[None, :] - common) >= 0.8
+    root = list(range(400))
+    for _ in range(400):
+        again = [min(root[j] for j in np.nonzero(near[i])[0]) for i in range(400)]
+        if again == root:
+            break
+        root = again
+    links = simhash.similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert all(near[r.a, r.b] for r in links.collect())
+    got = {r.node: r.root for r in simhash.components(links).collect()}
+    assert [got.get(i, i) for i in range(400)] == root and 1 < len(set(root)) < 400
+
+
 # Token files
 
 
