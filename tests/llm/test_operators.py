@@ -358,6 +358,20 @@ def test_paraphrase(spark):
     assert [(r.doc_id, r.item_id, r.answer) for r in got] == [(1, 7, True)] and got[0].share < 0.9
 
 
+def test_a_passage_that_keeps_only_the_common_words(spark):
+    """Two thirds of the item's words in order, with its answer, but a quarter of its TF-IDF weight."""
+    rng = np.random.default_rng(5)
+    common, rare, filler = [f"mid{i}" for i in range(16)], [f"rare{i}" for i in range(8)], [f"f{i}" for i in range(10)]
+    item = [w for i in range(8) for w in (common[i], rare[i])] + common[8:]
+    told = [filler[i % 10] if w in rare else w for i, w in enumerate(item)]
+    held = [set(rng.choice(200, 20, replace=False).tolist()) for _ in common]
+    rows = [(i, " ".join(filler * 3 + [w for w, at in zip(common, held, strict=True) if i in at] + filler * 3)) for i in range(200)]
+    rows.append((900, " ".join(filler * 4 + told + filler * 4)))
+    items = spark.createDataFrame([(7, " ".join(item[:16]) + ". " + " ".join(item[16:]))], "item_id long, text string")
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert [(r.doc_id, r.item_id, r.answer) for r in got] == [(900, 7, True)] and abs(got[0].share - 2 / 3) < 1e-9
+
+
 # Packing
 
 
