@@ -11,8 +11,8 @@ doc_id, with its exact copies). Exact copies count as one document. A document i
 different lines with at least ``COPY_SHARE`` of its words would go is a copy of another one: it stays whole, as document
 deduplication, not line deduplication, should judge it.
 
-A template is known by 64 bits of a hash. Lines go through Spark as hashes; only lines in leaves where several documents
-meet are carried as text.
+A template is known by 64 bits of a hash, and so is a token. Lines go through Spark as hashes; only lines in leaves where
+several documents meet are carried token by token.
 
 Defined results: null text stays null, empty text and lines without a token stay; a null doc_id counts as the smallest;
 repeated rows count as one document; an empty table gives an empty result; further columns are passed on.
@@ -34,8 +34,6 @@ DEPTH, FIELD = 3, "<*>"
 #: Tokens from which a template counts, and how many documents it must recur in: many for a short line, two for a long one.
 MIN_TOKENS, MIN_DOCS, LONG_TOKENS, MIN_DOCS_LONG = 5, 3, 20, 2
 CONSTANT, ALIKE = 0.8, 0.7
-#: Lines with more tokens have their own template only.
-MAX_GENERAL = 64
 COPY_SHARE, COPY_LINES = 0.5, 3
 #: Bits in the filter of leaves in use: 2 MB, whatever the corpus. It only spares work; the join after it is exact.
 FILTER_BITS = 1 << 24
@@ -114,7 +112,7 @@ def _filter_of(leaves: DataFrame) -> np.ndarray:
 
 def general_templates(docs: DataFrame, lines: DataFrame) -> DataFrame | None:
     """key, general: the general template of each line that has one. None if no leaf calls for one."""
-    by_leaf = lines.filter((F.col("n_tokens") > DEPTH + 1) & (F.col("n_tokens") <= MAX_GENERAL)).groupBy("leaf", "key").agg(F.min("copy").alias("copy"), F.max("copy").alias("other"))
+    by_leaf = lines.filter(F.col("n_tokens") > DEPTH + 1).groupBy("leaf", "key").agg(F.min("copy").alias("copy"), F.max("copy").alias("other"))
     shared = by_leaf.groupBy("leaf").agg(F.count("*").alias("n"), F.min("copy").alias("a"), F.max("other").alias("b")).filter("n > 1 and a < b").select("leaf")
     shared = written(shared, "leaves")
     if shared.isEmpty():
@@ -127,14 +125,13 @@ def general_templates(docs: DataFrame, lines: DataFrame) -> DataFrame | None:
             rows = {}
             for t in b.column(0).to_pylist():
                 for x in _lines(t):
-                    if len(x) <= MAX_GENERAL:
-                        at = leaf(x)
-                        bit = at % FILTER_BITS
-                        if some[bit >> 3] >> (bit & 7) & 1:
-                            rows.setdefault(_hash(" ".join(x)), (at, x))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k in rows], pa.int64()), pa.array([v[0] for v in rows.values()], pa.int64()), pa.array([v[1] for v in rows.values()], pa.list_(pa.string()))], ["key", "leaf", "tokens"])
-
-    texts = docs.select("text").mapInArrow(run, "key long, leaf long, tokens array<string>").groupBy("key").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"))
+                    at = leaf(x)
+                    bit = at % FILTER_BITS
+                    if some[bit >> 3] >> (bit & 7) & 1 and (key := _hash(" ".join(x))) not in rows:
+                        rows[key] = (at, [_hash(w) for w in x])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k in rows], pa.int64()), pa.array([v[0] for v in rows.values()], pa.int64()), pa.array([v[1] for v in rows.values()], pa.list_(pa.int64()))], ["key", "leaf", "tokens"])
+
+    texts = docs.select("text").mapInArrow(run, "key long, leaf long, tokens array<long>").groupBy("key").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"))
     texts = written(texts.join(shared, "leaf", "left_semi"), "leaf-lines")
     each = texts.select("leaf", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "pos", "token").agg(F.count("*").alias("n"))
     agreed = each.groupBy("leaf", "pos").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("total"))

@@ -320,6 +320,14 @@ def test_copies_stay_whole(spark):
     assert {r.doc_id: r.text for r in line_templates.without_templates(docs).collect()} == {r.doc_id: r.text for r in docs.collect()}
 
 
+def test_a_long_line_with_a_changed_word(spark):
+    passage = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    lines = [" ".join([*passage[:150], f"name{chr(97 + i)}", *passage[150:]]) for i in range(6)]
+    docs = spark.createDataFrame([(i, f"own line {'abcdef'[i]} of this document only\n{line}") for i, line in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_templates.without_templates(docs).collect()}
+    assert lines[0] in got[0] and not any(lines[i] in got[i] for i in range(1, 6))
+
+
 # Decontamination
 
 
