@@ -8,8 +8,9 @@ with a digit counts as the variable field ``<*>``. At the leaf it has a template
   line agrees with those.
 Templates that recur across documents are dropped from all but the document where they come first (the smallest
 doc_id, with its exact copies). Exact copies count as one document. A document in which at least ``COPY_LINES``
-different lines with at least ``COPY_SHARE`` of its words would go is a copy of another one: it stays whole, as document
-deduplication, not line deduplication, should judge it.
+different lines with at least ``COPY_SHARE`` of its words would go stays whole if it is a near copy, by a similarity of at
+least ``COPY_SIMILARITY``, of the one document that keeps most of those lines: document deduplication, not line
+deduplication, should judge it.
 
 A template is known by 64 bits of a hash, and so is a token. Lines go through Spark as hashes; only lines in leaves where
 several documents meet are carried token by token.
@@ -29,12 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import small_batches, table, written
+from .simhash import similarity
 
 DEPTH, FIELD = 3, "<*>"
 #: Tokens from which a template counts, and how many documents it must recur in: many for a short line, two for a long one.
 MIN_TOKENS, MIN_DOCS, LONG_TOKENS, MIN_DOCS_LONG = 5, 3, 20, 2
 CONSTANT, ALIKE = 0.8, 0.7
-COPY_SHARE, COPY_LINES = 0.5, 3
+COPY_SHARE, COPY_LINES, COPY_SIMILARITY, COPY_SHINGLE = 0.5, 3, 0.8, 5
 #: Bits in the filter of leaves in use: 2 MB, whatever the corpus. It only spares work; the join after it is exact.
 FILTER_BITS = 1 << 24
 _DIGIT = re.compile(r"\d")
@@ -154,13 +156,29 @@ def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return lines, written(dropped, "drops")
 
 
+def near_copies(texts: DataFrame, hits: DataFrame) -> DataFrame:
+    """copy: texts that lose COPY_LINES lines or more and are near copies of the one that keeps most of these."""
+    by_keeper = hits.groupBy("copy", "first_copy").agg(F.count("*").alias("n"))
+    keepers = by_keeper.groupBy("copy").agg(F.sum("n").alias("n"), F.max(F.struct("n", "first_copy"))["first_copy"].alias("keeper")).filter(F.col("n") >= COPY_LINES).select("copy", "keeper")
+    keepers = written(keepers, "keepers")
+    ids = keepers.select(F.explode(F.array("copy", "keeper")).alias("copy")).distinct()
+    held = written(texts.join(ids, "copy", "left_semi").groupBy("copy").agg(F.min("text").alias("text")), "keeper-texts")
+    both = keepers.join(held.withColumnRenamed("text", "left"), "copy").join(held.select(F.col("copy").alias("keeper"), F.col("text").alias("right")), "keeper")
+
+    def compare(batches):
+        for b in batches:
+            keep = [similarity(x, y, COPY_SHINGLE) >= COPY_SIMILARITY for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield b.select(["copy"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("copy", "left", "right").mapInArrow(compare, "copy long")
+
+
 def without_templates(docs: DataFrame) -> DataFrame:
     """docs with recurring lines taken out of text, in the same columns; n_chars, where there is one, follows the text."""
     small_batches(docs.sparkSession)
     lines, dropped = recurring(docs)
     # A copy's own lines go too unless it is the first; keyed by the text's hash, so copies cost one row.
-    hits = lines.select("copy", "key").join(dropped, "key").filter(F.col("copy") != F.col("first_copy")).select("copy", "key").distinct()
-    by_text = written(hits.groupBy("copy").agg(F.collect_list("key").alias("drop")), "text-drops")
+    hits = written(lines.select("copy", "key").join(dropped, "key").filter(F.col("copy") != F.col("first_copy")).select("copy", "key", "first_copy").distinct(), "hits")
     at, n_at = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def key_of(batches):
@@ -169,25 +187,28 @@ def without_templates(docs: DataFrame) -> DataFrame:
 
     def cut(batches):
         for b in batches:
-            out, drops = [], b.column(b.num_columns - 1).to_pylist()
-            for t, drop in zip(b.column(at).to_pylist(), drops, strict=True):
-                out.append(without(t, set(drop)) if drop and t else t)
-            cols = b.columns[:-1]
+            out, drops, near = [], b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()
+            for t, drop, is_near in zip(b.column(at).to_pylist(), drops, near, strict=True):
+                out.append(without(t, set(drop), bool(is_near)) if drop and t else t)
+            cols = b.columns[:-2]
             cols[at] = pa.array(out, pa.string())
             if n_at is not None:
                 n = [None if t is None else len(t) for t in out]
                 cols[n_at] = pa.array([m if d is None else c for c, m, d in zip(n, cols[n_at].to_pylist(), drops, strict=True)], cols[n_at].type)
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-2])
 
     from pyspark.sql.types import LongType, StructField, StructType
 
     keyed = docs.mapInArrow(key_of, StructType([*docs.schema.fields, StructField("__copy", LongType())]))
-    joined = keyed.join(by_text.withColumnsRenamed({"copy": "__of", "drop": "__drop"}), F.col("__copy") == F.col("__of"), "left").drop("__copy", "__of")
+    near = near_copies(keyed.select(F.col("__copy").alias("copy"), "text"), hits)
+    by_text = hits.groupBy("copy").agg(F.collect_list("key").alias("__drop")).withColumnRenamed("copy", "__of")
+    by_text = written(by_text.join(near.select(F.col("copy").alias("__of"), F.lit(True).alias("__near")), "__of", "left"), "text-drops")
+    joined = keyed.join(by_text, F.col("__copy") == F.col("__of"), "left").drop("__copy", "__of")
     return joined.mapInArrow(cut, docs.schema)
 
 
-def without(text: str, drop: set[int]) -> str:
-    """The text without lines whose template is in drop, unless that would take most of a copy."""
+def without(text: str, drop: set[int], near: bool = False) -> str:
+    """The text without lines whose template is in drop, unless that would take most of a near copy."""
     kept, gone, n_words, n_gone = [], set(), 0, 0
     for line in text.split("\n"):
         tokens = masked(line)
@@ -198,7 +219,7 @@ def without(text: str, drop: set[int]) -> str:
             n_gone += len(tokens)
         else:
             kept.append(line)
-    if len(gone) >= COPY_LINES and n_gone >= COPY_SHARE * n_words:
+    if near and len(gone) >= COPY_LINES and n_gone >= COPY_SHARE * n_words:
         return text
     return "\n".join(kept)
 

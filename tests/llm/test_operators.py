@@ -328,6 +328,15 @@ def test_a_long_line_with_a_changed_word(spark):
     assert lines[0] in got[0] and not any(lines[i] in got[i] for i in range(1, 6))
 
 
+def test_a_document_of_several_others_lines(spark):
+    """Three fourths of its words are passages, each of another document: it is a copy of none of them."""
+    passages = [" ".join(f"{name}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(30)) for name in ("red", "blue", "green")]
+    own = [" ".join(f"{name}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(30)) for name in ("one", "two", "three", "four")]
+    rows = [(i, f"{own[i]}\n{passages[i]}") for i in range(3)] + [(9, "\n".join([own[3], *passages]))]
+    got = {r.doc_id: r.text for r in line_templates.without_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**dict(rows[:3]), 9: own[3]}
+
+
 # Decontamination
 
 
