@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import small_batches, table, written
+from ._common import bounded_batches, table, written
 
 # Element names by how they are treated.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -181,7 +181,7 @@ PARSED = "page_id long, url string, host string, blocks array<struct<path string
 
 def parsed(pages: DataFrame) -> DataFrame:
     """page_id, url, host and the blocks of every page; token is a hash of a block's text."""
-    small_batches(pages.sparkSession, 64)
+    bounded_batches(pages.sparkSession)
     kind = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("token", pa.int64()), ("rank", pa.int32()), ("links", pa.float64())]))
 
     def run(batches):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import small_batches, table
+from ._common import bounded_batches, table
 
 # Base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -158,7 +158,7 @@ def scan(text: str | None, words: ahocorasick.Automaton) -> tuple:
 
 def scanned(docs: DataFrame) -> DataFrame:
     """doc_id and scan() of every row: n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import small_batches, table, written
+from ._common import bounded_batches, table, written
 from .simhash import similarity
 
 DEPTH, FIELD = 3, "<*>"
@@ -70,7 +70,7 @@ def _lines(text: str | None):
 
 def hashed(docs: DataFrame) -> DataFrame:
     """doc_id, copy (a hash of the text), key (of the template), leaf, n_tokens, of each different line of every row."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     names, kinds = ["doc_id", "copy", "key", "leaf", "n_tokens"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
 
     def run(batches):
@@ -175,7 +175,7 @@ def near_copies(texts: DataFrame, hits: DataFrame) -> DataFrame:
 
 def without_templates(docs: DataFrame) -> DataFrame:
     """docs with recurring lines taken out of text, in the same columns; n_chars, where there is one, follows the text."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     lines, dropped = recurring(docs)
     # A copy's own lines go too unless it is the first; keyed by the text's hash, so copies cost one row.
     hits = written(lines.select("copy", "key").join(dropped, "key").filter(F.col("copy") != F.col("first_copy")).select("copy", "key", "first_copy").distinct(), "hits")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import small_batches, table, written
+from ._common import bounded_batches, table, written
 
 CAPACITY, SHARD_DOCS = 2048, 4096
 
@@ -84,7 +84,7 @@ def pack(rows: list[tuple], capacity: int) -> list[tuple]:
 
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, cluster (a hash of the text without case and white space), n of every row."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
 
     def run(batches):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import in_fold, small_batches, table, written
+from ._common import bounded_batches, in_fold, table, written
 from .quality_votes import COUNTS, counts
 
 N_WAVES, SEED, FIT_PARTS, BINS, RIDGE = 256, 7, 24, 400, 1e-3
@@ -115,7 +115,7 @@ def binned(ridge: np.ndarray) -> np.ndarray:
 
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id and STATS of every row."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import small_batches, table, written
+from ._common import bounded_batches, table, written
 
 _SPACE = b" \t\n\v\f\r"
 _SYMBOLS = b"#*$%&|<>"
@@ -114,7 +114,7 @@ def posterior(votes: np.ndarray, model: dict) -> np.ndarray:
 
 def counted(docs: DataFrame) -> DataFrame:
     """doc_id, COUNTS, and votes (one digit a rule: 0 bad, 1 abstains, 2 good) of every row."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import small_batches, table, written
+from ._common import bounded_batches, table, written
 
 BLOCKS = 4
 #: Members of a block up to which its pairs are joined; a fuller block links by neighbours instead, with the same result.
@@ -51,7 +51,7 @@ def _signed(x: int) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) of every row."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
@@ -258,7 +258,7 @@ def similar(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     word for word, which is all there is to do for most; where that leaves a group in several components, all its members
     that aren't in one component yet are compared.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         kind = pa.list_(pa.int64())

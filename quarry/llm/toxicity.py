@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import in_fold, small_batches, table, written
+from ._common import bounded_batches, in_fold, table, written
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
@@ -83,7 +83,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_docs: int) -> DataFr
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, max_features: int = 6_000, rounds: int = 300) -> dict:
     """Train the model: {"vocabulary": [...], "weights": [...], "bias": b, "leak": l}."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     sample = written(labelled_sample(docs, labels, max_docs), "toxicity-sample")
     n, n_toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if n == 0 or n_toxic in (0, n):
@@ -161,7 +161,7 @@ class Scorer:
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, held_out, score, predicted, n_sentences and the worst sentence's worst_start, worst_end (code points), worst_score."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         scorer = Scorer(model)
@@ -176,7 +176,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 def offending(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
     """doc_id, start, end, sentence, score of each sentence at or above the threshold."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         scorer = Scorer(model)
@@ -190,7 +190,7 @@ def offending(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame
 
 def drop_toxic(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, in the same columns, that score below the threshold."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches):
