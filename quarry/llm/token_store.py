@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import new_path, small_batches, table, written
+from ._common import bounded_batches, new_path, table, written
 
 FRAME_BYTES = 1 << 20
 # Fixed values of the public seekable format: its two skippable magics and the closing one.
@@ -55,7 +55,8 @@ class Encoder:
 
     The pre-tokenizer splits before every single space between other characters, so a text's pieces between such spaces
     are encoded once and remembered. A piece of Latin letters is one pre-token, and a mark after it another: these go
-    straight to the tokenizer's model. Texts in which a space touches white space are encoded in one call.
+    straight to the tokenizer's model. Texts in which a space touches white space, and texts that spell out one of the
+    tokenizer's added tokens (as the library does by default, that is then one id), are encoded in one call.
     """
 
     def __init__(self, path: str):
@@ -64,7 +65,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = self.tokenizer.model.tokenize
         self.bytes_of = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.marks = {m: self._whole(m) for m in ".,;:!?"}
@@ -93,7 +94,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if _loose(text):
+        if _loose(text) or any(t in text for t in self.added):
             return self._whole(text)
         head, *rest = text.split(" ")
         found = list(map(self.known.get, rest))
@@ -200,7 +201,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> Data
 
     A lost executor's task writes a new file under a new name, and only the files listed here count.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     end = struct.pack("<I", end_id)
 
     def run(batches):
