@@ -9,6 +9,16 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+
+def char_class(ranges: str) -> str:
+    """The inside of a regular expression's class, from ranges of code points in hexadecimal."""
+    return "".join(f"{chr(int(a, 16))}-{chr(int(z, 16))}" for a, z in (r.split("-") for r in ranges.split()))
+
+
+# Code points of scripts without spaces between words (Thai, Lao, Burmese, Khmer, kana, Han).
+UNSPACED = re.compile(f"[{char_class('e00-eff 1000-109f 1780-17ff 3005-3007 3041-309f 30a1-30fa 30fc-30ff 3400-4dbf 4e00-9fff f900-faff 20000-3ffff')}]")
 
 #: Bytes in one Arrow batch handed to Python. Texts can be long, so bytes, not rows, bound what a worker holds at once.
 BATCH_BYTES = 4 << 20
@@ -27,20 +37,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Folders made in this process.
-_MADE: list[str] = []
+#: Folders made in this process, by session, in order.
+_MADE: dict[str, list[str]] = {}
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    _MADE.append(os.path.join(shared_dir(spark), f"quarry-{tag}-{uuid.uuid4().hex}"))
-    return _MADE[-1]
+    made = _MADE.setdefault(spark.sparkContext.applicationId, [])
+    made.append(os.path.join(shared_dir(spark), f"quarry-{tag}-{uuid.uuid4().hex}"))
+    return made[-1]
+
 
+def n_written(spark: SparkSession) -> int:
+    """How many folders this application has made."""
+    return len(_MADE.get(spark.sparkContext.applicationId, []))
 
-def drop_written(spark: SparkSession) -> None:
-    """Delete what operators have written to the shared folder in this process; their results can't be read after it."""
-    while _MADE:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+
+def drop_written(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
+    """Delete what operators have written to the shared folder for this application since n_written() was this, but for the
+    last table if it is kept. Results that read those folders can't be read after it."""
+    made = _MADE.get(spark.sparkContext.applicationId, [])
+    rest = made[since:][-1:] if keep_last else []
+    for name in made[since : len(made) - len(rest)]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    made[since:] = rest
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -65,3 +85,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def in_fold(doc_id: str, modulus: int, remainder: int) -> Column:
     """Whether crc32(doc_id as text) leaves this remainder; false for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """Names for columns of our own that no column has."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def map_batches(df: DataFrame, run, *more: StructField) -> DataFrame:
+    """df.mapInArrow(run) to df's own columns and further ones, whatever df's columns are called; run sees them by place."""
+    own = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    out = own.mapInArrow(run, StructType([*own.schema.fields, *(StructField(f"m{i}", f.dataType) for i, f in enumerate(more))]))
+    return out.toDF(*df.columns, *(f.name for f in more))

@@ -23,16 +23,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, in_fold, table, written
+from ._common import UNSPACED, bounded_batches, char_class, in_fold, map_batches, table, written
 
-SENTENCE = re.compile(r"[^.!?\n]+")
+SENTENCE = re.compile(f"[^.!?\n{char_class('61f-61f 964-964 3002-3002 ff01-ff01 ff1f-ff1f')}]+")
 WORD = re.compile(r"\w+")
+_RUN = re.compile(f"{UNSPACED.pattern}+|[^{UNSPACED.pattern[1:-1]}]+")
 #: Lengths of word beginnings that are features beside the whole word.
 BEGINNINGS = (3, 4, 5, 6)
 #: Words remembered by a Python worker before it starts anew.
 _REMEMBERED = 400_000
 
 
+def words_of(text: str) -> list[str]:
+    """Words in lower case. In scripts that write no spaces between words each two neighbouring characters are one."""
+    found = WORD.findall(text.lower())
+    if text.isascii() or not UNSPACED.search(text):
+        return found
+    out = []
+    for run in (r for w in found for r in _RUN.findall(w)):
+        out += [run[i : i + 2] for i in range(max(1, len(run) - 1))] if UNSPACED.match(run) else [run]
+    return out
+
+
 def word_features(word: str) -> list[str]:
     """The whole word and its beginnings; very long words count by their beginnings only."""
     out = [word[:k] + "*" for k in BEGINNINGS if len(word) > k]
@@ -59,7 +71,7 @@ class Reader:
         for m in SENTENCE.finditer(text):
             n += 1
             ids: set[int] = set()
-            for w in WORD.findall(m.group().lower()):
+            for w in words_of(m.group()):
                 got = known.get(w)
                 if got is None:
                     got = self.word(w)
@@ -93,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, max_features
         seen: tuple[Counter, Counter] = Counter(), Counter()
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen[toxic].update({f for w in set(WORD.findall((text or "").lower())) for f in word_features(w)})
+                seen[toxic].update({f for w in set(words_of(text or "")) for f in word_features(w)})
         names = list(seen[0].keys() | seen[1].keys())
         for i in range(0, len(names), 50_000):
             part = names[i : i + 50_000]
@@ -198,7 +210,7 @@ def drop_toxic(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFram
         for b in batches:
             yield b.filter(pa.array([scorer.score(t)[0] < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
