@@ -49,15 +49,19 @@ def standard(batch, names, mean, scale) -> np.ndarray:
 
 
 def isotonic(hits: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    """Nondecreasing rates over bins by pooling adjacent violators; empty bins are filled between their neighbours."""
+    """Nondecreasing rates over bins by pooling adjacent violators; empty bins are filled between their neighbours.
+
+    Two rows at the smoothed share of all rows are spread over the bins in use, so no rate is 0 or 1.
+    """
     blocks: list[list[float]] = []  # sum of hits, weight, bins
     used = np.nonzero(totals)[0]
+    share, more = (hits.sum() + 0.5) / (totals.sum() + 1), 2 / max(1, len(used))
     for i in used:
-        blocks.append([hits[i], totals[i], 1])
+        blocks.append([hits[i] + more * share, totals[i] + more, 1])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             h, t, n = blocks.pop()
             blocks[-1] = [blocks[-1][0] + h, blocks[-1][1] + t, blocks[-1][2] + n]
-    rates = np.concatenate([[(h + 0.5 * h / t) / (t + 0.5)] * n for h, t, n in blocks])
+    rates = np.concatenate([[h / t] * n for h, t, n in blocks])
     return np.interp(np.arange(len(totals)), used, rates)
 
 
