@@ -11,15 +11,16 @@ kept as they are; an empty table gives an empty result; further columns are igno
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, table, written
+from ._common import bounded_batches, free_names, table, written
 
 BLOCKS = 4
 #: Members of a block up to which its pairs are joined; a fuller block links by neighbours instead, with the same result.
@@ -291,19 +292,28 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2, similar_shing
     """Rows of docs without near duplicates, in the same columns: of each group the row with the smallest doc_id stays.
 
     Documents are linked by their fingerprints, as near_duplicates() does, and by a similarity of at least ``least``. Of rows
-    that repeat an id the least (by all columns in order) stays. Rows with a null id go if their fingerprint's group has
+    that repeat an id the least (by all columns in order, maps as JSON) stays. Rows with a null id go if their fingerprint's group has
     another row; else the least of them stays.
     """
     found = written(near_duplicates(docs, shingle, max_bits), "near-duplicates")
     by_bits = found.filter("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
-    gone = components(by_bits.union(similar(docs, similar_shingle, least))).select(F.col("node").alias("gone_id"))
+    gone_id, again_id, row = free_names(docs.columns, "gone_id", "again_id", "row")
+    gone = components(by_bits.union(similar(docs, similar_shingle, least))).select(F.col("node").alias(gone_id))
     if not found.filter("doc_id is null and component_id is not null").isEmpty():
         gone = gone.union(docs.sparkSession.createDataFrame([(None,)], "gone_id long"))
     gone = written(gone, "gone")
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
-    again = written(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("again_id")), "again")
+    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(gone_id)), "left_anti")
+    again = written(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias(again_id)), "again")
     if again.isEmpty():
         return out
-    same = out["doc_id"].eqNullSafe(again["again_id"])
-    first = out.join(again, same, "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return out.join(again, same, "left_anti").unionByName(first)
+    same = F.col("doc_id").eqNullSafe(F.col(again_id))
+    names = [f"`{c.replace('`', '``')}`" for c in docs.columns]
+    first = out.join(again, same, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*names), F.struct(*(_ordered(f) for f in docs.schema.fields))).alias(row)).select(f"{row}.*")
+    return out.join(again, same, "left_anti").union(first)
+
+
+def _ordered(field) -> Column:
+    """The column as something that has an order, which maps and variants lack."""
+    name = F.col(f"`{field.name.replace('`', '``')}`")
+    kind = field.dataType.simpleString()
+    return F.to_json(F.struct(name)) if re.search(r"map<|variant|interval", kind) else name
