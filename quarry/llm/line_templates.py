@@ -1,22 +1,27 @@
-"""Line dedup by a fixed-depth template tree.
-
-A line goes down a tree of fixed depth: first by its number of tokens, then by its leading tokens, in which a token
-with a digit counts as the variable field ``<*>``. At the leaf it has a template:
-  its own tokens with such fields generalised; or
-  where differing lines of several documents meet in a leaf, the tokens on which at least ``CONSTANT`` of them agree at
-  each position, the other positions being variable too, if at least ``ALIKE`` of the positions are constant and the
-  line agrees with those.
+"""Line dedup by a template tree of fixed depth.
+
+A line goes down a tree: first by its number of tokens, then by its ``DEPTH`` leading tokens, in which a token with a
+digit counts as the variable field ``<*>``. At the leaf lines are grouped by their constant tokens: of the tokens that a
+share of the leaf's lines have at a position, from ``LEVELS[0]`` of them down to ``LEVELS[-1]``, a line's template has
+those that it has itself, other positions being variable, at the first share at which at least ``ALIKE`` of its positions
+are constant. So a leaf holds as many templates as its lines form families. A leaf with over ``LEAF_LINES`` lines, in
+which a family may lie below the least share, goes down twice as many leading tokens with the lines that found no template.
+A line without a general template has its own tokens, fields generalised, for one.
+
 Templates that recur across documents are dropped from all but the document where they come first (the smallest
-doc_id, with its exact copies). Exact copies count as one document. A document in which at least ``COPY_LINES``
-different lines with at least ``COPY_SHARE`` of its words would go stays whole if it is a near copy, by a similarity of at
-least ``COPY_SIMILARITY``, of the one document that keeps most of those lines: document deduplication, not line
-deduplication, should judge it.
+doc_id, with its exact copies). Exact copies count as one document. How many documents make a template recur depends on
+its length: ``MIN_DOCS_SHORT`` below ``SHORT_TOKENS`` tokens, which prose repeats by chance, ``MIN_DOCS_LONG`` from
+``LONG_TOKENS`` on, between them ``MIN_DOCS`` for a line's own tokens and ``MIN_DOCS_GENERAL`` for a general template.
+A document that would lose ``COPY_LINES`` different lines or more, with at least half of its words, stays whole if it is a
+near copy, by a similarity of at least ``COPY_SIMILARITY`` on shingles of ``COPY_SHINGLE`` words, of the one document that
+keeps most of those lines: document deduplication, not line deduplication, should judge it.
 
 A template is known by 64 bits of a hash, and so is a token. Lines go through Spark as hashes; only lines in leaves where
-several documents meet are carried token by token.
+several documents meet are carried token by token, and only documents that lose lines are joined with what they lose.
 
-Defined results: null text stays null, empty text and lines without a token stay; a null doc_id counts as the smallest;
-repeated rows count as one document; an empty table gives an empty result; further columns are passed on.
+Defined results: null text stays null, empty text, lines without a token and lines in which no token but fields has a
+letter stay; a null doc_id counts as the smallest; repeated rows count as one document; an empty table gives an empty
+result; further columns are passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,18 +33,21 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField
 
-from ._common import bounded_batches, table, written
+from ._common import bounded_batches, free_names, map_batches, table, written
 from .simhash import similarity
 
 DEPTH, FIELD = 3, "<*>"
-#: Tokens from which a template counts, and how many documents it must recur in: many for a short line, two for a long one.
-MIN_TOKENS, MIN_DOCS, LONG_TOKENS, MIN_DOCS_LONG = 5, 3, 20, 2
-CONSTANT, ALIKE = 0.8, 0.7
-COPY_SHARE, COPY_LINES, COPY_SIMILARITY, COPY_SHINGLE = 0.5, 3, 0.8, 5
-#: Bits in the filter of leaves in use: 2 MB, whatever the corpus. It only spares work; the join after it is exact.
+SHORT_TOKENS, LONG_TOKENS = 5, 20
+MIN_DOCS, MIN_DOCS_SHORT, MIN_DOCS_GENERAL, MIN_DOCS_LONG = 3, 20, 5, 2
+#: Shares of a leaf's lines that make a token constant; below 1 / LEAF_LINES of them two lines wouldn't do in a full leaf.
+LEVELS, ALIKE, LEAF_LINES = (0.8, 0.4, 0.2, 0.1, 0.05, 0.03125), 0.7, 64
+COPY_LINES, COPY_SHARE, COPY_SIMILARITY, COPY_SHINGLE = 3, 0.5, 0.8, 5
+#: Bits in the filters of leaves in use and of documents that lose lines: 2 MB, whatever the corpus. They only spare work;
+#: the joins after them are exact.
 FILTER_BITS = 1 << 24
-_DIGIT = re.compile(r"\d")
+_DIGIT, _LETTER = re.compile(r"\d"), re.compile(r"[^\W\d_]")
 
 
 def _signed(x: int) -> int:
@@ -61,31 +69,40 @@ def leaf(tokens: list[str]) -> int:
     return _hash("\n".join([str(len(tokens)), *tokens[:DEPTH]]))
 
 
+def _tells(tokens: list[str]) -> bool:
+    return any(_LETTER.search(t) for t in tokens)
+
+
 def _lines(text: str | None):
     for line in (text or "").split("\n"):
         tokens = masked(line)
-        if len(tokens) >= MIN_TOKENS:
+        if tokens and _tells(tokens):
             yield tokens
 
 
 def hashed(docs: DataFrame) -> DataFrame:
-    """doc_id, copy (a hash of the text), key (of the template), leaf, n_tokens, of each different line of every row."""
+    """doc_id, copy (a hash of the text), key (of the template), leaf, n_tokens, n_words (of all its lines), of each different
+    line of every row."""
     bounded_batches(docs.sparkSession)
-    names, kinds = ["doc_id", "copy", "key", "leaf", "n_tokens"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    names, kinds = ["doc_id", "copy", "key", "leaf", "n_tokens", "n_words"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
 
     def run(batches):
         for b in batches:
             rows = []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                copy = _hash(t or "")
-                rows += {key: (d, copy, key, leaf(x), len(x)) for x in _lines(t) for key in (_hash(" ".join(x)),)}.values()
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 5, kinds, strict=True)], names)
+                copy, found = _hash(t or ""), {}
+                for x in _lines(t):
+                    found.setdefault(_hash(" ".join(x)), x)
+                n_words = sum(map(len, found.values()))
+                rows += [(d, copy, key, leaf(x), len(x), n_words) for key, x in found.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 6, kinds, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, copy long, key long, leaf long, n_tokens int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, copy long, key long, leaf long, n_tokens int, n_words long")
 
 
-def _recurs(n_docs, n_tokens):
-    return (n_docs >= MIN_DOCS) | ((n_docs >= MIN_DOCS_LONG) & (n_tokens >= LONG_TOKENS))
+def _recurs(min_docs: int):
+    least = F.when(F.col("n_tokens") < SHORT_TOKENS, MIN_DOCS_SHORT).when(F.col("n_tokens") >= LONG_TOKENS, MIN_DOCS_LONG).otherwise(min_docs)
+    return F.col("n_docs") >= least
 
 
 def _counted(lines: DataFrame, template: str) -> DataFrame:
@@ -94,8 +111,8 @@ def _counted(lines: DataFrame, template: str) -> DataFrame:
     return by_copy.groupBy(template).agg(F.count("*").alias("n_docs"), F.min(F.struct("first_doc", "copy"))["copy"].alias("first_copy"), F.first("n_tokens").alias("n_tokens"))
 
 
-def _filter_of(leaves: DataFrame) -> np.ndarray:
-    """A bit map of the leaves: FILTER_BITS bits, or-ed over partitions."""
+def _filter_of(hashes: DataFrame):
+    """A bit map of hashes, broadcast: FILTER_BITS bits, or-ed over partitions."""
 
     def run(batches):
         words = np.zeros(FILTER_BITS // 8, np.uint8)
@@ -106,10 +123,35 @@ def _filter_of(leaves: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(words[used].astype(np.int32))], ["at", "bits"])
 
     out = np.zeros(FILTER_BITS // 8, np.uint8)
-    got = leaves.select("leaf").mapInArrow(run, "at int, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    got = hashes.mapInArrow(run, "at int, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits"))
     for r in got.toLocalIterator():
         out[r.at] |= r.bits
-    return out
+    return hashes.sparkSession.sparkContext.broadcast(out.tobytes())
+
+
+def _in_filter(some: np.ndarray, x: int) -> bool:
+    bit = x % FILTER_BITS
+    return bool(some[bit >> 3] >> (bit & 7) & 1)
+
+
+def _grouped(texts: DataFrame) -> DataFrame:
+    """texts (key, leaf, tokens) with total (lines of the leaf) and general: the template of the lines that have one there."""
+    each = written(texts.select("leaf", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "pos", "token").agg(F.count("*").alias("n")), "leaf-tokens")
+    # Of any position at most 1 / LEVELS[-1] tokens are frequent, so a leaf's list is bounded by its lines' length.
+    totals = each.filter("pos = 0").groupBy("leaf").agg(F.sum("n").alias("total"))
+    often = F.when((F.col("n") > 1) & (F.col("n") >= LEVELS[-1] * F.col("total")), F.struct("token", "n"))
+    at_pos = each.join(totals, "leaf").groupBy("leaf", "pos").agg(F.collect_list(often).alias("often"), F.first("total").alias("total"))
+    leaves = written(at_pos.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("pos", "often"))).alias("at"), F.first("total").alias("total")), "leaf-templates")
+    seen = F.zip_with("tokens", "at", lambda t, a: F.coalesce(F.get(F.filter(a.often, lambda o: o.token == t), 0).n, F.lit(0).cast("long")))
+    counted = texts.join(leaves, "leaf").select("key", "leaf", "tokens", "total", seen.alias("seen"))
+
+    def template(level: float):
+        least = F.greatest(F.lit(2.0), level * F.col("total"))
+        constant = F.zip_with("tokens", "seen", lambda t, n: F.when(n >= least, t).otherwise(0))
+        return F.when(F.size(F.filter("seen", lambda n: n >= least)) >= ALIKE * F.size("tokens"), F.xxhash64("leaf", constant))
+
+    general = [template(level) for level in LEVELS]
+    return written(counted.select("key", "leaf", "tokens", "total", F.coalesce(*general).alias("general")), "general")
 
 
 def general_templates(docs: DataFrame, lines: DataFrame) -> DataFrame | None:
@@ -119,7 +161,7 @@ def general_templates(docs: DataFrame, lines: DataFrame) -> DataFrame | None:
     shared = written(shared, "leaves")
     if shared.isEmpty():
         return None
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_of(shared).tobytes())
+    bits = _filter_of(shared)
 
     def run(batches):
         some = np.frombuffer(bits.value, np.uint8)
@@ -127,29 +169,31 @@ def general_templates(docs: DataFrame, lines: DataFrame) -> DataFrame | None:
             rows = {}
             for t in b.column(0).to_pylist():
                 for x in _lines(t):
-                    at = leaf(x)
-                    bit = at % FILTER_BITS
-                    if some[bit >> 3] >> (bit & 7) & 1 and (key := _hash(" ".join(x))) not in rows:
+                    if len(x) > DEPTH + 1 and _in_filter(some, at := leaf(x)) and (key := _hash(" ".join(x))) not in rows:
                         rows[key] = (at, [_hash(w) for w in x])
             yield pa.RecordBatch.from_arrays([pa.array([k for k in rows], pa.int64()), pa.array([v[0] for v in rows.values()], pa.int64()), pa.array([v[1] for v in rows.values()], pa.list_(pa.int64()))], ["key", "leaf", "tokens"])
 
     texts = docs.select("text").mapInArrow(run, "key long, leaf long, tokens array<long>").groupBy("key").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"))
-    texts = written(texts.join(shared, "leaf", "left_semi"), "leaf-lines")
-    each = texts.select("leaf", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "pos", "token").agg(F.count("*").alias("n"))
-    agreed = each.groupBy("leaf", "pos").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("total"))
-    agreed = agreed.filter((F.col("top.n") >= CONSTANT * F.col("total")) & (F.col("top.n") > 1)).groupBy("leaf").agg(F.collect_list(F.struct("pos", F.col("top.token").alias("token"))).alias("fixed"))
-    fits = F.size("fixed") >= ALIKE * F.size("tokens")
-    same = F.forall("fixed", lambda f: F.element_at("tokens", f.pos + 1) == f.token)
-    return written(texts.join(written(agreed, "agreed"), "leaf").filter(fits & same).select("key", F.col("leaf").alias("general")), "general")
+    texts, depth, out = written(texts.join(shared, "leaf", "left_semi"), "leaf-lines"), DEPTH, None
+    while True:
+        found = _grouped(texts)
+        of_lines = found.filter("general is not null").select("key", "general")
+        out = of_lines if out is None else out.unionByName(of_lines)
+        rest = found.filter((F.col("total") > LEAF_LINES) & F.col("general").isNull() & (F.size("tokens") > depth))
+        rest = written(rest.select("key", F.xxhash64("leaf", F.slice("tokens", depth + 1, depth)).alias("leaf"), "tokens"), "full-leaves")
+        meet = rest.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1").select("leaf")
+        texts, depth = written(rest.join(meet, "leaf", "left_semi").select("key", "leaf", "tokens"), "deeper-lines"), 2 * depth
+        if texts.isEmpty():
+            return out
 
 
 def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The table of lines, and of lines to drop: key, first_copy (the document by text that keeps it)."""
     lines = written(hashed(docs), "lines")
-    dropped = _counted(lines, "key").filter(_recurs(F.col("n_docs"), F.col("n_tokens"))).select("key", "first_copy")
+    dropped = _counted(lines, "key").filter(_recurs(MIN_DOCS)).select("key", "first_copy")
     general = general_templates(docs, lines)
     if general is not None:
-        of_leaf = _counted(lines.join(general, "key"), "general").filter(_recurs(F.col("n_docs"), F.col("n_tokens"))).select("general", "first_copy")
+        of_leaf = _counted(lines.join(general, "key"), "general").filter(_recurs(MIN_DOCS_GENERAL)).select("general", "first_copy")
         # A line's general template says no less than its own one.
         more = general.join(written(of_leaf, "general-drops"), "general").select("key", F.col("first_copy").alias("general_copy"))
         dropped = written(dropped, "own-drops").join(written(more, "more-drops"), "key", "full").select("key", F.coalesce("general_copy", "first_copy").alias("first_copy"))
@@ -157,12 +201,13 @@ def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def near_copies(texts: DataFrame, hits: DataFrame) -> DataFrame:
-    """copy: texts that lose COPY_LINES lines or more and are near copies of the one that keeps most of these."""
-    by_keeper = hits.groupBy("copy", "first_copy").agg(F.count("*").alias("n"))
-    keepers = by_keeper.groupBy("copy").agg(F.sum("n").alias("n"), F.max(F.struct("n", "first_copy"))["first_copy"].alias("keeper")).filter(F.col("n") >= COPY_LINES).select("copy", "keeper")
-    keepers = written(keepers, "keepers")
-    ids = keepers.select(F.explode(F.array("copy", "keeper")).alias("copy")).distinct()
-    held = written(texts.join(ids, "copy", "left_semi").groupBy("copy").agg(F.min("text").alias("text")), "keeper-texts")
+    """copy: texts that lose COPY_LINES lines and COPY_SHARE of their words or more and are near copies of the one that keeps
+    most of these."""
+    by_keeper = hits.groupBy("copy", "first_copy").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("n_lines"), F.first("n_words").alias("n_words"))
+    keepers = by_keeper.groupBy("copy").agg(F.sum("n").alias("n"), F.sum("n_lines").alias("n_lines"), F.first("n_words").alias("n_words"), F.max(F.struct("n", "first_copy"))["first_copy"].alias("keeper"))
+    keepers = written(keepers.filter((F.col("n_lines") >= COPY_LINES) & (F.col("n") >= COPY_SHARE * F.col("n_words"))).select("copy", "keeper"), "keepers")
+    ids = written(keepers.select(F.explode(F.array("copy", "keeper")).alias("copy")).distinct(), "keeper-ids")
+    held = written(texts(ids).groupBy("copy").agg(F.min("text").alias("text")), "keeper-texts")
     both = keepers.join(held.withColumnRenamed("text", "left"), "copy").join(held.select(F.col("copy").alias("keeper"), F.col("text").alias("right")), "keeper")
 
     def compare(batches):
@@ -178,49 +223,52 @@ def without_templates(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     lines, dropped = recurring(docs)
     # A copy's own lines go too unless it is the first; keyed by the text's hash, so copies cost one row.
-    hits = written(lines.select("copy", "key").join(dropped, "key").filter(F.col("copy") != F.col("first_copy")).select("copy", "key", "first_copy").distinct(), "hits")
+    hits = written(lines.join(dropped, "key").filter(F.col("copy") != F.col("first_copy")).select("copy", "key", "first_copy", "n_tokens", "n_words").distinct(), "hits")
     at, n_at = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    copy, of, drop = free_names(docs.columns, "copy", "of", "drop")
 
-    def key_of(batches):
-        for b in batches:
-            yield b.append_column("__copy", pa.array([_hash(t or "") for t in b.column(at).to_pylist()], pa.int64()))
+    def flagged(held):
+        """docs with their texts' hashes, and whether they are in a filter."""
+
+        def run(batches):
+            some = np.frombuffer(held.value, np.uint8)
+            for b in batches:
+                hashes = [_hash(t or "") for t in b.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hashes, pa.int64()), pa.array([_in_filter(some, h) for h in hashes], pa.bool_())], names=[*b.schema.names, "m0", "m1"])
+
+        return map_batches(docs, run, StructField(copy, LongType()), StructField(of, BooleanType()))
+
+    def texts(ids):
+        some = flagged(_filter_of(ids)).filter(F.col(of)).select(F.col(copy).alias("copy"), F.col("text"))
+        return some.join(ids, "copy", "left_semi")
 
     def cut(batches):
         for b in batches:
-            out, drops, near = [], b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()
-            for t, drop, is_near in zip(b.column(at).to_pylist(), drops, near, strict=True):
-                out.append(without(t, set(drop), bool(is_near)) if drop and t else t)
-            cols = b.columns[:-2]
+            out, drops = [], b.column(b.num_columns - 1).to_pylist()
+            for t, gone in zip(b.column(at).to_pylist(), drops, strict=True):
+                out.append(without(t, set(gone)) if gone and t else t)
+            cols = b.columns
             cols[at] = pa.array(out, pa.string())
             if n_at is not None:
                 n = [None if t is None else len(t) for t in out]
                 cols[n_at] = pa.array([m if d is None else c for c, m, d in zip(n, cols[n_at].to_pylist(), drops, strict=True)], cols[n_at].type)
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-2])
-
-    from pyspark.sql.types import LongType, StructField, StructType
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
 
-    keyed = docs.mapInArrow(key_of, StructType([*docs.schema.fields, StructField("__copy", LongType())]))
-    near = near_copies(keyed.select(F.col("__copy").alias("copy"), "text"), hits)
-    by_text = hits.groupBy("copy").agg(F.collect_list("key").alias("__drop")).withColumnRenamed("copy", "__of")
-    by_text = written(by_text.join(near.select(F.col("copy").alias("__of"), F.lit(True).alias("__near")), "__of", "left"), "text-drops")
-    joined = keyed.join(by_text, F.col("__copy") == F.col("__of"), "left").drop("__copy", "__of")
-    return joined.mapInArrow(cut, docs.schema)
+    by_text = hits.join(written(near_copies(texts, hits), "near-copies"), "copy", "left_anti").groupBy("copy").agg(F.collect_list("key").alias(drop)).withColumnRenamed("copy", of)
+    by_text = written(by_text, "text-drops")
+    marked = flagged(_filter_of(by_text.select(of)))
+    plain = marked.filter(~F.col(of)).drop(copy, of)
+    some = marked.filter(F.col(of)).drop(of).join(by_text, F.col(copy) == F.col(of), "left").drop(copy, of)
+    return plain.union(map_batches(some, cut).drop(drop))
 
 
-def without(text: str, drop: set[int], near: bool = False) -> str:
-    """The text without lines whose template is in drop, unless that would take most of a near copy."""
-    kept, gone, n_words, n_gone = [], set(), 0, 0
+def without(text: str, drop: set[int]) -> str:
+    """The text without lines whose template is in drop."""
+    kept = []
     for line in text.split("\n"):
         tokens = masked(line)
-        key = _hash(" ".join(tokens)) if len(tokens) >= MIN_TOKENS else None
-        n_words += len(tokens)
-        if key in drop:
-            gone.add(key)
-            n_gone += len(tokens)
-        else:
+        if not tokens or not _tells(tokens) or _hash(" ".join(tokens)) not in drop:
             kept.append(line)
-    if near and len(gone) >= COPY_LINES and n_gone >= COPY_SHARE * n_words:
-        return text
     return "\n".join(kept)
 
 
