@@ -1,7 +1,14 @@
 """A corpus pipeline: documents in, packed training sequences out.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a DataFrame; all but the
-last return the columns of documents. Stages are written as Parquet and read again between one another.
+last return the columns of documents. Stages are written as Parquet and read again between one another; when one is
+written, what it and its predecessors left in the shared folder goes.
+
+Defined results: null and empty texts pass the first two stages and hold no benchmark item; those of them that share a
+fingerprint are one group of near duplicates, of which one stays, and each takes one place in a sequence. A null doc_id is
+scored, searched and packed like any other; of rows that repeat an id the least by all columns stays. Ties go to the
+smallest doc_id. Empty tables give no sequences; without labels nothing is toxic. Further columns are passed on by every
+stage but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -9,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import decontaminate, line_templates, packing, simhash, toxicity
-from quarry.llm._common import table, written
+from quarry.llm._common import drop_written, n_written, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +40,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of fixed length."""
-    return packing.packed(docs)
+    """Sequences of fixed length: the documents' ids and words, with where each piece stands. Near duplicates are gone."""
+    return packing.sequences(docs, packing.packed(docs, near=False))
 
 
 STAGES = [
@@ -51,7 +58,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each but the last is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), n_written(spark)
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_written(spark, before, keep_last=True)
     return STAGES[-1][1](spark, docs, sf_dir)

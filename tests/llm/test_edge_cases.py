@@ -91,6 +91,16 @@ def test_line_templates(docs, none):
     assert {r.doc_id: r.text for r in got.collect()}[6] == LONG
 
 
+def test_line_templates_with_clashing_columns(spark):
+    line = "this line is on every one of the pages here"
+    rows = [(i, f"own words {'abcdef'[i]} of this document only\n{line}", "c", "o", "d", {"a": i}, [i], "x") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, copy string, of string, `drop` string, m map<string, int>, n array<int>, `a.b` string")
+    docs = docs.withColumn("__copy", F.lit(1)).withColumn("_copy", F.lit(1)).withColumn("key", F.lit(2)).withColumn("leaf", F.lit(3))
+    got = line_templates.without_templates(docs)
+    assert got.schema == docs.schema
+    assert {r.doc_id: line in r.text for r in got.collect()} == {0: True} | {i: False for i in range(1, 6)}
+
+
 def test_keep_one(docs, none):
     got = simhash.keep_one(docs)
     kept = [r.doc_id for r in got.collect()]
@@ -98,6 +108,24 @@ def test_keep_one(docs, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def odd_columns(spark):
+    """Repeated ids, map columns and names that are awkward or that operators use themselves."""
+    rows = [(i % 4, f"text number {'abcd'[i % 4]} with some words of its own kind here", {"k": i}, [{"z": i}], i, "v") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string, int>, l array<map<string, int>>, `a.b` int, `tick``s` string")
+    for name in ("gone_id", "again_id", "row", "n", "node", "root", "fp", "copy", "cluster", "shard", "c0", "m0"):
+        docs = docs.withColumn(name, F.lit(1))
+    return docs
+
+
+def test_stages_with_odd_columns(spark, labels, benchmark):
+    docs = odd_columns(spark)
+    for got in (simhash.keep_one(docs), line_templates.without_templates(docs), decontaminate.without_benchmark(docs, benchmark), toxicity.drop_toxic(docs, toxicity.fit(docs, labels))):
+        assert got.schema.simpleString() == docs.schema.simpleString()
+        assert {r[0] for r in got.collect()} == {0, 1, 2, 3}
+    assert sorted((r[0], r[4]) for r in simhash.keep_one(docs).collect()) == [(i, i) for i in range(4)]
+    assert packing.sequences(docs, packing.packed(docs)).selectExpr("sum(size(doc_ids))").first()[0] == 8
+
+
 def test_decontaminate(docs, none, benchmark):
     got = decontaminate.without_benchmark(docs, benchmark)
     assert got.columns == docs.columns and got.count() == docs.count()

@@ -185,13 +185,30 @@ def encoder():
     return token_store.Encoder(str(public_tokenizers.path("byte_bpe_50k.json")))
 
 
-@given(st.text(alphabet=st.sampled_from("ab'sé ,.\n\t\xa0\x85\x1c日3½ʼ<|>"), max_size=40))
-@settings(deadline=None, max_examples=300)
-def test_pieces_encode_like_whole_texts(encoder, text):
-    assert encoder.encode(text) == encoder._whole(text) if text else encoder.encode(text) == b""
+@pytest.fixture(scope="module")
+def library():
+    """The tokenizers library as a user calls it."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    return lambda text: b"".join(struct.pack("<I", i) for i in fresh.encode(text, add_special_tokens=False).ids)
+
+
+PIECES = st.one_of(st.sampled_from(list("ab'sé ,.\n\t\xa0\x85\x1c日3½ʼ<|>") + ["<|", "endoftext", "|>", "<|endoftext|>", " the", "The", "'ll", "\u200b", "Ǆ", "ɐ"]), st.characters(exclude_categories=["Cs"]))
 
 
-def test_tokens_in_order(spark, data, encoder):
+@given(st.lists(PIECES, max_size=40).map("".join))
+@settings(deadline=None, max_examples=1000)
+def test_pieces_encode_as_the_library_does(encoder, library, text):
+    assert encoder.encode(text) == library(text)
+
+
+def test_added_tokens(encoder, library):
+    assert encoder.encode("a<|endoftext|>b") == library("a<|endoftext|>b") == struct.pack("<3I", 64, 50256, 65)
+
+
+def test_tokens_in_order(spark, data, library):
     import public_tokenizers
 
     docs = table(spark, data, "documents")
@@ -200,7 +217,7 @@ def test_tokens_in_order(spark, data, encoder):
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_store.read(spark, folder, files).collect()}
     start = 0
     for r in docs.orderBy("doc_id").collect():
-        ids = encoder._whole(r.text) + bytes(4)
+        ids = library(r.text) + bytes(4)
         assert got[r.doc_id] == (start, len(ids) // 4, zlib.crc32(ids))
         start += len(ids) // 4
 
@@ -337,6 +354,113 @@ def test_a_document_of_several_others_lines(spark):
     assert got == {**dict(rows[:3]), 9: own[3]}
 
 
+def test_two_families_in_one_leaf(spark):
+    """Same length and same leading words: each family loses all lines but its first."""
+    hosts = [f"host{chr(97 + i)}" for i in range(20)]
+    lines = [f"connection to host {h} was refused by its peer today" for h in hosts] + [f"connection to host {h} has been opened once again today" for h in hosts]
+    lines = [x for i in range(20) for x in (lines[i], lines[20 + i])]
+    docs = spark.createDataFrame([(i, f"own words of document {chr(97 + i % 26) * (i // 26 + 1)} and no other\n{x}") for i, x in enumerate(lines)], "doc_id long, text string")
+    kept = [r.doc_id for r in line_templates.without_templates(docs).collect() if "connection" in r.text]
+    assert sorted(kept) == [0, 1]
+
+
+def test_mostly_boilerplate(spark):
+    """Three recurring lines are most of each document, and they go: the documents are no near copies."""
+    own = [" ".join(f"{'abcdefgh'[i]}{chr(97 + j)}" for j in range(12)) for i in range(8)]
+    shared = ["All the news that was fit to print this week", "Read more about our offers and our partners here", "Terms of use and privacy are told on another page"]
+    docs = spark.createDataFrame([(i, "\n".join([own[i], *shared])) for i in range(8)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_templates.without_templates(docs).collect()}
+    assert got == {0: "\n".join([own[0], *shared])} | {i: own[i] for i in range(1, 8)}
+
+
+def test_short_lines(spark):
+    docs = spark.createDataFrame([(i, f"own words of document {chr(97 + i)} are here\nShare this\n***\n{i}\nrarely {'x' if i < 5 else chr(97 + i)}") for i in range(24)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_templates.without_templates(docs).collect()}
+    assert "Share this" in got[0] and not any("Share this" in got[i] for i in range(1, 24))
+    assert all(f"***\n{i}\nrarely" in got[i] for i in got)
+
+
+def slow_lines(rows):
+    """Line dedup as its docstring says it, in plain loops over (doc_id, text)."""
+    lt = line_templates
+    texts, by_text = {}, {}
+    for d, t in rows:
+        texts.setdefault(t, d)
+        texts[t] = min(texts[t], d)
+    said = {t: list(dict.fromkeys(tuple(x) for x in lt._lines(t))) for t in texts}
+    holders = {}
+    for t, lines in said.items():
+        for x in lines:
+            holders.setdefault(x, set()).add(t)
+    general = {}
+
+    def group(lines, depth):
+        for x in lines:
+            same = [[y[i] == x[i] for y in lines] for i in range(len(x))]
+            for level in lt.LEVELS:
+                often = [sum(s) >= max(2, level * len(lines)) for s in same]
+                if sum(often) >= lt.ALIKE * len(x):
+                    general[x] = (depth, lines[0][:depth], tuple(w if o else None for w, o in zip(x, often, strict=True)))
+                    break
+        if len(lines) > lt.LEAF_LINES and len(lines[0]) > depth:
+            deeper = {}
+            for x in lines:
+                if x not in general:
+                    deeper.setdefault(x[: 2 * depth], []).append(x)
+            for some in deeper.values():
+                if len(some) > 1:
+                    group(some, 2 * depth)
+
+    leaves = {}
+    for x in holders:
+        if len(x) > lt.DEPTH + 1:
+            leaves.setdefault((len(x), x[: lt.DEPTH]), []).append(x)
+    for lines in leaves.values():
+        if len(lines) > 1 and len(set().union(*(holders[x] for x in lines))) > 1:
+            group(lines, lt.DEPTH)
+    of_general = {}
+    for x, g in general.items():
+        of_general.setdefault(g, set()).update(holders[x])
+
+    def first(docs, n, least):
+        least = lt.MIN_DOCS_SHORT if n < lt.SHORT_TOKENS else lt.MIN_DOCS_LONG if n >= lt.LONG_TOKENS else least
+        return min(docs, key=lambda t: (texts[t], lt._hash(t))) if len(docs) >= least else None
+
+    keeper = {}
+    for x, docs in holders.items():
+        kept = first(of_general[general[x]], len(x), lt.MIN_DOCS_GENERAL) if x in general else None
+        keeper[x] = kept if kept is not None else first(docs, len(x), lt.MIN_DOCS)
+    out = {}
+    for t in texts:
+        gone = {x: keeper[x] for x in said[t] if keeper[x] not in (None, t)}
+        by_keeper = Counter()
+        for x, k in gone.items():
+            by_keeper[k] += len(x)
+        if len(gone) >= lt.COPY_LINES and sum(map(len, gone)) >= lt.COPY_SHARE * sum(map(len, said[t])):
+            most = max(by_keeper, key=lambda k: (by_keeper[k], lt._hash(k)))
+            a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (x.lower().split() for x in (t, most)))
+            if len(a & b) / len(a | b) >= lt.COPY_SIMILARITY:
+                gone = {}
+        out[t] = "\n".join(line for line in t.split("\n") if tuple(lt.masked(line)) not in gone)
+    return {d: out[t] for d, t in rows}
+
+
+def test_lines_against_plain_loops(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(r.doc_id, r.text) for r in table(spark, MIDDLE, "documents").limit(400).collect()]
+    words = [f"w{chr(97 + i)}" for i in range(12)]
+    families = [[str(x) for x in rng.choice(words, 9)] for _ in range(6)]
+    for i in range(300):  # a leaf with over LEAF_LINES lines, and families in it
+        own = " ".join(f"u{chr(97 + int(x))}{chr(97 + int(y))}" for x, y in rng.integers(0, 26, (10, 2)))
+        family = families[int(rng.integers(6))]
+        line = ["in", "the", "log", *[w if rng.random() > 0.12 else f"v{chr(97 + int(rng.integers(26)))}{chr(97 + i % 26)}" for w in family]]
+        noise = ["in", "the", "log", *[f"n{chr(97 + int(x))}{chr(97 + int(y))}" for x, y in rng.integers(0, 26, (9, 2))]]
+        rows.append((100_000 + i, "\n".join([own, " ".join(line), " ".join(noise), f"Share {'this' if i % 2 else 'it'}", f"seen {i} times by all who came"])))
+    got = {r.doc_id: r.text for r in line_templates.without_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = slow_lines(rows)
+    assert got == want and sum(got[d] != t for d, t in rows) > 300
+
+
 # Decontamination
 
 
@@ -359,7 +483,7 @@ def test_recall_against_brute_force(spark):
     truth = set()
     for r in items.collect():
         w = decontaminate.words_of(r.text)
-        truth |= {(d, r.item_id) for d, t in texts.items() if len(w) >= 5 and b" ".join(w) in b" ".join(t)}
+        truth |= {(d, r.item_id) for d, t in texts.items() if b" ".join(w) in b" ".join(t)}
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()}
     assert len(truth & got) >= 0.9 * len(truth) and len(got - truth) <= 0.1 * len(truth) + 2
 
@@ -389,6 +513,59 @@ def test_a_passage_that_keeps_only_the_common_words(spark):
     assert [(r.doc_id, r.item_id, r.answer) for r in got] == [(900, 7, True)] and abs(got[0].share - 2 / 3) < 1e-9
 
 
+def slow_found(item, text):
+    """Whether an item's words are found, by the longest common subsequence from every place of a text."""
+    own, words = decontaminate.words_of(item), decontaminate.words_of(text)
+    held = decontaminate.Items([(0, item)])
+    if len(own) < decontaminate.PHRASE_WORDS:
+        return bool(own) and any(words[i : i + len(own)] == own for i in range(len(words)))
+    reach = len(own) + max(2, len(own) // 4)
+    for i in range(len(words)):
+        there = words[i : i + reach]
+        share = decontaminate.lcs(own, there) / len(own)
+        if share >= decontaminate.SURE or share >= decontaminate.LIKELY and decontaminate.lcs(held.answers[0], there) >= decontaminate.ANSWER * len(held.answers[0]):
+            return True
+    return False
+
+
+def test_recall_of_planted_items_in_four_scripts(spark):
+    """Verbatim, with a quarter of the words replaced, and short; against a search of every item at every place."""
+    rng = np.random.default_rng(12)
+    letters = {"latin": (97, 26, 6, " ", ". "), "cyrillic": (0x430, 32, 6, " ", ". "), "arabic": (0x627, 20, 5, " ", ". "), "han": (0x4E00, 900, 1, "", "\u3002")}
+    items, docs, planted = [], [], {}
+    for script, (base, n_letters, size, space, stop) in letters.items():
+        spelled = lambda: "".join(chr(base + int(x)) for x in rng.integers(0, n_letters, size))
+        pool = [spelled() for _ in range(400)]
+        some = lambda n: [pool[int(x)] for x in (rng.pareto(0.6, n) * 8).astype(int) % len(pool)]
+        for kind, n in (("verbatim", 24), ("replaced", 30), ("short", 4)):
+            for _ in range(20):
+                words = [spelled() for _ in range(n)] if kind == "short" else some(n)
+                item_id, answer = len(items), words[-5:] if n > 5 else []
+                items.append((item_id, space.join(words[: n - 5]) + stop + space.join(answer) if answer else space.join(words)))
+                told = [w if kind != "replaced" or i >= n - 5 or rng.random() > 0.25 else spelled() for i, w in enumerate(words)]
+                docs.append((item_id, space.join([*some(150), *told, *some(80)])))
+                planted[item_id, item_id] = (script, kind)
+            docs += [(10_000 + len(docs) + i, space.join(some(200))) for i in range(5)]
+    truth = {(d, i) for d, t in docs for i, x in items if slow_found(x, t)}
+    assert set(planted) <= truth
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert got <= truth and len(got) >= 0.9 * len(truth)
+    n, hit = Counter(planted.values()), Counter(planted[x] for x in got if x in planted)
+    assert all(hit[k] >= 0.9 * n[k] for k in n), (n, hit)
+
+
+def test_short_items_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 6)
+    rows = [(1, "They said the Capital of France: Paris, of course."), (2, "the capital of France and Paris"), (3, "\u5317\u4eac\u662f\u4e2d\u56fd\u7684\u9996\u90fd\u3002"), (4, "yes it is so"), (None, "capital of france paris"), (5, None), (6, "one two three four five six seven eight nine")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, "capital of France Paris"), (2, "\u4e2d\u56fd\u7684\u9996\u90fd"), (3, "Yes."), (4, ""), (5, "one two three four five six seven eight nine"), (None, "said the capital")], "item_id long, text string")
+    got = decontaminate.contaminated(docs, items).collect()
+    assert sorted((r.doc_id or 0, r.item_id or 0, r.first_word, r.last_word) for r in got) == [(0, 1, 0, 3), (1, 0, 1, 3), (1, 1, 3, 6), (3, 2, 3, 7), (4, 3, 0, 0), (6, 5, 0, 8)]
+    kept = {r.doc_id for r in decontaminate.without_benchmark(docs, items).collect()}
+    assert kept == {2, 4, 5}
+
+
 # Packing
 
 
@@ -429,6 +606,76 @@ def test_packed_sequences(spark, data):
     assert sizes == {r.doc_id: len((r.text or "").split()) + 1 for r in docs.collect()}
 
 
+def slow_pack_limited(rows, capacity, of_source, of_cluster):
+    pieces = sorted(((min(capacity, n - f), d is not None, d or 0, f // capacity, c is not None, c or 0, s, d, f, c) for d, s, c, n in rows for f in range(0, n, capacity)), key=lambda p: (-p[0], *p[1:6], p[6] or ""))
+    bins, out = [], []
+    for n, _, _, piece, _, _, source, d, first, cluster in pieces:
+        fit = [(free, i) for i, (free, sources, clusters) in enumerate(bins) if free >= n and sources[source] < of_source.get(source, 1) and (cluster is None or clusters[cluster] < of_cluster.get(cluster, 1))]
+        if not fit:
+            bins.append([capacity, Counter(), Counter()])
+            fit = [(capacity, len(bins) - 1)]
+        free, i = min(fit)
+        out.append((i, d, source, piece, first, n, capacity - free))
+        bins[i][0] -= n
+        bins[i][1][source] += 1
+        bins[i][2][cluster] += 1
+    return out
+
+
+@given(
+    st.lists(st.tuples(st.integers(0, 30), st.sampled_from(["a", "b", "c", "d"]), st.one_of(st.none(), st.integers(0, 4)), st.integers(1, 25)), max_size=40),
+    st.dictionaries(st.sampled_from("abcd"), st.integers(1, 4)), st.dictionaries(st.integers(0, 4), st.integers(1, 3)),
+)
+@settings(deadline=None)
+def test_best_fit_with_limits(rows, of_source, of_cluster):
+    assert packing.pack(rows, 10, of_source, of_cluster) == slow_pack_limited(rows, 10, of_source, of_cluster)
+
+
+def test_fill_with_one_large_source(spark):
+    docs = table(spark, MIDDLE, "documents").withColumn("source", F.when(F.col("doc_id") % 10 != 0, "hot").otherwise(F.col("source")))
+    got = packing.packed(docs).collect()
+    used = {(r.shard, r.bin): r.fill for r in got}
+    n = Counter((r.shard, r.bin, r.source) for r in got)
+    assert sum(used.values()) / len(used) >= 0.9
+    assert all(x == 1 for (_, _, source), x in n.items() if source != "hot")
+    alone = packing.packed(docs, per_source=1, per_cluster=1, near=False).collect()
+    assert max(Counter((r.shard, r.bin, r.source) for r in alone).values()) == 1
+
+
+def test_repeated_rows_are_spread(spark):
+    docs = spark.createDataFrame([(None, None, "s")] * 600 + [(1, "the same words", "s")] * 600, "doc_id long, text string, source string")
+    got = packing.packed(docs, capacity=64, shard_docs=100).collect()
+    assert len({r.shard for r in got}) == 12 and len(got) == 1200
+    used = {(r.shard, r.bin): r.fill for r in got}
+    assert sum(used.values()) / len(used) > 0.8
+
+
+def test_near_duplicates_stand_in_different_sequences(spark):
+    words = [f"w{i}" for i in range(4000)]
+    rows = [(i, " ".join([*words[:-1], f"w{3999 + i % 2}"]), f"s{i}") for i in range(4)] + [(10 + i, f"a b c {i}", f"t{i}") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    bits = simhash.near_duplicates(docs).filter("doc_id < 4").select("component_id").distinct().count()
+    got = packing.packed(docs, capacity=20_000, per_source=1, per_cluster=1).collect()
+    assert bits == 1 and len({r.bin for r in got if r.doc_id < 4}) == 4
+
+
+def test_sequences_hold_the_words(spark, data):
+    docs = table(spark, data, "documents").union(table(spark, data, "documents").limit(3)).union(spark.createDataFrame([(None, None, "en", "s", 0), (None, None, "en", "s", 0), (5, None, "en", "s", 0)], table(spark, data, "documents").schema))
+    pieces = packing.packed(docs, capacity=512)
+    got = packing.sequences(docs, pieces).collect()
+    texts = Counter()
+    for r in got:
+        words = r.text.split(" ")
+        assert r.n == len(words) <= 512 and abs(r.fill - r.n / 512) < 1e-9 and r.doc_ids == [p.doc_id for p in r.pieces]
+        for p in r.pieces:
+            texts[p.doc_id, p.first, " ".join(words[p.offset : p.offset + p.n])] += 1
+    want = Counter()
+    for r in docs.collect():
+        words = [*(r.text or "").split(), packing.END]
+        want.update((r.doc_id, f, " ".join(words[f : f + 512])) for f in range(0, len(words), 512))
+    assert texts == want
+
+
 # Classifiers
 
 
@@ -456,6 +703,25 @@ def test_noisy_or_learns_instances_from_bags():
     assert model["weights"][0] > 3 + max(model["weights"][1:])
 
 
+def test_toxicity_in_a_script_without_spaces(spark):
+    rng = np.random.default_rng(6)
+    said = lambda n: "".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 300, n))
+    rows, labels = [], []
+    for i in range(400):
+        toxic = int(rng.random() < 0.3)
+        sentences = [said(12) for _ in range(6)]
+        if toxic:
+            sentences[2] = said(5) + chr(0x6BD2) + chr(0x836F) + said(5)
+        rows.append((i, chr(0x3002).join(sentences) + chr(0x3002)))
+        labels.append((i, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, known)
+    assert accuracy(toxicity.score(docs, model), known, "toxic") > 0.9
+    worst = [r for r in toxicity.score(docs, model).collect() if r.predicted]
+    assert worst and all(rows[r.doc_id][1][r.worst_start : r.worst_end].count(chr(0x6BD2) + chr(0x836F)) == 1 for r in worst if labels[r.doc_id][1])
+
+
 def test_quality_on_held_out_labels(spark):
     docs, labels = table(spark, MIDDLE, "documents"), table(spark, MIDDLE, "labels")
     assert accuracy(quality_rff.scored(docs, labels), labels, "quality") > 0.95
@@ -464,6 +730,22 @@ def test_quality_on_held_out_labels(spark):
 def test_isotonic():
     rates = quality_rff.isotonic(np.array([0.0, 3, 1, 0, 9]), np.array([5.0, 5, 5, 0, 10]))
     assert all(a <= b + 1e-12 for a, b in zip(rates, rates[1:], strict=False)) and rates[1] == pytest.approx(rates[2])
+    assert 0 < rates[0] < 0.1 and rates[1] == pytest.approx((4 + 4 * 13.5 / 26 / 4) / (10 + 1)) and 0.85 < rates[4] < 0.9
+    assert 0 < quality_rff.isotonic(np.array([0.0, 0]), np.array([3.0, 1])).max() < 0.2
+
+
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), min_size=1, max_size=12).filter(lambda x: any(a + b for a, b in x)))
+@settings(deadline=None)
+def test_isotonic_against_every_mean(rows):
+    """The rate of a bin is the largest least mean: max over starts up to it, min over ends from it."""
+    hits, misses = (np.array(x, float) for x in zip(*rows, strict=True))
+    totals = hits + misses
+    used = [i for i in range(len(rows)) if totals[i]]
+    more, share = 2 / len(used), (hits.sum() + 0.5) / (totals.sum() + 1)
+    mean = lambda a, z: sum(hits[i] + more * share for i in used[a : z + 1]) / sum(totals[i] + more for i in used[a : z + 1])
+    rates = quality_rff.isotonic(hits, totals)
+    for k, i in enumerate(used):
+        assert rates[i] == pytest.approx(max(min(mean(a, z) for z in range(k, len(used))) for a in range(k + 1)))
 
 
 def test_waves_approximate_a_gaussian_kernel():
@@ -496,4 +778,13 @@ def test_stages_take_effect(spark, data):
         if name == "decontamination":
             assert at.filter(f"doc_id = {10**6 + 20}").count() == 0
     packed = corpus_pipeline.STAGES[-1][1](spark, at, data)
-    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in at.select("doc_id").collect()}
+    said = Counter()
+    for r in packed.collect():
+        words = r.text.split(" ")
+        assert len(words) == r.n <= packing.CAPACITY
+        said.update((p.doc_id, p.first, " ".join(words[p.offset : p.offset + p.n])) for p in r.pieces)
+    want = Counter()
+    for r in at.select("doc_id", "text").collect():
+        words = [*(r.text or "").split(), packing.END]
+        want.update((r.doc_id, f, " ".join(words[f : f + packing.CAPACITY])) for f in range(0, len(words), packing.CAPACITY))
+    assert said == want
