@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import bounded, sliced
 from .objects import Name, Ref, Stream, Text
 from .writer import Builder, file_id, page_content, stream, with_pages
 
@@ -22,10 +23,10 @@ def built(rows: DataFrame, make: Callable[[dict], bytes], key: str) -> DataFrame
     cores = rows.sparkSession.sparkContext.defaultParallelism
     # A small table may have all its rows in one of few splits; making and parsing its files is worth all cores.
     rows = rows.repartition(4 * cores) if rows.rdd.getNumPartitions() < 4 * cores else rows
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    bounded(rows.sparkSession)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             cols = [c.to_pylist() for c in b.columns]
             made = [make(dict(zip(names, row, strict=True))) for row in zip(*cols, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([str(k) for k in cols[at]]), pa.array(made, pa.binary())], ["doc_key", "content"])

@@ -1,8 +1,9 @@
 """PDF files as tables.
 
 A file is parsed once in a Python worker, and each part asked for comes out as an array of rows in the document's row;
-``part`` turns one into a flat table. All parts of a document are made where its bytes are, without a shuffle; a file that
-can't be parsed gives a row with ``load_error`` and empty parts, and never fails the job.
+``part`` turns one into a flat table. All parts of a document are made where its bytes are, without a shuffle. A file never
+fails the job: one that can't be loaded gives a row with ``load_error`` and empty parts; where a part can't be made, that
+one is empty and ``part_errors`` names it; a number beyond its column's range is null.
 """
 
 from __future__ import annotations
@@ -14,16 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
 from ..functions import structure, text, validate
 from ..functions.codecs import is_binary
+from .batches import array_of, bounded, sliced
 from .document import Document, LoadError, load
 from .objects import Name, Stream, Text, kind_of, lossy, references, shown, tagged
 
-#: Files in one Arrow batch; each row carries its file's bytes.
-BATCH_FILES = 16
-
 
 def _documents(doc: Document) -> list[dict]:
     info, settings = structure.information(doc)
@@ -184,45 +183,44 @@ def files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
 
 
 def parse(found: DataFrame, parts: list[str], password: str | None = None, recovery: str = "lenient", options: dict | None = None) -> DataFrame:
-    """doc_key, load_error, and an array of rows for each part, of files with doc_key and content."""
-    spark = found.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_FILES))
+    """doc_key, load_error, part_errors, and an array of rows for each part, of files with doc_key and content."""
+    bounded(found.sparkSession)
     makers = {p: PARTS[p][1] for p in parts}
     rows = {p: StructType.fromDDL(PARTS[p][0]) for p in parts}
     kinds = {p: to_arrow_type(ArrayType(s)) for p, s in rows.items()}
     for name, given in (options or {}).items():
         makers[name] = lambda doc, make=makers[name], given=given: make(doc, **given)
     secret = None if password is None else password.encode()
+    errors_kind = pa.map_(pa.string(), pa.string())
+
+    def parsed(content: bytes | None) -> tuple[str | None, dict, dict]:
+        """load_error, part_errors and parts of one file, whatever is in it."""
+        try:
+            doc = load(content or b"", secret, recovery)
+        except LoadError as e:
+            return str(e), {}, {}
+        except Exception as e:  # noqa: BLE001
+            return f"{type(e).__name__}: {e}", {}, {}
+        failed, out = {}, {}
+        for p, make in makers.items():
+            try:
+                out[p] = make(doc)
+            except Exception as e:  # noqa: BLE001
+                failed[p] = f"{type(e).__name__}: {e}"
+        return None, failed, out
 
     def run(batches):
-        for b in batches:
-            made: dict[str, list] = {p: [] for p in parts}
-            errors = []
-            for content in b.column(1).to_pylist():
-                try:
-                    doc = load(content or b"", secret, recovery)
-                    out = {p: make(doc) for p, make in makers.items()}
-                    errors.append(None)
-                except LoadError as e:
-                    out = {}
-                    errors.append(str(e))
-                except (ValueError, TypeError, KeyError, IndexError, AttributeError, RecursionError) as e:
-                    out = {}
-                    errors.append(f"{type(e).__name__}: {e}")
-                for p in parts:
-                    made[p].append(out.get(p, []))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(errors, pa.string()), *(_array(made[p], kinds[p]) for p in parts)], ["doc_key", "load_error", *parts])
-
-    schema = StructType().add("doc_key", "string").add("load_error", "string")
+        for b in sliced(batches):
+            made = [parsed(content) for content in b.column(1).to_pylist()]
+            columns = [array_of([[*failed.items()] for _, failed, _ in made], errors_kind), *(array_of([out.get(p, []) for _, _, out in made], kinds[p]) for p in parts)]
+            yield pa.RecordBatch.from_arrays([b.column(0), array_of([e for e, _, _ in made], pa.string()), *columns], ["doc_key", "load_error", "part_errors", *parts])
+
+    schema = StructType().add("doc_key", "string").add("load_error", "string").add("part_errors", MapType(StringType(), StringType()))
     for p in parts:
         schema = schema.add(p, ArrayType(rows[p]))
     return found.select(F.col("doc_key").cast("string").alias("doc_key"), "content").mapInArrow(run, schema)
 
 
-def _array(rows: list, kind: pa.DataType) -> pa.Array:
-    return pa.array(rows, kind)
-
-
 def part(parsed: DataFrame, name: str) -> DataFrame:
     """A flat table of one part: doc_key and the part's columns."""
     return parsed.select("doc_key", F.inline(name))
