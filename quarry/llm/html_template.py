@@ -1,50 +1,87 @@
 """Main text of web pages by equivalence-class template deduction.
 
-A page is a row of tokens: containers (paths of block elements) and text blocks in them. Over all pages of a host each
-token has an occurrence vector, its count on every page; a commutative hash of (page, count) stands for the vector, so a
-host with any number of pages costs one aggregate row a token. Tokens with the same vector are an equivalence class. A
-class is valid if it holds on enough pages and its texts nest in a container of the same class; such texts are the
-template, and what is left in the containers are the slots. The article's slot is the one in article or main elements,
-else what is neither in the template nor in containers for menus, notices, adverts and the like, nor mere links.
-
-Defined results: null or empty html gives empty text; a null url has the host ''; repeated rows are read alike; an
-empty table gives an empty result; further columns are ignored; markup that isn't closed ends with the page; elements
-more than 400 deep count as part of the one above.
+A page is a row of tokens: containers (paths of block elements with their classes) and words, each with the path that it
+stands in and how many equal words of its block stand before it. Over all pages of a host each token has an occurrence
+vector, its count on every page; the sum of hashes of (page, count) stands for the vector, so a host with any number of
+pages costs a sum a token. Tokens with the same vector are an equivalence class. A class is valid if it holds on at least
+``MIN_PAGES`` different pages and its words nest in a container of the class; valid classes nest in one another as their
+containers do, and their words are the template. What is left are the slots:
+  a block all of whose words are template is template; one at least half of whose words are, too, if other slots are left;
+  in an article or main element a class must hold on ``MIN_PAGES_INSIDE`` pages to take a block, and where it would take
+  half the words there the pages are copies of one another, and it takes none.
+Slots in menus, headers, footers, sidebars, notices, adverts, forms and comments, as elements and class names tell, are no
+main text. Of the others those in article and main elements (or like-named ones) are chosen if they have at least half of
+the slots' words; else all that aren't mere links.
+
+A word whose vector over some of a host's pages is that of no container around it can't share a class with one over all
+of them. So every task keeps, of each host among its pages, the containers and the words for which that still holds (from a
+host's second page on few), and their sums are merged in two rounds: first of ``FAN`` tasks each, then all. No page's text
+moves for that. The template is broadcast where it has at most ``BROADCAST_WORDS`` words; where it has more, pages are joined
+with the part of it at their paths, and only pages for which there is one are shuffled.
+
+Defined results: null or empty html gives empty text; a null url has the host ''; repeated pages are read alike, and count as
+one page of those a class must hold on; an empty table gives an empty result; further columns are ignored; markup that
+isn't closed ends with the page; a host with fewer than MIN_PAGES different pages has no template.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import insort
+from collections import Counter
+from typing import NamedTuple
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import bounded_batches, table, written
 
-# Element names by how they are treated.
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select button canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-NOISE_ELEMENTS = frozenset("nav footer aside form head menu dialog fieldset".split())
+MIN_PAGES, MIN_PAGES_INSIDE, MAX_LINKS = 3, 10, 0.8
+#: Different pages of a class that are told apart: no less than the numbers above ask for.
+SUPPORT = 16
+#: Tokens that a task holds before it gives its hosts out, tasks merged at once, and words of a template that is broadcast.
+HELD, FAN, BROADCAST_WORDS = 400_000, 256, 200_000
+#: Bits in the filter of pages that hold words of a template; it only spares work.
+FILTER_BITS = 1 << 24
+
+# Elements by how they are treated; all others run within a line.
+BLOCK = frozenset(
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup html legend li "
+    "listing main menu nav noframes ol optgroup option p plaintext pre search section summary table tbody td tfoot th thead tr ul xmp".split()
+)
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RAW = frozenset("script style noscript template textarea title iframe svg select button canvas audio video annotation annotation-xml".split())
+#: Elements within which an open paragraph outside isn't closed by a block.
+SCOPES = frozenset("table td th caption object html".split())
+#: Elements that an opening tag of the same group closes.
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+NOISE_ELEMENTS = frozenset("nav footer aside head menu dialog search".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 NOISE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer "
+    "ad ads adsbygoogle advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs header footer "
     "comment comments disqus respond replies cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share "
-    "sharing social related recommended widget masthead toolbar pagination pager hidden".split()
+    "sharing social related recommended widget masthead toolbar pagination pager hidden search".split()
+)
+#: Words that may stand beside a noise word in a class name without telling of something else.
+PLAIN_WORDS = frozenset(
+    "area article articles bar block bottom box button buttons col component container content desktop first fixed footer form global group header inner item items last left link links list "
+    "local main mobile module outer page panel post posts primary reader region right row secondary section site slot small sticky stories story text title top unit user wrap wrapper zone".split()
 )
 ARTICLE_WORDS = frozenset("article content post entry story main".split())
-#: Elements that an opening tag of the same group closes.
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-KEPT_INSIDE_P = INLINE | VOID | RAW
+BESIDE_ARTICLE = frozenset("body text inner wrapper area page single the full".split())
+COMMENT_WORDS = frozenset("comment comments reply replies".split())
 
-_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>")
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_SPLIT = re.compile(r"[^a-z]+")
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>")
+_ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
+_NOT_SHOWN = re.compile(r"display\s*:\s*none")
 
 
 def host_of(url: str | None) -> str:
@@ -54,174 +91,516 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+def _seeded(text: str, seed: int) -> int:
+    """63 bits of a hash."""
+    return xxhash.xxh64_intdigest(text.encode(), seed) >> 1
+
+
+class Block(NamedTuple):
+    path: int
+    text: str
+    inside: bool  # an article or main element, or a like-named one
+    links: float  # the share of its characters in links
+    noise: bool
+
+
 class _Element:
-    __slots__ = ("name", "path", "noise", "rank", "link")
-
-    def __init__(self, name, path, noise, rank, link):
-        self.name, self.path, self.noise, self.rank, self.link = name, path, noise, rank, link
-
-
-def _opened(name: str, attributes: str, up: _Element) -> _Element:
-    got = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes.strip(" /") else {}
-    words = [w for k in ("class", "id") for w in _SPLIT.split(got.get(k, "").lower()) if w]
-    role = got.get("role", "").lower()
-    rank = max(up.rank, 2 if name == "article" or role == "article" else 1 if name == "main" or role == "main" or ARTICLE_WORDS & set(words) else 0)
-    noise = (
-        up.noise or name in NOISE_ELEMENTS or role in NOISE_ROLES or not NOISE_WORDS.isdisjoint(words) or "hidden" in got or got.get("aria-hidden") == "true"
-        or (not up.rank and (name == "header" or "header" in words)) or re.search(r"display\s*:\s*none", got.get("style", "")) is not None
-    )
-    inline = name in INLINE
-    path = up.path if inline else f"{up.path}/{name}" + "".join("." + w for w in words[:3])
-    return _Element(name, path[:400], noise, rank, up.link or name == "a")
-
-
-def blocks(page: str | None) -> list[tuple[str, str, int, float]]:
-    """(container path, text, rank, share of its characters in links) of each text block outside noise, in page order.
-
-    rank is 2 in an article element, 1 in a main or like-named one, else 0.
-    """
-    page = page or ""
-    out: list[tuple[str, str, int, float]] = []
-    stack = [_Element("", "", False, 0, False)]
-    parts: list[str] = []
-    owner, linked = stack[0], 0
-
-    def flush():
-        nonlocal linked
-        if parts:
-            text = _SPACE.sub(" ", "".join(parts)).strip()
-            if text:
-                out.append((owner.path, text, owner.rank, min(1.0, linked / len(text))))
-            parts.clear()
-        linked = 0
-
-    def say(raw: str):
-        nonlocal owner, linked
-        top = stack[-1]
-        if top.noise:
-            return
-        text = entities.unescape(raw) if "&" in raw else raw
-        if not parts:
-            owner = top
-        parts.append(text)
-        if top.link:
-            linked += len(text.strip())
-
-    at, end = 0, len(page)
-    while at < end:
-        i = page.find("<", at)
-        if i < 0:
-            say(page[at:])
-            break
-        if i > at:
-            say(page[at:i])
-        at = i
-        if page.startswith("<!--", i):
-            j = page.find("-->", i + 4)
-            at = end if j < 0 else j + 3
-            continue
-        follows = page[i + 1 : i + 2]
-        if follows and follows in "!?":
-            j = page.find(">", i)
-            at = end if j < 0 else j + 1
-            continue
-        if not (follows.isascii() and follows.isalpha()) and not (follows == "/" and page[i + 2 : i + 3].isalpha()):
-            say("<")
-            at = i + 1
-            continue
-        m = _TAG.match(page, i)
-        if m is None:  # the page ends inside a tag
-            break
-        at, name = m.end(), m[1].lower()
-        if follows == "/":
-            if name in INLINE:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].name == name:
-                        del stack[k]
-                        break
-                    if stack[k].name not in INLINE:
-                        break
-            elif any(e.name == name for e in stack):
-                flush()
-                while stack[-1].name != name:
-                    stack.pop()
-                stack.pop()
-            elif name == "p":
+    __slots__ = ("inside", "link", "name", "noise", "path", "suspects")
+
+    def __init__(self, name, path, noise, inside, link, suspects):
+        self.name, self.path, self.noise, self.inside, self.link, self.suspects = name, path, noise, inside, link, suspects
+
+
+class _Suspect:
+    """An element that may be noise: a form, or one whose class says so. It isn't if it holds what makes it the article."""
+
+    __slots__ = ("form", "heads", "n_chars")
+
+    def __init__(self, form: bool):
+        self.form, self.heads, self.n_chars = form, False, 0
+
+    def noise(self, total: int) -> bool:
+        return not (self.heads or (self.form and 2 * self.n_chars >= total))
+
+
+def _told(name: str, tokens: list[list[str]], inside: bool) -> bool:
+    """Whether a class or id names noise: words for it, and no word for anything else."""
+    if name in ("html", "body", "main"):
+        return False
+    if name == "article":
+        return any(t and set(t) <= COMMENT_WORDS | {"user", "reader"} and not COMMENT_WORDS.isdisjoint(t) for t in tokens)
+    if any(_names_article(t) for t in tokens):
+        return False
+    words = NOISE_WORDS - {"header"} if inside else NOISE_WORDS
+    return any(not words.isdisjoint(t) and words.issuperset(set(t) - PLAIN_WORDS) for t in tokens)
+
+
+def _names_article(words: list[str]) -> bool:
+    return not ARTICLE_WORDS.isdisjoint(words) and ARTICLE_WORDS.issuperset(set(words) - BESIDE_ARTICLE)
+
+
+class Page:
+    """A page's blocks, and the paths of its containers with their counts and the paths they stand in."""
+
+    def __init__(self, page: str | None, host: str = ""):
+        self.found: list[tuple[int, str, bool, float, bool, tuple]] = []
+        self.counts: Counter[int] = Counter()
+        self.up: dict[int, int] = {}
+        self._paths: dict[tuple[int, str, str], int] = {}
+        self.root = _seeded(host, 1)
+        self.total = 0
+        self._read(page or "")
+        self.blocks = [Block(p, t, i, s, n or any(x.noise(self.total) for x in some)) for p, t, i, s, n, some in self.found]
+
+    def _opened(self, name: str, attributes: str, up: _Element) -> _Element:
+        got = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes.strip(" /") else {}
+        said, role = f"{got.get('class', '')} {got.get('id', '')}", got.get("role", "").lower()
+        tokens = [[w.lower() for w in _WORDS.findall(t)] for t in said.split()] if said != " " else []
+        own = name in ("article", "main") or role in ("article", "main") or (name in BLOCK and name != "body" and any(_names_article(t) for t in tokens))
+        inside = up.inside or own
+        noise = (
+            up.noise or name in NOISE_ELEMENTS or (role in NOISE_ROLES and name not in ("body", "main", "article", "form")) or "hidden" in got or got.get("aria-hidden") == "true"
+            or (name == "header" and not up.inside) or ("style" in got and _NOT_SHOWN.search(got["style"]) is not None)
+        )
+        suspects = up.suspects
+        if not noise:
+            if name in ("form", "fieldset"):
+                suspects = (*suspects, _Suspect(True))
+            elif tokens and _told(name, tokens, up.inside):
+                header = any("header" in t for t in tokens)
+                noise = header
+                suspects = suspects if header else (*suspects, _Suspect(False))
+        path = up.path
+        if name in BLOCK:
+            key = (up.path, name, " ".join(sorted({" ".join(t) for t in tokens})))
+            path = self._paths.get(key)
+            if path is None:
+                path = self._paths[key] = _seeded(f"{name} {key[2]}", up.path)
+                self.up[path] = up.path
+            self.counts[path] += 1
+        return _Element(name, path, noise, inside, up.link or name == "a", suspects)
+
+    def _read(self, page: str) -> None:
+        stack = [_Element("", self.root, False, False, False, ())]
+        self.up[self.root], self.counts[self.root] = self.root, 1
+        n_open: Counter[str] = Counter()
+        parts: list[str] = []
+        owner, linked, headed = stack[0], 0, False
+
+        def flush():
+            nonlocal linked
+            if parts:
+                text = _SPACE.sub(" ", "".join(parts)).strip()
+                if text:
+                    self.found.append((owner.path, text, owner.inside, min(1.0, linked / len(text)), owner.noise, owner.suspects))
+                    self.total += len(text)
+                    for s in owner.suspects:
+                        s.n_chars += len(text)
+                parts.clear()
+            linked = 0
+
+        def say(raw: str):
+            nonlocal owner, linked
+            top = stack[-1]
+            if top.noise:
+                return
+            text = entities.unescape(raw) if "&" in raw else raw
+            if parts and top.suspects != owner.suspects and text.strip():
+                flush()  # noise within a line is a block of its own
+            if not parts:
+                owner = top
+            parts.append(text)
+            if top.link:
+                linked += len(text.strip())
+
+        def close():
+            n_open[stack.pop().name] -= 1
+
+        at, end = 0, len(page)
+        while at < end:
+            i = page.find("<", at)
+            if i < 0:
+                say(page[at:])
+                break
+            if i > at:
+                say(page[at:i])
+            at = i
+            if page.startswith("<!--", i):
+                j = page.find("-->", i + 4)
+                at = end if j < 0 else j + 3
+                continue
+            follows = page[i + 1 : i + 2]
+            if follows and follows in "!?":
+                j = page.find(">", i)
+                at = end if j < 0 else j + 1
+                continue
+            if not (follows.isascii() and follows.isalpha()) and not (follows == "/" and page[i + 2 : i + 3].isalpha()):
+                say("<")
+                at = i + 1
+                continue
+            m = _TAG.match(page, i)
+            if m is None:  # the page ends inside a tag
+                break
+            at, name = m.end(), m[1].lower()
+            if follows == "/":
+                if name in BLOCK:
+                    if n_open[name] > 0:
+                        flush()
+                        while stack[-1].name != name:
+                            close()
+                        close()
+                    elif name == "p":
+                        flush()
+                elif n_open[name] > 0:
+                    for k in range(len(stack) - 1, 0, -1):
+                        if stack[k].name == name:
+                            del stack[k]
+                            n_open[name] -= 1
+                            break
+                        if stack[k].name in BLOCK:
+                            break
+                continue
+            if name == "br":
+                say(" ")
+            elif name in RAW:
+                if not m[2].rstrip().endswith("/"):
+                    ends = re.compile(f"</{name}[^>]*>", re.IGNORECASE).search(page, at)
+                    at = ends.end() if ends else end
+            elif name == "hr":
                 flush()
-            continue
-        if name == "br":
-            say(" ")
-        elif name in RAW:
-            if not m[2].rstrip().endswith("/"):
-                close = re.compile(f"</{name}[^>]*>", re.IGNORECASE).search(page, at)
-                at = close.end() if close else end
-        elif name not in VOID:
-            if name not in INLINE:
-                flush()
-                if any(e.name == "p" for e in stack[-8:]):
-                    while stack[-1].name in INLINE or stack[-1].name == "p":
-                        stack.pop()
-                if name in CLOSES:
-                    while stack[-1].name in INLINE or stack[-1].name in CLOSES[name]:
-                        stack.pop()
-            if len(stack) < 400:
-                stack.append(_opened(name, m[2], stack[-1]))
-        elif name == "hr":
-            flush()
-    flush()
-    return out
+            elif name not in VOID:
+                if name in BLOCK:
+                    flush()
+                    if n_open["p"] > 0:
+                        k = len(stack) - 1
+                        while stack[k].name != "p" and stack[k].name not in SCOPES and k > 0:
+                            k -= 1
+                        if stack[k].name == "p":
+                            while len(stack) > k:
+                                close()
+                    if name in CLOSES:
+                        while len(stack) > 1 and (stack[-1].name not in BLOCK or stack[-1].name in CLOSES[name]):
+                            close()
+                stack.append(self._opened(name, m[2], stack[-1]))
+                n_open[name] += 1
+                if name == "h1" and not headed and not stack[-1].noise:
+                    headed = True
+                    for s in stack[-1].suspects:
+                        s.heads = True
+        flush()
+
+    def chain(self, path: int) -> list[int]:
+        """A container and those around it, up to the page."""
+        out = [path]
+        while self.up[path] != path:
+            path = self.up[path]
+            out.append(path)
+        return out
+
+    def words(self) -> Counter:
+        """Count of each word token (path, word, which one of its block) outside noise."""
+        counts: Counter[tuple[int, str, int]] = Counter()
+        for b in self.blocks:
+            if not b.noise:
+                counts.update(_numbered(b))
+        return counts
+
+
+def _numbered(block: Block):
+    """The block's word tokens."""
+    seen: dict[str, int] = {}
+    for w in block.text.split():
+        seen[w] = k = seen.get(w, 0) + 1
+        yield block.path, w, k
+
+
+def _token(path: int, word: str, k: int) -> int:
+    return _seeded(word, path + k)
+
+
+def blocks(page: str | None) -> list[tuple[int, str, bool, float]]:
+    """(container path, text, whether in an article, share of its characters in links) of each text block outside noise."""
+    return [b[:4] for b in Page(page).blocks if not b.noise]
+
+
+def chosen(blocks: list[Block], fixed: dict[int, int], max_links: float = MAX_LINKS, min_pages_inside: int = MIN_PAGES_INSIDE, paths=None) -> list[Block]:
+    """The main text's blocks; fixed has the template's word tokens, with the number of pages of their classes, and paths the
+    paths that have any, if that is known."""
+    live = [b for b in blocks if not b.noise]
+    size = lambda some: sum(len(b.text) for b in some)
+    slots, mixed = live, []
+    if fixed:
+        slots = []
+        for b in live:
+            found = [fixed.get(_token(*t), 0) >= (min_pages_inside if b.inside else 1) for t in _numbered(b)] if paths is None or b.path in paths else [False]
+            if 2 * sum(found) < len(found):
+                slots.append(b)
+            elif not all(found):
+                mixed.append(b)
+        inside = [b for b in live if b.inside]
+        if inside and 2 * size(b for b in slots if b.inside) < size(inside):
+            own = set(map(id, inside)) | set(map(id, slots))
+            slots = [b for b in live if id(b) in own]
+        slots = slots or mixed or live
+    inside = [b for b in slots if b.inside]
+    if inside and 2 * size(inside) >= size(slots):
+        return inside
+    return [b for b in slots if b.links < max_links] or slots
+
+
+HELD_KIND = (
+    "host long, task long, paths array<long>, up array<int>, vectors array<long>, pages array<long>, some array<array<long>>, words array<long>, at array<int>, same array<int>"
+)
+_KINDS = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+CLASSES = "host long, vector long, n_pages long, support long, containers array<long>, around array<long>, words array<struct<path: bigint, token: bigint>>"
+_CLASS_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.struct([("path", pa.int64()), ("token", pa.int64())]))]
+_MASK = (1 << 62) - 1
+
+
+def _mixed(page: int, n: int) -> int:
+    return xxhash.xxh64_intdigest(n.to_bytes(8, "little") + page.to_bytes(8, "little"), 5) & _MASK
+
+
+class Tokens:
+    """Tokens of some pages of a host: of each the sum that stands for its vector, and its number of pages."""
+
+    def __init__(self, host: int):
+        self.host = host
+        self.containers: dict[int, list] = {}  # path: sum, pages, the path around it, the least hashes of different pages
+        self.words: dict[object, list] = {}  # token: sum, pages, path
+
+    def chain(self, path: int) -> list[int]:
+        out = [path]
+        while (up := self.containers[path][2]) != path:
+            out.append(path := up)
+        return out
+
+    def add(self, page: Page, key: int) -> None:
+        """Count a page."""
+        hashes = {n: _mixed(key, n) for n in set(page.counts.values())}
+        new = set()
+        for path, n in page.counts.items():
+            got = self.containers.get(path)
+            if got is None:
+                new.add(path)
+                self.containers[path] = [hashes[n], 1, page.up[path], [key]]
+            else:
+                got[0] = (got[0] + hashes[n]) & _MASK
+                got[1] += 1
+                _less(got[3], key)
+        # A word that comes first after all containers around it can't have their vectors.
+        open_ = {path: [c for c in page.chain(path) if c in new] for path in page.counts} if new else {}
+        known = {w[2] for w in self.words.values()}
+        counts: Counter = Counter()
+        for b in page.blocks:
+            if not b.noise and (b.path in known or open_.get(b.path)):
+                counts.update(_numbered(b))
+        for token, n in counts.items():
+            got = self.words.get(token)
+            if got is not None:
+                got[0] = (got[0] + (hashes.get(n) or _mixed(key, n))) & _MASK
+                got[1] += 1
+            elif any(page.counts[c] == n for c in open_.get(token[0], ())):
+                self.words[token] = [hashes[n], 1, token[0]]
+        self.prune()
+
+    def merge(self, paths, up, vectors, pages, some, words, at, same) -> None:
+        """Count what another of these holds."""
+        new = set()
+        for path, u, vector, n, keys in zip(paths, up, vectors, pages, some, strict=True):
+            got = self.containers.get(path)
+            if got is None:
+                new.add(path)
+                self.containers[path] = [vector, n, paths[u], list(keys)]
+            else:
+                got[0] = (got[0] + vector) & _MASK
+                got[1] += n
+                for key in keys:
+                    _less(got[3], key)
+        here = dict(zip(paths, zip(vectors, pages, strict=True), strict=True))
+        for token, a, s in zip(words, at, same, strict=True):
+            got, path = self.words.get(token), paths[a]
+            if got is not None:
+                got[0] = (got[0] + vectors[s]) & _MASK
+                got[1] += pages[s]
+            elif any(c in new and here[c] == (vectors[s], pages[s]) for c in self.chain(path)):
+                self.words[token] = [vectors[s], pages[s], path]
+        self.prune()
+
+    def _same(self, word: list) -> int | None:
+        """A container around a word with its vector."""
+        return next((c for c in self.chain(word[2]) if self.containers[c][0] == word[0] and self.containers[c][1] == word[1]), None)
+
+    def prune(self) -> None:
+        """Words that have no container's vector any more go."""
+        for token in [t for t, w in self.words.items() if self._same(w) is None]:
+            del self.words[token]
+
+    def row(self, task: int) -> tuple:
+        order = {path: i for i, path in enumerate(self.containers)}
+        held = [*self.containers.values()]
+        words = [(t if isinstance(t, int) else _token(*t), order[w[2]], order[self._same(w)]) for t, w in self.words.items()]
+        return self.host, task, [*order], [order[c[2]] for c in held], [c[0] for c in held], [c[1] for c in held], [c[3] for c in held], [t for t, _, _ in words], [a for _, a, _ in words], [s for _, _, s in words]
+
+    def classes(self, min_pages: int):
+        """The valid classes: of what is left every word has the vector of a container around it."""
+        by_vector: dict[tuple[int, int], tuple[list, list]] = {}
+        for path, c in self.containers.items():
+            by_vector.setdefault((c[0], c[1]), ([], []))[0].append(path)
+        for token, w in self.words.items():
+            by_vector[w[0], w[1]][1].append({"path": w[2], "token": token})
+        for (vector, n), (paths, words) in by_vector.items():
+            support = len(self.containers[paths[0]][3])
+            if words and support >= min_pages:
+                own = set(paths)
+                around = {next((c for c in self.chain(p) if c not in own), None) for p in paths} - {None}
+                yield self.host, vector, n, support, paths, sorted(around), words
+
+
+def _less(keys: list[int], key: int) -> None:
+    """Keep a list of the SUPPORT least different keys."""
+    if key not in keys and (len(keys) < SUPPORT or key < keys[-1]):
+        insort(keys, key)
+        del keys[SUPPORT:]
+
+
+def _table(rows: list[tuple], names: str, kinds: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * len(kinds), kinds, strict=True)], re.findall(r"(\w+) (?:long|array)", names))
+
+
+def page_tokens(pages: DataFrame) -> DataFrame:
+    """Of each host in a task's pages the containers and the words that may share a class with one."""
+    bounded_batches(pages.sparkSession)
 
+    def run(batches):
+        held: dict[int, Tokens] = {}
+        task, n = TaskContext.get().partitionId(), 0
 
-def _key(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode()) >> 1 or 1
+        def given():
+            rows = [h.row(task) for h in held.values()]
+            held.clear()
+            for i in range(0, len(rows), 256):
+                yield _table(rows[i : i + 256], HELD_KIND, _KINDS)
 
+        for b in batches:
+            for url, page in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                p = Page(page, host_of(url))
+                tokens = held.setdefault(p.root, Tokens(p.root))
+                n -= len(tokens.words) + len(tokens.containers)
+                tokens.add(p, _seeded(page, 3))
+                n += len(tokens.words) + len(tokens.containers)
+                if n > HELD:
+                    yield from given()
+                    n = 0
+        yield from given()
 
-PARSED = "page_id long, url string, host string, blocks array<struct<path string, text string, token long, rank int, links double>>"
+    return pages.select("url", "html").filter("html <> ''").mapInArrow(run, HELD_KIND)
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host and the blocks of every page; token is a hash of a block's text."""
-    bounded_batches(pages.sparkSession)
-    kind = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("token", pa.int64()), ("rank", pa.int32()), ("links", pa.float64())]))
+def _hosts(batches, n_keys: int):
+    """Tokens merged over rows that follow one another with the same leading keys."""
+    at, held = None, None
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if row[:n_keys] != at:
+                if held is not None:
+                    yield at, held
+                at, held = row[:n_keys], Tokens(row[0])
+            held.merge(*row[2:])
+    if held is not None:
+        yield at, held
+
+
+def template(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """The valid classes of all hosts: host, vector, n_pages, support (different pages, counted up to SUPPORT), containers
+    (paths), around (the nearest containers around them, of the classes it nests in) and words (path, token)."""
+
+    def some(batches):
+        for (_, task), tokens in _hosts(batches, 2):
+            yield _table([tokens.row(task)], HELD_KIND, _KINDS)
+
+    def all_of(batches):
+        for _, tokens in _hosts(batches, 1):
+            rows = list(tokens.classes(min_pages))
+            for i in range(0, len(rows), 256):
+                yield _table(rows[i : i + 256], CLASSES, _CLASS_KINDS)
+
+    # What meets in a task is a row of each of FAN tasks, then of each FAN-th of all tasks, none longer than a few pages.
+    rows = page_tokens(pages).withColumn("task", F.floor(F.col("task") / FAN).cast("long"))
+    rows = rows.repartition("host", "task").sortWithinPartitions("host", "task").mapInArrow(some, HELD_KIND)
+    return rows.repartition("host").sortWithinPartitions("host").mapInArrow(all_of, CLASSES)
+
+
+def _key():
+    return F.xxhash64("url", "html")
+
+
+FIXED = "array<struct<token: bigint, support: bigint>>"
+
+
+def _held_by_page(pages: DataFrame, by_path: DataFrame) -> DataFrame:
+    """key (of url and html), fixed (the template's words at the page's paths), of pages that have such."""
 
     def run(batches):
         for b in batches:
-            found = [[{"path": p, "text": t, "token": _key(t), "rank": r, "links": s} for p, t, r, s in blocks(h)] for h in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([host_of(u) for u in b.column(1).to_pylist()]), pa.array(found, kind)], ["page_id", "url", "host", "blocks"])
+            rows = [(key, path) for url, page, key in zip(*(c.to_pylist() for c in b.columns), strict=True) for path in {x.path for x in Page(page, host_of(url)).blocks if not x.noise}]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([p for _, p in rows], pa.int64())], ["key", "path"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, PARSED)
+    at = pages.select("url", "html", _key().alias("key")).filter("html <> ''").mapInArrow(run, "key long, path long")
+    return written(at.distinct().join(by_path, "path").groupBy("key").agg(F.flatten(F.collect_list("fixed")).alias("fixed")), "page-templates")
 
 
-def occurrences(pages: DataFrame) -> DataFrame:
-    """host, path, token (0 for the container itself), vector (a hash of its counts on all pages of the host), n_pages, n_chars."""
-    one = F.xxhash64("page_id", "url")
-    tokens = pages.select("host", one.alias("page"), F.explode("blocks").alias("b")).select(
-        "host", "page", F.col("b.path").alias("path"), F.explode(F.array(F.lit(0).cast("long"), F.col("b.token"))).alias("token"), F.length("b.text").alias("n_chars")
-    )
-    by_page = tokens.groupBy("host", "path", "token", "page").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
-    return by_page.groupBy("host", "path", "token").agg(F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("n_pages"), F.sum("n_chars").alias("n_chars"))
+def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, max_links: float = MAX_LINKS, min_pages_inside: int = MIN_PAGES_INSIDE) -> DataFrame:
+    """page_id, url, text, n_chars of every page."""
+    bounded_batches(pages.sparkSession)
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    found = template(pages, min_pages).select("support", F.explode("words").alias("w"))
+    # Words at one path belong to classes of containers around it: as many as its depth, none longer than a page.
+    by_path = found.groupBy(F.col("w.path").alias("path")).agg(F.collect_list(F.struct(F.col("w.token").alias("token"), "support")).alias("fixed"))
+    by_path = written(by_path, "template")
+    size = by_path.agg(F.sum(F.size("fixed"))).first()[0] or 0
+    shared = None
+    if size <= BROADCAST_WORDS:
+        shared = pages.sparkSession.sparkContext.broadcast({r.path: {f.token: f.support for f in r.fixed} for r in by_path.toLocalIterator()})
 
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part, texts = b.slice(i, 256), []
+                for url, html, *some in zip(*(part.column(k).to_pylist() for k in range(1, part.num_columns)), strict=True):
+                    page = Page(html, host_of(url))
+                    if shared is None:
+                        fixed, paths = {f["token"]: f["support"] for f in some[0] or ()}, None
+                    else:
+                        paths = {x.path for x in page.blocks} & shared.value.keys()
+                        fixed = {t: n for path in paths for t, n in shared.value[path].items()}
+                    texts.append("\n\n".join(x.text for x in chosen(page.blocks, fixed, max_links, min_pages_inside, paths)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    out = "page_id long, url string, text string, n_chars long"
+    if shared is not None:
+        return pages.mapInArrow(run, out)
+    fixed = _held_by_page(pages, by_path)
+    bits = pages.sparkSession.sparkContext.broadcast(_filter_of(fixed))
+
+    def split(batches):
+        held = np.unpackbits(bits.value).view(bool)
+        for b in batches:
+            yield b.append_column("hit", pa.array(held[b.column(3).to_numpy(zero_copy_only=False) % FILTER_BITS]))
 
-def template(vectors: DataFrame, min_pages: int = 3) -> DataFrame:
-    """host, path, token, vector: texts in a valid equivalence class, which is one that their container belongs to."""
-    containers = vectors.filter(F.col("token") == 0).select("host", "path", "vector")
-    texts = vectors.filter((F.col("token") != 0) & (F.col("n_pages") >= min_pages))
-    return texts.join(containers, ["host", "path", "vector"]).select("host", "path", "token", "vector")
+    # Pages without a word of the template stay where they are.
+    marked = pages.select("page_id", "url", "html", _key().alias("own")).mapInArrow(split, "page_id long, url string, html string, own long, hit boolean")
+    plain = marked.filter("NOT hit").select("page_id", "url", "html", F.lit(None).cast(FIXED).alias("fixed"))
+    hit = marked.filter("hit").join(fixed, F.col("own") == F.col("key"), "left").select("page_id", "url", "html", "fixed")
+    return plain.unionByName(hit).mapInArrow(run, out)
 
 
-def main_text(pages: DataFrame, min_pages: int = 3, max_links: float = 0.8) -> DataFrame:
-    """page_id, url, text, n_chars of every page."""
-    read = written(parsed(pages), "pages")
-    fixed = template(written(occurrences(read), "vectors"), min_pages)
-    # A text of the template is on all pages that have its container, so a host's list is no longer than one page.
-    fixed = written(fixed.groupBy("host").agg(F.collect_set(F.struct("path", "token")).alias("fixed")), "template")
-    best = F.array_max(F.transform("blocks", lambda b: b.rank))
-    slots = F.filter(
-        "blocks",
-        lambda b: F.when(best > 0, b.rank == best).otherwise((b.links < max_links) & ~F.coalesce(F.exists("fixed", lambda f: (f.path == b.path) & (f.token == b.token)), F.lit(False))),
-    )
-    text = F.array_join(F.transform(slots, lambda b: b.text), "\n\n")
-    return read.join(fixed, "host", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+def _filter_of(fixed: DataFrame) -> np.ndarray:
+    """A bit map of the pages' keys, of a fixed size."""
+    out = np.zeros(FILTER_BITS, bool)
+    for r in fixed.select(F.expr(f"pmod(key, {FILTER_BITS})").cast("int").alias("at")).distinct().toLocalIterator():
+        out[r.at] = True
+    return np.packbits(out)
 
 
 def op2_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -317,6 +317,114 @@ def test_articles_keep_repeated_paragraphs(spark):
     assert {r.text for r in html_template.main_text(pages).collect()} == {f"the same\n\npage {i}" for i in range(5)}
 
 
+def slow_main_text(rows, min_pages=html_template.MIN_PAGES):
+    """By whole occurrence vectors, host by host: {(page_id, url): text} of (page_id, url, html)."""
+    hosts = {}
+    for _, url, page in rows:
+        if page:
+            hosts.setdefault(html_template.host_of(url), {})[page] = html_template.Page(page, html_template.host_of(url))
+    fixed = {}
+    for host, pages in hosts.items():
+        containers, words, of = {}, {}, {}
+        for i, page in enumerate(pages.values()):
+            for path, n in page.counts.items():
+                containers.setdefault(path, {})[i] = n
+                of[path] = page.chain(path)
+            for token, n in page.words().items():
+                words.setdefault(token, {})[i] = n
+        fixed[host] = {html_template._token(*t): len(v) for t, v in words.items() if len(v) >= min_pages and any(containers[c] == v for c in of[t[0]])}
+    out = {}
+    for page_id, url, page in rows:
+        host = html_template.host_of(url)
+        blocks = html_template.Page(page, host).blocks
+        out[page_id, url] = "\n\n".join(b.text for b in html_template.chosen(blocks, fixed.get(host, {})))
+    return out
+
+
+def site(rng, host, n, n_items=6):
+    """Pages without an article element or a telling class, and the main text of each."""
+    vocabulary = [f"{chr(97 + int(a))}{chr(97 + int(b))}{chr(97 + int(c))}" for a, b, c in rng.integers(0, 26, (400, 3))]
+    said = lambda k: " ".join(vocabulary[int(x)] for x in np.minimum(rng.zipf(1.3, k), 400) - 1)
+    names = ["".join(chr(97 + int(x)) for x in rng.integers(0, 26, 7)) for _ in range(6)]
+    motto, notice, items = said(8), said(25), [said(2) for _ in range(n_items)]
+    out = []
+    for i in range(n):
+        main = [said(6), *[said(int(rng.integers(15, 60))) for _ in range(int(rng.integers(2, 6)))]]
+        links = "".join(f"<li><a href=/{j}>{x}</a></li>" for j, x in enumerate(items))
+        extra = f"<table><tr><td>{said(20)}</td><td>{said(9)}</td></tr></table>" if i % 3 == 0 else ""
+        more = [b for b in re.findall("<td>(.*?)</td>", extra)]
+        page = f"""<html><body><div class={names[0]}><p>{motto}</p><ul>{links}</ul></div><div class={names[1]}><h2>{main[0]}</h2>{"".join(f"<p>{x}</p>" for x in main[1:])}{extra}</div>
+        <div class={names[2]}>Page {i + 1} of {n}</div><div class={names[3]}><p>{notice}</p></div></body></html>"""
+        out.append((page, "\n\n".join([*main, *more])))
+    return [(f"http://{host}/{i}", page, text) for i, (page, text) in enumerate(out)]
+
+
+def f1(got, want):
+    a, b = Counter(got.split()), Counter(want.split())
+    return 2 * sum((a & b).values()) / max(1, sum(a.values()) + sum(b.values()))
+
+
+@pytest.mark.parametrize("way", ["broadcast", "joined"])
+def test_sites_without_telling_elements(spark, monkeypatch, way):
+    monkeypatch.setattr(html_template, "FAN", 3)
+    if way == "joined":
+        monkeypatch.setattr(html_template, "BROADCAST_WORDS", 0)
+        monkeypatch.setattr(html_template, "HELD", 900)
+    rng = np.random.default_rng(9)
+    made = [x for h, n in (("a.example", 60), ("b.example", 25), ("c.example", 7), ("d.example", 3), ("e.example", 1), ("www.f.example", 12)) for x in site(rng, h, n)]
+    rows = [(i, url, page) for i, (url, page, _) in enumerate(made)]
+    rows += [(i + 10_000, url, page) for i, url, page in rows[:9]] + [(20_000, None, "<p>no host"), (20_001, "http://a.example/x", None), (20_002, "http://a.example/y", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    got = {(r.page_id, r.url): r.text for r in html_template.main_text(pages).collect()}
+    assert got == slow_main_text(rows)
+    scores = [f1(got[i, url], text) for i, (url, _, text) in enumerate(made) if "d.example" not in url and "e.example" not in url]
+    assert min(scores) >= 0.8 and sum(scores) / len(scores) >= 0.97, (min(scores), sum(scores) / len(scores))
+    off = {(r.page_id, r.url): r.text for r in html_template.main_text(pages, min_pages=10**6).collect()}
+    assert sum(off[k] != got[k] for k in got) > 90 and sum(f1(off[i, u], t) for i, (u, _, t) in enumerate(made)) / len(made) < 0.9
+
+
+def test_classes_nest(spark):
+    rng = np.random.default_rng(3)
+    pages = spark.createDataFrame([(i, url, page) for i, (url, page, _) in enumerate(site(rng, "a.example", 12))], "page_id long, url string, html string")
+    found = html_template.template(pages).collect()
+    top = max(found, key=lambda r: r.n_pages)
+    assert top.n_pages == 12 and len(top.words) > 20 and len(top.containers) >= 4
+    own = {c: r.vector for r in found for c in r.containers}
+    assert all(a not in r.containers for r in found for a in r.around) and len(own) == sum(len(r.containers) for r in found)
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<body class='single has-sidebar'><h1>Head</h1><p>Body text", "Head|Body text"),
+    ("<form id=aspnet><h1>Head</h1><p>All of the page is in a form</p><input><select><option>x</select></form>", "Head|All of the page is in a form"),
+    ("<p>the long main text of this page is here</p><form><label>Your name</label><input></form>", "the long main text of this page is here"),
+    ("<article class='post comments-open'><p>kept</p></article>", "kept"),
+    ("<article><p>one</p><p id=share-price>two</p><div class=related-work>three</div><p class='share-buttons'>no</p></article>", "one|two|three"),
+    ("<p>where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and <object>shown</object> hold", "where x=2 and shown hold"),
+    ("<p title=Bob's>first</p><p title='a>b'>second</p><p title=\"it's\">third", "first|second|third"),
+    ("<main><p>a text outside of it</p><article><p>inside</p></article><p>and after</p></main>", "a text outside of it|inside|and after"),
+    ("<article><p>the article</p><div class=comment-list><article class=comment><p>said a reader</p></article></div><article class='user-comment'>so</article></article>", "the article"),
+    ("<div class=site-header>Site</div><header>Top</header><h1>Head</h1><p>Text of it</p><aside>Side</aside><div class='alert alert-info'>Notice</div><footer>End</footer>", "Head|Text of it"),
+    ("<div class=widget><h1>Head</h1><p>Text</p></div><div class=widget>No</div>", "Head|Text"),
+    ("<article><header><h1>Head</h1></header><p>Text<nav>No</nav><ul><li>one<li>two<ul><li>three</ul></ul>tail</article>", "Head|Text|one|two|three|tail"),
+    ("<x-page><p>own <x-word>element</x-word> names</x-page>", "own element names"),
+    ("<p>a<table><tr><td><p>b</td><td>c</table>d", "a|b|c|d"),
+    ("<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>after", "deep|after"),
+    ("x < y &amp; z<br>next &lt;b&gt;<!-- no --><script>no()</script><style>no</style>", "x < y & z next <b>"),
+])
+def test_single_pages(page, want):
+    assert [b.text for b in html_template.chosen(html_template.Page(page).blocks, {})] == want.split("|")
+
+
+def test_boilerplate_inside_articles(spark):
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(400)]
+    own = lambda i: " ".join(words[(i * 37 + 11 * k) % 400] for k in range(20))
+    pages = [(i, f"http://h.example/{i}", f"<article><p>{own(i)}</p><p>Get all our letters by post each week</p></article>") for i in range(12)]
+    pages += [(100 + i, f"http://copies.example/{i}", f"<article><p>the very same text of twelve pages is here</p><p>but for number {i}</p></article>") for i in range(12)]
+    got = {r.page_id: r.text for r in html_template.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == own(i) for i in range(12))
+    assert all(got[100 + i] == f"the very same text of twelve pages is here\n\nbut for number {i}" for i in range(12))
+
+
 # Lines
 
 
