@@ -81,7 +81,7 @@ class Corpus:
         return text.operator_list(self.table("operations"), pages)
 
     def page_info(self, pages: str | None = None) -> DataFrame:
-        return text.page_info(*self.tables("pages", "page_text", "annotations", "resources")).filter(objects.in_pages(pages))
+        return text.page_info(self.parsed("page_info")).filter(objects.in_pages(pages))
 
     def reliability(self) -> DataFrame:
         return self.table("reliability")
@@ -105,10 +105,10 @@ class Corpus:
         return structure.page_labels(self.parsed("pages", "label_ranges"))
 
     def broken_references(self) -> DataFrame:
-        return graph.broken(self.parsed("refs", "objects"))
+        return graph.broken(self.parsed("refs"))
 
     def unreachable(self) -> DataFrame:
-        return graph.unreachable(self.parsed("objects", "reached"))
+        return graph.unreachable(self.parsed("unreachable"))
 
     def document_text(self) -> DataFrame:
         return text.document_text(self.parsed("page_text"))

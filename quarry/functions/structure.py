@@ -416,6 +416,18 @@ def tree(doc: Document, max_depth: int | None = None) -> list[dict]:
     return out
 
 
+def nested_tree(doc: Document, max_depth: int | None = None) -> dict:
+    """The tree as nested nodes: key, object, label, and status or children where there are any."""
+    top: dict = {"key": "trailer", "label": "Trailer"}
+    made = {0: top}
+    for n in tree(doc, max_depth):
+        node = made[n["node_id"]] = {"key": n["key"], "object": f"{n['obj_num']} {n['gen']}", "label": n["label"]}
+        if n["status"]:
+            node["status"] = n["status"]
+        made[n["parent_id"]].setdefault("children", []).append(node)
+    return top
+
+
 def dot(doc: Document, max_depth: int | None = None) -> list[str]:
     """The tree for GraphViz."""
     lines, named = ["digraph pdf {", "  rankdir=LR;", '  trailer [label="Trailer"];'], set()

@@ -1,5 +1,4 @@
-"""References between objects. Where a document's row holds both sides, they meet in the row; else they are joined on
-(document, number, generation), with no more than a few numbers and a path in a row."""
+"""References between objects. A document's row holds both sides, so all but reverse look-ups are answered in the row."""
 
 from __future__ import annotations
 
@@ -19,40 +18,19 @@ def reverse(refs: DataFrame, obj_num: int | None = None) -> DataFrame:
     return paths.select("doc_key", "dst_num", "dst_gen", "src_num", "src_gen", F.transform("p", lambda x: x.path).alias("paths"))
 
 
-def _targets(refs):
-    return F.transform(refs, lambda r: F.struct(r.dst_num.alias("num"), r.dst_gen.alias("gen")))
-
-
-def _ids(rows):
-    return F.transform(rows, lambda o: F.struct(o.obj_num.alias("num"), o.gen.alias("gen")))
-
-
 def broken(parsed: DataFrame) -> DataFrame:
     """References to objects that aren't there, each time they are made; the trailer's and cross-reference streams' aside.
-
-    An anti-join within each document's row, from parts refs and objects: nothing is shuffled.
-    """
-    own = F.filter("refs", lambda r: r.src_num.isNotNull() & ~r.from_xref)
-    lost = parsed.select("doc_key", own.alias("own"), F.array_except(_targets(own), _ids("objects")).alias("lost")).filter(F.size("lost") > 0)
-    rows = lost.select("doc_key", F.inline(F.filter("own", lambda r: F.array_contains("lost", F.struct(r.dst_num.alias("num"), r.dst_gen.alias("gen"))))))
+    From part refs, in the document's row."""
+    rows = parsed.select("doc_key", F.inline(F.filter("refs", lambda r: r.src_num.isNotNull() & ~r.from_xref & r.missing)))
     return rows.select("doc_key", "src_num", "src_gen", "path", "dst_num", "dst_gen")
 
 
 def unreachable(parsed: DataFrame) -> DataFrame:
-    """Objects that no chain of references from the trailer meets; cross-reference streams aside. From parts objects and reached."""
-    own = F.filter("objects", lambda o: ~((o.kind == "Stream") & (o.type_label == "XRef")))
-    lost = parsed.select("doc_key", own.alias("own"), F.array_except(_ids(own), _ids("reached")).alias("lost")).filter(F.size("lost") > 0)
-    rows = lost.select("doc_key", F.inline(F.filter("own", lambda o: F.array_contains("lost", F.struct(o.obj_num.alias("num"), o.gen.alias("gen"))))))
-    return rows.select("doc_key", "obj_num", "gen", "kind", "type_label")
+    """Objects that no chain of references from the trailer meets; cross-reference streams aside. From part unreachable."""
+    return parsed.select("doc_key", F.inline("unreachable"))
 
 
 def on_pages(parsed: DataFrame) -> DataFrame:
     """doc_key, obj_num, page_number: objects that a page refers to at any depth of its dictionary, or that its
-    resources, where they are an object of their own, refer to. From parts pages and refs."""
-    refs = parsed.select("doc_key", F.inline("refs"))
-    page = parsed.select("doc_key", F.inline("pages")).select("doc_key", "page_number", F.col("obj_num").alias("src_num"), F.col("gen").alias("src_gen"))
-    direct = page.join(refs, ["doc_key", "src_num", "src_gen"])
-    shared = direct.filter(F.col("path") == "/Resources").select("doc_key", "page_number", F.col("dst_num").alias("src_num"), F.col("dst_gen").alias("src_gen"))
-    below = shared.join(refs, ["doc_key", "src_num", "src_gen"])
-    both = direct.select("doc_key", "dst_num", "page_number").union(below.select("doc_key", "dst_num", "page_number"))
-    return both.distinct().select("doc_key", F.col("dst_num").alias("obj_num"), "page_number")
+    resources, where they are an object of their own, refer to. From part page_objects."""
+    return parsed.select("doc_key", F.inline("page_objects"))

@@ -54,7 +54,6 @@ def recovered(documents: DataFrame) -> DataFrame:
     return documents.select("doc_key", F.inline("recovery"))
 
 
-def nested(rows: DataFrame, order: str = "node_id") -> DataFrame:
-    """A tree's rows as one JSON array for each document, in the order of the tree."""
-    cols = [c for c in rows.columns if c != "doc_key"]
-    return rows.groupBy("doc_key").agg(F.to_json(F.sort_array(F.collect_list(F.struct(order, *[c for c in cols if c != order])))).alias("json"))
+def nested(parsed: DataFrame) -> DataFrame:
+    """Each document's object tree as one JSON object of nested nodes. From part tree_json."""
+    return parsed.select("doc_key", F.inline("tree_json"))

@@ -6,16 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def type_counts(objects: DataFrame) -> DataFrame:
-    return objects.groupBy("doc_key", "kind").agg(F.count("*").alias("n"))
+def _streams(objects="objects"):
+    return F.filter(objects, lambda o: o.kind == "Stream")
 
 
-def stream_totals(objects: DataFrame, streams: DataFrame | None = None) -> DataFrame:
-    """Streams by document: how many, their bytes, and their decoded bytes if streams are given."""
-    out = objects.filter(F.col("kind") == "Stream").groupBy("doc_key").agg(F.count("*").alias("n_streams"), F.sum("raw_len").alias("raw_bytes"))
-    if streams is None:
-        return out.withColumn("decoded_bytes", F.lit(None).cast("bigint"))
-    return out.join(streams.groupBy("doc_key").agg(F.sum(F.length("data")).alias("decoded_bytes")), "doc_key", "left")
+def type_counts(parsed: DataFrame) -> DataFrame:
+    """doc_key, kind, n; from part objects, in the document's row."""
+    kinds = F.array_sort(F.array_distinct("objects.kind"))
+    return parsed.select("doc_key", F.inline(F.transform(kinds, lambda k: F.struct(k.alias("kind"), F.size(F.filter("objects", lambda o: o.kind == k)).cast("bigint").alias("n")))))
+
+
+def stream_totals(parsed: DataFrame, decoded: bool = True) -> DataFrame:
+    """Streams of each document that has any: how many, their bytes, and their decoded bytes if those are asked for. From part
+    objects, and streams for decoded bytes, in the document's row."""
+    raw = F.aggregate(_streams(), F.lit(0).cast("bigint"), lambda a, o: a + o.raw_len)
+    data = F.aggregate("streams", F.lit(0).cast("bigint"), lambda a, s: a + F.length(s["data"])) if decoded else F.lit(None).cast("bigint")
+    return parsed.select("doc_key", F.size(_streams()).cast("bigint").alias("n_streams"), raw.alias("raw_bytes"), data.alias("decoded_bytes")).filter("n_streams > 0")
 
 
 def filter_counts(objects: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -26,10 +32,14 @@ def filter_counts(objects: DataFrame, by: list[str] | None = None) -> DataFrame:
     return out.withColumn("sort_order", F.row_number().over(w)) if w is not None else out
 
 
-def largest_streams(objects: DataFrame, k: int = 3) -> DataFrame:
-    """The k largest streams of each document; of equals the first object."""
-    w = Window.partitionBy("doc_key").orderBy(F.desc("raw_len"), "obj_num", "gen")
-    return objects.filter(F.col("kind") == "Stream").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("doc_key", "rank", "obj_num", "raw_len")
+def largest_streams(parsed: DataFrame, k: int = 3) -> DataFrame:
+    """The k largest streams of each document; of equals the first object. From part objects, in the document's row."""
+
+    def before(a, b):
+        return F.when(a.raw_len != b.raw_len, F.when(a.raw_len > b.raw_len, -1).otherwise(1)).when(a.obj_num != b.obj_num, F.when(a.obj_num < b.obj_num, -1).otherwise(1)).otherwise(F.when(a.gen < b.gen, -1).otherwise(1))
+
+    top = parsed.select("doc_key", F.posexplode(F.slice(F.array_sort(_streams(), before), 1, k)).alias("at", "o"))
+    return top.select("doc_key", (F.col("at") + 1).alias("rank"), "o.obj_num", "o.raw_len")
 
 
 def duplicate_generations(objects: DataFrame) -> DataFrame:
@@ -47,7 +57,7 @@ def overview(parsed: DataFrame) -> DataFrame:
     """One row a document, from parts documents, objects, issues, bookmarks, forms, layers and embedded: no shuffle."""
     d = F.get("documents", F.lit(0))
     kinds = F.map_from_entries(F.transform(F.array_distinct("objects.kind"), lambda k: F.struct(k, F.size(F.filter("objects", lambda o: o.kind == k)))))
-    streams = F.filter("objects", lambda o: o.kind == "Stream")
+    streams = _streams()
 
     def at(level):
         return F.size(F.filter("issues", lambda i: i.level == level))

@@ -47,19 +47,9 @@ def operator_list(pages: DataFrame, spec: str | None = None) -> DataFrame:
     return flat.select("doc_key", "page_number", "seq", F.col("o.operator").alias("operator"), F.col("o.operands").alias("operands"))
 
 
-def page_info(pages: DataFrame, texts: DataFrame, notes: DataFrame, resources: DataFrame) -> DataFrame:
-    """One row a page: boxes, contents, counts of resources and annotations, and the beginning of the text."""
-    key = ["doc_key", "page_number"]
-    by_kind = resources.groupBy(*key).agg(
-        F.count_if((F.col("kind") == "XObject") & F.col("detail").startswith("Image")).alias("n_images"), F.count_if(F.col("kind") == "ExtGState").alias("n_graphics_states"),
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "Font", F.trim(F.split("detail", ",")[0])))).alias("fonts"),
-    )
-    subtypes = notes.groupBy(*key, "subtype").agg(F.count("*").alias("n")).groupBy(*key).agg(F.sum("n").alias("n_annotations"), F.sort_array(F.collect_list(F.struct("subtype", "n"))).alias("annotation_subtypes"))
-    long = F.octet_length("text") > 200
-    preview = F.when(F.col("garbled"), F.lit("(text not extractable — fonts lack Unicode mappings)")).when(long, F.concat(F.trim(F.substring("text", 1, 200)), F.lit("..."))).otherwise(F.trim("text"))
-    shown = texts.select(*key, preview.alias("text_preview"), (~F.col("garbled")).alias("text_extractable"))
-    out = pages.join(shown, key, "left").join(by_kind, key, "left").join(subtypes, key, "left")
-    return out.fillna(0, ["n_images", "n_graphics_states", "n_annotations"])
+def page_info(parsed: DataFrame) -> DataFrame:
+    """One row a page: boxes, contents, counts of resources and annotations, and the beginning of the text. From part page_info."""
+    return parsed.select("doc_key", F.inline("page_info"))
 
 
 def annotation_counts(notes: DataFrame) -> DataFrame:

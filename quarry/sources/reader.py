@@ -9,6 +9,7 @@ one is empty and ``part_errors`` names it; a number beyond its column's range is
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -21,7 +22,7 @@ from ..functions import structure, text, validate
 from ..functions.codecs import is_binary
 from .batches import array_of, bounded, sliced
 from .document import Document, LoadError, load
-from .objects import Name, Stream, Text, kind_of, lossy, references, shown, tagged
+from .objects import Name, Ref, Stream, Text, kind_of, lossy, references, shown, tagged
 
 
 def _documents(doc: Document) -> list[dict]:
@@ -83,10 +84,10 @@ def _entries(doc: Document) -> list[dict]:
 
 def _refs(doc: Document) -> list[dict]:
     """Every reference; those in the trailer have no source."""
-    out = [{"src_num": None, "src_gen": None, "ord": i, "path": p, "dst_num": to.num, "dst_gen": to.gen, "from_xref": False} for i, (p, to) in enumerate(references(doc.trailer))]
+    out = [{"src_num": None, "src_gen": None, "ord": i, "path": p, "dst_num": to.num, "dst_gen": to.gen, "from_xref": False, "missing": to not in doc.objects} for i, (p, to) in enumerate(references(doc.trailer))]
     for r, value in doc.objects.items():
         xref = isinstance(value, Stream) and value.dict.get("Type") == "XRef"
-        out += [{"src_num": r.num, "src_gen": r.gen, "ord": i, "path": p, "dst_num": to.num, "dst_gen": to.gen, "from_xref": xref} for i, (p, to) in enumerate(references(value))]
+        out += [{"src_num": r.num, "src_gen": r.gen, "ord": i, "path": p, "dst_num": to.num, "dst_gen": to.gen, "from_xref": xref, "missing": to not in doc.objects} for i, (p, to) in enumerate(references(value))]
     return out
 
 
@@ -140,7 +141,50 @@ def _reached(doc: Document) -> list[dict]:
     return [{"obj_num": r.num, "gen": r.gen} for r in sorted(doc.reachable())]
 
 
+def _unreachable(doc: Document) -> list[dict]:
+    reached, out = doc.reachable(), []
+    for r, value in doc.objects.items():
+        kind = text.name_at(structure.as_dict(value) or {}, "Type", "-")
+        if r not in reached and not (isinstance(value, Stream) and kind == "XRef"):
+            out.append({"obj_num": r.num, "gen": r.gen, "kind": kind_of(value), "type_label": kind})
+    return out
+
+
+def _page_objects(doc: Document) -> list[dict]:
+    """What each page refers to at any depth of its dictionary, and what its resources do where they are an object."""
+    out = []
+    for i, ref in enumerate(doc.pages(), 1):
+        found = {to for _, to in references(doc.objects[ref])}
+        shared = doc.objects[ref].get("Resources")
+        if isinstance(shared, Ref) and shared in doc.objects:
+            found |= {to for _, to in references(doc.objects[shared])}
+        out += [{"obj_num": n, "page_number": i} for n in sorted({to.num for to in found})]
+    return out
+
+
+def _page_info(doc: Document) -> list[dict]:
+    """Pages with counts of what is on them, and the beginning of their text."""
+    named: dict[int, list[dict]] = {}
+    for r in structure.resources(doc):
+        named.setdefault(r["page_number"], []).append(r)
+    notes: dict[int, Counter] = {}
+    for a in structure.annotations(doc):
+        notes.setdefault(a["page_number"], Counter())[a["subtype"]] += 1
+    out = []
+    for page, shown in zip(_pages(doc), _page_text(doc), strict=True):
+        own, subtypes = named.get(page["page_number"], []), notes.get(page["page_number"], Counter())
+        preview = shown["text"][:200].strip() + "..." if len(shown["text"].encode()) > 200 else shown["text"].strip()
+        out.append({
+            **page, "text_extractable": not shown["garbled"], "text_preview": "(text not extractable — fonts lack Unicode mappings)" if shown["garbled"] else preview,
+            "n_images": sum(r["kind"] == "XObject" and r["detail"].startswith("Image") for r in own), "n_graphics_states": sum(r["kind"] == "ExtGState" for r in own),
+            "fonts": sorted(r["detail"].split(",")[0].strip() for r in own if r["kind"] == "Font"),
+            "n_annotations": subtypes.total(), "annotation_subtypes": [{"subtype": k, "n": subtypes[k]} for k in sorted(subtypes)],
+        })
+    return out
+
+
 _ID = "obj_num int, gen int"
+_PAGE = f"page_number int, {_ID}, media_box string, crop_box string, rotate int, content_streams int, content_bytes bigint"
 _FONT = "array<struct<name string, base_font string, subtype string, classification string, has_to_unicode boolean, reason string>>"
 #: Part: the columns of its rows, and what makes them from a document.
 PARTS: dict[str, tuple[str, Callable[[Document], list[dict]]]] = {
@@ -153,13 +197,17 @@ PARTS: dict[str, tuple[str, Callable[[Document], list[dict]]]] = {
     "dumps": (f"{_ID}, text string", lambda doc: [{"obj_num": r.num, "gen": r.gen, "text": structure.object_dump(r, v)} for r, v in doc.objects.items()]),
     "streams": (f"{_ID}, raw binary, data binary, warning string, is_binary boolean", _streams),
     "entries": (f"{_ID}, ord int, key string, vkind string, vtext string", _entries),
-    "refs": ("src_num int, src_gen int, ord int, path string, dst_num int, dst_gen int, from_xref boolean", _refs),
-    "pages": (f"page_number int, {_ID}, media_box string, crop_box string, rotate int, content_streams int, content_bytes bigint", _pages),
+    "refs": ("src_num int, src_gen int, ord int, path string, dst_num int, dst_gen int, from_xref boolean, missing boolean", _refs),
+    "pages": (_PAGE, _pages),
+    "page_info": (
+        f"{_PAGE}, text_extractable boolean, text_preview string, n_images int, n_graphics_states int, fonts array<string>, n_annotations int, annotation_subtypes array<struct<subtype string, n int>>", _page_info),
+    "page_objects": ("obj_num int, page_number int", _page_objects),
     "operations": ("page_number int, operations array<struct<operator string, operands array<string>>>, warnings array<string>", _operations),
     "page_text": (f"page_number int, text string, warnings array<string>, total_codes bigint, unmapped_codes bigint, fonts {_FONT}, garbled boolean", _page_text),
     "reliability": (f"verdict string, total_codes bigint, unmapped_codes bigint, unmapped_ratio double, fonts {_FONT}", _reliability),
     "roles": (f"{_ID}, role string, description string, details array<struct<name string, value string>>", _roles),
     "reached": (_ID, _reached),
+    "unreachable": (f"{_ID}, kind string, type_label string", _unreachable),
     "fonts": (f"{_ID}, base_font string, subtype string, encoding string, embedded int, to_unicode int, first_char bigint, last_char bigint, widths_count int, differences string, cid_system_info string", structure.fonts),
     "images": (f"{_ID}, width bigint, height bigint, color_space string, bits bigint, filter string, size bigint", structure.images),
     "forms": (f"{_ID}, name string, field_type string, value string, flags bigint, page_number int, need_appearances boolean", structure.forms),
@@ -171,6 +219,7 @@ PARTS: dict[str, tuple[str, Callable[[Document], list[dict]]]] = {
     "embedded": ("name string, filename string, mime string, size bigint, obj_num int, filespec int", structure.embedded),
     "resources": ("page_number int, kind string, name string, obj_num int, detail string", structure.resources),
     "tree": (f"node_id int, parent_id int, depth int, key string, {_ID}, label string, status string", structure.tree),
+    "tree_json": ("json string", lambda doc: [{"json": json.dumps(structure.nested_tree(doc), ensure_ascii=False, sort_keys=True)}]),
     "dot": ("line string", lambda doc: [{"line": x} for x in structure.dot(doc)]),
     "issues": ("rule_ord int, rule string, level string, message string", validate.issues),
 }
