@@ -6,6 +6,8 @@ import re
 import unicodedata
 from functools import cache
 
+from .glyphs import by_rule
+
 # Codes 0xA1 to 0xFB of StandardEncoding, by the public specification's table of Latin character sets.
 STANDARD_HIGH = {
     0xA1: "¡", 0xA2: "¢", 0xA3: "£", 0xA4: "⁄", 0xA5: "¥", 0xA6: "ƒ", 0xA7: "§", 0xA8: "¤", 0xA9: "'", 0xAA: "“", 0xAB: "«", 0xAC: "‹", 0xAD: "›", 0xAE: "fi", 0xAF: "fl",
@@ -65,7 +67,7 @@ def table(name: str | None) -> dict[int, str] | None:
 
 @cache
 def glyph(name: str) -> str | None:
-    """Text of a glyph name: known names, letters with accents, then uniXXXX and uXXXXXX; parts joined by _."""
+    """Text of a glyph name: known names, those that follow from Unicode's, then uniXXXX and uXXXXXX; parts joined by _."""
     parts = [_component(p) for p in name.split(".")[0].split("_")]
     return "".join(parts) if name and all(p is not None for p in parts) and any(parts) else None
 
@@ -86,6 +88,8 @@ def _component(name: str) -> str | None:
             return unicodedata.lookup(f"GREEK {'CAPITAL' if name[0].isupper() else 'SMALL'} LETTER {name}")
     except KeyError:
         pass
+    if (found := by_rule(name)) is not None:
+        return found
     if re.fullmatch(r"uni(?:[0-9A-F]{4})+", name):
         try:
             return bytes.fromhex(name[3:]).decode("utf-16-be")
