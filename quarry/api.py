@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .operators import graph, objects, structure, summary, text
+from .operators import graph, objects, sinks, structure, summary, text
 from .sources import reader
 
 #: Modes that can be asked for together, in the order in which they come out, and their titles.
@@ -12,6 +13,10 @@ DOCUMENT_MODES = {
     "list": "Objects", "validate": "Validation", "fonts": "Fonts", "images": "Images", "forms": "Form fields", "bookmarks": "Bookmarks", "annotations": "Annotations", "text": "Text",
     "operators": "Content operators", "tags": "Structure", "tree": "Object tree", "find_text": "Matches", "labels": "Page labels", "layers": "Layers", "embedded": "Embedded files", "security": "Security",
 }
+#: The parts whose rows a mode shows, where they aren't called as it is; the first are those that come out.
+MODE_PARTS = {"list": ("objects",), "validate": ("issues",), "text": ("page_text",), "operators": ("operations",), "find_text": ("matches",), "labels": ("label_ranges", "pages"), "security": ("documents",)}
+#: Modes that a page filter narrows.
+PAGE_MODES = ("annotations", "text", "operators", "find_text", "labels")
 STANDALONE_MODES = ("object", "inspect", "search", "extract")
 
 
@@ -124,3 +129,43 @@ class Corpus:
             "find_text": lambda: self.find_text(pattern or ""), "security": lambda: self.table("documents").select("doc_key", "security.*"),
         }
         return {m: own[m]() if m in own else self.table(m) for m in DOCUMENT_MODES if m in modes}
+
+    def _mode_columns(self, modes: tuple[str, ...], pattern: str | None, pages: str | None) -> tuple[DataFrame, dict[str, Column]]:
+        """One parse with all that modes need, and each mode's rows as a column of it."""
+        if alone := [m for m in modes if m in STANDALONE_MODES]:
+            raise ValueError(f"{alone[0]} stands alone")
+        if unknown := set(modes) - set(DOCUMENT_MODES):
+            raise ValueError(f"no such mode: {sorted(unknown)[0]}")
+        parts = {m: MODE_PARTS.get(m, (m,)) for m in DOCUMENT_MODES if m in modes}
+        needed = list(dict.fromkeys(["documents", *(p for ps in parts.values() for p in ps)]))
+        options = {"matches": {"pattern": pattern or ""}} if "find_text" in modes else {}
+        found = self.parsed(*needed) if not options else reader.parse(self.files, needed, options=options, **self.options)
+        columns = {}
+        for m, ps in parts.items():
+            rows = F.col(ps[0])
+            if m == "labels":
+                rows = F.when(F.size("label_ranges") > 0, F.transform("pages", lambda p: structure.label_of(p.page_number.cast("bigint"), F.col("label_ranges")))).otherwise(F.array())
+            if m == "security":
+                rows = F.get("documents", F.lit(0)).security
+            elif pages is not None and m in PAGE_MODES:
+                first, last = objects.parse_page_spec(pages)
+                rows = F.filter(rows, lambda r: (r.page_number >= first) & (F.lit(last is None) | (r.page_number <= (last or 0))))
+            columns[m] = rows
+        return found, columns
+
+    def combined_json(self, *modes: str, pattern: str | None = None, pages: str | None = None) -> DataFrame:
+        """doc_key, json: what several modes say of each document as one JSON object, a key for each mode in the order of
+        DOCUMENT_MODES (of one mode its rows alone), with the document's recovery record. All from one parse."""
+        found, columns = self._mode_columns(modes, pattern, pages)
+        options = {"ignoreNullFields": "false"}
+        if len(columns) == 1:
+            root = F.to_json(next(iter(columns.values())), options)
+        else:
+            root = F.to_json(F.struct(*(c.alias(m) for m, c in columns.items())), options)
+        return found.select("doc_key", "load_error", sinks.recovery_in_json(root, self.options["recovery"] == "strict").alias("json"))
+
+    def sections(self, *modes: str, pattern: str | None = None, pages: str | None = None) -> DataFrame:
+        """doc_key, ord, title, json: a section for each mode of each document, in order. All from one parse."""
+        found, columns = self._mode_columns(modes, pattern, pages)
+        rows = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(DOCUMENT_MODES[m]).alias("title"), F.to_json(c, {"ignoreNullFields": "false"}).alias("json")) for i, (m, c) in enumerate(columns.items())))
+        return found.select("doc_key", F.inline(rows))

@@ -80,6 +80,21 @@ def lookup(parsed: DataFrame, spec: str) -> DataFrame:
     return out.withColumn("error", F.when(F.col("value").isNull(), F.lit("not found")))
 
 
+def lookup_json(parsed: DataFrame, spec: str) -> DataFrame:
+    """doc_key, json: the object of a spec of one number as one JSON object; of several as {"objects": [...]}, with an error in
+    place of those that a document lacks. From part values."""
+    numbers = parse_object_spec(spec)
+
+    def found(n: int, lost: str) -> Column:
+        v = F.get(F.filter("values", lambda v: (v.obj_num == n) & (v.gen == 0)), F.lit(0)).value
+        return F.when(v.isNotNull(), F.concat(F.lit('{"generation": 0, "object": '), v, F.lit(f', "object_number": {n}}}'))).otherwise(F.lit(lost))
+
+    if len(numbers) == 1:
+        return parsed.select("doc_key", found(numbers[0], f'{{"error": "Object {numbers[0]} not found."}}').alias("json"))
+    items = [found(n, f'{{"error": "not found", "generation": 0, "object_number": {n}}}') for n in numbers]
+    return parsed.select("doc_key", F.concat(F.lit('{"objects": ['), F.concat_ws(", ", *items), F.lit("]}")).alias("json"))
+
+
 def dereferenced(parsed: DataFrame) -> DataFrame:
     """Each reference with one line on what it points at, from parts refs and objects: a look-up in the document's row."""
     def key(num, gen):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,6 +32,17 @@ def with_recovery(rows: DataFrame, documents: DataFrame) -> DataFrame:
     return rows.join(held, "doc_key", "left")
 
 
+def recovery_in_json(root: Column, strict: bool = False) -> Column:
+    """A JSON root with the recovery record of its document (a column of part documents in the same row) merged into it: as a
+    key of an object, or beside any other root as {"data", "recovery"}. Roots of documents without damage stay."""
+    found = F.get("documents", F.lit(0)).recovery
+    record = F.to_json(F.struct(F.size(found).alias("count"), F.lit(not strict).alias("repaired"), found.alias("streams"), F.lit(strict).alias("strict")))
+    inside = F.rtrim(F.substring(F.trim(root), F.lit(2), F.length(F.trim(root)) - 2))
+    merged = F.concat(F.lit("{"), inside, F.when(F.trim(inside) == "", "").otherwise(","), F.lit('"recovery":'), record, F.lit("}"))
+    beside = F.concat(F.lit('{"data":'), root, F.lit(',"recovery":'), record, F.lit("}"))
+    return F.when(F.coalesce(F.size(found), F.lit(0)) == 0, root).when(F.startswith(F.trim(root), F.lit("{")), merged).otherwise(beside)
+
+
 def statuses(parsed: DataFrame, strict: bool = False) -> DataFrame:
     """doc_key, status: 1 a file that can't be read, 3 one with problems (locked, repaired streams in strict reading, errors,
     unreliable text), 0 otherwise. From parts documents, issues and reliability; strict for files parsed with recovery="strict"."""

@@ -28,19 +28,23 @@ def alpha(n: Column, letters: int = 14) -> Column:
     return F.aggregate(F.array_repeat(F.lit(0), letters), F.struct(F.lit("").alias("out"), n.cast("bigint").alias("rest")), step, lambda held: held.out)
 
 
+def label_of(number: Column, ranges: Column) -> Column:
+    """A page's label, style, prefix and start, from the last of a document's ranges that begins at or before it."""
+    r = F.try_element_at(F.filter(ranges, lambda r: (r.first_page >= 0) & (r.first_page < number)), F.lit(-1))
+    style, prefix = F.coalesce(r.style, F.lit("D")), F.coalesce(r.prefix, F.lit(""))
+    start = F.coalesce(r.start, F.lit(1)).cast("bigint")
+    n = start + number - 1 - F.coalesce(r.first_page, F.lit(0))
+    plain = n.cast("string")
+    spelled = F.when(style.isin("r", "R"), roman(n)).when(style.isin("a", "A"), alpha(n))
+    shown = F.when(style == "D", plain).when(~style.isin("r", "R", "a", "A"), F.lit("")).when(n <= 0, plain).otherwise(F.when(style.isin("R", "A"), F.upper(spelled)).otherwise(spelled))
+    return F.struct(number.cast("int").alias("page_number"), F.concat(prefix, shown).alias("label"), style.alias("style"), prefix.alias("prefix"), start.alias("start"))
+
+
 def page_labels(parsed: DataFrame) -> DataFrame:
     """Each page's label, from the last range that begins at or before it: an as-of join within the document's row, from
     parts pages and label_ranges (which are in order). Documents without ranges have no labels."""
     pages = parsed.filter(F.size("label_ranges") > 0).select("doc_key", "label_ranges", F.explode("pages").alias("page"))
-    before = F.filter("label_ranges", lambda r: (r.first_page >= 0) & (r.first_page < F.col("page.page_number")))
-    held = pages.select("doc_key", F.col("page.page_number").cast("bigint").alias("at"), F.try_element_at(before, F.lit(-1)).alias("r"))
-    style, prefix = F.coalesce("r.style", F.lit("D")), F.coalesce("r.prefix", F.lit(""))
-    start = F.coalesce("r.start", F.lit(1)).cast("bigint")
-    n = start + F.col("at") - 1 - F.coalesce("r.first_page", F.lit(0))
-    plain = n.cast("string")
-    spelled = F.when(style.isin("r", "R"), roman(n)).when(style.isin("a", "A"), alpha(n))
-    shown = F.when(style == "D", plain).when(~style.isin("r", "R", "a", "A"), F.lit("")).when(n <= 0, plain).otherwise(F.when(style.isin("R", "A"), F.upper(spelled)).otherwise(spelled))
-    return held.select("doc_key", F.col("at").cast("int").alias("page_number"), F.concat(prefix, shown).alias("label"), style.alias("style"), prefix.alias("prefix"), start.alias("start"))
+    return pages.select("doc_key", label_of(F.col("page.page_number").cast("bigint"), F.col("label_ranges")).alias("r")).select("doc_key", "r.*")
 
 
 def permissions(p: Column) -> Column:

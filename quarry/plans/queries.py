@@ -150,14 +150,16 @@ def find_text_totals(spark, sf_dir):
 
 
 @query(
-    _PAGES + """, p AS (SELECT doc_id, page_number, text, instr(lower(text), 'the') - 1 AS pos FROM pages WHERE contains(lower(text), 'the') AND NOT regexp_matches(text, '[^\\x00-\\x7F]')),
-c AS (SELECT *, greatest(pos - 40, 0) AS a, least(pos + 43, length(text)) AS b FROM p)
-SELECT doc_id, page_number, (CASE WHEN a > 0 THEN '...' ELSE '' END) || trim(replace(substring(text, CAST(a + 1 AS BIGINT), CAST(b - a AS BIGINT)), chr(10), ' ')) || (CASE WHEN b < length(text) THEN '...' ELSE '' END) AS snippet FROM c"""
+    _PAGES + """, parts AS (SELECT doc_id, page_number, text, string_split(lower(text), 'the') AS parts FROM pages WHERE contains(lower(text), 'the')),
+p AS (SELECT doc_id, page_number, text, i AS seq, CAST(length(array_to_string(parts[1:i], 'the')) AS BIGINT) AS pos FROM (SELECT *, unnest(range(1, len(parts))) AS i FROM parts)),
+c AS (SELECT *, pos - coalesce(list_min(list_filter(range(0, 41), lambda m: m <= pos AND octet_length(encode(text[pos - m + 1:pos])) >= 40)), pos) AS a,
+coalesce(list_min(list_filter(range(0, 41), lambda m: octet_length(encode(text[pos + 4:pos + 3 + m])) >= 40)), length(text) - pos - 3) + pos + 3 AS b FROM p)
+SELECT doc_id, page_number, seq, (CASE WHEN a > 0 THEN '...' ELSE '' END) || trim(replace(text[a + 1:b], chr(10), ' ')) || (CASE WHEN b < length(text) THEN '...' ELSE '' END) AS snippet FROM c"""
 )
 def find_text_snippets(spark, sf_dir):
-    """The first match with its context, on ASCII pages."""
-    pages = reader.table(_plain(spark, sf_dir), "page_text").filter("NOT text RLIKE '[^\\\\x00-\\\\x7F]'")
-    return text.find_text(pages, "the").select(F.expr(_ID), "page_number", F.col("snippets")[0].alias("snippet"))
+    """Every match with its context, to whole characters."""
+    found = text.find_text(reader.table(_plain(spark, sf_dir), "page_text"), "the").select(F.expr(_ID), "page_number", F.posexplode("snippets").alias("at", "snippet"))
+    return found.select("doc_id", "page_number", (F.col("at") + 1).alias("seq"), "snippet")
 
 
 @query("""SELECT doc_id, CASE doc_id % 4 WHEN 3 THEN 'unreliable' ELSE 'reliable' END AS verdict FROM documents WHERE doc_id % 4 <> 1""")
@@ -316,11 +318,16 @@ def binary_streams(spark, sf_dir):
     return reader.table(_filtered(spark, sf_dir), "streams").groupBy("doc_key").agg(F.count("*").alias("n_streams"), F.sum(F.col("is_binary").cast("bigint")).alias("n_binary")).select(F.expr(_ID), "n_streams", "n_binary")
 
 
-@query("SELECT item_id, '00000000  ' || regexp_replace(regexp_replace(lower(hex(encode(text)))[1:16], '(..)', '\\1 ', 'g'), '^$', '') || ' ' AS head FROM benchmark")
+@query(
+    """WITH d AS (SELECT item_id, lower(hex(encode(text))) AS h FROM benchmark), lines AS (SELECT item_id, i, h[i * 32 + 1:i * 32 + 32] AS x FROM (SELECT item_id, h, unnest(range(0, CAST((length(h) + 31) // 32 AS BIGINT))) AS i FROM d)),
+shown AS (SELECT item_id, i, lower(lpad(to_base(i * 16, 16), 8, '0')) || '  ' || rpad(rtrim(regexp_replace(x[1:16], '(..)', '\\1 ', 'g')), 23, ' ') || '  ' || rpad(rtrim(regexp_replace(x[17:32], '(..)', '\\1 ', 'g')), 23, ' ') || '  |'
+|| list_aggregate(list_transform(range(0, length(x) // 2), lambda k: CASE WHEN x[2 * k + 1:2 * k + 2] BETWEEN '20' AND '7e' THEN chr(CAST('0x' || x[2 * k + 1:2 * k + 2] AS INTEGER)) ELSE '.' END), 'string_agg', '') || '|' AS line FROM lines)
+SELECT item_id, string_agg(line, chr(10) ORDER BY i) AS dump FROM shown GROUP BY item_id"""
+)
 def hex_dumps(spark, sf_dir):
-    """The first eight bytes of attachments as a hex dump of binary content shows them."""
+    """Attachments as whole hex dumps."""
     found = corpora.built(_table(spark, sf_dir, "benchmark"), corpora.attachment_file, "item_id")
-    return objects.hex_dumps(reader.table(found, "streams").filter("obj_num = 1")).select(F.col("doc_key").cast("bigint").alias("item_id"), F.substring("dump", 1, 35).alias("head"))
+    return objects.hex_dumps(reader.table(found, "streams").filter("obj_num = 1")).select(F.col("doc_key").cast("bigint").alias("item_id"), F.rtrim("dump", F.lit("\n")).alias("dump"))
 
 
 _FONT_JSON = '{"entries": {"BaseFont": {"type": "name", "value": "Helvetica"}, "Encoding": {"type": "name", "value": "WinAnsiEncoding"}, "Subtype": {"type": "name", "value": "Type1"}, "Type": {"type": "name", "value": "Font"}}, "type": "dictionary"}'
@@ -582,3 +589,6 @@ def page_info(spark, sf_dir):
     """A page's boxes, counts and the beginning of its text."""
     out = text.page_info(reader.parse(_plain(spark, sf_dir), ["page_info"]))
     return out.filter("text_extractable").select(F.expr(_ID), "page_number", "media_box", "text_preview")
+
+
+from . import cases  # noqa: E402, F401  registers its queries

@@ -120,6 +120,11 @@ def _page_text(doc: Document) -> list[dict]:
     return out
 
 
+def _matches(doc: Document, pattern: str = "") -> list[dict]:
+    found = [(p["page_number"], text.snippets(p["text"], pattern)) for p in _page_text(doc)] if pattern else []
+    return [{"page_number": n, "snippets": some} for n, some in found if some]
+
+
 def _reliability(doc: Document) -> list[dict]:
     read = text.Interpreter(doc)
     pages = [read.page(r) for r in doc.pages()]
@@ -204,6 +209,7 @@ PARTS: dict[str, tuple[str, Callable[[Document], list[dict]]]] = {
     "page_objects": ("obj_num int, page_number int", _page_objects),
     "operations": ("page_number int, operations array<struct<operator string, operands array<string>>>, warnings array<string>", _operations),
     "page_text": (f"page_number int, text string, warnings array<string>, total_codes bigint, unmapped_codes bigint, fonts {_FONT}, garbled boolean", _page_text),
+    "matches": ("page_number int, snippets array<string>", _matches),
     "reliability": (f"verdict string, total_codes bigint, unmapped_codes bigint, unmapped_ratio double, fonts {_FONT}", _reliability),
     "roles": (f"{_ID}, role string, description string, details array<struct<name string, value string>>", _roles),
     "reached": (_ID, _reached),

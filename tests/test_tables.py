@@ -1,11 +1,16 @@
+import json
+
 import duckdb
 import pytest
 
 import __spark_entry__
 from quarry.api import Corpus
+from quarry.functions import validate
 from quarry.operators import objects, sinks
 from quarry.plans import queries as plans
 from quarry.sources import corpora, reader
+from quarry.sources.document import Document
+from quarry.sources.objects import Ref, Stream
 from quarry.streaming import ingest
 
 
@@ -31,6 +36,18 @@ def test_against_sql(spark, data, duck, name):
     assert normal(got.collect(), columns) == normal(rows, columns)
 
 
+@pytest.mark.parametrize("name", sorted(set(plans.queries()) - {"permissions"}))
+def test_one_parse(spark, data, name):
+    """Files are made once and parsed once; two readings take two."""
+    plan = plans.queries()[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == {"encryption_status": 4, "load_errors": 1}.get(name, 2)
+
+
+def test_declared_lengths():
+    doc = Document(objects={Ref(1, 0): Stream({"Length": 5}, b"abc"), Ref(2, 0): Stream({"Length": 3}, b"abc"), Ref(3, 0): Stream({"Length": Ref(9, 0)}, b"")})
+    assert list(validate.lengths(doc)) == [("warn", "Object 1 0: /Length is 5 but stream content is 3 bytes")]
+
+
 def test_entry(spark, data):
     assert set(plans.queries()) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).limit(3).count() == 3
@@ -58,6 +75,13 @@ def test_corpus_of_files(spark, folder, tmp_path):
     for wrong in (("text", "search"), ("nonsense",)):
         with pytest.raises(ValueError):
             corpus.combined(*wrong)
+    said = {r.doc_key.rsplit("/", 1)[-1]: json.loads(r.json) for r in corpus.combined_json("text", "find_text", "list", pattern="hello", pages="1").filter("load_error is null").collect()}
+    assert list(said["0.pdf"]) == ["list", "text", "find_text"] and said["1.pdf"]["find_text"] == [] and said["2.pdf"]["find_text"][0]["snippets"] == ["third with Hello"]
+    assert json.loads(corpus.combined_json("text").filter("load_error is null").first().json)[0]["page_number"] == 1
+    assert [(r.ord, r.title) for r in corpus.sections("images", "fonts").filter("doc_key like '%0.pdf'").collect()] == [(0, "Fonts"), (1, "Images")]
+    for wrong in (("text", "search"), ("nonsense",)):
+        with pytest.raises(ValueError):
+            corpus.combined_json(*wrong)
     corpus.register_views()
     assert spark.sql("select count(*) from pdf_page_text where contains(text, 'file')").first()[0] == 1
 
