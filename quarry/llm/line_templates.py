@@ -33,7 +33,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StructField
 
 from ._common import bounded_batches, free_names, map_batches, table, written
 from .simhash import similarity
@@ -44,9 +43,9 @@ MIN_DOCS, MIN_DOCS_SHORT, MIN_DOCS_GENERAL, MIN_DOCS_LONG = 3, 20, 5, 2
 #: Shares of a leaf's lines that make a token constant; below 1 / LEAF_LINES of them two lines wouldn't do in a full leaf.
 LEVELS, ALIKE, LEAF_LINES = (0.8, 0.4, 0.2, 0.1, 0.05, 0.03125), 0.7, 64
 COPY_LINES, COPY_SHARE, COPY_SIMILARITY, COPY_SHINGLE = 3, 0.5, 0.8, 5
-#: Bits in the filters of leaves in use and of documents that lose lines: 2 MB, whatever the corpus. They only spare work;
-#: the joins after them are exact.
-FILTER_BITS = 1 << 24
+#: Bits in the filter of leaves in use (2 MB, whatever the corpus), and rows in that of documents that lose lines. They only
+#: spare work; the joins after them are exact.
+FILTER_BITS, BUCKETS = 1 << 24, 1 << 16
 _DIGIT, _LETTER = re.compile(r"\d"), re.compile(r"[^\W\d_]")
 
 
@@ -80,6 +79,24 @@ def _lines(text: str | None):
             yield tokens
 
 
+def _copy():
+    """What a text is known by; null and empty texts are the same."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def _bucket(column: str):
+    return F.expr(f"pmod(`{column}`, {BUCKETS})")
+
+
+def _split(docs: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """docs whose column may be among ids (all that are, and few others while ids are few), and the rest, by a filter of at most
+    BUCKETS rows."""
+    (bucket,) = free_names(docs.columns, "bucket")
+    some = F.broadcast(ids.select(_bucket(ids.columns[0]).alias(bucket)).distinct())  # at most BUCKETS rows
+    keyed = _bucket(column) == F.col(bucket)
+    return docs.join(some, keyed, "left_semi"), docs.join(some, keyed, "left_anti")
+
+
 def hashed(docs: DataFrame) -> DataFrame:
     """doc_id, copy (a hash of the text), key (of the template), leaf, n_tokens, n_words (of all its lines), of each different
     line of every row."""
@@ -89,15 +106,15 @@ def hashed(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                copy, found = _hash(t or ""), {}
+            for d, t, copy in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found = {}
                 for x in _lines(t):
                     found.setdefault(_hash(" ".join(x)), x)
                 n_words = sum(map(len, found.values()))
                 rows += [(d, copy, key, leaf(x), len(x), n_words) for key, x in found.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 6, kinds, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, copy long, key long, leaf long, n_tokens int, n_words long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _copy()).mapInArrow(run, "doc_id long, copy long, key long, leaf long, n_tokens int, n_words long")
 
 
 def _recurs(min_docs: int):
@@ -225,22 +242,12 @@ def without_templates(docs: DataFrame) -> DataFrame:
     # A copy's own lines go too unless it is the first; keyed by the text's hash, so copies cost one row.
     hits = written(lines.join(dropped, "key").filter(F.col("copy") != F.col("first_copy")).select("copy", "key", "first_copy", "n_tokens", "n_words").distinct(), "hits")
     at, n_at = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    copy, of, drop = free_names(docs.columns, "copy", "of", "drop")
-
-    def flagged(held):
-        """docs with their texts' hashes, and whether they are in a filter."""
-
-        def run(batches):
-            some = np.frombuffer(held.value, np.uint8)
-            for b in batches:
-                hashes = [_hash(t or "") for t in b.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hashes, pa.int64()), pa.array([_in_filter(some, h) for h in hashes], pa.bool_())], names=[*b.schema.names, "m0", "m1"])
-
-        return map_batches(docs, run, StructField(copy, LongType()), StructField(of, BooleanType()))
+    copy, of, drop = free_names([*docs.columns, "bucket"], "copy", "of", "drop")
+    keyed = docs.withColumn(copy, _copy())
 
     def texts(ids):
-        some = flagged(_filter_of(ids)).filter(F.col(of)).select(F.col(copy).alias("copy"), F.col("text"))
-        return some.join(ids, "copy", "left_semi")
+        found, _ = _split(keyed.select(F.col(copy).alias("copy"), F.col("text")), ids, "copy")
+        return found.join(ids, "copy", "left_semi")
 
     def cut(batches):
         for b in batches:
@@ -256,10 +263,9 @@ def without_templates(docs: DataFrame) -> DataFrame:
 
     by_text = hits.join(written(near_copies(texts, hits), "near-copies"), "copy", "left_anti").groupBy("copy").agg(F.collect_list("key").alias(drop)).withColumnRenamed("copy", of)
     by_text = written(by_text, "text-drops")
-    marked = flagged(_filter_of(by_text.select(of)))
-    plain = marked.filter(~F.col(of)).drop(copy, of)
-    some = marked.filter(F.col(of)).drop(of).join(by_text, F.col(copy) == F.col(of), "left").drop(copy, of)
-    return plain.union(map_batches(some, cut).drop(drop))
+    some, plain = _split(keyed, by_text.select(of), copy)
+    some = some.join(by_text, F.col(copy) == F.col(of), "left").drop(copy, of)
+    return plain.drop(copy).union(map_batches(some, cut).drop(drop))
 
 
 def without(text: str, drop: set[int]) -> str:

@@ -490,7 +490,7 @@ def test_short_lines(spark):
 
 def slow_lines(rows):
     """Line dedup as its docstring says it, in plain loops over (doc_id, text)."""
-    lt = line_templates
+    lt, copy_of = line_templates, lambda t: simhash._signed(xxhash.xxh64_intdigest(t.encode(), 42))
     texts, by_text = {}, {}
     for d, t in rows:
         texts.setdefault(t, d)
@@ -532,7 +532,7 @@ def slow_lines(rows):
 
     def first(docs, n, least):
         least = lt.MIN_DOCS_SHORT if n < lt.SHORT_TOKENS else lt.MIN_DOCS_LONG if n >= lt.LONG_TOKENS else least
-        return min(docs, key=lambda t: (texts[t], lt._hash(t))) if len(docs) >= least else None
+        return min(docs, key=lambda t: (texts[t], copy_of(t))) if len(docs) >= least else None
 
     keeper = {}
     for x, docs in holders.items():
@@ -545,7 +545,7 @@ def slow_lines(rows):
         for x, k in gone.items():
             by_keeper[k] += len(x)
         if len(gone) >= lt.COPY_LINES and sum(map(len, gone)) >= lt.COPY_SHARE * sum(map(len, said[t])):
-            most = max(by_keeper, key=lambda k: (by_keeper[k], lt._hash(k)))
+            most = max(by_keeper, key=lambda k: (by_keeper[k], copy_of(k)))
             a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (x.lower().split() for x in (t, most)))
             if len(a & b) / len(a | b) >= lt.COPY_SIMILARITY:
                 gone = {}
