@@ -45,7 +45,7 @@ LEVELS, ALIKE, LEAF_LINES = (0.8, 0.4, 0.2, 0.1, 0.05, 0.03125), 0.7, 64
 COPY_LINES, COPY_SHARE, COPY_SIMILARITY, COPY_SHINGLE = 3, 0.5, 0.8, 5
 #: Bits in the filter of leaves in use (2 MB, whatever the corpus), and rows in that of documents that lose lines. They only
 #: spare work; the joins after them are exact.
-FILTER_BITS, BUCKETS = 1 << 24, 1 << 16
+FILTER_BITS, BUCKETS = 1 << 24, 1 << 20
 _DIGIT, _LETTER = re.compile(r"\d"), re.compile(r"[^\W\d_]")
 
 

@@ -863,6 +863,98 @@ def test_waves_approximate_a_gaussian_kernel():
     assert np.abs(f @ f.T - near).max() < 0.1
 
 
+def slow_toxicity(text, model):
+    """The noisy-or over sentences, sentence by sentence."""
+    weights, clean = dict(zip(model["vocabulary"], model["weights"], strict=True)), np.exp(-model["leak"])
+    for m in toxicity.SENTENCE.finditer(text or ""):
+        found = {f for w in toxicity.words_of(m.group()) for f in toxicity.word_features(w)} & weights.keys()
+        if found:
+            clean *= 1 - 1 / (1 + np.exp(-(model["bias"] + sum(weights[f] for f in found))))
+    return 1 - clean
+
+
+def test_toxicity_scores_by_hand(spark):
+    docs, labels = table(spark, MIDDLE, "documents"), table(spark, MIDDLE, "labels")
+    model = toxicity.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == len(texts) and len(model["vocabulary"]) > 10
+    assert all(r.score == pytest.approx(slow_toxicity(texts[r.doc_id], model), abs=1e-9) for r in got)
+
+
+def crc(text):
+    return zlib.crc32(text.encode())
+
+
+def test_quality_scores_by_hand(spark):
+    """The classifier again, with whole matrices in place of sums by partition."""
+    docs, labels = table(spark, MIDDLE, "documents"), table(spark, MIDDLE, "labels")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    known = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None and crc(str(r.doc_id)) % 3 != 1}
+    stats = np.array([quality_rff.statistics(t) for _, t in rows])
+    spread = stats.std(axis=0)
+    z = np.clip((stats - stats.mean(axis=0)) / np.where(spread > 0, spread, 1), -4, 4)
+    f = quality_rff.waves(z)
+    at = [i for i, (d, _) in enumerate(rows) if d in known]
+    y, half = np.array([known[rows[i][0]] for i in at], float), np.array([crc(f"{rows[i][0]}half") % 2 for i in at])
+    k = f.shape[1]
+
+    def solved(some):
+        x = f[np.array(at)[some]]
+        return np.linalg.solve(x.T @ x + quality_rff.RIDGE * (len(x) + 1) * np.eye(k), x.T @ y[some])
+
+    crossed = np.where(half == 0, f[at] @ solved(half == 1), f[at] @ solved(half == 0))
+    place = quality_rff.binned(crossed)
+    rates = quality_rff.isotonic(np.bincount(place, y, quality_rff.BINS), np.bincount(place, minlength=quality_rff.BINS).astype(float))
+    want = dict(zip((d for d, _ in rows), rates[quality_rff.binned(f @ solved(np.full(len(at), True)))], strict=True))
+    got = {r.doc_id: r.score for r in quality_rff.scored(docs, labels).collect()}
+    assert got.keys() == want.keys() and sum(abs(got[d] - want[d]) > 1e-6 for d in got) <= 2  # a sum's rounding may change a bin
+
+
+def slow_estimate(votes, strength=0.05, rounds=100):
+    """Expectation-maximisation over single documents, rule by rule."""
+    n, n_rules, belief = len(votes), len(votes[0]), ({-1: 0.35, 0: 0.15, 1: 0.5}, {-1: 0.01, 0: 0.09, 1: 0.9})
+    good = [0.2 if -1 in v else 0.95 for v in votes]
+    for _ in range(rounds):
+        pull = strength * (n + 1)
+        prior = (sum(good) + 0.9 * pull) / (n + pull)
+        shares = [[{} for _ in range(n_rules)] for _ in (0, 1)]
+        for side in (0, 1):
+            held = [g if side else 1 - g for g in good]
+            for r in range(n_rules):
+                raw = {v: sum(h for h, x in zip(held, votes, strict=True) if x[r] == v) + pull * belief[side][v] for v in (-1, 0, 1)}
+                shares[side][r] = {v: x / sum(raw.values()) for v, x in raw.items()}
+        for r in range(n_rules):
+            shares[1][r][-1], shares[1][r][1] = min(shares[1][r][-1], shares[0][r][-1]), max(shares[1][r][1], shares[0][r][1])
+        new = []
+        for v in votes:
+            odds = prior / (1 - prior) * np.prod([shares[1][r][x] / shares[0][r][x] for r, x in enumerate(v)])
+            new.append(odds / (1 + odds))
+        if max(abs(a - b) for a, b in zip(new, good, strict=True)) < 1e-9:
+            break
+        good = new
+    return new
+
+
+@given(st.lists(st.tuples(*[st.sampled_from([-1, 0, 1])] * 4), min_size=1, max_size=25))
+@settings(deadline=None, max_examples=40)
+def test_estimate_against_single_documents(rows):
+    patterns, n = np.unique(np.array(rows), axis=0, return_counts=True)
+    model = quality_votes.estimate(patterns, n.astype(float))
+    assert np.allclose(quality_votes.posterior(np.array(rows), model), slow_estimate(rows), atol=1e-6)
+
+
+def test_votes_by_hand(spark):
+    docs = table(spark, MIDDLE, "documents").limit(300)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = [(d, dict(zip(quality_votes.COUNTS, quality_votes.counts(t), strict=True))) for d, t in texts.items()]
+    said = {d: tuple(1 if (x := measure(c)) <= good else -1 if x >= bad else 0 for measure, good, bad in quality_votes.RULES.values()) for d, c in rows if c["n_words"]}
+    want = dict(zip(said, slow_estimate([*said.values()]), strict=True))
+    for r in quality_votes.judged(docs).collect():
+        assert r.quality == pytest.approx(want.get(r.doc_id, 0.0), abs=1e-6)
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and r.kept == (not r.base_failed and want[r.doc_id] >= 0.5)
+
+
 # The pipeline
 
 
@@ -896,3 +988,58 @@ def test_stages_take_effect(spark, data):
         words = [*(r.text or "").split(), packing.END]
         want.update((r.doc_id, f, " ".join(words[f : f + packing.CAPACITY])) for f in range(0, len(words), packing.CAPACITY))
     assert said == want
+
+
+def slow_near_duplicates(rows):
+    """doc_ids that stay: groups by fingerprints at two bits or fewer and by shingle similarity, over all pairs."""
+    root = {d: d for d, _ in rows}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    fps = {d: slow_fingerprint(t) for d, t in rows}
+    shingles = {}
+    for d, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        shingles[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    for i, (a, _) in enumerate(rows):
+        for b, _ in rows[i + 1 :]:
+            common = len(shingles[a] & shingles[b])
+            if (fps[a] ^ fps[b]).bit_count() <= 2 or common and common >= 0.8 * len(shingles[a] | shingles[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {d for d, _ in rows if find(d) == d}
+
+
+def test_near_duplicates_over_all_pairs(spark):
+    rows = sorted((r.doc_id, r.text) for r in table(spark, MIDDLE, "documents").collect())
+    kept = {r.doc_id for r in simhash.keep_one(table(spark, MIDDLE, "documents")).select("doc_id").collect()}
+    want = slow_near_duplicates(rows)
+    assert kept >= want and len(kept) <= 1.002 * len(want) and len(want) < len(rows)
+
+
+def test_the_pipeline_by_hand(spark, data):
+    """Each stage against its plain version, on what the stage before it kept."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = table(spark, data, "documents").limit(150)
+    model = toxicity.fit(docs, table(spark, data, "labels"))
+    clean = stages["toxicity"](spark, docs, data)
+    assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect() if slow_toxicity(r.text, model) < 0.5}
+    lines = stages["line_dedup"](spark, clean, data)
+    assert {r.doc_id: r.text for r in lines.collect()} == slow_lines([(r.doc_id, r.text) for r in clean.collect()])
+    single = stages["near_dedup"](spark, lines, data)
+    assert {r.doc_id for r in single.collect()} == slow_near_duplicates(sorted((r.doc_id, r.text) for r in lines.collect()))
+    items = [r.text for r in table(spark, data, "benchmark").collect()]
+    free = stages["decontamination"](spark, single, data)
+    found = {r.doc_id for r in single.collect() if any(slow_found(x, r.text) for x in items)}
+    assert {r.doc_id for r in free.collect()} == {r.doc_id for r in single.collect()} - found
+    packed = stages["packing"](spark, free, data).collect()
+    used = Counter()
+    for r in packed:
+        for p in r.pieces:
+            used[p.doc_id] += p.n
+    assert used == {r.doc_id: len((r.text or "").split()) + 1 for r in free.collect()} and max(r.n for r in packed) <= packing.CAPACITY
