@@ -144,7 +144,7 @@ class Corpus:
         for m, ps in parts.items():
             rows = F.col(ps[0])
             if m == "labels":
-                rows = F.when(F.size("label_ranges") > 0, F.transform("pages", lambda p: structure.label_of(p.page_number.cast("bigint"), F.col("label_ranges")))).otherwise(F.array())
+                rows = F.when(F.size("label_ranges") > 0, F.transform("pages", lambda p: structure.label_of(p.page_number.cast("bigint"), structure.range_of(p.page_number, F.col("label_ranges"))))).otherwise(F.array())
             if m == "security":
                 rows = F.get("documents", F.lit(0)).security
             elif pages is not None and m in PAGE_MODES:

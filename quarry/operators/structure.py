@@ -28,9 +28,13 @@ def alpha(n: Column, letters: int = 14) -> Column:
     return F.aggregate(F.array_repeat(F.lit(0), letters), F.struct(F.lit("").alias("out"), n.cast("bigint").alias("rest")), step, lambda held: held.out)
 
 
-def label_of(number: Column, ranges: Column) -> Column:
-    """A page's label, style, prefix and start, from the last of a document's ranges that begins at or before it."""
-    r = F.try_element_at(F.filter(ranges, lambda r: (r.first_page >= 0) & (r.first_page < number)), F.lit(-1))
+def range_of(number: Column, ranges: Column) -> Column:
+    """The last of a document's ranges that begins at or before a page."""
+    return F.try_element_at(F.filter(ranges, lambda r: (r.first_page >= 0) & (r.first_page < number)), F.lit(-1))
+
+
+def label_of(number: Column, r: Column) -> Column:
+    """A page's label, style, prefix and start, from its range."""
     style, prefix = F.coalesce(r.style, F.lit("D")), F.coalesce(r.prefix, F.lit(""))
     start = F.coalesce(r.start, F.lit(1)).cast("bigint")
     n = start + number - 1 - F.coalesce(r.first_page, F.lit(0))
@@ -44,7 +48,9 @@ def page_labels(parsed: DataFrame) -> DataFrame:
     """Each page's label, from the last range that begins at or before it: an as-of join within the document's row, from
     parts pages and label_ranges (which are in order). Documents without ranges have no labels."""
     pages = parsed.filter(F.size("label_ranges") > 0).select("doc_key", "label_ranges", F.explode("pages").alias("page"))
-    return pages.select("doc_key", label_of(F.col("page.page_number").cast("bigint"), F.col("label_ranges")).alias("r")).select("doc_key", "r.*")
+    number = F.col("page.page_number").cast("bigint")
+    held = pages.select("doc_key", number.alias("number"), range_of(number, F.col("label_ranges")).alias("r"))
+    return held.select("doc_key", label_of(F.col("number"), F.col("r")).alias("said")).select("doc_key", "said.*")
 
 
 def permissions(p: Column) -> Column:

@@ -152,6 +152,21 @@ def recovery_json(spark, sf_dir):
     )
 
 
+@query(
+    """SELECT s_suppkey, s_name AS text, s_name AS title, ['RC4, 40-bit', 'RC4, 128-bit', 'AES-128', 'AES-256'][s_suppkey % 4 + 1] AS algorithm, [1, 2, 4, 5][s_suppkey % 4 + 1] AS v, [2, 3, 4, 5][s_suppkey % 4 + 1] AS r,
+CAST([0, 128, 128, 256][s_suppkey % 4 + 1] AS INTEGER) AS key_length, 8 AS encrypt_object FROM supplier"""
+)
+def encryption_methods(spark, sf_dir):
+    """Files opened by every method of the standard handler, and what security says of them."""
+    found = _of(spark, sf_dir, "supplier", "s_suppkey", lambda r: cases.locked_file(r["s_suppkey"], r["s_name"]), "s_name")
+    parsed = reader.parse(found, ["page_text", "documents"], password="open sesame")
+    d = F.get("documents", F.lit(0))
+    return parsed.select(
+        _id("s_suppkey"), F.get("page_text", F.lit(0)).text.alias("text"), d.info["Title"].alias("title"), d.security.algorithm.alias("algorithm"), d.security.version.alias("v"), d.security.revision.alias("r"),
+        d.security.key_length.alias("key_length"), d.security.encrypt_object.alias("encrypt_object"),
+    )
+
+
 # Structure.
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .corpora import LINES_A_PAGE, shown_lines
 from .objects import Name, Ref, Stream, Text
-from .writer import Builder, file_id, page_content, stream, with_pages
+from .writer import METHODS, Builder, file_id, page_content, stream, with_pages
 
 
 def _font(build: Builder, **more) -> Ref:
@@ -193,3 +193,13 @@ def image_file(number: int) -> bytes:
     image = build.add(Stream({**entries, "Length": 3}, b"abc"))
     with_pages(build, [stream(b"")], {"XObject": {"Im1": image}})
     return build.write()
+
+
+def locked_file(number: int, text: str) -> bytes:
+    """Text encrypted by the method that a number tells."""
+    build = Builder()
+    font = _font(build)
+    with_pages(build, [stream(shown_lines([text], "win"))], {"Font": {"F1": font}})
+    build.trailer["ID"] = file_id(str(number))
+    build.trailer["Info"] = build.add({"Title": Text(text.encode())})
+    return build.write(b"open sesame", method=METHODS[number % 4])

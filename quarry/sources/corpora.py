@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,6 +17,32 @@ LINES_A_PAGE = 8
 FILTERS = ((), ("FlateDecode",), ("ASCII85Decode",), ("ASCIIHexDecode",), ("LZWDecode",), ("RunLengthDecode",))
 
 
+class Kept:
+    """Files written to a folder when they are first made for a name, and read from it when they are made for it again: for timing
+    reading alone. A name's files are known by the order in which they are made."""
+
+    def __init__(self, folder: str):
+        self.folder, self.name, self.n = folder, "", 0
+
+    def named(self, name: str) -> None:
+        self.name, self.n = name, 0
+
+    def held(self, made: DataFrame) -> DataFrame:
+        path, self.n = f"{self.folder}/{self.name}-{self.n}", self.n + 1
+        if not Path(path).exists():
+            made.write.parquet(path)
+        return made.sparkSession.read.parquet(path)
+
+
+_KEPT: Kept | None = None
+
+
+def keep(kept: Kept | None) -> None:
+    """From now on files are kept; None ends that."""
+    global _KEPT
+    _KEPT = kept
+
+
 def built(rows: DataFrame, make: Callable[[dict], bytes], key: str) -> DataFrame:
     """doc_key and content: make's file of each row."""
     names = rows.columns
@@ -31,7 +58,8 @@ def built(rows: DataFrame, make: Callable[[dict], bytes], key: str) -> DataFrame
             made = [make(dict(zip(names, row, strict=True))) for row in zip(*cols, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([str(k) for k in cols[at]]), pa.array(made, pa.binary())], ["doc_key", "content"])
 
-    return rows.mapInArrow(run, "doc_key string, content binary")
+    made = rows.mapInArrow(run, "doc_key string, content binary")
+    return made if _KEPT is None else _KEPT.held(made)
 
 
 def font(kind: str, build: Builder) -> Ref:

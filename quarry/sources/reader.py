@@ -21,17 +21,20 @@ from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 from ..functions import structure, text, validate
 from ..functions.codecs import is_binary
 from .batches import array_of, bounded, sliced
+from .crypt import algorithm, permissions
 from .document import Document, LoadError, load
 from .objects import Name, Ref, Stream, Text, kind_of, lossy, references, shown, tagged
 
 
 def _documents(doc: Document) -> list[dict]:
     info, settings = structure.information(doc)
-    encrypt = doc.get(doc.trailer.get("Encrypt"))
-    from .crypt import algorithm, permissions
+    # Where the trailer doesn't name it, a cross-reference stream may.
+    xrefs = (v.dict["Encrypt"] for v in doc.objects.values() if isinstance(v, Stream) and v.dict.get("Type") == "XRef" and "Encrypt" in v.dict)
+    held = doc.trailer["Encrypt"] if "Encrypt" in doc.trailer else next(xrefs, None)
+    encrypt = doc.get(held)
 
     v, length, p = ((encrypt.get(k, d) if isinstance(encrypt, dict) else 0) for k, d in (("V", 0), ("Length", 0), ("P", 0)))
-    security = {"algorithm": algorithm(v, length), "version": v, "revision": encrypt.get("R", 0), "key_length": length, "p": p, "permissions": permissions(p)} if isinstance(encrypt, dict) else None
+    security = {"algorithm": algorithm(v, length), "version": v, "revision": encrypt.get("R", 0), "key_length": length, "p": p, "permissions": permissions(p), "encrypt_object": held.num if isinstance(held, Ref) else None} if isinstance(encrypt, dict) else None
     recovery = [{"object": r.object, "generation": r.generation, "file_offset": r.file_offset, "declared_length": r.declared_length, "actual_length": r.actual_length} for r in doc.recovery]
     mark = doc.dict_of(doc.catalog.get("MarkInfo")) or {}
     return [{
@@ -195,7 +198,7 @@ _FONT = "array<struct<name string, base_font string, subtype string, classificat
 PARTS: dict[str, tuple[str, Callable[[Document], list[dict]]]] = {
     "documents": (
         "version string, object_count int, page_count int, encrypted boolean, decrypted boolean, "
-        "security struct<algorithm string, version int, revision int, key_length int, p bigint, permissions map<string, boolean>>, info map<string, string>, settings map<string, string>, "
+        "security struct<algorithm string, version int, revision int, key_length int, p bigint, permissions map<string, boolean>, encrypt_object int>, info map<string, string>, settings map<string, string>, "
         "recovery array<struct<object int, generation int, file_offset bigint, declared_length bigint, actual_length bigint>>, tagged boolean, has_page_labels boolean", _documents),
     "objects": (f"{_ID}, kind string, type_label string, subtype string, n_keys int, detail string, label string, summary string, filters array<string>, raw_len bigint, declared_length bigint", _objects),
     "values": (f"{_ID}, kind string, value string", _values),

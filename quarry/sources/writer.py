@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from hashlib import md5
+from hashlib import md5, sha256
 
 from ..functions.codecs import ENCODERS
-from .crypt import PADDING, rc4
+from .crypt import PADDING, aes_encrypt, rc4
 from .objects import Name, Ref, Stream, Text, number
 
 
@@ -51,6 +51,10 @@ def stream(data: bytes, filters: tuple[str, ...] = (), **entries) -> Stream:
     return Stream({**entries, **named, "Length": len(data)}, data)
 
 
+#: Ways to encrypt a file, by the public specification's revisions 2, 3, 4 and 5.
+METHODS = ("RC4-40", "RC4-128", "AES-128", "AES-256")
+
+
 class Builder:
     """Collects objects and writes the file."""
 
@@ -62,19 +66,42 @@ class Builder:
         self.objects[ref] = value
         return ref
 
-    def _sealed(self, password: bytes) -> tuple[dict, bytes]:
-        """RC4 with a key of 40 bits: the dictionary and the file's key."""
-        owner = rc4(md5((password + PADDING)[:32]).digest()[:5], (password + PADDING)[:32])
-        file_id = bytes(self.trailer["ID"][0])
-        key = md5((password + PADDING)[:32] + owner + (0xFFFFFFFC).to_bytes(4, "little") + file_id).digest()[:5]
-        return {"Filter": Name("Standard"), "V": 1, "R": 2, "O": Text(owner), "U": Text(rc4(key, PADDING)), "P": -4}, key
-
-    def write(self, password: bytes | None = None, packed: bool = False) -> bytes:
-        """The file's bytes. packed: plain objects in an object stream, and a cross-reference stream."""
+    def _sealed(self, password: bytes, method: str) -> tuple[dict, bytes]:
+        """The encryption dictionary and the file's key, by one of METHODS."""
+        file_id, padded = bytes(self.trailer["ID"][0]), (password + PADDING)[:32]
+        if method == "RC4-40":
+            owner = rc4(md5(padded).digest()[:5], padded)
+            key = md5(padded + owner + (0xFFFFFFFC).to_bytes(4, "little") + file_id).digest()[:5]
+            return {"Filter": Name("Standard"), "V": 1, "R": 2, "O": Text(owner), "U": Text(rc4(key, PADDING)), "P": -4}, key
+        if method == "AES-256":
+            key, salts = sha256(b"key" + file_id).digest(), [sha256(bytes([i]) + file_id).digest()[:8] for i in range(4)]
+            user = sha256(password + salts[0]).digest() + salts[0] + salts[1]
+            owner = sha256(password + salts[2] + user).digest() + salts[2] + salts[3]
+            sealed = {"UE": aes_encrypt(sha256(password + salts[1]).digest(), bytes(16), key), "OE": aes_encrypt(sha256(password + salts[3] + user).digest(), bytes(16), key)}
+            entries = {"V": 5, "R": 5, "Length": 256, "O": Text(owner), "U": Text(user), **{k: Text(v) for k, v in sealed.items()}}
+        else:
+            by = padded
+            for _ in range(51):
+                by = md5(by).digest()
+            owner = padded
+            for i in range(20):
+                owner = rc4(bytes(b ^ i for b in by), owner)
+            key = md5(padded + owner + (0xFFFFFFFC).to_bytes(4, "little") + file_id).digest()
+            for _ in range(50):
+                key = md5(key).digest()
+            user = md5(PADDING + file_id).digest()
+            for i in range(20):
+                user = rc4(bytes(b ^ i for b in key), user)
+            entries = {"V": 2 if method == "RC4-128" else 4, "R": 3 if method == "RC4-128" else 4, "Length": 128, "O": Text(owner), "U": Text(user + bytes(16))}
+        filters = {} if method == "RC4-128" else {"CF": {"StdCF": {"CFM": Name("AESV2" if method == "AES-128" else "AESV3"), "AuthEvent": Name("DocOpen")}}, "StmF": Name("StdCF"), "StrF": Name("StdCF")}
+        return {"Filter": Name("Standard"), **entries, "P": -4, **filters}, key
+
+    def write(self, password: bytes | None = None, packed: bool = False, method: str = "RC4-40") -> bytes:
+        """The file's bytes. packed: plain objects in an object stream, and a cross-reference stream. method: one of METHODS."""
         objects = dict(sorted(self.objects.items()))
         if password is not None:
-            encrypt, key = self._sealed(password)
-            objects = {r: _locked(v, md5(key + r.num.to_bytes(3, "little") + r.gen.to_bytes(2, "little")).digest()[:10]) for r, v in objects.items()}
+            encrypt, key = self._sealed(password, method)
+            objects = {r: _locked(v, _lock(key, method, r)) for r, v in objects.items()}
             held = Ref(max((r.num for r in objects), default=0) + 1, 0)
             objects[held] = encrypt
             self.trailer["Encrypt"] = held
@@ -115,18 +142,33 @@ class Builder:
         return bytes(out + b"startxref\n%d\n%%%%EOF\n" % start)
 
 
-def _locked(value, key: bytes):
+def _lock(key: bytes, method: str, ref: Ref):
+    """What encrypts strings and streams of one object."""
+    if method != "AES-256":
+        salt = ref.num.to_bytes(3, "little") + ref.gen.to_bytes(2, "little") + (b"sAlT" if method == "AES-128" else b"")
+        key = md5(key + salt).digest()[: min(16, len(key) + 5)]
+    if method.startswith("RC4"):
+        return lambda data: rc4(key, data)
+
+    def seal(data: bytes) -> bytes:
+        iv, rest = md5(key + data).digest(), 16 - len(data) % 16
+        return iv + aes_encrypt(key, iv, data + bytes([rest]) * rest)
+
+    return seal
+
+
+def _locked(value, lock):
     if isinstance(value, Text):
-        out = Text(rc4(key, bytes(value)))
+        out = Text(lock(bytes(value)))
         out.hex = value.hex
         return out
     if isinstance(value, list):
-        return [_locked(v, key) for v in value]
+        return [_locked(v, lock) for v in value]
     if isinstance(value, dict):
-        return {k: _locked(v, key) for k, v in value.items()}
+        return {k: _locked(v, lock) for k, v in value.items()}
     if isinstance(value, Stream):
-        raw = rc4(key, value.raw)
-        return Stream({**_locked(value.dict, key), "Length": len(raw)}, raw)
+        raw = lock(value.raw)
+        return Stream({**_locked(value.dict, lock), "Length": len(raw)}, raw)
     return value
 
 
