@@ -66,12 +66,13 @@ NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form
 NOISE_WORDS = frozenset(
     "ad ads adsbygoogle advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs header footer "
     "comment comments disqus respond replies cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share "
-    "sharing social related recommended widget masthead toolbar pagination pager hidden search".split()
+    "sharing social related recommended widget masthead toolbar topbar topnav sidenav subnav pagination pager hidden search announcement copyright skip commentlist leaderboard skyscraper "
+    "taboola outbrain addthis sharedaddy".split()
 )
 #: Words that may stand beside a noise word in a class name without telling of something else.
 PLAIN_WORDS = frozenset(
     "area article articles bar block bottom box button buttons col component container content desktop first fixed footer form global group header inner item items last left link links list "
-    "local main mobile module outer page panel post posts primary reader region right row secondary section site slot small sticky stories story text title top unit user wrap wrapper zone".split()
+    "local main media mobile module outer page panel post posts primary reader region right row secondary section site slot small sticky stories story text thread title top unit user wrap wrapper zone".split()
 )
 ARTICLE_WORDS = frozenset("article content post entry story main".split())
 BESIDE_ARTICLE = frozenset("body text inner wrapper area page single the full".split())
@@ -167,9 +168,8 @@ class Page:
             if name in ("form", "fieldset"):
                 suspects = (*suspects, _Suspect(True))
             elif tokens and _told(name, tokens, up.inside):
-                header = any("header" in t for t in tokens)
-                noise = header
-                suspects = suspects if header else (*suspects, _Suspect(False))
+                noise = name not in BLOCK or any("header" in t for t in tokens)
+                suspects = suspects if noise else (*suspects, _Suspect(False))
         path = up.path
         if name in BLOCK:
             key = (up.path, name, " ".join(sorted({" ".join(t) for t in tokens})))
@@ -205,8 +205,6 @@ class Page:
             if top.noise:
                 return
             text = entities.unescape(raw) if "&" in raw else raw
-            if parts and top.suspects != owner.suspects and text.strip():
-                flush()  # noise within a line is a block of its own
             if not parts:
                 owner = top
             parts.append(text)

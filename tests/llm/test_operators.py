@@ -406,6 +406,8 @@ def test_classes_nest(spark):
     ("<div class=site-header>Site</div><header>Top</header><h1>Head</h1><p>Text of it</p><aside>Side</aside><div class='alert alert-info'>Notice</div><footer>End</footer>", "Head|Text of it"),
     ("<div class=widget><h1>Head</h1><p>Text</p></div><div class=widget>No</div>", "Head|Text"),
     ("<article><header><h1>Head</h1></header><p>Text<nav>No</nav><ul><li>one<li>two<ul><li>three</ul></ul>tail</article>", "Head|Text|one|two|three|tail"),
+    ("<h1>Head</h1><p>Text</p><div id=disqus_thread>no</div><ol class=commentlist><li>no</ol><div class='social-media-links'>no</div><ins class=adsbygoogle>no</ins>", "Head|Text"),
+    ("<p>Text <span class=ad>buy</span> goes on</p><div class=leftSidebar>no</div><div class=thread>kept</div><div class='media-text'>kept too</div>", "Text goes on|kept|kept too"),
     ("<x-page><p>own <x-word>element</x-word> names</x-page>", "own element names"),
     ("<p>a<table><tr><td><p>b</td><td>c</table>d", "a|b|c|d"),
     ("<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>after", "deep|after"),
