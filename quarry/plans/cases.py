@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..api import Corpus
-from ..operators import objects, sinks, structure, summary, text
+from ..operators import graph, objects, sinks, structure, summary, text
 from ..sources import cases, corpora, reader
 from .queries import _ID, _N_PAGES, _PAGES, _documents, _faulty, _filtered, _plain, _table, query
 
@@ -235,3 +235,91 @@ def mode_sections(spark, sf_dir):
     n = F.json_array_length("json")
     out = rows.groupBy("doc_key").agg(F.max(F.when(F.col("ord") == 1, n)).alias("n_pages"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "title"))), lambda t: t.title), ",").alias("titles"), F.max(F.when(F.col("ord") == 2, n)).alias("n_matches"))
     return out.select(F.expr(_ID), "n_pages", "titles", "n_matches")
+
+
+# Text through tables and maps.
+
+
+def _spelled(codec: str, more: dict[int, str]) -> str:
+    """A list for SQL: the text of codes 0x20 to 0xFF, by Python's codec and what differs from it; codes without a text are lost ones."""
+    texts = [more.get(c, bytes([c]).decode(codec, "replace") if codec else chr(c) if c < 0x7F else "\ufffd") for c in range(0x20, 0x100)]
+    return "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in texts) + "]"
+
+
+# What the public specification's encodings have beside Python's codecs.
+_LOST = "\ufffd"
+_WIN = _spelled("cp1252", {0x7F: _LOST})
+_MAC = _spelled("mac_roman", {0x7F: _LOST, 0xCA: " ", 0xDE: "fi", 0xDF: "fl"})
+_STANDARD = _spelled("", {
+    0x27: "\u2019", 0x60: "\u2018", **dict(zip(range(0xA1, 0xB0), "\u00a1\u00a2\u00a3\u2044\u00a5\u0192\u00a7\u00a4'\u201c\u00ab\u2039\u203a", strict=False)), 0xAE: "fi", 0xAF: "fl", 0xB1: "\u2013", 0xB2: "\u2020", 0xB3: "\u2021", 0xB4: "\u00b7",
+    0xB6: "\u00b6", 0xB7: "\u2022", 0xB8: "\u201a", 0xB9: "\u201e", 0xBA: "\u201d", 0xBB: "\u00bb", 0xBC: "\u2026", 0xBD: "\u2030", 0xBF: "\u00bf", 0xC1: "`", 0xC2: "\u00b4", 0xC3: "\u02c6", 0xC4: "\u02dc", 0xC5: "\u00af", 0xC6: "\u02d8",
+    0xC7: "\u02d9", 0xC8: "\u00a8", 0xCA: "\u02da", 0xCB: "\u00b8", 0xCD: "\u02dd", 0xCE: "\u02db", 0xCF: "\u02c7", 0xD0: "\u2014", 0xE1: "\u00c6", 0xE3: "\u00aa", 0xE8: "\u0141", 0xE9: "\u00d8", 0xEA: "\u0152", 0xEB: "\u00ba", 0xF1: "\u00e6",
+    0xF5: "\u0131", 0xF8: "\u0142", 0xF9: "\u00f8", 0xFA: "\u0153", 0xFB: "\u00df",
+})
+
+
+@query(
+    f"""SELECT p_partkey, list_aggregate(t[k * 8 + 1:k * 8 + 8], 'string_agg', '') AS text, CAST(8 AS BIGINT) AS total_codes, CAST(len(list_filter(t[k * 8 + 1:k * 8 + 8], lambda x: x = '{_LOST}')) AS BIGINT) AS unmapped_codes
+FROM (SELECT p_partkey, p_partkey // 3 % 28 AS k, CASE p_partkey % 3 WHEN 0 THEN {_WIN} WHEN 1 THEN {_MAC} ELSE {_STANDARD} END AS t FROM part)"""
+)
+def base_encodings(spark, sf_dir):
+    """Every code of three base encodings."""
+    found = _of(spark, sf_dir, "part", "p_partkey", lambda r: cases.encoded_file(r["p_partkey"]))
+    return reader.table(found, "page_text").select(_id("p_partkey"), "text", "total_codes", "unmapped_codes")
+
+
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+_MAPPED = "".join(chr(0x410 + i) for i in range(26)) + "".join(chr(0x3B1 + i) for i in range(26)) + "".join(chr(0x660 + i) for i in range(10))
+
+
+@query(f"""SELECT c_custkey, replace(translate(c_name || ' ' || c_mktsegment, '{_LETTERS}', '{_MAPPED}'), '#', 'ffi') || '\U0001f600ABé\ufffd' AS text, CAST(length(c_name || ' ' || c_mktsegment) + 4 AS BIGINT) AS total_codes, CAST(1 AS BIGINT) AS unmapped_codes FROM customer""")
+def mapped_codes_text(spark, sf_dir):
+    """Codes of one and two bytes through single entries, ranges and a list of a map to Unicode."""
+    found = _of(spark, sf_dir, "customer", "c_custkey", lambda r: cases.mapped_file(f"{r['c_name']} {r['c_mktsegment']}"), "c_name", "c_mktsegment")
+    return reader.table(found, "page_text").select(_id("c_custkey"), "text", "total_codes", "unmapped_codes")
+
+
+@query(
+    """SELECT c_custkey, c_name AS title, c_mktsegment AS author, CAST(c_custkey AS VARCHAR) AS subject, CAST(c_nationkey AS VARCHAR) AS keywords, c_name AS creator, c_mktsegment AS producer,
+'D:2024' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS created, 'D:2025' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS modified, 'TwoColumnLeft' AS layout, 'UseOutlines' AS mode, c_mktsegment AS lang, 8 AS n_info FROM customer"""
+)
+def all_metadata(spark, sf_dir):
+    """Every key of information and settings."""
+    found = _of(spark, sf_dir, "customer", "c_custkey", cases.described_file, "c_name", "c_mktsegment", "c_nationkey")
+    d = F.get("documents", F.lit(0))
+    keys = {"title": "Title", "author": "Author", "subject": "Subject", "keywords": "Keywords", "creator": "Creator", "producer": "Producer", "created": "CreationDate", "modified": "ModDate"}
+    settings = {"layout": "PageLayout", "mode": "PageMode", "lang": "Lang"}
+    return reader.parse(found, ["documents"]).select(
+        _id("c_custkey"), *(d.info[k].alias(name) for name, k in keys.items()), *(d.settings[k].alias(name) for name, k in settings.items()), F.size(F.map_keys(d.info)).alias("n_info")
+    )
+
+
+_REFERENCES = f"""SELECT doc_id, CAST(unnest([NULL, 4 + 2 * p, 3]) AS INTEGER) AS src_num, unnest(['/Root', '/Pages', '/Font/F1']) AS path, CAST(unnest([4 + 2 * p, 2, 1]) AS INTEGER) AS dst_num FROM n
+UNION ALL SELECT doc_id, CAST(unnest([2, 5 + 2 * i, 5 + 2 * i, 5 + 2 * i]) AS INTEGER), unnest(['/Kids[' || i || ']', '/Parent', '/Contents', '/Resources']), CAST(unnest([5 + 2 * i, 2, 4 + 2 * i, 3]) AS INTEGER) FROM (SELECT doc_id, unnest(range(0, CAST(p AS BIGINT))) AS i FROM n)"""
+_N = f"WITH n AS (SELECT doc_id, {_N_PAGES} AS p FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)) "
+
+
+@query(_N + _REFERENCES)
+def reference_paths(spark, sf_dir):
+    """Every reference with its path."""
+    return reader.table(_plain(spark, sf_dir), "refs").select(F.expr(_ID), "src_num", "path", "dst_num")
+
+
+@query(_N + f", r AS ({_REFERENCES}) SELECT doc_id, dst_num, src_num, string_agg(path, '|') AS paths FROM r WHERE src_num IS NOT NULL GROUP BY ALL")
+def reverse_paths(spark, sf_dir):
+    """What points at each object, and by which paths."""
+    return graph.reverse(reader.table(_plain(spark, sf_dir), "refs")).select(F.expr(_ID), "dst_num", "src_num", F.array_join("paths", "|").alias("paths"))
+
+
+@query(
+    """SELECT n_nationkey, CAST(num AS INTEGER) AS obj_num, role, replace(said, 'N', CAST(n_nationkey AS VARCHAR)) AS description FROM nation, (VALUES (1, 'Annotation', 'Object 1 is a Text annotation.'), (2, 'Action', 'Object 2 is a GoTo action.'),
+(3, 'Font Descriptor', 'Object 3 is a font descriptor for Own.'), (4, 'Encoding', 'Object 4 is a font encoding (WinAnsiEncoding).'), (5, 'Graphics State', 'Object 5 is an extended graphics state.'),
+(6, 'Font', 'Object 6 is a TrueType font (Own).'), (7, 'Font', 'Object 7 is a CIDFontType2 font (Wide).'), (8, 'Image', 'Object 8 is an image (Nx2), DeviceGray.'), (9, 'Form XObject', 'Object 9 is a form XObject.'),
+(10, 'Generic', 'Object 10 is a stream with 2 keys.'), (11, 'Array', 'Object 11 is an array with 3 items.'), (12, 'Integer', 'Object 12 is an integer: N.'), (13, 'Real', 'Object 13 is a real number: 0.5.'),
+(14, 'Boolean', 'Object 14 is a boolean: true.'), (15, 'String', 'Object 15 is a string: (said).'), (16, 'Name', 'Object 16 is a name: /Called.'), (17, 'Null', 'Object 17 is null.'), (18, 'Generic', 'Object 18 is a dictionary with 1 keys.'),
+(19, 'Page Tree', 'Object 19 is a page tree node.'), (20, 'Generic', 'Object 20 is a dictionary with 1 keys.'), (21, 'Generic', 'Object 21 is a stream with 1 keys.'), (22, 'Page', 'Object 22 is page 1.'), (23, 'Catalog', 'Object 23 is the document catalog (root object).')) AS v(num, role, said)"""
+)
+def all_roles(spark, sf_dir):
+    """An object of every role, and what is said of it."""
+    found = _of(spark, sf_dir, "nation", "n_nationkey", lambda r: cases.roles_file(r["n_nationkey"]))
+    return reader.table(found, "roles").select(_id("n_nationkey"), "obj_num", "role", "description")

@@ -203,3 +203,53 @@ def locked_file(number: int, text: str) -> bytes:
     build.trailer["ID"] = file_id(str(number))
     build.trailer["Info"] = build.add({"Title": Text(text.encode())})
     return build.write(b"open sesame", method=METHODS[number % 4])
+
+
+def encoded_file(number: int) -> bytes:
+    """Eight codes, from a place that a number tells on, in one of three base encodings (an encoding's name, or its dictionary)."""
+    name, first = ("WinAnsiEncoding", "MacRomanEncoding", "StandardEncoding")[number % 3], 0x20 + number // 3 % 28 * 8
+    build = Builder()
+    font = _font(build, Encoding=Name(name) if number % 2 else {"Type": Name("Encoding"), "BaseEncoding": Name(name)})
+    with_pages(build, [stream(page_content([bytes(range(first, first + 8))], hexed=True))], {"Font": {"F1": font}})
+    return build.write()
+
+
+#: A map to Unicode with codes of one and two bytes: letters by ranges and by a list, digits by a range, a space and a ligature by themselves.
+MAP = b"""/CIDInit /ProcSet findresource begin begincmap
+2 begincodespacerange <20> <7F> <8000> <FFFF> endcodespacerange
+2 beginbfchar <20> <0020> <8001> <006600660069> endbfchar
+4 beginbfrange <41> <5A> <0410> <61> <7A> <03B1> <8030> <8039> <0660> <8100> <8102> [<D83DDE00> <0041 0042> <00E9>] endbfrange
+endcmap end"""
+
+
+def mapped_file(text: str) -> bytes:
+    """Letters and spaces as codes of one byte, digits and # as codes of two, through MAP."""
+    build = Builder()
+    codes = b"".join(bytes([ord(c)]) if c.isalpha() or c == " " else bytes([0x80, 0x30 + int(c)]) if c.isdigit() else b"\x80\x01" for c in text) + b"\x81\x00\x81\x01\x81\x02\x81\x03"
+    font = build.add({"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("Own"), "ToUnicode": build.add(stream(MAP, ("LZWDecode",)))})
+    with_pages(build, [stream(page_content([codes], hexed=True))], {"Font": {"F1": font}})
+    return build.write()
+
+
+def described_file(row: dict) -> bytes:
+    """All keys of the information dictionary and the settings of the catalog, from a customer."""
+    build, said = Builder(), lambda k: Text(str(row[k]).encode())
+    with_pages(build, [stream(b"")], {}, PageLayout=Name("TwoColumnLeft"), PageMode=Name("UseOutlines"), Lang=said("c_mktsegment"))
+    keys = {"Title": "c_name", "Author": "c_mktsegment", "Subject": "c_custkey", "Keywords": "c_nationkey", "Creator": "c_name", "Producer": "c_mktsegment"}
+    dates = {"CreationDate": Text(b"D:2024%06d" % row["c_custkey"]), "ModDate": Text(b"D:2025%06d" % row["c_custkey"])}
+    build.trailer["Info"] = build.add({**{k: said(v) for k, v in keys.items()}, **dates, "Other": said("c_name"), "Trapped": Name("False")})
+    return build.write()
+
+
+def roles_file(number: int) -> bytes:
+    """An object of every role."""
+    build = Builder()
+    named = lambda kind, **more: build.add({"Type": Name(kind), **more})
+    held = [
+        named("Annot", Subtype=Name("Text"), Rect=[0, 0, number, 1]), named("Action", S=Name("GoTo")), named("FontDescriptor", FontName=Name("Own")), named("Encoding", BaseEncoding=Name("WinAnsiEncoding")),
+        named("ExtGState", CA=1), named("Font", Subtype=Name("TrueType"), BaseFont=Name("Own")), build.add({"Subtype": Name("CIDFontType2"), "BaseFont": Name("Wide")}),
+        build.add(stream(b"abc", Subtype=Name("Image"), Width=number, Height=2, ColorSpace=Name("DeviceGray"))), build.add(stream(b"q Q", Subtype=Name("Form"), BBox=[0, 0, 1, 1])), build.add(stream(b"xyz", Kind=Name("Other"))),
+        build.add([1, 2, number]), build.add(number), build.add(0.5), build.add(True), build.add(Text(b"said")), build.add(Name("Called")), build.add(None), build.add({"A": 1}),
+    ]
+    with_pages(build, [stream(b"")], {"All": held})
+    return build.write()
