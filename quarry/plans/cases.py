@@ -139,6 +139,30 @@ def tree_json(spark, sf_dir):
     return structure.nested(reader.parse(found, ["tree_json"])).select(_id("item_id"), "json")
 
 
+_DOT = """digraph pdf {
+  rankdir=LR;
+  trailer [label="Trailer"];
+  obj_5_0 [label="5 0: Catalog"];
+  trailer -> obj_5_0 [label="/Root"];
+  obj_1_0 [label="1 0: Pages"];
+  obj_5_0 -> obj_1_0 [label="/Pages"];
+  obj_4_0 [label="4 0: Page"];
+  obj_1_0 -> obj_4_0 [label="/Kids[0]"];
+  obj_4_0 -> obj_1_0 [label="/Parent"];
+  obj_3_0 [label="3 0: Stream, N bytes"];
+  obj_4_0 -> obj_3_0 [label="/Contents"];
+  obj_2_0 [label="2 0: Dictionary, 0 keys"];
+  obj_4_0 -> obj_2_0 [label="/Resources"];
+}"""
+
+
+@query(f"""SELECT item_id, replace('{_DOT}', 'N bytes', octet_length(encode(text)) || ' bytes') AS dot FROM benchmark""")
+def dot_text(spark, sf_dir):
+    """The object tree as GraphViz text."""
+    found = _of(spark, sf_dir, "benchmark", "item_id", lambda r: cases.content_file(r["text"].encode()), "text")
+    return reader.parse(found, ["dot"]).select(_id("item_id"), F.array_join("dot.line", "\n").alias("dot"))
+
+
 @query("""SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END AS n_repaired, doc_id % 11 = 0 AS repaired, FALSE AS strict, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS n_issues FROM documents""")
 def recovery_json(spark, sf_dir):
     """The recovery record at the root of a document's JSON, beside its findings."""

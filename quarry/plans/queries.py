@@ -305,11 +305,16 @@ def object_dump(spark, sf_dir):
     return reader.table(_plain(spark, sf_dir), "dumps").filter("obj_num = 1").select(F.expr(_ID), "text")
 
 
-@query("SELECT DISTINCT path, summary FROM (SELECT unnest(['/Root', '/Font/F1']) AS path, unnest(['<< /Type /Catalog, 2 keys >>', '<< /Type /Font, /BaseFont=/Helvetica, /Subtype=/Type1, 4 keys >>']) AS summary)")
+@query(
+    f"""SELECT doc_id, path, summary, CAST(n AS BIGINT) AS n FROM (SELECT doc_id, unnest(['/Root', '/Pages', '/Font/F1', '/Kids[i]', '/Parent', '/Contents', '/Resources']) AS path, unnest(['<< /Type /Catalog, 2 keys >>', '<< /Type /Pages, /Count=' || p || ', 3 keys >>',
+'<< /Type /Font, /BaseFont=/Helvetica, /Subtype=/Type1, 4 keys >>', '<< /Type /Page, /MediaBox=[0 0 612 792], 5 keys >>', '<< /Type /Pages, /Count=' || p || ', 3 keys >>', '<< stream, N bytes >>', '<< 1 keys >>']) AS summary,
+unnest([1, 1, 1, p, p, p, p]) AS n FROM (SELECT doc_id, {_N_PAGES} AS p FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)))"""
+)
 def dereferenced(spark, sf_dir):
-    """References with what they point at."""
+    """References with what they point at, sizes aside."""
     found = objects.dereferenced(reader.parse(_plain(spark, sf_dir), ["refs", "objects"]))
-    return found.filter("path in ('/Root', '/Font/F1')").select("path", "summary").distinct()
+    shown = found.select("doc_key", F.regexp_replace("path", r"\[\d+\]", "[i]").alias("path"), F.regexp_replace("summary", r"\d+ bytes", "N bytes").alias("summary"))
+    return shown.groupBy("doc_key", "path", "summary").agg(F.count("*").alias("n")).select(F.expr(_ID), "path", "summary", "n")
 
 
 @query(_PAGES + "SELECT doc_id, count(*) AS n_streams, CAST(sum(CASE WHEN regexp_matches(text, '[^\\x00-\\x7F]') THEN 1 ELSE 0 END) AS BIGINT) AS n_binary FROM pages GROUP BY doc_id")
@@ -402,10 +407,17 @@ def object_roles(spark, sf_dir):
     return _counted(reader.parse(_plain(spark, sf_dir), ["roles"]), "roles", "role")
 
 
-@query(f"SELECT doc_id, 'Font' AS role, 'Object 1 is a Type1 font (Helvetica).' AS description, CAST(1 AS INTEGER) AS n_referenced_by FROM documents")
+@query(f"""SELECT doc_id, 'Page Tree' AS role, 'Object 2 is a page tree node.' AS description, p AS n_references, '/Kids[0] 5' AS first_reference, (4 + 2 * p) || ' /Pages|' || (SELECT string_agg((5 + 2 * i) || ' /Parent', '|' ORDER BY i) FROM (SELECT unnest(range(0, CAST(p AS BIGINT))) AS i)) AS referenced_by
+FROM (SELECT doc_id, {_N_PAGES} AS p FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))""")
 def inspect_object(spark, sf_dir):
-    """Object 1 of each document and what refers to it."""
-    return objects.inspect(_plain(spark, sf_dir), 1).select(F.expr(_ID), "role", "description", F.size("referenced_by").alias("n_referenced_by"))
+    """Object 2 of each document, the page tree, what it refers to and what refers to it."""
+    out = objects.inspect(_plain(spark, sf_dir), 2)
+    into = F.array_sort("referenced_by", lambda a, b: F.when(a.path != b.path, F.when(a.path < b.path, -1).otherwise(1)).otherwise(a.src_num - b.src_num))
+    first = F.get("references", F.lit(0))
+    return out.select(
+        F.expr(_ID), "role", "description", F.size("references").alias("n_references"), F.concat_ws(" ", first.path, first.dst_num).alias("first_reference"),
+        F.array_join(F.transform(into, lambda r: F.concat_ws(" ", r.src_num, r.path)), "|").alias("referenced_by"),
+    )
 
 
 @query(f"SELECT doc_id, CAST({_N_PAGES} * 4 + 3 + 2 * {_N_PAGES} + 4 + 4 AS BIGINT) AS n_lines FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
