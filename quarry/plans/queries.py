@@ -521,12 +521,16 @@ def annotation_counts(spark, sf_dir):
     return text.annotation_counts(reader.table(found, "annotations")).select(F.col("doc_key").cast("bigint").alias("page_id"), "page_number", "subtype", "n")
 
 
-@query("SELECT conv_id, role, turn AS mcid, 'turn ' || turn AS title FROM conversations")
+@query(
+    """SELECT conv_id, turn, unnest([0, 1, 2]) AS depth, unnest(['Document', role, 'Span']) AS role, CAST(unnest([NULL, turn, 7]) AS BIGINT) AS mcid, unnest([NULL, 'turn ' || turn, NULL]) AS title, unnest([NULL, NULL, CAST(length(coalesce(text, '')) AS VARCHAR)]) AS alt,
+CAST(unnest([NULL, 1, NULL]) AS INTEGER) AS page_number FROM conversations"""
+)
 def structure_tags(spark, sf_dir):
-    """Tags of the structure tree."""
-    turns = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role")).alias("turns"))
-    found = corpora.built(turns, lambda r: corpora.conversation_file({"turns": [(t["turn"], t["role"]) for t in r["turns"]]}), "conv_id")
-    return reader.table(found, "tags").filter("depth = 1").select(F.col("doc_key").cast("bigint").alias("conv_id"), "role", "mcid", "title")
+    """Tags of the structure tree: a file for each turn."""
+    turns = _table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("key"), "turn", "role", F.length(F.coalesce("text", F.lit(""))).alias("n_chars"))
+    found = reader.table(corpora.built(turns, corpora.turn_file, "key"), "tags")
+    key = F.split("doc_key", "-")
+    return found.select(key[0].cast("bigint").alias("conv_id"), key[1].cast("bigint").alias("turn"), "depth", "role", "mcid", "title", "alt", "page_number")
 
 
 @query(
@@ -562,15 +566,15 @@ def extracted_attachments(spark, sf_dir):
 
 
 @query(
-    """SELECT r_name, 0 AS depth, n_name AS title FROM region JOIN nation ON n_regionkey = r_regionkey
-UNION ALL SELECT r_name, 1, c_name FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey"""
+    """SELECT c_custkey, unnest([1, 2, 3, 4]) AS node_id, unnest([0, 1, 2, 0]) AS parent_id, unnest([0, 1, 2, 0]) AS depth, unnest([r_name, n_name, c_name, c_mktsegment]) AS title
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
 )
 def bookmarks(spark, sf_dir):
-    """The outline of a file for each region: nations, and customers below them."""
-    customers = _table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.collect_list("c_name").alias("customers"))
-    nations = _table(spark, sf_dir, "nation").join(customers, "n_nationkey", "left").select("n_regionkey", F.struct(F.col("n_name").alias("name"), F.coalesce("customers", F.array().cast("array<string>")).alias("customers")).alias("n"))
-    regions = nations.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.collect_list("n").alias("nations")).join(_table(spark, sf_dir, "region"), "r_regionkey").select("r_name", "nations")
-    return reader.table(corpora.built(regions, corpora.outline_file, "r_name"), "bookmarks").select(F.col("doc_key").alias("r_name"), "depth", "title")
+    """The outline of a file for each customer: region, nation below it, customer below that, then the segment."""
+    nations = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = _table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_name", "c_mktsegment", "n_name", "r_name")
+    found = reader.table(corpora.built(rows, corpora.outline_file, "c_custkey"), "bookmarks")
+    return found.select(F.col("doc_key").cast("bigint").alias("c_custkey"), "node_id", "parent_id", "depth", "title")
 
 
 @query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Helvetica' WHEN 1 THEN 'Times-Roman' ELSE 'Sample' END AS base_font, CASE WHEN doc_id % 4 < 2 THEN 'Type1' ELSE 'Type0' END AS subtype,

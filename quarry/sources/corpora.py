@@ -157,6 +157,17 @@ def conversation_file(row: dict) -> bytes:
     return build.write()
 
 
+def turn_file(row: dict) -> bytes:
+    """A tagged file: a document element, below it one for a turn, its role as the tag, and a span with the text's length."""
+    build = Builder()
+    pages = with_pages(build, [stream(b"")], {}, MarkInfo={"Marked": True})
+    span = build.add({"S": Name("Span"), "K": [{"Type": Name("MCR"), "MCID": 7}], "Alt": Text(str(row["n_chars"]).encode())})
+    turn = build.add({"S": Name(row["role"]), "Pg": pages[0], "K": [row["turn"], span], "T": Text(f"turn {row['turn']}".encode())})
+    top = build.add({"S": Name("Document"), "K": turn})
+    build.objects[build.trailer["Root"]]["StructTreeRoot"] = build.add({"Type": Name("StructTreeRoot"), "K": top})
+    return build.write()
+
+
 def label_file(row: dict) -> bytes:
     """Ten pages: the first three in roman numbers, then letters after a prefix, and from the seventh decimal numbers."""
     build = Builder()
@@ -186,7 +197,12 @@ def attachment_file(row: dict) -> bytes:
 
 
 def outline_file(row: dict) -> bytes:
-    """A region's outline: its nations, and below them their customers."""
+    """A customer's outline: region, nation and customer below one another, and the segment beside the region."""
+    return outlined([(row["r_name"], [(row["n_name"], [(row["c_name"], [])])]), (row["c_mktsegment"], [])])
+
+
+def outlined(items: list) -> bytes:
+    """A file with an outline of (title, items below)."""
     build = Builder()
     pages = with_pages(build, [stream(b"")], {})
     root = build.add({"Type": Name("Outlines")})
@@ -200,8 +216,7 @@ def outline_file(row: dict) -> bytes:
         if refs:
             build.objects[up] |= {"First": refs[0], "Last": refs[-1], "Count": len(refs)}
 
-    nations = [(n["name"], [(c, []) for c in sorted(n["customers"])]) for n in sorted(row["nations"], key=lambda n: n["name"])]
-    level(root, nations)
+    level(root, items)
     build.objects[build.trailer["Root"]]["Outlines"] = root
     return build.write()
 

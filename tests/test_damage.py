@@ -24,7 +24,7 @@ def sample_files() -> list[bytes]:
         corpora.text_file({"doc_id": 3, "text": "locked"}, password=b""),
         corpora.part_file({"p_size": 9}), corpora.customer_file({"c_custkey": 1, "c_name": "n"}), corpora.link_file({"url": "http://x"}),
         corpora.conversation_file({"turns": [(1, "user"), (2, "other")]}), corpora.label_file({"doc_id": 7}), corpora.layer_file({"quality": 1, "toxic": 0}),
-        corpora.attachment_file({"item_id": 1, "text": "attached"}), corpora.outline_file({"nations": [{"name": "n", "customers": ["a", "b"]}]}),
+        corpora.attachment_file({"item_id": 1, "text": "attached"}), corpora.outlined([("n", [("a", []), ("b", [])])]),
     ]
 
 
