@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..api import Corpus
 from ..operators import graph, objects, sinks, structure, summary, text
 from ..sources import cases, corpora, reader
-from .queries import _ID, _N_PAGES, _PAGES, _documents, _faulty, _filtered, _plain, _table, query
+from .queries import _ID, _N_PAGES, _PAGES, _documents, _faulty, _filtered, _fonts, _plain, _table, query
 
 
 def _of(spark, sf_dir, table: str, key: str, make, *more: str):
@@ -56,6 +56,14 @@ def form_text(spark, sf_dir):
     return text.document_text(reader.parse(found, ["page_text"])).select(F.expr(_ID), "text")
 
 
+@query("""SELECT s_suppkey, s_name || chr(10) || 'a (b) (nested (twice)) cd' || chr(10) || 'Hello to gether' AS text, 6 AS object_count, '1.3' AS version, 0 AS n_issues FROM supplier""")
+def handwritten_text(spark, sf_dir):
+    """Files spelled out byte by byte, with an update."""
+    parsed = reader.parse(_of(spark, sf_dir, "supplier", "s_suppkey", lambda r: cases.handwritten_file(r["s_name"]), "s_name"), ["page_text", "documents", "issues"])
+    d = F.get("documents", F.lit(0))
+    return parsed.select(_id("s_suppkey"), F.get("page_text", F.lit(0)).text.alias("text"), d.object_count.alias("object_count"), d.version.alias("version"), F.size("issues").alias("n_issues"))
+
+
 _GLYPHS = "".join(t for t, name in zip(cases.GLYPH_TEXTS, cases.GLYPHS, strict=True) if len(t) == 1)
 _CODES = "".join(chr(65 + i) for i, t in enumerate(cases.GLYPH_TEXTS) if len(t) == 1)
 
@@ -282,6 +290,19 @@ _STANDARD = _spelled("", {
 })
 
 
+_STANDARD_LOST = "".join(chr(c) for c, t in zip(range(0x20, 0x100), _STANDARD.strip("[]'").split("', '"), strict=True) if t == _LOST and c > 0x9F)
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN 'unreliable' WHEN doc_id % 4 = 1 AND 5 * lost > total THEN 'degraded' ELSE 'reliable' END AS verdict, CAST(CASE WHEN doc_id % 4 = 1 THEN lost ELSE 0 END AS BIGINT) AS unmapped_codes
+FROM (SELECT doc_id, length(replace(text, chr(10), '')) AS total, length(regexp_replace(text, '[^{_STANDARD_LOST}]', '', 'g')) AS lost FROM documents)"""
+)
+def reliability(spark, sf_dir):
+    """The verdict by font: single bytes in two encodings, composite with a map, composite without."""
+    rows = reader.table(_fonts(spark, sf_dir), "reliability")
+    return rows.select(F.expr(_ID), "verdict", F.when(F.expr("cast(doc_key as bigint) % 4 = 1"), F.col("unmapped_codes")).otherwise(F.lit(0).cast("bigint")).alias("unmapped_codes"))
+
+
 @query(
     f"""SELECT p_partkey, list_aggregate(t[k * 8 + 1:k * 8 + 8], 'string_agg', '') AS text, CAST(8 AS BIGINT) AS total_codes, CAST(len(list_filter(t[k * 8 + 1:k * 8 + 8], lambda x: x = '{_LOST}')) AS BIGINT) AS unmapped_codes
 FROM (SELECT p_partkey, p_partkey // 3 % 28 AS k, CASE p_partkey % 3 WHEN 0 THEN {_WIN} WHEN 1 THEN {_MAC} ELSE {_STANDARD} END AS t FROM part)"""

@@ -162,12 +162,6 @@ def find_text_snippets(spark, sf_dir):
     return found.select("doc_id", "page_number", (F.col("at") + 1).alias("seq"), "snippet")
 
 
-@query("""SELECT doc_id, CASE doc_id % 4 WHEN 3 THEN 'unreliable' ELSE 'reliable' END AS verdict FROM documents WHERE doc_id % 4 <> 1""")
-def reliability(spark, sf_dir):
-    """The verdict by font: single bytes, composite with a map, composite without."""
-    return reader.table(_fonts(spark, sf_dir), "reliability").filter("cast(doc_key as bigint) % 4 <> 1").select(F.expr(_ID), "verdict")
-
-
 @query("SELECT doc_id, text FROM documents WHERE doc_id % 4 = 2")
 def mapped_font_text(spark, sf_dir):
     """Text of composite fonts through their maps to Unicode."""
@@ -600,11 +594,15 @@ def security(spark, sf_dir):
     return reader.parse(found, ["documents"]).select(F.expr(_ID), s.algorithm.alias("algorithm"), s.version.alias("v"), s.revision.alias("r"))
 
 
-@query(_PAGES + "SELECT doc_id, page_number, '[0 0 612 792]' AS media_box, CASE WHEN octet_length(encode(text)) > 200 THEN trim(substring(text, 1, 200)) || '...' ELSE trim(text) END AS text_preview FROM pages WHERE NOT (2 * length(regexp_replace(text, '[ -~\\s]', '', 'g')) > length(regexp_replace(text, '\\s', '', 'g')))")
+@query(
+    _PAGES + """, g AS (SELECT *, 2 * length(regexp_replace(text, '[ -~\\s]', '', 'g')) > length(regexp_replace(text, '\\s', '', 'g')) AS garbled FROM pages)
+SELECT doc_id, page_number, '[0 0 612 792]' AS media_box, NOT garbled AS text_extractable, CASE WHEN garbled THEN '(text not extractable \u2014 fonts lack Unicode mappings)' WHEN octet_length(encode(text)) > 200 THEN trim(substring(text, 1, 200)) || '...' ELSE trim(text) END AS text_preview,
+'Helvetica' AS fonts, 0 AS n_annotations, 0 AS n_images FROM g"""
+)
 def page_info(spark, sf_dir):
-    """A page's boxes, counts and the beginning of its text."""
+    """A page's boxes, counts, fonts and the beginning of its text."""
     out = text.page_info(reader.parse(_plain(spark, sf_dir), ["page_info"]))
-    return out.filter("text_extractable").select(F.expr(_ID), "page_number", "media_box", "text_preview")
+    return out.select(F.expr(_ID), "page_number", "media_box", "text_extractable", "text_preview", F.array_join("fonts", ",").alias("fonts"), "n_annotations", "n_images")
 
 
 from . import cases  # noqa: E402, F401  registers its queries

@@ -253,3 +253,31 @@ def roles_file(number: int) -> bytes:
     ]
     with_pages(build, [stream(b"")], {"All": held})
     return build.write()
+
+
+def handwritten_file(text: str) -> bytes:
+    """A file spelled out byte by byte, without the writer: comments, escapes, names with numbers, an indirect length, a section
+    that an update replaces, and ends of line of every kind."""
+    old = b"BT /F1 12 Tf (replaced by the update) Tj ET"
+    first = [
+        b"1 0 obj % the catalog\r<</Type/Catalog/Pages 2 0 R>>\rendobj\r",
+        b"2 0 obj\n<< /Type /Pages\t/Kids [ 3 0 R ]\n/Count 1 >>\nendobj\n",
+        b"3 0 obj<</Type/Page/Parent 2 0 R/MediaBox[0 0 612 792]/Resources<</Font<</F#31 4 0 R>>>>/Contents 5 0 R>>endobj\n",
+        b"4 0 obj <</Type/Font/Subtype/Type1/BaseFont/Helvetica/Encoding/Win#41nsiEncoding>> endobj\n",
+        b"5 0 obj\r\n<</Length 6 0 R>>\r\nstream\r\n" + old + b"\r\nendstream\r\nendobj\r\n",
+        b"6 0 obj %d endobj\n" % len(old),
+    ]
+    out, at = b"%PDF-1.3\n%\xe2\xe3\xcf\xd3\n", []
+    for body in first:
+        at.append(len(out))
+        out += body
+    begins = len(out)
+    out += b"xref\n0 7\n0000000000 65535 f\r\n" + b"".join(b"%010d 00000 n\r\n" % x for x in at)
+    out += b"trailer\n<</Size 7/Root 1 0 R>>\nstartxref\n%d\n%%%%EOF\n" % begins
+    shown = b"".join(b"\\%03o" % b for b in text.encode("cp1252"))
+    new = b"q BT/F1 12 Tf 14 TL 50 700 Td(" + shown + b")Tj T*(a \\(b\\) (nested (twice)) c\\\nd)Tj% a comment)\nT*<48 65\n6C6c 6F2>Tj[(to)-300(ge)20(ther)]TJ ET Q"
+    fifth, sixth = len(out), len(out) + len(b"5 0 obj<</Length 6 0 R>>stream\n" + new + b"\nendstream endobj\n")
+    out += b"5 0 obj<</Length 6 0 R>>stream\n" + new + b"\nendstream endobj\n6 0 obj\n%d\nendobj\n" % len(new)
+    again = len(out)
+    out += b"xref\n5 2\n%010d 00000 n \n%010d 00000 n \ntrailer <</Size 7/Root 1 0 R/Prev %d>>\nstartxref\n%d\n%%%%EOF" % (fifth, sixth, begins, again)
+    return out
