@@ -196,8 +196,10 @@ def sequences(docs: DataFrame, pieces: DataFrame, end: str = END) -> DataFrame:
     """shard, bin, n, fill, doc_ids (of the pieces, in order), pieces (doc_id, piece, first, n, offset) and text (their words
     and end marks) of every sequence. pieces are those of packed(docs)."""
     pieces = written(pieces, "pieces")
-    # Rows that repeat an id and its text are the same to a sequence.
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("hash")).dropDuplicates(["id", "hash"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("hash"))
+    # Rows that repeat an id and its text are the same to a sequence. Only where there are such is it worth moving texts once more.
+    if not pieces.filter("piece = 0").groupBy("doc_id", "copy").agg(F.count("*").alias("rows")).filter("rows > 1").isEmpty():
+        texts = texts.dropDuplicates(["id", "hash"])
     both = pieces.join(texts, pieces["doc_id"].eqNullSafe(texts["id"]) & (pieces["copy"] == texts["hash"]))
 
     def cut(batches):
