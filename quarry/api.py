@@ -99,7 +99,7 @@ class Corpus:
         return refs if obj_num is None else graph.forward(refs, obj_num)
 
     def reverse_references(self, obj_num: int | None = None) -> DataFrame:
-        return graph.reverse(self.table("refs"), obj_num)
+        return graph.reverse(self.parsed("referrers"), obj_num)
 
     def tree(self, max_depth: int | None = None) -> DataFrame:
         if max_depth is None:

@@ -1,4 +1,4 @@
-"""References between objects. A document's row holds both sides, so all but reverse look-ups are answered in the row."""
+"""References between objects. A document's row holds both sides, so they are answered in the row."""
 
 from __future__ import annotations
 
@@ -10,12 +10,10 @@ def forward(refs: DataFrame, obj_num: int) -> DataFrame:
     return refs.filter((F.col("src_num") == obj_num) & (F.col("src_gen") == 0)).select("doc_key", "path", "dst_num", "dst_gen")
 
 
-def reverse(refs: DataFrame, obj_num: int | None = None) -> DataFrame:
-    """Objects that point at each object (or at one), with their paths in order."""
-    held = refs.filter(F.col("src_num").isNotNull())
-    held = held if obj_num is None else held.filter((F.col("dst_num") == obj_num) & (F.col("dst_gen") == 0))
-    paths = held.groupBy("doc_key", "dst_num", "dst_gen", "src_num", "src_gen").agg(F.sort_array(F.collect_list(F.struct("ord", "path"))).alias("p"))
-    return paths.select("doc_key", "dst_num", "dst_gen", "src_num", "src_gen", F.transform("p", lambda x: x.path).alias("paths"))
+def reverse(parsed: DataFrame, obj_num: int | None = None) -> DataFrame:
+    """Objects that point at each object (or at one of generation 0), with their paths in order. From part referrers."""
+    rows = F.col("referrers") if obj_num is None else F.filter("referrers", lambda r: (r.dst_num == obj_num) & (r.dst_gen == 0))
+    return parsed.select("doc_key", F.inline(rows))
 
 
 def broken(parsed: DataFrame) -> DataFrame:

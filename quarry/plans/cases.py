@@ -353,7 +353,7 @@ def reference_paths(spark, sf_dir):
 @query(_N + f", r AS ({_REFERENCES}) SELECT doc_id, dst_num, src_num, string_agg(path, '|') AS paths FROM r WHERE src_num IS NOT NULL GROUP BY ALL")
 def reverse_paths(spark, sf_dir):
     """What points at each object, and by which paths."""
-    return graph.reverse(reader.table(_plain(spark, sf_dir), "refs")).select(F.expr(_ID), "dst_num", "src_num", F.array_join("paths", "|").alias("paths"))
+    return graph.reverse(reader.parse(_plain(spark, sf_dir), ["referrers"])).select(F.expr(_ID), "dst_num", "src_num", F.array_join("paths", "|").alias("paths"))
 
 
 @query(

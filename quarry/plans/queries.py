@@ -364,8 +364,8 @@ def references(spark, sf_dir):
 @query(_PAGES + "SELECT doc_id, count(*) AS n_sources FROM pages GROUP BY doc_id")
 def reverse_references(spark, sf_dir):
     """Pages that refer to their shared resources, object 3."""
-    refs = reader.table(_plain(spark, sf_dir), "refs")
-    return graph.reverse(refs, 3).filter(F.array_contains("paths", "/Resources")).groupBy("doc_key").agg(F.count("*").alias("n_sources")).select(F.expr(_ID), "n_sources")
+    found = reader.parse(_plain(spark, sf_dir), ["referrers"])
+    return graph.reverse(found, 3).filter(F.array_contains("paths", "/Resources")).groupBy("doc_key").agg(F.count("*").alias("n_sources")).select(F.expr(_ID), "n_sources")
 
 
 @query("SELECT doc_id, 999999 AS dst_num, '/Dangling' AS path FROM documents WHERE doc_id % 7 = 0")

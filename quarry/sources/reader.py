@@ -94,6 +94,15 @@ def _refs(doc: Document) -> list[dict]:
     return out
 
 
+def _referrers(doc: Document) -> list[dict]:
+    """What points at each object, with its paths in order; the trailer aside."""
+    found: dict[tuple[Ref, Ref], list[str]] = {}
+    for r, value in doc.objects.items():
+        for path, to in references(value):
+            found.setdefault((to, r), []).append(path)
+    return [{"dst_num": to.num, "dst_gen": to.gen, "src_num": r.num, "src_gen": r.gen, "paths": found[to, r]} for to, r in sorted(found)]
+
+
 def _pages(doc: Document) -> list[dict]:
     out = []
     for i, ref in enumerate(doc.pages(), 1):
@@ -206,6 +215,7 @@ PARTS: dict[str, tuple[str, Callable[[Document], list[dict]]]] = {
     "streams": (f"{_ID}, raw binary, data binary, warning string, is_binary boolean", _streams),
     "entries": (f"{_ID}, ord int, key string, vkind string, vtext string", _entries),
     "refs": ("src_num int, src_gen int, ord int, path string, dst_num int, dst_gen int, from_xref boolean, missing boolean", _refs),
+    "referrers": ("dst_num int, dst_gen int, src_num int, src_gen int, paths array<string>", _referrers),
     "pages": (_PAGE, _pages),
     "page_info": (
         f"{_PAGE}, text_extractable boolean, text_preview string, n_images int, n_graphics_states int, fonts array<string>, n_annotations int, annotation_subtypes array<struct<subtype string, n int>>", _page_info),
