@@ -27,6 +27,7 @@ from functools import cache
 from itertools import accumulate
 
 import pyarrow as pa
+import regex
 import xxhash
 import zstandard
 from pyarrow import fs
@@ -44,19 +45,37 @@ _DOC, _SEEK, _INDEX = struct.Struct("<qBI"), struct.Struct("<III"), struct.Struc
 _REMEMBERED = 700_000
 #: White space that touches a space: the pre-tokenizer then looks beyond a single piece.
 _LOOSE, _ODD_SPACE = re.compile(r" \s|\s "), re.compile(r"[^\S\n ]")
+#: Pre-tokens of the public byte-level scheme between white space: the first, which a space stands before, and the next ones.
+_FIRST, _NEXT = regex.compile(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+"), regex.compile(r"'(?:s|t|re|ve|m|ll|d)|\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+")
 
 
 def _loose(text: str) -> bool:
     return "  " in text or "\n " in text or " \n" in text or (_ODD_SPACE.search(text) is not None and _LOOSE.search(text) is not None)
 
 
+class _Known(dict):
+    """Pieces with their ids; one that is met for the first time is encoded, unless the generation before knew it."""
+
+    def __init__(self, encode, older: dict):
+        self.encode, self.older = encode, older
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
+        if len(piece) <= 40:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Encodes whole texts to ids as bytes.
 
     The pre-tokenizer splits before every single space between other characters, so a text's pieces between such spaces
-    are encoded once and remembered. A piece of Latin letters is one pre-token, and a mark after it another: these go
-    straight to the tokenizer's model. Texts in which a space touches white space, and texts that spell out one of the
-    tokenizer's added tokens (as the library does by default, that is then one id), are encoded in one call.
+    are encoded once and remembered. A piece of characters up to U+024F without other white space than ends of line is split
+    as it does, into runs of letters, of numbers and of others; runs go straight to the tokenizer's model. Texts in which a space
+    touches white space, and texts that spell out one of the tokenizer's added tokens (as the library does by default, that
+    is then one id), are encoded in one call.
     """
 
     def __init__(self, path: str):
@@ -64,11 +83,11 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.known = Tokenizer.from_file(path), _Known(self._piece, {})
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = self.tokenizer.model.tokenize
         self.bytes_of = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
-        self.marks = {m: self._whole(m) for m in ".,;:!?"}
+        self.runs: dict[str, bytes] = {}  # within pieces: not after a space
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in shown]
         self.shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}  # the public byte-level alphabet
@@ -76,39 +95,56 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
+    def _run(self, run: str, before: str = "") -> bytes:
+        """One pre-token, with the space before it if there is one."""
+        spelled = run if run.isascii() and run.isprintable() else run.encode().decode("latin-1").translate(self.shown)
+        return b"".join([self.bytes_of[t.id] for t in self.split(before + spelled)])
+
     def _piece(self, piece: str) -> bytes:
         """A piece with the space before it."""
-        plain = piece.isascii()
-        if piece and (plain or max(piece) < "\u0250"):
-            if piece.isalpha():
-                spelled = "\u0120" + piece if plain else f" {piece}".encode().decode("latin-1").translate(self.shown)
-                return b"".join([self.bytes_of[t.id] for t in self.split(spelled)])
-            word, mark = piece[:-1], self.marks.get(piece[-1])
-            if mark and word.isalpha():
-                ids = self.known.get(word)
-                if ids is None:
-                    ids = self.known[word] = self.older.get(word) or self._piece(word)
-                return ids + mark
-        return self._whole(f" {piece}")
+        if not piece or not (piece.isascii() or max(piece) < "\u0250"):
+            return self._whole(f" {piece}")
+        if piece.isalpha():
+            return self._run(piece, "\u0120")
+        lines = piece.split("\n")
+        if not lines[-1] or _ODD_SPACE.search(piece):
+            return self._whole(f" {piece}")
+        out, gap = [], 0
+        for i, line in enumerate(lines):
+            if line and not i:
+                at = _FIRST.match(line).end()
+                first = line[:at]
+                out.append(self.known[first] if first.isalpha() and at < len(piece) else self._run(first, "\u0120"))
+                out += map(self._held, _NEXT.findall(line, at))
+            elif line:
+                out += map(self._held, _NEXT.findall(line))
+            if i + 1 < len(lines):
+                # Of several ends of line the last is a pre-token of its own, and those before it are one.
+                gap += 1
+                if lines[i + 1]:
+                    out += [self._held("\n" * (gap - 1)), self._held("\n")] if gap > 1 else [self._held("\n")]
+                    gap = 0
+        return b"".join(out)
+
+    def _held(self, run: str) -> bytes:
+        """A pre-token without a space before it."""
+        ids = self.runs.get(run)
+        if ids is None:
+            ids = self._run(run)
+            if len(run) <= 16 and len(self.runs) < _REMEMBERED:
+                self.runs[run] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         if _loose(text) or any(t in text for t in self.added):
             return self._whole(text)
+        if len(self.known) > _REMEMBERED:
+            self.known.older = {}
+            self.known = _Known(self._piece, self.known)
         head, *rest = text.split(" ")
-        found = list(map(self.known.get, rest))
-        if None in found:
-            if len(self.known) > _REMEMBERED:
-                self.known, self.older = {}, self.known
-            known, older, i = self.known, self.older, -1
-            for _ in range(found.count(None)):
-                i = found.index(None, i + 1)
-                piece = rest[i]
-                found[i] = ids = known.get(piece) or older.get(piece) or self._piece(piece)
-                if len(piece) <= 40:
-                    known[piece] = ids
-        return b"".join([self._whole(head) if head else b"", *found])
+        return b"".join([self._whole(head) if head else b"", *map(self.known.__getitem__, rest)])
 
 
 @cache
