@@ -45,7 +45,7 @@ LEVELS, ALIKE, LEAF_LINES = (0.8, 0.4, 0.2, 0.1, 0.05, 0.03125), 0.7, 64
 COPY_LINES, COPY_SHARE, COPY_SIMILARITY, COPY_SHINGLE = 3, 0.5, 0.8, 5
 #: Bits in the filter of leaves in use (2 MB, whatever the corpus), and rows in that of documents that lose lines. They only
 #: spare work; the joins after them are exact.
-FILTER_BITS, BUCKETS = 1 << 24, 1 << 20
+FILTER_BITS, BUCKETS = 1 << 24, 1 << 18
 _DIGIT, _LETTER = re.compile(r"\d"), re.compile(r"[^\W\d_]")
 
 
@@ -123,9 +123,12 @@ def _recurs(min_docs: int):
 
 
 def _counted(lines: DataFrame, template: str) -> DataFrame:
-    """Of each template: the copies (documents by text) it is in, the smallest doc_id and the copy that has it, the tokens."""
-    by_copy = lines.groupBy(template, "copy").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))).alias("first_doc"), F.first("n_tokens").alias("n_tokens"))
-    return by_copy.groupBy(template).agg(F.count("*").alias("n_docs"), F.min(F.struct("first_doc", "copy"))["copy"].alias("first_copy"), F.first("n_tokens").alias("n_tokens"))
+    """Of each template: the copies (documents by text) it is in, the smallest doc_id and the copy that has it, the tokens, and
+    a leaf of its lines with the least and the most of the copies."""
+    by_copy = lines.groupBy(template, "copy").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))).alias("first_doc"), F.first("n_tokens").alias("n_tokens"), F.first("leaf").alias("leaf"))
+    return by_copy.groupBy(template).agg(
+        F.count("*").alias("n_docs"), F.min(F.struct("first_doc", "copy"))["copy"].alias("first_copy"), F.first("n_tokens").alias("n_tokens"), F.first("leaf").alias("leaf"), F.min("copy").alias("least_copy"), F.max("copy").alias("most_copy")
+    )
 
 
 def _filter_of(hashes: DataFrame):
@@ -171,10 +174,11 @@ def _grouped(texts: DataFrame) -> DataFrame:
     return written(counted.select("key", "leaf", "tokens", "total", F.coalesce(*general).alias("general")), "general")
 
 
-def general_templates(docs: DataFrame, lines: DataFrame) -> DataFrame | None:
+def general_templates(docs: DataFrame, counted: DataFrame) -> DataFrame | None:
     """key, general: the general template of each line that has one. None if no leaf calls for one."""
-    by_leaf = lines.filter(F.col("n_tokens") > DEPTH + 1).groupBy("leaf", "key").agg(F.min("copy").alias("copy"), F.max("copy").alias("other"))
-    shared = by_leaf.groupBy("leaf").agg(F.count("*").alias("n"), F.min("copy").alias("a"), F.max("other").alias("b")).filter("n > 1 and a < b").select("leaf")
+    # Leaves with different lines of several documents.
+    of_leaf = counted.filter(F.col("n_tokens") > DEPTH + 1).groupBy("leaf").agg(F.count("*").alias("n"), F.min("least_copy").alias("a"), F.max("most_copy").alias("b"))
+    shared = of_leaf.filter("n > 1 and a < b").select("leaf")
     shared = written(shared, "leaves")
     if shared.isEmpty():
         return None
@@ -207,8 +211,9 @@ def general_templates(docs: DataFrame, lines: DataFrame) -> DataFrame | None:
 def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The table of lines, and of lines to drop: key, first_copy (the document by text that keeps it)."""
     lines = written(hashed(docs), "lines")
-    dropped = _counted(lines, "key").filter(_recurs(MIN_DOCS)).select("key", "first_copy")
-    general = general_templates(docs, lines)
+    counted = written(_counted(lines, "key"), "line-counts")
+    dropped = counted.filter(_recurs(MIN_DOCS)).select("key", "first_copy")
+    general = general_templates(docs, counted)
     if general is not None:
         of_leaf = _counted(lines.join(general, "key"), "general").filter(_recurs(MIN_DOCS_GENERAL)).select("general", "first_copy")
         # A line's general template says no less than its own one.
