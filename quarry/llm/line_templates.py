@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, free_names, map_batches, table, written
+from ._common import UNSPACED, bounded_batches, free_names, map_batches, table, written
 from .simhash import similarity
 
 DEPTH, FIELD = 3, "<*>"
@@ -58,7 +58,9 @@ def _hash(text: str) -> int:
 
 
 def masked(line: str) -> list[str]:
-    """The line's tokens, those with a digit as fields."""
+    """The line's tokens, those with a digit as fields. In scripts without spaces between words each character is one."""
+    if not line.isascii() and UNSPACED.search(line):
+        line = UNSPACED.sub(r" \g<0> ", line)
     tokens = line.split()
     return [FIELD if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line) else tokens
 

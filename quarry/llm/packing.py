@@ -1,7 +1,7 @@
 """Conflict-constrained best-fit packing of documents into sequences of a fixed length.
 
-A document's words and its end mark take n + 1 places. Documents longer than a sequence are cut into pieces; full pieces
-fill sequences of their own. Pieces are packed in descending length. Open bins are ordered by residual and carry bitmaps
+A document's words (what white space separates, in every script) and its end mark take n + 1 places. Documents longer than
+a sequence are cut into pieces; full pieces fill sequences of their own. Pieces are packed in descending length. Open bins are ordered by residual and carry bitmaps
 of the sources and duplicate clusters that they have enough of: from the tightest bin that the piece fits in, the search
 goes on to its successors until a bin has room for the piece's source and its cluster. Bins with equal bitmaps of sources
 are kept in lists of their own, so a source with a third of all documents costs no long search.

@@ -483,6 +483,14 @@ def test_mostly_boilerplate(spark):
     assert got == {0: "\n".join([own[0], *shared])} | {i: own[i] for i in range(1, 8)}
 
 
+def test_lines_without_spaces(spark):
+    said = lambda first, n: "".join(chr(0x4E00 + (first * 37 + 11 * i) % 2000) for i in range(n))
+    passage = said(3, 60)
+    docs = spark.createDataFrame([(i, f"{said(100 + i, 40)}\n{passage}\n{passage[:30]}{chr(0x5B57 + i)}{passage[31:]}x") for i in range(4)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_templates.without_templates(docs).collect()}
+    assert passage in got[0] and all(got[i] == said(100 + i, 40) for i in range(1, 4))
+
+
 def test_short_lines(spark):
     docs = spark.createDataFrame([(i, f"own words of document {chr(97 + i)} are here\nShare this\n***\n{i}\nrarely {'x' if i < 5 else chr(97 + i)}") for i in range(24)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in line_templates.without_templates(docs).collect()}
