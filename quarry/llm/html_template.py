@@ -15,9 +15,9 @@ the slots' words; else all that aren't mere links.
 
 A word whose vector over some of a host's pages is that of no container around it can't share a class with one over all
 of them. So every task keeps, of each host among its pages, the containers and the words for which that still holds (from a
-host's second page on few), and their sums are merged in two rounds: first of ``FAN`` tasks each, then all. No page's text
-moves for that. The template is broadcast where it has at most ``BROADCAST_WORDS`` words; where it has more, pages are joined
-with the part of it at their paths, and only pages for which there is one are shuffled.
+host's second page on few). Those of ``FAN`` tasks each are merged, and what is left is summed token by token: no task ever
+holds all of a host, and no page's text moves. The template is broadcast where it has at most ``BROADCAST_WORDS`` words;
+where it has more, pages are joined with the part of it at their paths, and only pages for which there is one are shuffled.
 
 Defined results: null or empty html gives empty text; a null url has the host ''; repeated pages are read alike, and count as
 one page of those a class must hold on; an empty table gives an empty result; further columns are ignored; markup that
@@ -45,7 +45,7 @@ from ._common import bounded_batches, table, written
 MIN_PAGES, MIN_PAGES_INSIDE, MAX_LINKS = 3, 10, 0.8
 #: Different pages of a class that are told apart: no less than the numbers above ask for.
 SUPPORT = 16
-#: Tokens that a task holds before it gives its hosts out, tasks merged at once, and words of a template that is broadcast.
+#: Tokens that a task holds before it gives them out, tasks merged at once, and words of a template that is broadcast.
 HELD, FAN, BROADCAST_WORDS = 400_000, 256, 200_000
 #: Bits in the filter of pages that hold words of a template; it only spares work.
 FILTER_BITS = 1 << 24
@@ -350,8 +350,8 @@ HELD_KIND = (
     "host long, task long, paths array<long>, up array<int>, vectors array<long>, pages array<long>, some array<array<long>>, words array<long>, at array<int>, same array<int>"
 )
 _KINDS = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-CLASSES = "host long, vector long, n_pages long, support long, containers array<long>, around array<long>, words array<struct<path: bigint, token: bigint>>"
-_CLASS_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.struct([("path", pa.int64()), ("token", pa.int64())]))]
+SPREAD = "host long, path long, token long, chain array<long>, vector long, pages long, some array<long>"
+_SPREAD_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 _MASK = (1 << 62) - 1
 
 
@@ -363,9 +363,12 @@ class Tokens:
     """Tokens of some pages of a host: of each the sum that stands for its vector, and its number of pages."""
 
     def __init__(self, host: int):
-        self.host = host
+        self.host, self.n_words = host, 0
         self.containers: dict[int, list] = {}  # path: sum, pages, the path around it, the least hashes of different pages
-        self.words: dict[object, list] = {}  # token: sum, pages, path
+        self.words: dict[int, dict[object, list]] = {}  # path: token: sum, pages
+
+    def size(self) -> int:
+        return self.n_words + len(self.containers)
 
     def chain(self, path: int) -> list[int]:
         out = [path]
@@ -373,42 +376,46 @@ class Tokens:
             out.append(path := up)
         return out
 
+    def _count(self, path: int, token, vector: int, n: int, new: bool) -> None:
+        """Count a word; one that comes first after all containers around it can't have their vectors, and isn't new."""
+        held = self.words.get(path)
+        got = held.get(token) if held else None
+        if got is not None:
+            got[0] = (got[0] + vector) & _MASK
+            got[1] += n
+        elif new:
+            self.words.setdefault(path, {})[token] = [vector, n]
+            self.n_words += 1
+
     def add(self, page: Page, key: int) -> None:
         """Count a page."""
         hashes = {n: _mixed(key, n) for n in set(page.counts.values())}
-        new = set()
+        fresh = set()
         for path, n in page.counts.items():
             got = self.containers.get(path)
             if got is None:
-                new.add(path)
+                fresh.add(path)
                 self.containers[path] = [hashes[n], 1, page.up[path], [key]]
             else:
                 got[0] = (got[0] + hashes[n]) & _MASK
                 got[1] += 1
                 _less(got[3], key)
-        # A word that comes first after all containers around it can't have their vectors.
-        open_ = {path: [c for c in page.chain(path) if c in new] for path in page.counts} if new else {}
-        known = {w[2] for w in self.words.values()}
+        open_ = {path: [c for c in page.chain(path) if c in fresh] for path in page.counts} if fresh else {}
         counts: Counter = Counter()
         for b in page.blocks:
-            if not b.noise and (b.path in known or open_.get(b.path)):
+            if not b.noise and (b.path in self.words or open_.get(b.path)):
                 counts.update(_numbered(b))
         for token, n in counts.items():
-            got = self.words.get(token)
-            if got is not None:
-                got[0] = (got[0] + (hashes.get(n) or _mixed(key, n))) & _MASK
-                got[1] += 1
-            elif any(page.counts[c] == n for c in open_.get(token[0], ())):
-                self.words[token] = [hashes[n], 1, token[0]]
-        self.prune()
+            self._count(token[0], token, hashes.get(n) or _mixed(key, n), 1, any(page.counts[c] == n for c in open_.get(token[0], ())))
+        self._prune(page.counts)
 
     def merge(self, paths, up, vectors, pages, some, words, at, same) -> None:
         """Count what another of these holds."""
-        new = set()
+        fresh = set()
         for path, u, vector, n, keys in zip(paths, up, vectors, pages, some, strict=True):
             got = self.containers.get(path)
             if got is None:
-                new.add(path)
+                fresh.add(path)
                 self.containers[path] = [vector, n, paths[u], list(keys)]
             else:
                 got[0] = (got[0] + vector) & _MASK
@@ -417,43 +424,33 @@ class Tokens:
                     _less(got[3], key)
         here = dict(zip(paths, zip(vectors, pages, strict=True), strict=True))
         for token, a, s in zip(words, at, same, strict=True):
-            got, path = self.words.get(token), paths[a]
-            if got is not None:
-                got[0] = (got[0] + vectors[s]) & _MASK
-                got[1] += pages[s]
-            elif any(c in new and here[c] == (vectors[s], pages[s]) for c in self.chain(path)):
-                self.words[token] = [vectors[s], pages[s], path]
-        self.prune()
-
-    def _same(self, word: list) -> int | None:
-        """A container around a word with its vector."""
-        return next((c for c in self.chain(word[2]) if self.containers[c][0] == word[0] and self.containers[c][1] == word[1]), None)
+            new = bool(fresh) and any(c in fresh and here[c] == (vectors[s], pages[s]) for c in self.chain(paths[a]))
+            self._count(paths[a], token, vectors[s], pages[s], new)
+        self._prune(paths)
 
-    def prune(self) -> None:
-        """Words that have no container's vector any more go."""
-        for token in [t for t, w in self.words.items() if self._same(w) is None]:
-            del self.words[token]
+    def _same(self, chain: list[int], word: list) -> int | None:
+        """A container around a word with its vector."""
+        return next((c for c in chain if self.containers[c][0] == word[0] and self.containers[c][1] == word[1]), None)
+
+    def _prune(self, paths) -> None:
+        """Words at some paths that have no container's vector any more go."""
+        for path in paths:
+            held = self.words.get(path)
+            if held:
+                chain = self.chain(path)
+                for token in [t for t, w in held.items() if self._same(chain, w) is None]:
+                    del held[token]
+                    self.n_words -= 1
+                if not held:
+                    del self.words[path]
 
     def row(self, task: int) -> tuple:
+        self._prune([*self.words])
         order = {path: i for i, path in enumerate(self.containers)}
         held = [*self.containers.values()]
-        words = [(t if isinstance(t, int) else _token(*t), order[w[2]], order[self._same(w)]) for t, w in self.words.items()]
+        words = [(t if isinstance(t, int) else _token(*t), order[path], order[self._same(chain, w)]) for path, some in self.words.items() for chain in (self.chain(path),) for t, w in some.items()]
         return self.host, task, [*order], [order[c[2]] for c in held], [c[0] for c in held], [c[1] for c in held], [c[3] for c in held], [t for t, _, _ in words], [a for _, a, _ in words], [s for _, _, s in words]
 
-    def classes(self, min_pages: int):
-        """The valid classes: of what is left every word has the vector of a container around it."""
-        by_vector: dict[tuple[int, int], tuple[list, list]] = {}
-        for path, c in self.containers.items():
-            by_vector.setdefault((c[0], c[1]), ([], []))[0].append(path)
-        for token, w in self.words.items():
-            by_vector[w[0], w[1]][1].append({"path": w[2], "token": token})
-        for (vector, n), (paths, words) in by_vector.items():
-            support = len(self.containers[paths[0]][3])
-            if words and support >= min_pages:
-                own = set(paths)
-                around = {next((c for c in self.chain(p) if c not in own), None) for p in paths} - {None}
-                yield self.host, vector, n, support, paths, sorted(around), words
-
 
 def _less(keys: list[int], key: int) -> None:
     """Keep a list of the SUPPORT least different keys."""
@@ -484,9 +481,9 @@ def page_tokens(pages: DataFrame) -> DataFrame:
             for url, page in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 p = Page(page, host_of(url))
                 tokens = held.setdefault(p.root, Tokens(p.root))
-                n -= len(tokens.words) + len(tokens.containers)
+                n -= tokens.size()
                 tokens.add(p, _seeded(page, 3))
-                n += len(tokens.words) + len(tokens.containers)
+                n += tokens.size()
                 if n > HELD:
                     yield from given()
                     n = 0
@@ -495,38 +492,55 @@ def page_tokens(pages: DataFrame) -> DataFrame:
     return pages.select("url", "html").filter("html <> ''").mapInArrow(run, HELD_KIND)
 
 
-def _hosts(batches, n_keys: int):
-    """Tokens merged over rows that follow one another with the same leading keys."""
+def _merged(batches):
+    """Tokens of a host and a number of tasks, in rows of at most about HELD of them."""
     at, held = None, None
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if row[:n_keys] != at:
+        for host, task, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if (host, task) != at or held.size() > HELD:
                 if held is not None:
-                    yield at, held
-                at, held = row[:n_keys], Tokens(row[0])
-            held.merge(*row[2:])
+                    yield _table([held.row(at[1])], HELD_KIND, _KINDS)
+                at, held = (host, task), Tokens(host)
+            held.merge(*row)
     if held is not None:
-        yield at, held
+        yield _table([held.row(at[1])], HELD_KIND, _KINDS)
+
+
+def _spread(batches):
+    """A row for each token: a container's token is its path."""
+    for b in batches:
+        for host, _, paths, up, vectors, pages, some, words, at, same in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            chains = []
+            for i in range(len(paths)):
+                chain = [i]
+                while up[chain[-1]] != chain[-1]:
+                    chain.append(up[chain[-1]])
+                chains.append([paths[c] for c in chain])
+            rows = [(host, p, p, c, v, n, k) for p, c, v, n, k in zip(paths, chains, vectors, pages, some, strict=True)]
+            rows += [(host, paths[a], t, chains[a], vectors[s], pages[s], []) for t, a, s in zip(words, at, same, strict=True)]
+            for i in range(0, len(rows), 10_000):
+                yield _table(rows[i : i + 10_000], SPREAD, _SPREAD_KINDS)
 
 
 def template(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """The valid classes of all hosts: host, vector, n_pages, support (different pages, counted up to SUPPORT), containers
     (paths), around (the nearest containers around them, of the classes it nests in) and words (path, token)."""
-
-    def some(batches):
-        for (_, task), tokens in _hosts(batches, 2):
-            yield _table([tokens.row(task)], HELD_KIND, _KINDS)
-
-    def all_of(batches):
-        for _, tokens in _hosts(batches, 1):
-            rows = list(tokens.classes(min_pages))
-            for i in range(0, len(rows), 256):
-                yield _table(rows[i : i + 256], CLASSES, _CLASS_KINDS)
-
-    # What meets in a task is a row of each of FAN tasks, then of each FAN-th of all tasks, none longer than a few pages.
     rows = page_tokens(pages).withColumn("task", F.floor(F.col("task") / FAN).cast("long"))
-    rows = rows.repartition("host", "task").sortWithinPartitions("host", "task").mapInArrow(some, HELD_KIND)
-    return rows.repartition("host").sortWithinPartitions("host").mapInArrow(all_of, CLASSES)
+    rows = rows.repartition("host", "task").sortWithinPartitions("host", "task").mapInArrow(lambda batches: _spread(_merged(batches)), SPREAD)
+    # Vectors of 62 bits are summed in halves. A container has a few keys from each of the rows above.
+    half = [F.sum(F.col("vector").bitwiseAND(F.lit((1 << 31) - 1))).alias("low"), F.sum(F.shiftright("vector", 31)).alias("high")]
+    keys = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("some")))), 1, SUPPORT)
+    summed = rows.groupBy("host", "path", "token").agg(*half, F.sum("pages").alias("n_pages"), F.first("chain").alias("chain"), F.size(keys).alias("support")).filter(F.col("n_pages") >= min_pages)
+    # A class is on each of its pages, so it is no longer than one.
+    own = F.col("token") == F.col("path")
+    held = summed.groupBy("host", "low", "high", "n_pages").agg(
+        F.collect_list(F.when(own, F.struct("path", "chain", "support"))).alias("own"), F.collect_list(F.when(~own, F.struct("path", "token", "chain"))).alias("words")
+    )
+    held = held.withColumn("containers", F.transform("own", lambda c: c["path"])).withColumn("support", F.coalesce(F.array_max(F.transform("own", lambda c: c["support"])), F.lit(0)).cast("long"))
+    around = F.array_distinct(F.filter(F.transform("own", lambda c: F.get(F.array_except(c["chain"], F.col("containers")), F.lit(0))), lambda p: p.isNotNull()))
+    nested = F.transform(F.filter("words", lambda w: F.arrays_overlap(w["chain"], F.col("containers"))), lambda w: F.struct(w["path"].alias("path"), w["token"].alias("token")))
+    out = held.select("host", F.xxhash64("low", "high").alias("vector"), "n_pages", "support", "containers", around.alias("around"), nested.alias("words"))
+    return out.filter((F.size("words") > 0) & (F.col("support") >= min_pages))
 
 
 def _key():
