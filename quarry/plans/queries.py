@@ -596,7 +596,7 @@ def security(spark, sf_dir):
 
 @query(
     _PAGES + """, g AS (SELECT *, 2 * length(regexp_replace(text, '[ -~\\s]', '', 'g')) > length(regexp_replace(text, '\\s', '', 'g')) AS garbled FROM pages)
-SELECT doc_id, page_number, '[0 0 612 792]' AS media_box, NOT garbled AS text_extractable, CASE WHEN garbled THEN '(text not extractable \u2014 fonts lack Unicode mappings)' WHEN octet_length(encode(text)) > 200 THEN trim(substring(text, 1, 200)) || '...' ELSE trim(text) END AS text_preview,
+SELECT doc_id, page_number, '[0 0 612 792]' AS media_box, NOT garbled AS text_extractable, CASE WHEN garbled THEN '(text not extractable \u2014 fonts lack Unicode mappings)' WHEN octet_length(encode(text)) > 200 THEN trim(substring(text, 1, 200), ' ' || chr(9) || chr(10) || chr(13) || chr(160)) || '...' ELSE trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(160)) END AS text_preview,
 'Helvetica' AS fonts, 0 AS n_annotations, 0 AS n_images FROM g"""
 )
 def page_info(spark, sf_dir):
