@@ -21,7 +21,7 @@ def char_class(ranges: str) -> str:
 UNSPACED = re.compile(f"[{char_class('e00-eff 1000-109f 1780-17ff 3005-3007 3041-309f 30a1-30fa 30fc-30ff 3400-4dbf 4e00-9fff f900-faff 20000-3ffff')}]")
 
 #: Bytes in one Arrow batch handed to Python. Texts can be long, so bytes, not rows, bound what a worker holds at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -31,7 +31,7 @@ _RUN = re.compile(f"{UNSPACED.pattern}+|[^{UNSPACED.pattern[1:-1]}]+")
 #: Lengths of word beginnings that are features beside the whole word.
 BEGINNINGS = (3, 4, 5, 6)
 #: Words remembered by a Python worker before it starts anew.
-_REMEMBERED = 400_000
+_REMEMBERED = 200_000
 
 
 def words_of(text: str) -> list[str]:
