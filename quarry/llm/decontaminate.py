@@ -4,7 +4,9 @@ Documents are searched in windows of words for passages of benchmark items:
   1. document frequencies of all documents, counted in one pass for all items, give inverse document frequencies (words of
      the items by themselves, other words in hash buckets);
   2. a randomised SVD of the TF-IDF rows of passages, run as partition sums of A'(A Omega), gives a latent space. It is
-     fitted on the items and the passages of at most ``SAMPLE_DOCS`` documents, the smallest by a hash of the id;
+     fitted on the items and all passages of all documents. For it words are known by 32 bits of a hash, which the pass
+     of step 1 writes, and passages are four neighbouring blocks of eight words (fewer at the end of a short text; of a
+     text of more than ``PART`` words, within a part of so many);
   3. the windows of every document are embedded and compared with the items by cosine;
   4. candidates are checked by the longest common subsequence of words with the item, and paraphrases also by whether the
      item's answer (its last sentence, at most its last third) is there.
@@ -27,13 +29,15 @@ result; further columns are ignored, or passed on by ``without_benchmark``.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
-from itertools import repeat
+from itertools import chain, repeat
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +50,7 @@ _FOLD = bytes(c if c >= 128 or chr(c).isalnum() or c == 95 else 32 for c in rang
 # Code points of punctuation and spaces beyond ASCII, and of marks that end a sentence.
 _MARKS = re.compile(f"[{char_class('80-a9 ab-b4 b6-b9 bb-bf 2000-206f 2e00-2e7f 3000-3004 3008-3020 3030-3030 303d-303f 30a0-30a0 30fb-30fb ff01-ff0f ff1a-ff20 ff3b-ff40 ff5b-ff65')}]")
 _STOPS = re.compile(f"[{char_class('a-a 21-21 2e-2e 3f-3f 3002-3002 ff01-ff01 ff1f-ff1f')}]")
-BUCKETS, FOLDED, RANK, SAMPLE_DOCS, BLOCK_WORDS, PHRASE_WORDS, LEAST_DROPPED = 1 << 16, 1 << 13, 96, 2000, 200_000, 5, 3
+BUCKETS, FOLDED, RANK, BLOCK_WORDS, PHRASE_WORDS, LEAST_DROPPED = 1 << 16, 1 << 13, 96, 200_000, 5, 3
 #: Bits in the filter of the items' words; it only spares work.
 FILTER_BITS = 1 << 22
 #: Windows by the length of the passage they look for, their step, and the longest passage of one query.
@@ -54,6 +58,8 @@ SHORT, LONG, LONG_FROM, CHUNK = (10, 3), (32, 8), 20, 40
 MIN_COSINE, SURE, LIKELY, ANSWER = 0.45, 0.8, 0.5, 0.8
 #: Words remembered by a worker, words embedded at once, and words in a stretch of a document.
 _REMEMBERED, WORDS_AT_ONCE, STRETCH = 200_000, 1024, 512
+#: Words in a block and blocks in a passage of the fit, words of a text taken at once, blocks summed at once, and pieces of a sum.
+STEP, PASSAGE, PART, BLOCKS_AT_ONCE, PIECES = 8, 4, 1 << 17, 1024, 64
 
 
 class Coder:
@@ -143,9 +149,32 @@ class Items:
             self.queries += [(k, w[len(w) * p // parts : len(w) * (p + 1) // parts], len(w) >= LONG_FROM) for p in range(parts)]
 
 
-def frequencies(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+class Seen(dict):
+    """Numbers words as they come, and has their hashes and in how many documents they were."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes, self.n = array("q"), np.zeros(0, np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self)
+        self.hashes.append(_hash(word))
+        return at
+
+    def add(self, texts: list[list[bytes]]) -> np.ndarray:
+        """Counts the words of some documents; their hashes, 32 bits each."""
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int32, int(lengths.sum()))
+        self.n = np.append(self.n, np.zeros(len(self) - len(self.n), np.int64))
+        for part in np.split(at, np.cumsum(lengths)[:-1]):
+            self.n[part] += 1  # Once for each word, however often it is there.
+        return np.frombuffer(self.hashes, np.int64).astype(np.uint32)[at]
+
+
+def frequencies(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """code, n: in how many documents each word of an item is (by its hash) and, as -1 - bucket, words of each hash bucket
-    are; the number of documents stands under -1 - BUCKETS. One pass over the documents for all items."""
+    are; the number of documents stands under -1 - BUCKETS. And hashes, lengths: 32 bits of all words of the documents in
+    order, and how many are of one text, or of a part of it. One pass over the documents for all items."""
     bounded_batches(docs.sparkSession)
 
     def item_words(batches):
@@ -158,32 +187,36 @@ def frequencies(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for r in places.toLocalIterator():
         bits[r.at] = True
     held = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    names, kinds = ["code", "n", "hashes", "lengths"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches):
-        some, n, seen, total, buckets = np.unpackbits(held.value).view(bool), 0, Counter(), Counter(), np.zeros(BUCKETS)
+        some, n, seen, total, buckets = np.unpackbits(held.value).view(bool), 0, Seen(), Counter(), np.zeros(BUCKETS)
 
-        def add():
-            codes = np.fromiter(map(_hash, seen), np.int64, len(seen))
-            counts = np.fromiter(seen.values(), np.int64, len(seen))
-            seen.clear()
-            np.add(buckets, np.bincount(codes % BUCKETS, counts, BUCKETS), out=buckets)
+        def add(seen):
+            codes = np.array(seen.hashes, np.int64)
+            np.add(buckets, np.bincount(codes % BUCKETS, seen.n, BUCKETS), out=buckets)
             own = some[codes % FILTER_BITS]
-            for code, count in zip(codes[own].tolist(), counts[own].tolist(), strict=True):
+            for code, count in zip(codes[own].tolist(), seen.n[own].tolist(), strict=True):
                 total[code] += count
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                n += 1
-                seen.update(set(words_of(t)))
-                if len(seen) > _REMEMBERED:
-                    add()
-        add()
+            n += b.num_rows
+            texts = [words for t in b.column(0).to_pylist() if (words := words_of(t))]
+            if texts:
+                hashes, lengths = seen.add(texts), np.array([min(PART, len(words) - at) for words in texts for at in range(0, len(words), PART)], np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((None, None, hashes.tobytes(), lengths.tobytes()), kinds, strict=True)], names)
+            if len(seen) > _REMEMBERED:
+                add(seen)
+                seen = Seen()
+        add(seen)
         used = np.nonzero(buckets)[0]
         codes = np.concatenate([np.fromiter(total, np.int64, len(total)), -1 - used, [-1 - BUCKETS]]).astype(np.int64)
         counts = np.concatenate([np.fromiter(total.values(), np.int64, len(total)), buckets[used], [n]]).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], ["code", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts), *(pa.nulls(len(codes), k) for k in kinds[2:])], names)
 
-    return written(docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "frequencies")
+    read = written(docs.select("text").mapInArrow(run, "code long, n long, hashes binary, lengths binary"), "words")
+    counted = read.filter("code is not null").groupBy("code").agg(F.sum("n").alias("n"))
+    return written(counted, "frequencies"), read.filter("code is null").select("hashes", "lengths")
 
 
 def inverse(counted: DataFrame, vocabulary: list[bytes]) -> np.ndarray:
@@ -200,49 +233,121 @@ def inverse(counted: DataFrame, vocabulary: list[bytes]) -> np.ndarray:
     return np.maximum(np.log((n + 1) / (df + 1)) + 0.05, 0.05).astype(np.float32)
 
 
-def passages(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """text of the documents whose passages the latent space is fitted on."""
-    chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).withColumnRenamed("doc_id", "chosen")
-    return written(docs.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("chosen"))).select("text").repartition(6), "passages")  # at most sample_docs ids
-
-
-def latent_basis(sample: DataFrame, items: Items, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """An orthonormal basis (terms by rank) of the passages' main directions, by a randomised SVD with a power step."""
-    spark, size = sample.sparkSession, len(items.vocabulary)
+class Folded:
+    """Rows of the latent basis and weights of words known by 32 bits of their hashes."""
+
+    def __init__(self, vocabulary: list[bytes], idf: np.ndarray):
+        hashes = np.fromiter((_hash(w) & 0xFFFFFFFF for w in vocabulary), np.uint32, len(vocabulary))
+        self.place, self.idf = np.argsort(hashes, kind="stable").astype(np.int32), idf
+        self.own, self.some = hashes[self.place], np.zeros(FILTER_BITS, bool)
+        self.rows = rows_of(np.arange(len(idf), dtype=np.int32), len(hashes))
+        self.some[hashes % FILTER_BITS] = True
+
+    def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        codes = (hashes & (BUCKETS - 1)).astype(np.int32) + np.int32(len(self.own))
+        at = np.flatnonzero(self.some[hashes & (FILTER_BITS - 1)])
+        if len(at):
+            found = np.searchsorted(self.own[:-1], hashes[at])
+            same = self.own[found] == hashes[at]
+            codes[at[same]] = self.place[found[same]]
+        return self.rows[codes], self.idf[codes]
+
+
+def _sums(source: np.ndarray, lengths: np.ndarray, at: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of weight * source[at] over blocks of STEP, none of which is of two of the groups that have these lengths; a row
+    of zeros comes last. And how many blocks are of each group, and of which block each place is."""
+    n_blocks = -(-lengths // STEP)
+    gap = n_blocks * STEP - lengths
+    place = np.arange(len(at)) + np.repeat(np.cumsum(gap) - gap, lengths)
+    n = int(n_blocks.sum())
+    spread, by = np.zeros(n * STEP, at.dtype), np.zeros(n * STEP, np.float32)
+    spread[place], by[place] = at, weight
+    spread, by = spread.reshape(n, STEP), by.reshape(n, STEP)
+    out = np.zeros((n + 1, source.shape[1]), np.float32)
+    for a in range(0, n, BLOCKS_AT_ONCE):
+        z = min(a + BLOCKS_AT_ONCE, n)
+        for j in range(STEP):
+            part = source[spread[a:z, j]]
+            part *= by[a:z, j, None]
+            out[a:z] += part
+    return out, n_blocks, place // STEP
+
+
+def add_product(out: np.ndarray, omega: np.ndarray, rows: np.ndarray, weight: np.ndarray, lengths: np.ndarray) -> None:
+    """out += A'(A omega), where A has a row for each passage of texts of these lengths: its words' weights, as a unit vector."""
+    blocks, n_blocks, block_of = _sums(omega, lengths, rows, weight)
+    n = len(blocks) - 1
+    end = np.repeat(np.cumsum(n_blocks), n_blocks)
+    begin, at = end - np.repeat(n_blocks, n_blocks), np.arange(n)
+    # A passage begins at each block after which there are enough, and at a text's first.
+    starts = np.flatnonzero((at == begin) | (at + PASSAGE <= end))
+    norms = np.append(np.bincount(block_of, weight.astype(np.float64) ** 2, n), 0)
+    passages, squared = np.zeros((len(starts) + 1, omega.shape[1]), np.float32), np.zeros(len(starts))
+    for j in range(PASSAGE):
+        inside = np.where(starts + j < end[starts], starts + j, n)
+        passages[:-1] += blocks[inside]
+        squared += norms[inside]
+    passages[:-1] /= squared[:, None]
+    passage_at = np.full(n, len(starts))
+    passage_at[starts] = np.arange(len(starts))
+    blocks[:] = 0
+    for j in range(PASSAGE):
+        blocks[:-1] += passages[np.where(at - j >= begin, passage_at[np.maximum(at - j, 0)], len(starts))]
+    order = np.argsort((rows & 0xFFFF).astype(np.uint16), kind="stable")
+    if len(out) > 1 << 16:
+        order = order[np.argsort((rows[order] >> 16).astype(np.uint16), kind="stable")]
+    of, at, by = rows[order], block_of[order], weight[order]
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    used, times = of[first], np.diff(first, append=len(of))
+    while True:  # Blocks of blocks, until each row of out has its sum.
+        blocks, n_blocks, _ = _sums(blocks, times, at, by)
+        at = np.cumsum(n_blocks) - n_blocks
+        done = n_blocks == 1
+        out[used[done]] += blocks[at[done]]
+        used, times, left = used[~done], n_blocks[~done], np.repeat(~done, n_blocks)
+        if not len(used):
+            return
+        at = np.flatnonzero(left)
+        by = np.ones(len(at), np.float32)
+
+
+def latent_basis(words: DataFrame, items: Items, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
+    """An orthonormal basis (terms by rank) of the main directions of all passages, by a randomised SVD with a power step;
+    words are hashes and lengths, as frequencies has them."""
+    spark, size = words.sparkSession, len(items.vocabulary)
     n_rows = size + FOLDED
     rank = min(rank, n_rows)
-    vocabulary = items.vocabulary
+    vocabulary, pieces = items.vocabulary, np.linspace(0, n_rows, PIECES + 1).astype(int).tolist()
 
     def multiplied(omega: np.ndarray) -> np.ndarray:
         held = spark.sparkContext.broadcast(omega.astype(np.float32))
 
         def run(batches):
-            coder, o, out = Coder(vocabulary), held.value, np.zeros((n_rows, rank), np.float32)
+            folded, o, out = Folded(vocabulary, idf), held.value, np.zeros((n_rows, rank), np.float32)
+            for b in batches:
+                for hashes, lengths in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    hashes, lengths = np.frombuffer(hashes, np.uint32), np.frombuffer(lengths, np.int32)
+                    past = np.cumsum(lengths)
+                    for some in np.split(np.arange(len(lengths)), np.flatnonzero(np.diff((past - 1) // PART)) + 1):
+                        part = hashes[past[some[0]] - lengths[some[0]] : past[some[-1]]]
+                        add_product(out, o, *folded(part), lengths[some])
+            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([TaskContext.get().partitionId()] * PIECES, pa.int32()), pa.array([out[a:z].tobytes() for a, z in zip(pieces[:-1], pieces[1:], strict=True)])], ["piece", "task", "part"])
+
+        def summed(batches):
+            sums = {}
             for b in batches:
-                for t in b.column(0).to_pylist():
-                    if t and (words := words_of(t)):
-                        codes = coder.codes(words)
-                        starts, ends = windows(len(codes), *LONG)
-                        at, weight = rows_of(codes, size), idf[codes][:, None]
-                        ahead = np.vstack([np.zeros((1, rank)), np.cumsum(weight * o[at], axis=0, dtype=np.float64)])
-                        norms = np.concatenate([[0], np.cumsum(weight[:, 0].astype(np.float64) ** 2)])
-                        rows = (ahead[ends] - ahead[starts]) / (norms[ends] - norms[starts])[:, None]
-                        back = np.zeros((len(codes) + 1, rank))
-                        np.add.at(back, starts, rows)
-                        np.subtract.at(back, ends, rows)
-                        back = weight * np.cumsum(back, axis=0)[:-1]
-                        order = np.argsort(at, kind="stable")
-                        used, first = np.unique(at[order], return_index=True)
-                        out[used] += np.add.reduceat(back[order], first, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()])], ["part"])
+                for piece, part in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    sums[piece] = sums.get(piece, 0) + np.frombuffer(part, np.float32).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["piece", "part"])
 
         total = np.zeros((n_rows, rank))
-        for r in sample.mapInArrow(run, "part binary").toLocalIterator():
-            total += np.frombuffer(r.part, np.float32).reshape(n_rows, rank)
-        # The items weigh as much as the sample: the space must tell them apart.
+        parts = words.mapInArrow(run, "piece int, task int, part binary").repartition(PIECES, "piece").sortWithinPartitions("piece", "task")
+        for r in parts.mapInArrow(summed, "piece int, part binary").toLocalIterator():
+            total[pieces[r.piece] : pieces[r.piece + 1]] = np.frombuffer(r.part).reshape(-1, rank)
+        # The items weigh as much as the documents: the space must tell them apart.
         coder, own = Coder(vocabulary), np.zeros((n_rows, rank))
-        for _, words, _ in items.queries:
-            part = coder.codes(words)
+        for _, words_of_query, _ in items.queries:
+            part = coder.codes(words_of_query)
             weight = idf[part] / np.sqrt((idf[part] ** 2).sum())
             np.add.at(own, part, weight[:, None] * (weight @ omega[part]))
         scale = np.linalg.norm(total) / max(np.linalg.norm(own), 1e-12)
@@ -449,12 +554,12 @@ def blocks_of(benchmark: DataFrame):
 
 def prepared(docs: DataFrame, benchmark: DataFrame):
     """The search of each block of items, broadcast: its size is bounded by the block's."""
-    context, counted, sample = docs.sparkSession.sparkContext, None, None
+    context, counted, words = docs.sparkSession.sparkContext, None, None
     for items in blocks_of(benchmark):
         if counted is None:
-            counted, sample = frequencies(docs, benchmark), passages(docs)
+            counted, words = frequencies(docs, benchmark)
         idf = inverse(counted, items.vocabulary)
-        yield context.broadcast(Prepared(items, idf, latent_basis(sample, items, idf)))
+        yield context.broadcast(Prepared(items, idf, latent_basis(words, items, idf)))
 
 
 FOUND = "doc_id long, item_id long, cosine double, share double, answer boolean, first_word long, last_word long"

@@ -684,6 +684,39 @@ def test_short_items_and_blocks(spark, monkeypatch):
     assert kept == {2, 4, 5}
 
 
+def test_latent_space_is_fitted_on_all_documents(spark):
+    """Against A'(A omega) by plain sums over every passage of 2,300 documents: long ones, short ones and one without a word."""
+    rng = np.random.default_rng(8)
+    topics = [[f"t{k}w{i}" for i in range(12)] for k in range(40)]
+    texts = [" ".join(rng.choice(topics[int(rng.integers(40))], int(n))) for n in rng.integers(3, 90, 2300)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(k, " ".join(topics[k][:9]) + ". " + topics[k][11]) for k in range(3)], "item_id long, text string")
+    (held,) = decontaminate.prepared(docs, items)
+    block, idf, got = held.value.parts
+    size, n_rows, coder = len(block.vocabulary), len(got), decontaminate.Coder(block.vocabulary)
+    passages = []
+    for t in texts:
+        codes = coder.codes(decontaminate.words_of(t))
+        n = -(-len(codes) // 8)
+        passages += [codes[8 * i : 8 * i + 32] for i in range(max(1, n - 3)) if n]
+    used = np.unique(decontaminate.rows_of(np.concatenate(passages), size))
+    a = np.zeros((len(passages), len(used)))
+    for i, codes in enumerate(passages):
+        np.add.at(a[i], np.searchsorted(used, decontaminate.rows_of(codes, size)), idf[codes])
+        a[i] /= np.sqrt((idf[codes].astype(float) ** 2).sum())
+    b = np.zeros((len(block.queries), n_rows))
+    for i, (_, words, _) in enumerate(block.queries):
+        codes = coder.codes(words)
+        np.add.at(b[i], codes, idf[codes] / np.sqrt((idf[codes].astype(float) ** 2).sum()))
+    q = np.random.default_rng(17).normal(size=got.shape)
+    for _ in range(2):
+        total, own = np.zeros(q.shape), b.T @ (b @ q)
+        total[used] = a.T @ (a @ q[used])
+        q, _ = np.linalg.qr(total + max(1.0, np.linalg.norm(total) / np.linalg.norm(own)) * own)
+    assert np.linalg.svd(got.T @ q, compute_uv=False).min() > 0.999
+
+
+
 # Packing
 
 
