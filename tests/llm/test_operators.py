@@ -717,6 +717,21 @@ def test_latent_space_is_fitted_on_all_documents(spark):
 
 
 
+def test_the_pipeline_fits_on_every_word_of_every_document(spark, monkeypatch, tmp_path):
+    """What the pipeline's stage gives the fit: 2,300 documents, more than any sample it once took."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "one two three four five six seven. eight nine")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(i, "alpha beta " * (i % 9)) for i in range(2300)], "doc_id long, text string")
+    fit, got = decontaminate.latent_basis, []
+    monkeypatch.setattr(decontaminate, "latent_basis", lambda words, *a: got.extend(words.collect()) or fit(words, *a))
+    assert dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, str(tmp_path)).count() == 2300
+    lengths = [n for r in got for n in np.frombuffer(r.lengths, np.int32).tolist()]
+    assert sorted(lengths) == sorted(2 * (i % 9) for i in range(2300) if i % 9)
+    assert sum(len(r.hashes) for r in got) == 4 * sum(lengths)
+
+
+
 # Packing
 
 
