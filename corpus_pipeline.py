@@ -61,5 +61,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), n_written(spark)
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        drop_written(spark, before, keep_last=True)
+        drop_written(spark, before, keep_last=1)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,26 +38,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Folders made in this process, by session, in order.
-_MADE: dict[str, list[str]] = {}
+#: Folders made in this process, by session and thread, in order: queries that run at once don't delete one another's.
+_MADE: dict[tuple[str, int], list[str]] = {}
+
+
+def _made(spark: SparkSession) -> list[str]:
+    return _MADE.setdefault((spark.sparkContext.applicationId, threading.get_ident()), [])
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    made = _MADE.setdefault(spark.sparkContext.applicationId, [])
+    made = _made(spark)
     made.append(os.path.join(shared_dir(spark), f"quarry-{tag}-{uuid.uuid4().hex}"))
     return made[-1]
 
 
 def n_written(spark: SparkSession) -> int:
-    """How many folders this application has made."""
-    return len(_MADE.get(spark.sparkContext.applicationId, []))
+    """How many folders this application has made in this thread."""
+    return len(_made(spark))
 
 
-def drop_written(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
+def drop_written(spark: SparkSession, since: int = 0, keep_last: int = 0) -> None:
     """Delete what operators have written to the shared folder for this application since n_written() was this, but for the
-    last table if it is kept. Results that read those folders can't be read after it."""
-    made = _MADE.get(spark.sparkContext.applicationId, [])
-    rest = made[since:][-1:] if keep_last else []
+    last so many tables. Results that read those folders can't be read after it."""
+    made = _made(spark)
+    rest = made[max(since, len(made) - keep_last) :]
     for name in made[since : len(made) - len(rest)]:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import UNSPACED, bounded_batches, char_class, map_batches, table, written
+from ._common import UNSPACED, bounded_batches, char_class, drop_written, map_batches, n_written, table, written
 
 #: Of ASCII, letters, digits and _ are parts of words; beyond it all but the marks of _MARKS.
 _FOLD = bytes(c if c >= 128 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
@@ -60,6 +60,8 @@ MIN_COSINE, SURE, LIKELY, ANSWER = 0.45, 0.8, 0.5, 0.8
 _REMEMBERED, WORDS_AT_ONCE, STRETCH = 200_000, 1024, 512
 #: Words in a block and blocks in a passage of the fit, words of a text taken at once, blocks summed at once, and pieces of a sum.
 STEP, PASSAGE, PART, BLOCKS_AT_ONCE, PIECES = 8, 4, 1 << 17, 1024, 64
+#: Tasks of a pass of the fit for each core. Each of them sends a whole matrix, so their number doesn't follow the input's partitions.
+FIT_TASKS = 2
 
 
 class Coder:
@@ -315,6 +317,7 @@ def latent_basis(words: DataFrame, items: Items, idf: np.ndarray, rank: int = RA
     """An orthonormal basis (terms by rank) of the main directions of all passages, by a randomised SVD with a power step;
     words are hashes and lengths, as frequencies has them."""
     spark, size = words.sparkSession, len(items.vocabulary)
+    words = words.coalesce(FIT_TASKS * spark.sparkContext.defaultParallelism)
     n_rows = size + FOLDED
     rank = min(rank, n_rows)
     vocabulary, pieces = items.vocabulary, np.linspace(0, n_rows, PIECES + 1).astype(int).tolist()
@@ -553,13 +556,15 @@ def blocks_of(benchmark: DataFrame):
 
 
 def prepared(docs: DataFrame, benchmark: DataFrame):
-    """The search of each block of items, broadcast: its size is bounded by the block's."""
-    context, counted, words = docs.sparkSession.sparkContext, None, None
+    """The search of each block of items, broadcast: its size is bounded by the block's. After the last one what was written
+    for the fits goes."""
+    context, counted, words, before = docs.sparkSession.sparkContext, None, None, n_written(docs.sparkSession)
     for items in blocks_of(benchmark):
         if counted is None:
             counted, words = frequencies(docs, benchmark)
         idf = inverse(counted, items.vocabulary)
         yield context.broadcast(Prepared(items, idf, latent_basis(words, items, idf)))
+    drop_written(docs.sparkSession, before)
 
 
 FOUND = "doc_id long, item_id long, cosine double, share double, answer boolean, first_word long, last_word long"

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, free_names, table, written
+from ._common import bounded_batches, drop_written, free_names, n_written, table, written
 
 BLOCKS = 4
 #: Members of a block up to which its pairs are joined; a fuller block links by neighbours instead, with the same result.
@@ -294,7 +294,10 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2, similar_shing
     Documents are linked by their fingerprints, as near_duplicates() does, and by a similarity of at least ``least``. Of rows
     that repeat an id the least (by all columns in order, maps as JSON) stays. Rows with a null id go if their fingerprint's group has
     another row; else the least of them stays.
+
+    Of the tables written on the way only the last two, which the result reads, stay.
     """
+    before = n_written(docs.sparkSession)
     found = written(near_duplicates(docs, shingle, max_bits), "near-duplicates")
     by_bits = found.filter("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
     gone_id, again_id, row = free_names(docs.columns, "gone_id", "again_id", "row")
@@ -304,6 +307,7 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2, similar_shing
     gone = written(gone, "gone")
     out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(gone_id)), "left_anti")
     again = written(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias(again_id)), "again")
+    drop_written(docs.sparkSession, before, keep_last=2)
     if again.isEmpty():
         return out
     same = F.col("doc_id").eqNullSafe(F.col(again_id))

@@ -731,6 +731,42 @@ def test_the_pipeline_fits_on_every_word_of_every_document(spark, monkeypatch, t
     assert sum(len(r.hashes) for r in got) == 4 * sum(lengths)
 
 
+def test_tasks_of_the_fit_do_not_follow_partitions(spark, monkeypatch):
+    """Each task of a pass sends a whole matrix; every word counts, however the words are dealt."""
+    rng = np.random.default_rng(6)
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in rng.integers(0, 400, 30))) for i in range(600)], "doc_id long, text string").repartition(60)
+    items = spark.createDataFrame([(1, "one alpha w3 w5 five six seven. eight nine")], "item_id long, text string")
+    kind, seen = type(docs), []
+    deal = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, *a: seen.append(self.rdd.getNumPartitions()) or deal(self, *a))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1g")  # a task for each file
+    try:
+        (held,) = decontaminate.prepared(docs, items)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(seen) == 2 and max(seen) <= 2 * spark.sparkContext.defaultParallelism
+    (one,) = decontaminate.prepared(docs.coalesce(1), items)
+    assert np.linalg.svd(held.value.parts[2].T @ one.value.parts[2], compute_uv=False).min() > 0.999
+
+
+def test_stages_leave_only_tables_that_their_results_read(spark, tmp_path):
+    import corpus_pipeline
+    from quarry.llm import _common
+
+    spark.createDataFrame([(1, "one two three four five six seven. eight nine")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [f"a{i % 30} b{i % 30} c{i % 30} d{i % 30} e{i % 30}" for i in range(90)] + ["say one two three four five six seven. eight nine now"]
+    docs, stages = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), dict(corpus_pipeline.STAGES)
+    made = _common._made(spark)
+    before = len(made)
+    out = stages["near_dedup"](spark, docs, str(tmp_path))
+    assert [re.search("quarry-(.*)-", p)[1] for p in made[before:]] == ["gone", "again"]
+    assert sorted(r.doc_id for r in out.collect()) == [*range(30), 90]
+    before = len(made)
+    out = stages["decontamination"](spark, out, str(tmp_path))
+    assert not made[before:]
+    assert sorted(r.doc_id for r in out.collect()) == list(range(30))
+
+
 
 # Packing
 
