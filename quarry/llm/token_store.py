@@ -42,9 +42,9 @@ FRAME_BYTES = 1 << 20
 INDEX_MAGIC, SEEK_MAGIC, CLOSING_MAGIC, WITH_CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 _DOC, _SEEK, _INDEX = struct.Struct("<qBI"), struct.Struct("<III"), struct.Struct("<qqI")
 #: Pieces of text remembered with their ids by a Python worker in each of two generations; the older one then goes.
-_REMEMBERED = 700_000
+_REMEMBERED = 300_000
 #: White space that touches a space: the pre-tokenizer then looks beyond a single piece.
-_LOOSE, _ODD_SPACE = re.compile(r" \s|\s "), re.compile(r"[^\S\n ]")
+_LOOSE, _ODD_SPACE, _MARKS = re.compile(r" \s|\s "), re.compile(r"[^\S\n ]"), frozenset(".,!?;:")
 #: Pre-tokens of the public byte-level scheme between white space: the first, which a space stands before, and the next ones.
 _FIRST, _NEXT = regex.compile(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+"), regex.compile(r"'(?:s|t|re|ve|m|ll|d)|\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+")
 
@@ -63,7 +63,8 @@ class _Known(dict):
         ids = self.older.get(piece)
         if ids is None:
             ids = self.encode(piece)
-        if len(piece) <= 40:
+        # A piece over an end of line is rarely met again; its parts are remembered.
+        if len(piece) <= 40 and "\n" not in piece:
             self[piece] = ids
         return ids
 
@@ -102,22 +103,29 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         """A piece with the space before it."""
+        if piece.isascii() and piece.isalpha():
+            return b"".join([self.bytes_of[t.id] for t in self.split("\u0120" + piece)])
         if not piece or not (piece.isascii() or max(piece) < "\u0250"):
             return self._whole(f" {piece}")
         if piece.isalpha():
             return self._run(piece, "\u0120")
+        if piece[-1] in _MARKS and piece[:-1].isalpha():
+            return self.known[piece[:-1]] + self._held(piece[-1])
         lines = piece.split("\n")
         if not lines[-1] or _ODD_SPACE.search(piece):
             return self._whole(f" {piece}")
         out, gap = [], 0
         for i, line in enumerate(lines):
             if line and not i:
-                at = _FIRST.match(line).end()
-                first = line[:at]
-                out.append(self.known[first] if first.isalpha() and at < len(piece) else self._run(first, "\u0120"))
-                out += map(self._held, _NEXT.findall(line, at))
+                if len(lines) > 1:
+                    out.append(self.known[line])
+                else:
+                    at = _FIRST.match(line).end()
+                    first = line[:at]
+                    out.append(self.known[first] if first.isalpha() and at < len(piece) else self._run(first, "\u0120"))
+                    out += map(self._held, _NEXT.findall(line, at))
             elif line:
-                out += map(self._held, _NEXT.findall(line))
+                out += [self._held(line)] if line.isalpha() else map(self._held, _NEXT.findall(line))
             if i + 1 < len(lines):
                 # Of several ends of line the last is a pre-token of its own, and those before it are one.
                 gap += 1

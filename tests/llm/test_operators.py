@@ -3,6 +3,7 @@
 import io
 import re
 import struct
+import sys
 import zlib
 from collections import Counter
 
@@ -208,6 +209,26 @@ def test_added_tokens(encoder, library):
     assert encoder.encode("a<|endoftext|>b") == library("a<|endoftext|>b") == struct.pack("<3I", 64, 50256, 65)
 
 
+def test_what_an_encoder_remembers_is_bounded(library):
+    import public_tokenizers
+
+    coder, held = token_store.Encoder(str(public_tokenizers.path("byte_bpe_50k.json"))), 0
+    texts = [" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576 % 26)}{chr(97 + i // 456976)}" for i in range(at, at + 10_000)) for at in range(0, 900_000, 10_000)]
+    for i, text in enumerate(texts):
+        ids = coder.encode(text)
+        assert i % 30 or ids == library(text)
+        if i % 10 == 9:
+            held = max(held, sum(sys.getsizeof(x) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in x.items()) for x in (coder.known, coder.known.older, coder.runs)))
+    assert held < 100e6  # two Python workers of an executor each remember so much
+
+
+@pytest.mark.parametrize("text", ["a word.\nNext", " a,\n\nb.", "x don't's.\nIt's 3,5.\n\n\nüb, Äb;", "a b'\n'll", "a ., .b. !?", "a Ab\u0250.\nc ½,\nd", "a \x1c. b\x1c,\nc"])
+def test_pieces_over_ends_of_lines(encoder, library, text):
+    for _ in range(2):
+        assert encoder.encode(text) == library(text)
+    assert not any("\n" in piece for piece in encoder.known)
+
+
 def test_tokens_in_order(spark, data, library):
     import public_tokenizers
 
