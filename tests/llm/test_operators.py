@@ -616,6 +616,28 @@ def test_lcs():
     check()
 
 
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from("abB1_ .,\n\u65e5\u0451\u2014"), max_size=40)), max_size=6))
+@settings(deadline=None)
+def test_hashes_of_words_at_once(texts):
+    """All words of a batch are hashed and counted in a few array operations, and are the words that words_of splits."""
+    words = [decontaminate.words_of(t) for t in texts]
+    _, hashes, lengths = decontaminate.hashed(texts)
+    assert lengths.tolist() == list(map(len, words))
+    hash_of = {w: int(decontaminate.hashes_of(w)[0][0]) for x in words for w in x}
+    assert hashes.tolist() == [hash_of[w] for x in words for w in x] and len(set(hash_of.values())) == len(hash_of)
+    codes, counts = decontaminate.in_documents(hashes, lengths[lengths > 0]) if len(hashes) else (hashes, lengths[:0])
+    assert dict(zip(codes.tolist(), counts.tolist(), strict=True)) == {hash_of[w]: n for w, n in Counter(w for x in words for w in set(x)).items()}
+    places = decontaminate.Coder(sorted(hash_of)[::2])
+    assert places.own(hashes).tolist() == [sorted(hash_of)[::2].index(w) if w in sorted(hash_of)[::2] else places.size for x in words for w in x]
+
+
+def test_hashes_of_long_lines():
+    words = [str(i).encode() for i in range(30_000)] + [b"x" * 200_000, b"y", b"17"]
+    hashes, starts = decontaminate.hashes_of(b" ".join(words))
+    assert len(set(hashes.tolist())) == len(words) - 1 and hashes[-1] == hashes[17]
+    assert starts.tolist() == np.cumsum([0, *(len(w) + 1 for w in words[:-1])]).tolist()
+
+
 def test_recall_against_brute_force(spark):
     docs, items = table(spark, MIDDLE, "documents"), table(spark, MIDDLE, "benchmark")
     texts = {r.doc_id: decontaminate.words_of(r.text) for r in docs.collect()}
