@@ -46,6 +46,10 @@ COPY_LINES, COPY_SHARE, COPY_SIMILARITY, COPY_SHINGLE = 3, 0.5, 0.8, 5
 #: Bits in the filter of leaves in use (2 MB, whatever the corpus), and rows in that of documents that lose lines. They only
 #: spare work; the joins after them are exact.
 FILTER_BITS, BUCKETS = 1 << 24, 1 << 18
+#: Tokens whose hashes a task remembers at least before it begins anew.
+_REMEMBERED = 20_000
+#: White space but for spaces and ends of line.
+_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 _DIGIT, _LETTER = re.compile(r"\d"), re.compile(r"[^\W\d_]")
 
 
@@ -62,23 +66,47 @@ def masked(line: str) -> list[str]:
     if not line.isascii() and UNSPACED.search(line):
         line = UNSPACED.sub(r" \g<0> ", line)
     tokens = line.split()
-    return [FIELD if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line) else tokens
+    return [t if t.isalpha() or not _DIGIT.search(t) else FIELD for t in tokens] if _DIGIT.search(line) else tokens
 
 
-def leaf(tokens: list[str]) -> int:
-    """The leaf of the tree: number of tokens, then leading tokens."""
-    return _hash("\n".join([str(len(tokens)), *tokens[:DEPTH]]))
+def leaf(tokens: list[str], n_tokens: int | None = None) -> int:
+    """The leaf of the tree: number of tokens (by default, of those given), then leading tokens."""
+    return _hash("\n".join([str(len(tokens) if n_tokens is None else n_tokens), *tokens[:DEPTH]]))
 
 
 def _tells(tokens: list[str]) -> bool:
-    return any(_LETTER.search(t) for t in tokens)
+    return tokens[0].isalpha() or any(_LETTER.search(t) for t in tokens)
 
 
 def _lines(text: str | None):
+    """The tokens of each line with a letter."""
+    for line, _, _ in _cut(text):
+        yield line.split(" ")
+
+
+def _plain(text: str) -> bool:
+    """Whether all tokens stand between single spaces or ends of line, and none has a digit."""
+    if "  " in text or any(x in text for x in _SPACES):
+        return False
+    try:
+        there = text.encode("latin-1")  # in which only these are digits
+    except UnicodeEncodeError:
+        return not _DIGIT.search(text) and not UNSPACED.search(text)
+    return len(there.translate(None, b"0123456789")) == len(there)
+
+
+def _cut(text: str | None):
+    """Of each line with a letter: its tokens with a space between them, how many there are, and the leading ones."""
+    plain = _plain(text or "")
     for line in (text or "").split("\n"):
-        tokens = masked(line)
-        if tokens and _tells(tokens):
-            yield tokens
+        if plain and line:
+            line = line.strip(" ")
+            if _LETTER.search(line):
+                yield line, line.count(" ") + 1, line.split(" ", DEPTH)[:DEPTH]
+        elif not plain:
+            tokens = masked(line)
+            if tokens and _tells(tokens):
+                yield " ".join(tokens), len(tokens), tokens[:DEPTH]
 
 
 def _copy():
@@ -103,18 +131,25 @@ def hashed(docs: DataFrame) -> DataFrame:
     """doc_id, copy (a hash of the text), key (of the template), leaf, n_tokens, n_words (of all its lines), of each different
     line of every row."""
     bounded_batches(docs.sparkSession)
-    names, kinds = ["doc_id", "copy", "key", "leaf", "n_tokens", "n_words"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    names = ["doc_id", "copy", "key", "leaf", "n_tokens", "n_words"]
 
     def run(batches):
         for b in batches:
-            rows = []
-            for d, t, copy in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            keys, leaves, sizes, n_lines, n_words = [], [], [], [], []
+            for t in b.column(1).to_pylist():
                 found = {}
-                for x in _lines(t):
-                    found.setdefault(_hash(" ".join(x)), x)
-                n_words = sum(map(len, found.values()))
-                rows += [(d, copy, key, leaf(x), len(x), n_words) for key, x in found.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 6, kinds, strict=True)], names)
+                for line, n, leading in _cut(t):
+                    if (key := _hash(line)) not in found:
+                        found[key] = n
+                        leaves.append(leaf(leading, n))
+                lengths = list(found.values())
+                keys += found
+                sizes += lengths
+                n_lines.append(len(lengths))
+                n_words.append(sum(lengths))
+            of = np.repeat(np.arange(b.num_rows), n_lines)
+            cols = [b.column(0).take(pa.array(of)), b.column(2).take(pa.array(of)), *(pa.array(np.array(c, np.int64)) for c in (keys, leaves)), pa.array(np.array(sizes, np.int32)), pa.array(np.array(n_words, np.int64)[of])]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _copy()).mapInArrow(run, "doc_id long, copy long, key long, leaf long, n_tokens int, n_words long")
 
@@ -151,7 +186,15 @@ def _filter_of(hashes: DataFrame):
     return hashes.sparkSession.sparkContext.broadcast(out.tobytes())
 
 
-def _in_filter(some: np.ndarray, x: int) -> bool:
+class _Hashes(dict):
+    """Hashes of tokens met before."""
+
+    def __missing__(self, token: str) -> int:
+        self[token] = found = _hash(token)
+        return found
+
+
+def _in_filter(some: bytes, x: int) -> bool:
     bit = x % FILTER_BITS
     return bool(some[bit >> 3] >> (bit & 7) & 1)
 
@@ -187,14 +230,20 @@ def general_templates(docs: DataFrame, counted: DataFrame) -> DataFrame | None:
     bits = _filter_of(shared)
 
     def run(batches):
-        some = np.frombuffer(bits.value, np.uint8)
+        some, known = bits.value, _Hashes()
         for b in batches:
-            rows = {}
+            keys, leaves, tokens, ends = {}, [], [], [0]
             for t in b.column(0).to_pylist():
-                for x in _lines(t):
-                    if len(x) > DEPTH + 1 and _in_filter(some, at := leaf(x)) and (key := _hash(" ".join(x))) not in rows:
-                        rows[key] = (at, [_hash(w) for w in x])
-            yield pa.RecordBatch.from_arrays([pa.array([k for k in rows], pa.int64()), pa.array([v[0] for v in rows.values()], pa.int64()), pa.array([v[1] for v in rows.values()], pa.list_(pa.int64()))], ["key", "leaf", "tokens"])
+                for line, n, leading in _cut(t):
+                    if n > DEPTH + 1 and _in_filter(some, at := leaf(leading, n)) and (key := _hash(line)) not in keys:
+                        keys[key] = None
+                        leaves.append(at)
+                        tokens += map(known.__getitem__, line.split(" "))
+                        ends.append(len(tokens))
+            if len(known) > _REMEMBERED:
+                known = _Hashes()
+            found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(tokens, np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(leaves, pa.int64()), found], ["key", "leaf", "tokens"])
 
     texts = docs.select("text").mapInArrow(run, "key long, leaf long, tokens array<long>").groupBy("key").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"))
     texts, depth, out = written(texts.join(shared, "leaf", "left_semi"), "leaf-lines"), DEPTH, None

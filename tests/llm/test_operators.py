@@ -451,6 +451,14 @@ def test_boilerplate_inside_articles(spark):
 # Lines
 
 
+@given(st.lists(st.sampled_from(["a", "b ", "\u00e9", " ", "\n", "  ", "\t", "1", "\u0663", "\u65e5", "\x1c", "\xa0", ".", "Ab", "_", "\u00b2", "\u0436", "\u3000"]), max_size=30).map("".join))
+@settings(deadline=None, max_examples=500)
+def test_lines_are_cut_as_their_tokens(text):
+    """Texts without digits and odd white space aren't split into tokens; the result is as if they were."""
+    tokens = [x for x in map(line_templates.masked, text.split("\n")) if any(re.search(r"[^\W\d_]", t) for t in x)]
+    assert list(line_templates._cut(text)) == [(" ".join(x), len(x), x[:3]) for x in tokens]
+
+
 def test_templates_across_documents(spark):
     passage = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(55))
     rows = [(i, f"own line {'abcdefghij'[i]} of this document only here {'abcdefghij'[i]}\n{passage}\nsession opened for {"abcdefghij"[i] * 3} logged in from home at {i}:0{i} today\ntail {'abcdefghij'[i]}", "n", 1) for i in range(8)]
