@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as functions
+from ..sources.batches import array_of, bounded, sliced
 from .objects import in_pages
 
 
@@ -20,14 +21,18 @@ def document_text(parsed: DataFrame) -> DataFrame:
 
 
 def find_text(pages: DataFrame, pattern: str, spec: str | None = None) -> DataFrame:
-    """doc_key, page_number, snippets of each page with matches."""
+    """doc_key, page_number, snippets of each page with matches, of text that is held. Where files are parsed for it, part matches has
+    them without a further worker."""
 
-    @F.pandas_udf("array<string>")
-    def found(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: functions.snippets(t or "", pattern))
+    def snippets(batches):
+        for b in sliced(batches):
+            made = array_of([functions.snippets(t or "", pattern) for t in b.column(2).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), made], ["doc_key", "page_number", "snippets"])
 
+    bounded(pages.sparkSession)
     hits = pages.filter(in_pages(spec)).filter(F.contains(F.lower("text"), F.lower(F.lit(pattern)))) if pattern else pages.filter(F.lit(False))
-    return hits.select("doc_key", "page_number", found("text").alias("snippets")).filter(F.size("snippets") > 0)
+    # A function of columns would be called twice, for the condition too, each in a worker of its own.
+    return hits.select("doc_key", "page_number", "text").mapInArrow(snippets, "doc_key string, page_number int, snippets array<string>").filter(F.size("snippets") > 0)
 
 
 def count_text(pages: DataFrame, pattern: str, spec: str | None = None) -> DataFrame:

@@ -7,8 +7,9 @@ import re
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-#: Bytes in one Arrow batch handed to Python, and rows turned into results at once.
-BATCH_BYTES, BATCH_ROWS = 16 << 20, 32
+#: Bytes in one Arrow batch handed to Python, and rows turned into results at once. A worker holds few batches at a time, so what it
+#: takes is nearly the same whatever a task reads.
+BATCH_BYTES, BATCH_ROWS = 2 << 20, 32
 
 
 def bounded(spark: SparkSession) -> None:
