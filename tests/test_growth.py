@@ -44,3 +44,12 @@ def test_snippets_need_no_worker_of_their_own(spark, data):
     pages = spark.createDataFrame([("a", 1, "The other"), ("b", 2, None), ("c", 1, "none")], "doc_key string, page_number int, text string")
     found = text_operators.find_text(pages, "the")
     assert executed(found).count("EvalPython") == 0 and [tuple(r) for r in found.collect()] == [("a", 1, ["The other", "The other"])]
+
+
+def test_base85_by_array_operations():
+    held = bytes(range(256)) * 40
+    made = codecs.to_ascii85(held)
+    assert calls(codecs.to_ascii85, held) < 100 and calls(codecs.ascii85, made) < 100
+    for data in (held, held + b"x", b"\0" * 8 + b"abc", b"\0\0\0", b"", b"ab\0\0\0\0cd\0"):
+        assert codecs.ascii85(codecs.to_ascii85(data)) == data
+    assert codecs.to_ascii85(bytes(8) + b"a\0") == b"zz@/p~>"
