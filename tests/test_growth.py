@@ -5,6 +5,7 @@ import sys
 import pytest
 
 from quarry.functions import codecs, text
+from quarry.functions.cmap import cmap_of
 from quarry.operators import text as text_operators
 from quarry.plans import queries as plans
 from quarry.sources import cases, corpora, crypt, reader
@@ -53,3 +54,12 @@ def test_base85_by_array_operations():
     for data in (held, held + b"x", b"\0" * 8 + b"abc", b"\0\0\0", b"", b"ab\0\0\0\0cd\0"):
         assert codecs.ascii85(codecs.to_ascii85(data)) == data
     assert codecs.to_ascii85(bytes(8) + b"a\0") == b"zz@/p~>"
+
+
+def test_a_map_is_read_once_for_all_files():
+    files = [cases.mapped_file(f"Customer#{i:09d} BUILDING") for i in range(2)]
+    reader.PARTS["page_text"][1](load(files[0]))
+    assert calls(lambda: reader.PARTS["page_text"][1](load(files[1]))) < 1800
+    assert cmap_of(cases.MAP) is cmap_of(bytes(bytearray(cases.MAP)))
+    cmap = cmap_of(cases.MAP)
+    assert cmap.texts(b"A \x80\x31\x81\x01\x01", 1) == ["А", " ", "١", "AB", None]
