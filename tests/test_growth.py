@@ -63,3 +63,9 @@ def test_a_map_is_read_once_for_all_files():
     assert cmap_of(cases.MAP) is cmap_of(bytes(bytearray(cases.MAP)))
     cmap = cmap_of(cases.MAP)
     assert cmap.texts(b"A \x80\x31\x81\x01\x01", 1) == ["А", " ", "١", "AB", None]
+
+
+def test_lzw_without_calls_for_each_byte():
+    held = FILE["text"].encode()
+    made = codecs.to_lzw(held)
+    assert codecs.lzw(made) == held and calls(codecs.to_lzw, held) < len(held) // 8 and calls(codecs.lzw, made) < 2.5 * len(made)
