@@ -69,3 +69,9 @@ def test_lzw_without_calls_for_each_byte():
     held = FILE["text"].encode()
     made = codecs.to_lzw(held)
     assert codecs.lzw(made) == held and calls(codecs.to_lzw, held) < len(held) // 8 and calls(codecs.lzw, made) < 2.5 * len(made)
+
+
+def test_batches_hold_few_bytes(spark, data):
+    """A worker's batches are small beside what a worker takes anyhow, so that its memory hardly grows with the input."""
+    plans.queries()["largest_streams"](spark, data)
+    assert BATCH_BYTES <= 2 << 20 and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= BATCH_BYTES
