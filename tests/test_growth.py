@@ -75,3 +75,12 @@ def test_batches_hold_few_bytes(spark, data):
     """A worker's batches are small beside what a worker takes anyhow, so that its memory hardly grows with the input."""
     plans.queries()["largest_streams"](spark, data)
     assert BATCH_BYTES <= 2 << 20 and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= BATCH_BYTES
+
+
+def test_rc4_without_calls_for_each_byte():
+    held = FILE["text"].encode()
+    for key in (b"Key", bytes(range(16)), b"\0" * 5):
+        for data in (b"", b"x", held[:255], held[:256], held[:257], held):
+            assert crypt.rc4(key, data) == crypt.plain_rc4(key, data) and crypt.plain_rc4(key, crypt.rc4(key, data)) == data
+    assert crypt.plain_rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3"
+    assert calls(crypt.rc4, b"Key", held) < 100 or crypt._library_rc4() is None
