@@ -42,8 +42,9 @@ def largest_streams(parsed: DataFrame, k: int = 3) -> DataFrame:
     return top.select("doc_key", (F.col("at") + 1).alias("rank"), "o.obj_num", "o.raw_len")
 
 
-def duplicate_generations(objects: DataFrame) -> DataFrame:
-    return objects.groupBy("doc_key", "obj_num").agg(F.sort_array(F.collect_list("gen")).alias("gens")).filter(F.size("gens") > 1)
+def duplicate_generations(parsed: DataFrame) -> DataFrame:
+    """Object numbers of each document that have several generations, with those in order. From part generations, in the document's row."""
+    return parsed.select("doc_key", F.inline("generations"))
 
 
 def severities(issues: DataFrame) -> DataFrame:

@@ -449,7 +449,7 @@ def validation_counts(spark, sf_dir):
 @query("SELECT doc_id, 1 AS obj_num, '0,1' AS gens FROM documents WHERE doc_id % 13 = 0")
 def duplicate_generations(spark, sf_dir):
     """Object numbers with several generations."""
-    return summary.duplicate_generations(reader.table(_faulty(spark, sf_dir), "objects")).select(F.expr(_ID), "obj_num", F.array_join(F.transform("gens", lambda g: g.cast("string")), ",").alias("gens"))
+    return summary.duplicate_generations(reader.parse(_faulty(spark, sf_dir), ["generations"])).select(F.expr(_ID), "obj_num", F.array_join(F.transform("gens", lambda g: g.cast("string")), ",").alias("gens"))
 
 
 @query(_RAW + "SELECT doc_id, n + 7 AS declared_length, n AS actual_length FROM raw WHERE doc_id % 11 = 0 AND page_number = 1")

@@ -84,3 +84,9 @@ def test_rc4_without_calls_for_each_byte():
             assert crypt.rc4(key, data) == crypt.plain_rc4(key, data) and crypt.plain_rc4(key, crypt.rc4(key, data)) == data
     assert crypt.plain_rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3"
     assert calls(crypt.rc4, b"Key", held) < 100 or crypt._library_rc4() is None
+
+
+def test_generations_in_the_row(spark, data):
+    assert "hashpartitioning" not in executed(plans.queries()["duplicate_generations"](spark, data))
+    doc = load(corpora.text_file({"doc_id": 13, "text": "a"}, faults=True))
+    assert reader.PARTS["generations"][1](doc) == [{"obj_num": 1, "gens": [0, 1]}]
