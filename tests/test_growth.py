@@ -90,3 +90,9 @@ def test_generations_in_the_row(spark, data):
     assert "hashpartitioning" not in executed(plans.queries()["duplicate_generations"](spark, data))
     doc = load(corpora.text_file({"doc_id": 13, "text": "a"}, faults=True))
     assert reader.PARTS["generations"][1](doc) == [{"obj_num": 1, "gens": [0, 1]}]
+
+
+def test_content_is_read_token_by_token():
+    data = corpora.shown_lines(LINES, "win")
+    assert len(operations(data)) == 4 + 2 * len(LINES) and calls(operations, data) < 16 * len(LINES)
+    assert operations(b"%)\n(a)Tj[1(b)]TJ/N gs true x") == [("Tj", [b"a"]), ("TJ", [[1, b"b"]]), ("gs", ["N"]), ("x", [True])]
