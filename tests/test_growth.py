@@ -109,3 +109,15 @@ def test_streams_are_decrypted_when_they_are_read():
 def test_loading_repaired_files():
     made = corpora.text_file(FILE, faults=True)
     assert load(made).recovery and calls(load, made) < 250 * 100
+
+
+def test_numbers_of_objects_are_given_without_a_search():
+    def added():
+        build = Builder()
+        for i in range(500):
+            build.add(i)
+        return build
+
+    build = added()
+    assert calls(added) < 10 * 500 and build.add(None) == (501, 0)
+    assert build.add(None, num=7, gen=1) == (7, 1) and build.add(None, num=900) == (900, 0) and build.add(None) == (901, 0)
