@@ -121,3 +121,8 @@ def test_numbers_of_objects_are_given_without_a_search():
     build = added()
     assert calls(added) < 10 * 500 and build.add(None) == (501, 0)
     assert build.add(None, num=7, gen=1) == (7, 1) and build.add(None, num=900) == (900, 0) and build.add(None) == (901, 0)
+
+
+def test_rich_files():
+    made = cases.rich_file(3 * 5 * 6 * 7 - 1)
+    assert calls(load, made) < 3500
