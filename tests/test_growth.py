@@ -126,3 +126,11 @@ def test_numbers_of_objects_are_given_without_a_search():
 def test_rich_files():
     made = cases.rich_file(3 * 5 * 6 * 7 - 1)
     assert calls(load, made) < 3500
+
+
+def test_pages_are_interpreted_once_for_text_and_matches(monkeypatch):
+    met, page = [], text.Interpreter.page
+    monkeypatch.setattr(text.Interpreter, "page", lambda self, ref: met.append(ref) or page(self, ref))
+    doc = load(corpora.text_file(FILE))
+    shown, found = reader.PARTS["page_text"][1](doc), reader.PARTS["matches"][1](doc, pattern="OF A")
+    assert len(met) == len(shown) == len(found) == 100 and len(found[0]["snippets"]) == 8
