@@ -134,3 +134,8 @@ def test_pages_are_interpreted_once_for_text_and_matches(monkeypatch):
     doc = load(corpora.text_file(FILE))
     shown, found = reader.PARTS["page_text"][1](doc), reader.PARTS["matches"][1](doc, pattern="OF A")
     assert len(met) == len(shown) == len(found) == 100 and len(found[0]["snippets"]) == 8
+
+
+def test_split_content():
+    doc = load(cases.split_file(FILE))
+    assert calls(reader.PARTS["page_text"][1], doc) < 65 * len(LINES)
