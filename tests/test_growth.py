@@ -167,3 +167,10 @@ def test_streams_through_each_filter():
     made = codecs.to_run_length(held)
     assert codecs.run_length(made) == held and made.endswith(b"\x81a\x81a\xd5a\x01bb\x81\x00\xfe\x00\x80")
     assert calls(lambda: [reader.PARTS["streams"][1](load(corpora.text_file(FILE, filters=f))) for f in corpora.FILTERS]) < 12 * len(FILE["text"])
+
+
+def test_making_and_reading_a_text():
+    def there_and_back():
+        return reader.PARTS["page_text"][1](load(corpora.text_file(FILE)))
+
+    assert "\n".join(p["text"] for p in there_and_back()) == FILE["text"] and calls(there_and_back) < 110 * len(LINES)
