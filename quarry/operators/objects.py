@@ -198,7 +198,7 @@ def extract(streams: DataFrame, obj_num: int) -> DataFrame:
 
 def inspect(found: DataFrame, obj_num: int) -> DataFrame:
     """One object of each document: its role, value, references both ways, and pages it belongs to."""
-    parsed = reader.parse(found, ["values", "roles", "refs", "pages"])
+    parsed = reader.parse(found, ["values", "roles", "refs"], options={p: {"only": obj_num} for p in ("values", "roles", "refs")})
     held = parsed.select(
         "doc_key", F.get(F.filter("values", lambda v: (v.obj_num == obj_num) & (v.gen == 0)), F.lit(0)).alias("v"), F.get(F.filter("roles", lambda v: (v.obj_num == obj_num) & (v.gen == 0)), F.lit(0)).alias("r"),
         F.filter("refs", lambda r: (r.src_num == obj_num) & (r.src_gen == 0)).alias("out"), F.filter("refs", lambda r: (r.dst_num == obj_num) & r.src_num.isNotNull()).alias("into"),

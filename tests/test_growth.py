@@ -174,3 +174,12 @@ def test_making_and_reading_a_text():
         return reader.PARTS["page_text"][1](load(corpora.text_file(FILE)))
 
     assert "\n".join(p["text"] for p in there_and_back()) == FILE["text"] and calls(there_and_back) < 110 * len(LINES)
+
+
+def test_parts_of_one_object():
+    doc = load(corpora.text_file(FILE))
+    for part in ("values", "roles"):
+        rows = reader.PARTS[part][1](doc)
+        assert len(rows) > 200 and reader.PARTS[part][1](doc, only=2) == [r for r in rows if r["obj_num"] == 2]
+    refs = reader.PARTS["refs"][1](doc)
+    assert reader.PARTS["refs"][1](doc, only=2) == [r for r in refs if 2 in (r["src_num"], r["dst_num"])]
