@@ -71,6 +71,8 @@ class Corpus:
         return objects.inspect(self.files, obj_num)
 
     def search(self, expression: str) -> DataFrame:
+        if self.held is None:
+            return objects.search_files(self.files, expression, **self.options)
         return objects.search(self.parsed(*objects.search_parts(expression)), expression)
 
     def extract(self, obj_num: int) -> DataFrame:

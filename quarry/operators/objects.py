@@ -150,11 +150,20 @@ def search_parts(expression: str) -> list[str]:
     return ["objects", "entries", *(["streams"] if kinds & {"stream", "regex"} else [])]
 
 
-def search(parsed: DataFrame, expression: str) -> DataFrame:
+def search_files(found: DataFrame, expression: str, **options) -> DataFrame:
+    """search() of files, parsed for it: what streams hold is asked where they are decoded, and their bytes stay there."""
+    conditions = parse_search(expression)
+    sought = tuple(v for k, _, v in conditions if k == "stream")
+    kinds = {k for k, _, _ in conditions}
+    parts = ["objects", *(["entries"] if kinds - {"stream"} else []), *(["stream_matches"] if sought else []), *(["streams"] if "regex" in kinds else [])]
+    return search(reader.parse(found, parts, options={"stream_matches": {"sought": sought}} if sought else None, **options), expression, matched=True)
+
+
+def search(parsed: DataFrame, expression: str, matched: bool = False) -> DataFrame:
     """The dictionaries and streams that meet every condition, as listing() shows them.
 
     Each condition gives the numbers of a document's objects that meet it, and those of all conditions are intersected in
-    the document's row: nothing is shuffled.
+    the document's row: nothing is shuffled. matched: part stream_matches, made for this expression, stands for the streams' bytes.
     """
 
     def named(e):
@@ -168,6 +177,9 @@ def search(parsed: DataFrame, expression: str) -> DataFrame:
             rows = F.filter("entries", lambda e: e.key == value)
         elif kind == "value":
             rows = F.filter("entries", lambda e: named(e) & F.contains(_folded(e.vtext), low))
+        elif kind == "stream" and matched:
+            at = [v for k, _, v in conditions if k == "stream"].index(value)
+            rows = F.filter("stream_matches", lambda s: s["at"] == at)
         elif kind == "stream":
             raw = F.lit(value.encode().decode("latin-1").translate(str.maketrans(_UPPER, _LOWER)))
             rows = F.filter("streams", lambda s: F.contains(_folded(F.decode(s.data, "ISO-8859-1")), raw))

@@ -272,8 +272,8 @@ def search_regex(spark, sf_dir):
 @query(_PAGES + "SELECT doc_id, count(*) AS n_streams FROM pages WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'license') GROUP BY doc_id")
 def search_streams(spark, sf_dir):
     """stream=LICENSE finds content streams by their decoded bytes."""
-    found = reader.parse(_filtered(spark, sf_dir), ["objects", "entries", "streams"])
-    return objects.search(found, "stream=LICENSE").groupBy("doc_key").agg(F.count("*").alias("n_streams")).select(F.expr(_ID), "n_streams")
+    found = objects.search_files(_filtered(spark, sf_dir), "stream=LICENSE")
+    return found.groupBy("doc_key").agg(F.count("*").alias("n_streams")).select(F.expr(_ID), "n_streams")
 
 
 @query(f"SELECT doc_id, CAST(unnest([1, 3, 900000]) AS INTEGER) AS obj_num, unnest(['Dictionary', 'Dictionary', NULL]) AS kind, unnest([NULL, NULL, 'not found']) AS error FROM documents")
