@@ -315,7 +315,7 @@ def dereferenced(spark, sf_dir):
 @query(_PAGES + "SELECT doc_id, count(*) AS n_streams, CAST(sum(CASE WHEN regexp_matches(text, '[^\\x00-\\x7F]') THEN 1 ELSE 0 END) AS BIGINT) AS n_binary FROM pages GROUP BY doc_id")
 def binary_streams(spark, sf_dir):
     """Streams whose decoded bytes are more than ASCII text."""
-    return reader.table(_filtered(spark, sf_dir), "streams").groupBy("doc_key").agg(F.count("*").alias("n_streams"), F.sum(F.col("is_binary").cast("bigint")).alias("n_binary")).select(F.expr(_ID), "n_streams", "n_binary")
+    return reader.table(_filtered(spark, sf_dir), "streams", options={"streams": {"held": False}}).groupBy("doc_key").agg(F.count("*").alias("n_streams"), F.sum(F.col("is_binary").cast("bigint")).alias("n_binary")).select(F.expr(_ID), "n_streams", "n_binary")
 
 
 @query(

@@ -179,6 +179,12 @@ def test_streams_through_each_filter():
     assert calls(lambda: [reader.PARTS["streams"][1](load(corpora.text_file(FILE, filters=f))) for f in corpora.FILTERS]) < 12 * len(FILE["text"])
 
 
+def test_streams_without_their_bytes():
+    doc = load(corpora.text_file(FILE, filters=("LZWDecode",)))
+    rows = reader.PARTS["streams"][1](doc)
+    assert rows[0]["data"] and reader.PARTS["streams"][1](doc, held=False) == [r | {"raw": None, "data": None} for r in rows]
+
+
 def test_making_and_reading_a_text():
     def there_and_back():
         return reader.PARTS["page_text"][1](load(corpora.text_file(FILE)))
@@ -193,5 +199,3 @@ def test_parts_of_one_object():
         assert len(rows) > 200 and reader.PARTS[part][1](doc, only=2) == [r for r in rows if r["obj_num"] == 2]
     refs = reader.PARTS["refs"][1](doc)
     assert reader.PARTS["refs"][1](doc, only=2) == [r for r in refs if 2 in (r["src_num"], r["dst_num"])]
-
-
